@@ -91,13 +91,18 @@ def hash_normal(*cols) -> Column:
 
 def oversample_plan(df: DataFrame, label: str, ratio: float = 0.8) -> DataFrame:
     """Per class: n, target T = floor(ratio * max n), copies to add (0 when n >= T)."""
-    sizes = class_sizes(df, label)
+    return plan_from_sizes(class_sizes(df, label).withColumnRenamed("_n_class", "n"),
+                           label, ratio)
+
+
+def plan_from_sizes(sizes: DataFrame, label: str, ratio: float = 0.8) -> DataFrame:
+    """The same plan from a (label, n) table of class sizes (one row per class)."""
     w = Window.partitionBy()
-    return (sizes.withColumn("_target", F.floor(F.max("_n_class").over(w) * F.lit(float(ratio))))
-            .withColumn("_extra", F.when(F.col("_n_class") < F.col("_target"),
-                                         F.col("_target") - F.col("_n_class")).otherwise(0))
-            .select(label, F.col("_n_class").alias("n"), F.col("_target").alias("target"),
-                    F.col("_extra").alias("extra")))
+    target = F.floor(F.max("n").over(w) * F.lit(float(ratio)))
+    return (sizes.withColumn("target", target)
+            .withColumn("extra", F.when(F.col("n") < F.col("target"),
+                                        F.col("target") - F.col("n")).otherwise(0))
+            .select(label, "n", "target", "extra"))
 
 
 def oversample(df: DataFrame, label: str, key: Column | str, ratio: float = 0.8,

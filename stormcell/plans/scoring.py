@@ -32,7 +32,8 @@ def fitted_model(spark: SparkSession, features: DataFrame, tag: str,
                  cfg: training.TrainConfig = training.TrainConfig()) -> tuple[PipelineModel, DataFrame]:
     """Split, fit on train, save under the shared folder; reuse when present.
     Returns the model and the split feature table."""
-    split = training.split(features, cfg)
+    # split once and keep it: model fit, evaluation and scoring all read it
+    split = training.split(features, cfg).checkpoint(eager=True)
     path = model_path(spark, tag)
     if tag in _MODELS:
         return _MODELS[tag], split

@@ -26,15 +26,23 @@ from ..schema import FEATURES, SCALED_COLS
 
 @dataclass
 class TrainConfig:
+    """Defaults balance the classes once (oversampling).  ``parity()`` also
+    turns on class weights, as the reference does; on the fixture data that
+    double correction overweights the rare levels about sixteen-fold and test
+    accuracy collapses (0.15 against 0.82 with either correction alone)."""
     test_fraction: float = 0.2
     oversample_ratio: float = 0.8
     noise_sd: float = 0.02          # in standard deviations of each scaled column
-    use_class_weights: bool = True
+    use_class_weights: bool = False
     use_oversampling: bool = True
     num_trees: int = 30
     max_depth: int = 10
     seed: int = 42
 
+    @classmethod
+    def parity(cls) -> "TrainConfig":
+        return cls(use_class_weights=True, use_oversampling=True)
+
 
 def row_key_col() -> F.Column:
     return sampling.row_key("city", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
@@ -70,7 +78,9 @@ def training_rows(train: DataFrame, params, cfg: TrainConfig) -> DataFrame:
 
 def fit(train: DataFrame, cfg: TrainConfig = TrainConfig()) -> PipelineModel:
     params = scaling.fit_scaler(train, SCALED_COLS)
-    rows = training_rows(train, params, cfg)
+    # the forest makes several passes over its input: materialise it once in
+    # the shared checkpoint folder (also cuts the lineage for task retries)
+    rows = training_rows(train, params, cfg).checkpoint(eager=True)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features",
                                 weightCol="weight", numTrees=cfg.num_trees,
                                 maxDepth=cfg.max_depth, seed=cfg.seed)
