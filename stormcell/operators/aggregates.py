@@ -160,20 +160,59 @@ def _long_by_level(obs: DataFrame, variables) -> DataFrame:
             .filter(F.col("value").isNotNull() & F.col("level").isNotNull()))
 
 
+def exact_quantiles(df: DataFrame, groups: list[str], value: str,
+                    probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation between order statistics
+    (the usual "linear" rule), computed from a value histogram.
+
+    ``groupBy(groups + [value]).count()`` is a partial-aggregated shuffle, so a
+    group holding most of the rows only contributes one row per distinct value;
+    the cumulative window then runs over the histogram (distinct values per
+    group), never over the raw rows.  Cost grows with the number of distinct
+    values: readings quantised to sensor resolution keep it small.
+    """
+    hist = (df.filter(F.col(value).isNotNull())
+            .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*groups).orderBy(value)
+    hist = (hist.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*groups))))
+    hist = hist.withColumn("_lo", F.col("_hi") - F.col("_c"))  # 0-based [lo, hi)
+    aggs = [F.max("_n").alias("n")]
+    for name, p in probs.items():
+        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        lo_i, hi_i = F.floor(pos), F.ceil(pos)
+        aggs.append(F.max(F.when((F.col("_lo") <= lo_i) & (lo_i < F.col("_hi")), F.col(value)))
+                    .alias(f"_{name}_a"))
+        aggs.append(F.max(F.when((F.col("_lo") <= hi_i) & (hi_i < F.col("_hi")), F.col(value)))
+                    .alias(f"_{name}_b"))
+        aggs.append(F.max(pos - lo_i).alias(f"_{name}_f"))
+    # the histogram is already partitioned by the groups: no new shuffle here
+    out = hist.groupBy(*groups).agg(*aggs)
+    for name in probs:
+        a, b, f = F.col(f"_{name}_a"), F.col(f"_{name}_b"), F.col(f"_{name}_f")
+        out = out.withColumn(name, F.when(f == 0, a).otherwise(a + (b - a) * f))
+    return out.drop(*[f"_{n}_{x}" for n in probs for x in "abf"])
+
+
 def box_stats(obs: DataFrame, variables=BOX_VARS, approx_accuracy: int | None = None) -> DataFrame:
     """Five-number summary per (level, variable) with 1.5*IQR fences, whiskers
-    and the outlier count.  Quartiles use linear interpolation; pass
-    ``approx_accuracy`` to use the bounded-memory sketch instead."""
+    and the outlier count.  Quartiles use linear interpolation (exact, from a
+    value histogram); pass ``approx_accuracy`` to use the bounded-memory sketch."""
     long = _long_by_level(obs, variables)
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = (F.percentile_approx("value", probs, approx_accuracy) if approx_accuracy
-         else F.percentile("value", probs))
-    stats = (long.groupBy("level", "variable")
-             .agg(F.min("value").alias("min"), q.alias("_q"), F.max("value").alias("max"),
+    if approx_accuracy:
+        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        q = (long.groupBy("level", "variable")
+             .agg(F.percentile_approx("value", probs, approx_accuracy).alias("_q"),
                   F.count(F.lit(1)).alias("n"))
-             .select("level", "variable", "n", "min",
-                     F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                     F.col("_q")[2].alias("q3"), "max")
+             .select("level", "variable", "n", F.col("_q")[0].alias("q1"),
+                     F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
+    else:
+        q = exact_quantiles(long, ["level", "variable"], "value",
+                            {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    ext = long.groupBy("level", "variable").agg(F.min("value").alias("min"),
+                                                 F.max("value").alias("max"))
+    stats = (q.join(ext, ["level", "variable"])
+             .select("level", "variable", "n", "min", "q1", "median", "q3", "max")
              .withColumn("iqr", F.col("q3") - F.col("q1"))
              .withColumn("fence_low", F.col("q1") - 1.5 * F.col("iqr"))
              .withColumn("fence_high", F.col("q3") + 1.5 * F.col("iqr")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import exact_quantiles
+
 # Columns filled with their global median.
 MEDIAN_COLS = ["relativehumidity_2m", "temperature_2m",
                "apparent_temperature", "windspeed_10m"]
@@ -12,18 +14,22 @@ MEDIAN_COLS = ["relativehumidity_2m", "temperature_2m",
 
 def fit_medians(obs: DataFrame, cols=MEDIAN_COLS,
                 approx_accuracy: int | None = None) -> dict[str, float | None]:
-    """Fitted scalars, one aggregate job.
+    """Fitted scalars.
 
-    Exact ``median`` keeps one counter per distinct value (fine for readings
-    quantised to sensor resolution); ``approx_accuracy`` switches to the
-    bounded-memory quantile sketch for columns with unbounded cardinality.
+    Exact medians come from a distributed value histogram (cost grows with
+    distinct values, fine for readings quantised to sensor resolution);
+    ``approx_accuracy`` switches to the bounded-memory quantile sketch.
     """
     if approx_accuracy:
-        aggs = [F.percentile_approx(c, 0.5, approx_accuracy).alias(c) for c in cols]
-    else:
-        aggs = [F.median(c).alias(c) for c in cols]
-    row = obs.agg(*aggs).first()
-    return {c: row[c] for c in cols}
+        row = obs.agg(*[F.percentile_approx(c, 0.5, approx_accuracy).alias(c)
+                        for c in cols]).first()
+        return {c: row[c] for c in cols}
+    long = obs.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+        for c in cols])))
+    got = {r["column"]: r["median"] for r in
+           exact_quantiles(long, ["column"], "value", {"median": 0.5}).collect()}
+    return {c: got.get(c) for c in cols}
 
 
 def impute(obs: DataFrame, medians: dict[str, float | None],

@@ -30,14 +30,25 @@ def halo_layout(df: DataFrame, keys: list[str], order: str, halo: int,
                 unit: str = "week") -> DataFrame:
     """Rows of ``df`` tagged with a block column, plus copies of the ``halo``
     rows that precede each block (``_halo = true``).  Window over
-    ``keys + [_blk]`` ordered by ``order`` and drop the halo rows afterwards."""
+    ``keys + [_blk]`` ordered by ``order`` and drop the halo rows afterwards.
+
+    Only a narrow projection (series key, block, order key) is ranked to find
+    each block's last ``halo`` rows; the rows to copy are then picked out of
+    the full table with a join against that small (series, time, destination)
+    table, broadcast when its size check passes.  Order keys are assumed unique
+    within a series (the hourly grid); tied keys would make any row frame
+    order-dependent anyway.
+    """
+    from .lookups import broadcast_checked
+
     base = df.withColumn(_BLK, _block(F.col(order), unit))
-    w = Window.partitionBy(*keys, _BLK).orderBy(order)
-    ranked = (base
-              .withColumn(_RN, F.row_number().over(w))
+    narrow = base.select(*keys, _BLK, order)
+    w = Window.partitionBy(*keys, _BLK).orderBy(F.desc(order))
+    ranked = (narrow
+              .withColumn(_J, F.row_number().over(w))
               .withColumn(_N, F.count(F.lit(1)).over(
                   w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    # rows per (series, block): small, derived from the already partitioned rows
+    # rows per (series, block): small, no new shuffle (same partitioning)
     counts = ranked.groupBy(*keys, _BLK).agg(F.max(_N).alias(_N))
     wk = Window.partitionBy(*keys).orderBy(_BLK)
     lead_cols = {}
@@ -54,16 +65,15 @@ def halo_layout(df: DataFrame, keys: list[str], order: str, halo: int,
     # that still needs rows from src
     pairs = (led.select(*keys, "_src", F.inline(F.array(*entries)))
              .filter(F.col("dst").isNotNull() & (F.col("between") < halo)))
-    tails = (ranked.withColumn(_J, F.col(_N) - F.col(_RN) + 1)
-             .filter(F.col(_J) <= halo)
-             .withColumnRenamed(_BLK, "_src"))
-    copies = (tails.join(pairs, [*keys, "_src"])
+    tails = (ranked.filter(F.col(_J) <= halo)
+             .select(*keys, F.col(_BLK).alias("_src"), order, _J))
+    wanted = (tails.join(pairs, [*keys, "_src"])
               .filter(F.col(_J) + F.col("between") <= halo)
-              .withColumn(_BLK, F.col("dst"))
-              .drop("_src", "dst", "between", _J))
-    core = ranked.withColumn(_HALO, F.lit(False))
-    return core.drop(_RN, _N).unionByName(
-        copies.drop(_RN, _N).withColumn(_HALO, F.lit(True)))
+              .select(*keys, order, F.col("dst")))
+    copies = (base.join(broadcast_checked(wanted), [*keys, order])
+              .withColumn(_BLK, F.col("dst")).drop("dst"))
+    core = base.withColumn(_HALO, F.lit(False))
+    return core.unionByName(copies.withColumn(_HALO, F.lit(True)))
 
 
 def rolling_lag_columns(w: Window, windows=ROLL_WINDOWS, lags=LAGS,
@@ -111,31 +121,50 @@ def series_features(df: DataFrame, key: str = "city", order: str = "date",
     return out.withColumns(peak_columns())
 
 
+def _safe_div(num: Column, den: Column) -> Column:
+    return F.when(den > 0, num / den)
+
+
 def serving_day_features(obs: DataFrame, windows=ROLL_WINDOWS, lags=LAGS) -> DataFrame:
     """Per (city, day), the scoring-time stand-ins for the series features:
 
     * ``*_roll_{w}h``: mean of the first min(n, w) rows of the day,
     * ``*_lag_{k}h``: the k-th row from the end when k < n, else 0 for rain and
       the day's mean temperature,
-    * calendar fields of the day's first timestamp.
+    * ``first_ts``: the day's first timestamp (drives hour / weekday / month).
+
+    Rows are first reduced to one per timestamp (map-side combine), so a day
+    with many duplicate readings never becomes one huge window partition; the
+    window then runs over at most one row per distinct timestamp.  With
+    unique timestamps this equals ranking the raw rows; tied duplicates at a
+    cut are counted pro rata (their mean), and a tied k-th row takes the
+    largest of the tied values.
     """
-    day = F.to_date("date")
-    w = Window.partitionBy("city", "_day").orderBy("date")
-    ranked = (obs.withColumn("_day", day)
-              .withColumn(_RN, F.row_number().over(w))
-              .withColumn(_N, F.count(F.lit(1)).over(
-                  w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    per_ts = obs.groupBy("city", F.to_date("date").alias("day"), "date").agg(
+        F.count(F.lit(1)).alias("_c"),
+        F.sum("precipitation").alias("_sp"), F.count("precipitation").alias("_np"),
+        F.sum("windspeed_10m").alias("_sw"), F.count("windspeed_10m").alias("_nw"),
+        F.sum("temperature_2m").alias("_st"), F.count("temperature_2m").alias("_nt"),
+        F.max("precipitation").alias("_mp"), F.max("temperature_2m").alias("_mt"))
+    w = Window.partitionBy("city", "day").orderBy("date")
+    per_ts = (per_ts
+              .withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn(_N, F.sum("_c").over(Window.partitionBy("city", "day")))
+              .withColumn("_lo", F.col("_hi") - F.col("_c")))
     aggs = [F.min("date").alias("first_ts"), F.max(_N).alias("n_hours"),
-            F.avg("temperature_2m").alias("_temp_mean")]
+            _safe_div(F.sum("_st"), F.sum("_nt")).alias("_temp_mean")]
     for n in windows:
-        aggs.append(F.avg(F.when(F.col(_RN) <= n, F.col("precipitation"))).alias(f"precip_roll_{n}h"))
-        aggs.append(F.avg(F.when(F.col(_RN) <= n, F.col("windspeed_10m"))).alias(f"wind_roll_{n}h"))
+        frac = (F.greatest(F.lit(0), F.least(F.col("_c"), F.lit(n) - F.col("_lo")))
+                .cast("double") / F.col("_c").cast("double"))
+        for name, sm, cnt in (("precip", "_sp", "_np"), ("wind", "_sw", "_nw")):
+            aggs.append(_safe_div(F.sum(F.when(frac > 0, F.col(sm) * frac)),
+                                  F.sum(F.col(cnt) * frac)).alias(f"{name}_roll_{n}h"))
     for k in lags:
-        at_k = F.col(_RN) == F.col(_N) - k + 1
-        aggs.append(F.max(F.when(at_k, F.col("precipitation"))).alias(f"_p{k}"))
-        aggs.append(F.max(F.when(at_k, F.col("temperature_2m"))).alias(f"_t{k}"))
+        at_k = (F.col("_lo") <= F.col(_N) - k) & (F.col(_N) - k < F.col("_hi"))
+        aggs.append(F.max(F.when(at_k, F.col("_mp"))).alias(f"_p{k}"))
+        aggs.append(F.max(F.when(at_k, F.col("_mt"))).alias(f"_t{k}"))
     # the window already partitions by (city, day): this aggregate needs no new shuffle
-    g = ranked.groupBy("city", F.col("_day").alias("day")).agg(*aggs)
+    g = per_ts.groupBy("city", "day").agg(*aggs)
     lag_cols = {}
     for k in lags:
         has = F.col("n_hours") > k
