@@ -44,12 +44,11 @@ def halo_layout(df: DataFrame, keys: list[str], order: str, halo: int,
     base = df.withColumn(_BLK, _block(F.col(order), unit))
     narrow = base.select(*keys, _BLK, order)
     w = Window.partitionBy(*keys, _BLK).orderBy(F.desc(order))
-    ranked = (narrow
-              .withColumn(_J, F.row_number().over(w))
-              .withColumn(_N, F.count(F.lit(1)).over(
-                  w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    # rows per (series, block): small, no new shuffle (same partitioning)
-    counts = ranked.groupBy(*keys, _BLK).agg(F.max(_N).alias(_N))
+    # rank <= halo is a top-k filter: Spark applies it map-side (WindowGroupLimit)
+    # before the shuffle, so at most ``halo`` rows per block and task move
+    ranked = narrow.withColumn(_J, F.row_number().over(w))
+    # rows per (series, block): partial aggregate, one row per block and task
+    counts = narrow.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias(_N))
     wk = Window.partitionBy(*keys).orderBy(_BLK)
     lead_cols = {}
     for k in range(1, halo + 1):
