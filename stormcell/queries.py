@@ -51,6 +51,11 @@ def _filtered(spark, sf_dir) -> DataFrame:
     return filters.range_city_filter(_obs(spark, sf_dir), RANGE_START, RANGE_END, RANGE_CITIES)
 
 
+def _ntz(value) -> F.Column:
+    """A wall-clock literal: parsed from text, so no time zone is applied."""
+    return F.to_timestamp_ntz(F.lit(str(value)))
+
+
 def _reasons_text(col="rule_reasons"):
     return F.array_join(F.col(col), "; ")
 
@@ -440,7 +445,7 @@ def q_unified_city_day(spark, sf_dir):
     obs = _obs(spark, sf_dir)
     _, hi = filters.data_bounds(obs)
     start = hi - dt.timedelta(days=FORECAST_DAYS - 1)
-    ahead = (obs.filter(F.col("date") >= F.lit(dt.datetime.combine(start, dt.time())))
+    ahead = (obs.filter(F.col("date") >= _ntz(dt.datetime.combine(start, dt.time())))
              .withColumn("date", F.col("date") + F.expr(f"INTERVAL {FORECAST_DAYS} DAYS")))
     path = scratch_path(spark, "forecast-feed")
     forecast.land_forecast_docs(forecast.docs_from_hourly(ahead), path)
@@ -480,9 +485,9 @@ def q_stream_city_day(spark, sf_dir):
     src = scratch_path(spark, "stream-src")
     sink = scratch_path(spark, "stream-sink")
     ckpt = scratch_path(spark, "stream-ckpt")
-    first = obs.filter(F.col("date") < F.lit(cut))
-    second = obs.filter((F.col("date") >= F.lit(cut)) |
-                        ((F.col("date") >= F.lit(redeliver)) & (F.col("date") < F.lit(cut))))
+    first = obs.filter(F.col("date") < _ntz(cut))
+    second = obs.filter((F.col("date") >= _ntz(cut)) |
+                        ((F.col("date") >= _ntz(redeliver)) & (F.col("date") < _ntz(cut))))
     for i, drop in enumerate((first, second)):
         drop.write.mode("overwrite").parquet(os.path.join(src, f"drop={i}"))
         q = stream.run_to_sink(stream.city_day_stream(spark, src), sink, ckpt)
