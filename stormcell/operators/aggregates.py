@@ -52,6 +52,26 @@ def city_day_records(obs: DataFrame, label: str = "suspension") -> DataFrame:
     )
 
 
+def city_day_full(obs: DataFrame, label: str = "suspension") -> DataFrame:
+    """Summary, day level and day extremes in one aggregate (one shuffle)."""
+    return obs.groupBy("city", cal.calendar_day("date").alias("day")).agg(
+        F.avg("temperature_2m").alias("temperature_2m"),
+        F.avg("relativehumidity_2m").alias("relativehumidity_2m"),
+        F.coalesce(F.sum("precipitation"), F.lit(0.0)).alias("precipitation"),
+        F.avg("apparent_temperature").alias("apparent_temperature"),
+        F.avg("windspeed_10m").alias("windspeed_10m"),
+        F.count(F.lit(1)).alias("n_hours"),
+        F.mode(label, deterministic=True).alias("level"),
+        F.min("temperature_2m").alias("min_temp"),
+        F.max("temperature_2m").alias("max_temp"),
+        F.avg("temperature_2m").alias("avg_temp"),
+        F.max("windspeed_10m").alias("max_wind"),
+        F.avg("windspeed_10m").alias("avg_wind"),
+        F.coalesce(F.sum("precipitation"), F.lit(0.0)).alias("total_precip"),
+        F.max("precipitation").alias("max_precip_hour"),
+    )
+
+
 def level_thresholds(obs: DataFrame, label: str = "suspension") -> DataFrame:
     """Per level: rain mean/max, wind mean/max, humidity mean, count (one pass)."""
     return obs.groupBy(F.col(label).alias("level")).agg(

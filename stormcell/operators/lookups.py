@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      materialize: bool = False) -> DataFrame:
     """Broadcast hint only when the side is proven small.
 
     The check reads at most ``max_rows + 1`` rows (a limit, not a full count);
     a larger side is returned unchanged and the join falls back to a shuffle
-    join chosen by Catalyst / AQE.
+    join chosen by Catalyst / AQE.  With ``materialize`` the side is first
+    written to the shared checkpoint folder, so a side that is expensive to
+    derive (it scans the big table) is computed once, not once for the check
+    and again for the join.
     """
+    if materialize:
+        df = df.checkpoint(eager=True)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

@@ -40,7 +40,7 @@ def hash_rank(df: DataFrame, group: str, key: Column | str, rank_col: str = "ran
     offsets = counts.select(group, "_b",
                             F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
     wr = Window.partitionBy(group, "_b").orderBy("_h", "_key")
-    return (with_h.join(broadcast_checked(offsets), [group, "_b"])
+    return (with_h.join(broadcast_checked(offsets, materialize=True), [group, "_b"])
             .withColumn(rank_col, F.col("_off") + F.row_number().over(wr))
             .drop("_h", "_b", "_off", "_key"))
 

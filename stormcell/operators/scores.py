@@ -102,6 +102,14 @@ def per_class_accuracy(conf: DataFrame) -> DataFrame:
                     .alias("class_accuracy"))
 
 
+def with_fold_summary(scores: DataFrame, col: str = "accuracy") -> DataFrame:
+    """Each fold's score next to the mean and population std over the folds
+    (a window over the k fold rows)."""
+    w = Window.partitionBy()
+    return scores.withColumns({f"{col}_mean": F.avg(col).over(w),
+                               f"{col}_std": F.stddev_pop(col).over(w)})
+
+
 def fold_summary(scores: DataFrame, col: str = "accuracy") -> DataFrame:
     """Mean and population standard deviation of per-fold scores."""
     return scores.agg(F.avg(col).alias(f"{col}_mean"), F.stddev_pop(col).alias(f"{col}_std"))

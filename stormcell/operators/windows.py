@@ -69,7 +69,7 @@ def halo_layout(df: DataFrame, keys: list[str], order: str, halo: int,
     wanted = (tails.join(pairs, [*keys, "_src"])
               .filter(F.col(_J) + F.col("between") <= halo)
               .select(*keys, order, F.col("dst")))
-    copies = (base.join(broadcast_checked(wanted), [*keys, order])
+    copies = (base.join(broadcast_checked(wanted, materialize=True), [*keys, order])
               .withColumn(_BLK, F.col("dst")).drop("dst"))
     core = base.withColumn(_HALO, F.lit(False))
     return core.unionByName(copies.withColumn(_HALO, F.lit(True)))

@@ -61,3 +61,39 @@ def score_city_days(model: PipelineModel, features: DataFrame, n_classes: int |
         labels.risk_label("predicted_level").alias("risk_level"),
         labels.pad_probabilities(probs, 5).alias("probabilities_5"),
     )
+
+
+def serving_feature_rows(obs: DataFrame, codes: DataFrame, medians: dict) -> DataFrame:
+    """The scoring-time row per (city, day), in the training feature order:
+    daily means (rain: daily total), head means / tail values of the day,
+    calendar fields of its first hour, peaks, bins and the city code.
+    Missing readings take the training medians (trees here have no NaN rule).
+    """
+    from ..functions import bins
+    from ..functions import calendar as cal
+    from ..operators import aggregates as agg
+    from ..operators import windows
+    from ..operators.impute import impute
+    from ..schema import FEATURES
+    from .features import encode_city
+
+    days = agg.city_day_summary(obs).drop("n_hours")
+    serve = windows.serving_day_features(obs)
+    rows = days.join(serve, ["city", "day"])
+    rows = impute(rows, medians).withColumns(cal.temporal_columns("first_ts"))
+    rows = rows.withColumns(windows.peak_columns()).withColumns({
+        "apparent_temp_delta": bins.apparent_temp_delta(),
+        "precip_intensity": bins.precip_intensity(),
+        "wind_category": bins.wind_category(),
+    })
+    rows = encode_city(rows, codes)
+    return rows.select("city", "day", F.col("first_ts").alias("date"),
+                       *[F.col(c).cast("double").alias(c) for c in FEATURES])
+
+
+def score_serving_days(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    pred = training.predict(model, rows)
+    return pred.select("city", "day", F.col("predicted").alias("predicted_level"),
+                       "probabilities",
+                       F.array_max("probabilities").alias("confidence"),
+                       labels.risk_label("predicted").alias("risk_level"))

@@ -54,15 +54,17 @@ def decide(city_days: DataFrame, levels: DataFrame, model_col: str = "level") ->
 def advisory_bulletin(obs: DataFrame, levels: DataFrame) -> DataFrame:
     """What the memo holds for each (city, day): final level and its reasons,
     the day's extremes and alert tags.  Write with ``partitionBy('day')``."""
-    days = agg.city_day_records(obs)
-    ext = agg.day_extremes(obs).drop("avg_humidity")
-    both = days.join(ext, ["city", "day"])
-    decided = decide(both, levels)
+    decided = decide(agg.city_day_full(obs), levels)
     return decided.withColumn(
         "alerts", labels.weather_alerts("max_wind", "total_precip", "max_temp",
                                         "relativehumidity_2m"))
 
 
+def write_bulletin(bulletin: DataFrame, path: str) -> None:
+    """One folder per day, so a (city, day) lookup reads a single partition."""
+    bulletin.write.mode("overwrite").partitionBy("day").parquet(path)
+
+
 def scenario_grid(base: DataFrame, temp_offsets, precip_offsets, wind_offsets,
                   apparent_offset: float = -2.0) -> DataFrame:
     """What-if batch: every base row under every combination of offsets.

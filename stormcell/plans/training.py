@@ -128,3 +128,32 @@ def cross_validate(train: DataFrame, k: int = 5, cfg: TrainConfig = TrainConfig(
         results.append((f, float(acc)))
     folded.unpersist()
     return spark.createDataFrame(results, "fold INT, accuracy DOUBLE")
+
+
+def training_summary(spark: SparkSession, split: DataFrame, aggregate: DataFrame) -> DataFrame:
+    """Row counts, feature count and test scores in one row."""
+    scores_row = aggregate.select("accuracy", "f1_weighted").first()
+    return split.agg(F.sum((~F.col("is_test")).cast("long")).alias("train_size"),
+                     F.sum(F.col("is_test").cast("long")).alias("test_size"),
+                     F.lit(len(FEATURES)).alias("total_features"),
+                     F.lit(scores_row["accuracy"]).alias("accuracy"),
+                     F.lit(scores_row["f1_weighted"]).alias("f1_weighted"))
+
+
+def save_artifacts(out_dir: str, model: PipelineModel, evaluation: dict[str, DataFrame],
+                   importances: DataFrame, thresholds: DataFrame, summary: DataFrame) -> None:
+    from ..sources.sinks import write_metrics
+    model.write().overwrite().save(f"{out_dir}/model")
+    write_metrics(out_dir, aggregate=evaluation["aggregate"], per_class=evaluation["per_class"],
+                  confusion=evaluation["confusion"], importances=importances,
+                  thresholds=thresholds, summary=summary)
+
+
+def load_artifacts(spark: SparkSession, out_dir: str) -> dict:
+    """Model plus the JSON / parquet artefacts written by ``save_artifacts``."""
+    out = {"model": PipelineModel.load(f"{out_dir}/model"),
+           "confusion": spark.read.parquet(f"{out_dir}/confusion_matrix")}
+    for name in ("metrics_aggregate", "metrics_per_class", "feature_importance",
+                 "thresholds", "training_summary"):
+        out[name] = spark.read.json(f"{out_dir}/{name}")
+    return out

@@ -437,6 +437,37 @@ def q_score_city_days(spark, sf_dir):
     return scoring.score_city_days(model, split.drop("is_test"))
 
 
+def q_cv_accuracy(spark, sf_dir):
+    """M8 + A21: 5-fold accuracy on the train split (folds fixed before
+    oversampling), with mean and population std."""
+    _, split = _model(spark, sf_dir)
+    cfg = training.TrainConfig(num_trees=5, max_depth=5)
+    folds = training.cross_validate(split.filter(~F.col("is_test")).drop("is_test"), 5, cfg)
+    return scores.with_fold_summary(folds)
+
+
+def q_score_serving_days(spark, sf_dir):
+    """M10, the reference's path: one feature row per (city, day) built from
+    the day's aggregates, scored by the hourly-trained model."""
+    obs = _obs(spark, sf_dir)
+    model, _ = _model(spark, sf_dir)
+    rows = scoring.serving_feature_rows(obs, feat.city_codes(obs), impute.fit_medians(obs))
+    return scoring.score_serving_days(model, rows)
+
+
+def q_artifacts_roundtrip(spark, sf_dir):
+    """Evaluation, importances, thresholds and summary written through
+    the sinks, then loaded back; returns the per-class metrics as read."""
+    model, split = _model(spark, sf_dir)
+    ev = training.evaluate(model, split.filter(F.col("is_test")))
+    out = scratch_path(spark, "artifacts")
+    training.save_artifacts(
+        out, model, ev, training.feature_importances(spark, model),
+        agg.level_thresholds(_imputed(spark, sf_dir)),
+        training.training_summary(spark, split, ev["aggregate"]))
+    return training.load_artifacts(spark, out)["metrics_per_class"]
+
+
 # ---- serving ----------------------------------------------------------------
 
 def q_unified_city_day(spark, sf_dir):
@@ -555,6 +586,9 @@ QUERIES = {
     "train_eval": q_train_eval,
     "top_features": q_top_features,
     "score_city_days": q_score_city_days,
+    "score_serving_days": q_score_serving_days,
+    "cv_accuracy": q_cv_accuracy,
+    "artifacts_roundtrip": q_artifacts_roundtrip,
     "unified_city_day": q_unified_city_day,
     "advisory_bulletin": q_advisory_bulletin,
     "scenario_grid": q_scenario_grid,

@@ -11,7 +11,8 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF001
 
-SLOW = {"train_eval", "top_features", "score_city_days"}
+SLOW = {"train_eval", "top_features", "score_city_days", "score_serving_days",
+        "cv_accuracy", "artifacts_roundtrip"}
 TABLES = ["events", "nation", "orders"]
 
 
