@@ -27,7 +27,7 @@ def _block(ts: Column, unit: str) -> Column:
 
 
 def halo_layout(df: DataFrame, keys: list[str], order: str, halo: int,
-                unit: str = "week") -> DataFrame:
+                unit: str = "week", hot_col: str | None = None) -> DataFrame:
     """Rows of ``df`` tagged with a block column, plus copies of the ``halo``
     rows that precede each block (``_halo = true``).  Window over
     ``keys + [_blk]`` ordered by ``order`` and drop the halo rows afterwards.
@@ -38,11 +38,17 @@ def halo_layout(df: DataFrame, keys: list[str], order: str, halo: int,
     table, broadcast when its size check passes.  Order keys are assumed unique
     within a series (the hourly grid); tied keys would make any row frame
     order-dependent anyway.
+
+    With ``hot_col`` only rows flagged hot are split into blocks; the other
+    series keep one window partition each (null block) and need no copies.
     """
     from .lookups import broadcast_checked
 
-    base = df.withColumn(_BLK, _block(F.col(order), unit))
-    narrow = base.select(*keys, _BLK, order)
+    blk = _block(F.col(order), unit)
+    if hot_col:
+        blk = F.when(F.col(hot_col), blk).otherwise(F.lit(None).cast("date"))
+    base = df.withColumn(_BLK, blk)
+    narrow = (base.filter(F.col(hot_col)) if hot_col else base).select(*keys, _BLK, order)
     w = Window.partitionBy(*keys, _BLK).orderBy(F.desc(order))
     # rank <= halo is a top-k filter: Spark applies it map-side (WindowGroupLimit)
     # before the shuffle, so at most ``halo`` rows per block and task move
@@ -102,18 +108,40 @@ def peak_columns() -> dict[str, Column]:
     }
 
 
+def hot_series(df: DataFrame, key: str, max_series_rows: int) -> DataFrame:
+    """Series with more than ``max_series_rows`` rows (partial aggregate; the
+    result has at most total_rows / max_series_rows rows)."""
+    return (df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+            .filter(F.col("_rows") > max_series_rows)
+            .select(key, F.lit(True).alias("_hot")))
+
+
 def series_features(df: DataFrame, key: str = "city", order: str = "date",
                     windows=ROLL_WINDOWS, lags=LAGS, temp_fill: Column | None = None,
-                    layout: str = "halo", block_unit: str = "week") -> DataFrame:
-    """W1 + W2 + W3 in one window pass (one sort per partition)."""
+                    layout: str = "auto", block_unit: str = "week",
+                    max_series_rows: int = 2_000_000) -> DataFrame:
+    """W1 + W2 + W3 in one window pass (one sort per partition).
+
+    ``auto`` splits only series longer than ``max_series_rows`` into halo
+    blocks (salting the hot keys) and keeps every other series whole;
+    ``halo`` blocks every series; ``plain`` partitions by the key alone.
+    """
+    from .lookups import broadcast_checked
+
     if layout == "plain":
         w = Window.partitionBy(key).orderBy(order)
         out = df.withColumns(rolling_lag_columns(w, windows, lags, temp_fill))
         return out.withColumns(peak_columns())
-    if layout != "halo":
-        raise ValueError(f"unknown layout {layout!r}")
     halo = max(max(windows) - 1, max(lags))
-    laid = halo_layout(df, [key], order, halo, block_unit)
+    if layout == "auto":
+        hot = broadcast_checked(hot_series(df, key, max_series_rows), materialize=True)
+        tagged = (df.join(hot, key, "left")
+                  .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False))))
+        laid = halo_layout(tagged, [key], order, halo, block_unit, hot_col="_hot").drop("_hot")
+    elif layout == "halo":
+        laid = halo_layout(df, [key], order, halo, block_unit)
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
     w = Window.partitionBy(key, _BLK).orderBy(order)
     out = (laid.withColumns(rolling_lag_columns(w, windows, lags, temp_fill))
            .filter(~F.col(_HALO)).drop(_HALO, _BLK))

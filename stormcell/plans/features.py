@@ -28,7 +28,7 @@ def encode_city(df: DataFrame, codes: DataFrame, city_col: str = "city") -> Data
     return df.join(broadcast_checked(codes), city_col)
 
 
-def training_features(obs: DataFrame, layout: str = "halo", block_unit: str = "week",
+def training_features(obs: DataFrame, layout: str = "auto", block_unit: str = "week",
                       medians: dict | None = None, codes: DataFrame | None = None) -> DataFrame:
     med = medians if medians is not None else fit_medians(obs)
     filled = impute(obs, med)

@@ -26,11 +26,29 @@ def test_halo_equals_plain_window_on_gappy_series(spark, unit):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+@pytest.mark.parametrize("bound", ["median", "huge"])
+def test_auto_layout_splits_only_hot_series(spark, bound):
+    obs = load_obs(spark, SF01)
+    med = impute.fit_medians(obs)
+    filled = impute.impute(obs, med)
+    tf = F.lit(med["temperature_2m"])
+    sizes = sorted(r[0] for r in obs.groupBy("city").count().select("count").collect())
+    # "median": some cities above the bound (split), some below (kept whole)
+    max_rows = sizes[len(sizes) // 2] if bound == "median" else 10_000_000
+    assert bound == "huge" or sizes[0] <= max_rows < sizes[-1]
+    plain = windows.series_features(filled, temp_fill=tf, layout="plain").select("city", "date", *FEATS)
+    auto = windows.series_features(filled, temp_fill=tf, layout="auto", block_unit="day",
+                                   max_series_rows=max_rows).select("city", "date", *FEATS)
+    assert auto.count() == plain.count()
+    assert plain.exceptAll(auto).count() == 0 and auto.exceptAll(plain).count() == 0
+
+
 def test_rolling_min_periods_and_lag_fill(spark):
     rows = [("A", f"2024-01-01 {h:02d}", 50.0, float(h), float(h), 20.0, 10.0 * h, 0)
             for h in range(4)]
     obs = obs_frame(spark, rows)
-    out = windows.series_features(obs, temp_fill=F.lit(-1.0), block_unit="day").orderBy("date").collect()
+    out = windows.series_features(obs, temp_fill=F.lit(-1.0), layout="halo",
+                                  block_unit="day").orderBy("date").collect()
     assert out[0]["precip_roll_3h"] == 0.0 and out[1]["precip_roll_3h"] == 0.5
     assert out[3]["precip_roll_3h"] == 2.0 and out[3]["precip_roll_12h"] == 1.5
     assert out[0]["precip_lag_1h"] == 0.0 and out[0]["temp_lag_1h"] == -1.0
@@ -43,7 +61,8 @@ def test_halo_crosses_short_blocks(spark):
     # one row per day for 20 days: a 12-row window spans 12 daily blocks
     rows = [("A", f"2024-01-{d:02d} 05", 50.0, 20.0, float(d), 22.0, 1.0, 0) for d in range(1, 21)]
     obs = obs_frame(spark, rows)
-    out = {r["date"].day: r for r in windows.series_features(obs, block_unit="day").collect()}
+    out = {r["date"].day: r for r in windows.series_features(
+        obs, layout="halo", block_unit="day").collect()}
     assert out[20]["precip_roll_12h"] == sum(range(9, 21)) / 12
     assert out[20]["precip_lag_3h"] == 17.0
 
