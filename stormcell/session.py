@@ -27,6 +27,16 @@ DEFAULT_CONF = {
 }
 
 
+# Applied on a cluster master only, and only where the cluster has not set
+# its own value: many shuffle partitions that AQE coalesces to ~256 MB each,
+# and 256 MB scan splits, so a partition fits an executor's memory at scale.
+CLUSTER_DEFAULTS = {
+    "spark.sql.shuffle.partitions": ("200", "4096"),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("64MB", "256MB"),
+    "spark.sql.files.maxPartitionBytes": ("128MB", "256MB"),
+}
+
+
 def get_session(master: str | None = None, app: str = "stormcell",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
@@ -41,6 +51,10 @@ def get_session(master: str | None = None, app: str = "stormcell",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not _is_local(spark):
+        for key, (default, value) in CLUSTER_DEFAULTS.items():
+            if key not in conf and spark.conf.get(key, default) in (default, None):
+                spark.conf.set(key, value)
     checkpoint_root(spark)
     return spark
 
