@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..schema import WEATHER_COLS
+from .lookups import broadcast_checked
 
 # The variables compared in the correlation matrix, in display order.
 CORR_VARS = ["temperature_2m", "relativehumidity_2m", "precipitation",
@@ -236,9 +237,10 @@ def box_stats(obs: DataFrame, variables=BOX_VARS, approx_accuracy: int | None =
              .withColumn("iqr", F.col("q3") - F.col("q1"))
              .withColumn("fence_low", F.col("q1") - 1.5 * F.col("iqr"))
              .withColumn("fence_high", F.col("q3") + 1.5 * F.col("iqr")))
-    # one row per (level, variable): bounded by levels x variables, safe to broadcast
-    fences = stats.select("level", "variable", "fence_low", "fence_high")
-    tails = (long.join(F.broadcast(fences), ["level", "variable"])
+    # one row per (level, variable): materialised once, broadcast after the size check
+    fences = broadcast_checked(stats.select("level", "variable", "fence_low", "fence_high"),
+                               materialize=True)
+    tails = (long.join(fences, ["level", "variable"])
              .groupBy("level", "variable").agg(
                  F.sum(((F.col("value") < F.col("fence_low")) |
                         (F.col("value") > F.col("fence_high"))).cast("long")).alias("n_outliers"),

@@ -56,7 +56,7 @@ def stratified_split(df: DataFrame, label: str, key: Column | str,
     sizes = class_sizes(df, label).withColumn(
         "_n_test", F.floor(F.col("_n_class") * F.lit(float(test_fraction)) + F.lit(0.5)))
     ranked = hash_rank(df, label, key, "_rank")
-    return (ranked.join(F.broadcast(sizes), label)
+    return (ranked.join(broadcast_checked(sizes, materialize=True), label)
             .withColumn("is_test", F.col("_rank") <= F.col("_n_test"))
             .drop("_rank", "_n_test", "_n_class"))
 
@@ -117,8 +117,11 @@ def oversample(df: DataFrame, label: str, key: Column | str, ratio: float = 0.8,
     small = plan.filter(F.col("extra") > 0).select(label, "n", "extra")
     base = df.withColumn("is_synthetic", F.lit(False))
     # only minority rows are ranked; the (large) majority classes pass through
-    minority = df.join(F.broadcast(small.select(label)), label, "left_semi")
-    ranked = hash_rank(minority, label, key, "_rank").join(F.broadcast(small), label)
+    # one row per class: checked (labels are not assumed to be few) and
+    # materialised once, it feeds both the semi-join and the join below
+    small = broadcast_checked(small, materialize=True)
+    minority = df.join(small.select(label), label, "left_semi")
+    ranked = hash_rank(minority, label, key, "_rank").join(small, label)
     copies_n = (F.floor(F.col("extra") / F.col("n"))
                 + (F.col("_rank") <= F.col("extra") % F.col("n")).cast("long")).cast("int")
     k = F.col(key) if isinstance(key, str) else key

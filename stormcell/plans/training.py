@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sampling, scaling, scores
+from ..operators.lookups import broadcast_checked
 from ..schema import FEATURES, SCALED_COLS
 
 
@@ -65,7 +66,7 @@ def training_rows(train: DataFrame, params, cfg: TrainConfig) -> DataFrame:
     rows = train.withColumn("label", F.col("suspension").cast("double"))
     if cfg.use_class_weights:
         w = sampling.class_weights(rows, "suspension").select("suspension", "weight")
-        rows = rows.join(F.broadcast(w), "suspension")
+        rows = rows.join(broadcast_checked(w, materialize=True), "suspension")
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
     if cfg.use_oversampling:

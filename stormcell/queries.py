@@ -20,7 +20,7 @@ from .operators import filters, impute, lookups, rules, sampling, scaling, score
 from .plans import features as feat
 from .plans import scoring, serving, training
 from .schema import SCALED_COLS, WEATHER_COLS
-from .session import scratch_path
+from .session import land_once, landed_path, scratch_path
 from .sources import csv_source, dims, forecast
 from .sources.fixture import city_dim_from_nation, load_obs, read_table
 from .streaming import city_day_stream as stream
@@ -63,17 +63,19 @@ def _reasons_text(col="rule_reasons"):
 # ---- sources -------------------------------------------------------------
 
 def q_scan_obs(spark, sf_dir):
-    """Land the hourly table as CSV and read it back with the explicit schema."""
-    path = scratch_path(spark, "obs-csv")
-    csv_source.write_obs_csv(_obs(spark, sf_dir), path)
+    """The hourly table landed as CSV (once per data folder) and read back
+    with the explicit schema."""
+    path = land_once(spark, landed_path(spark, "obs-csv", sf_dir),
+                     lambda p: csv_source.write_obs_csv(_obs(spark, sf_dir), p))
     return csv_source.read_obs_csv(spark, path)
 
 
 def q_forecast_explode(spark, sf_dir):
     """One JSON document of parallel hourly arrays per (city, day) is landed,
     read with its schema and exploded back to one row per hour."""
-    path = scratch_path(spark, "forecast-json")
-    forecast.land_forecast_docs(forecast.docs_from_hourly(_obs(spark, sf_dir)), path)
+    path = land_once(spark, landed_path(spark, "forecast-json", sf_dir),
+                     lambda p: forecast.land_forecast_docs(
+                         forecast.docs_from_hourly(_obs(spark, sf_dir)), p))
     return forecast.read_forecast(spark, path)
 
 
@@ -478,8 +480,8 @@ def q_unified_city_day(spark, sf_dir):
     start = hi - dt.timedelta(days=FORECAST_DAYS - 1)
     ahead = (obs.filter(F.col("date") >= _ntz(dt.datetime.combine(start, dt.time())))
              .withColumn("date", F.col("date") + F.expr(f"INTERVAL {FORECAST_DAYS} DAYS")))
-    path = scratch_path(spark, "forecast-feed")
-    forecast.land_forecast_docs(forecast.docs_from_hourly(ahead), path)
+    path = land_once(spark, landed_path(spark, "forecast-feed", sf_dir),
+                     lambda p: forecast.land_forecast_docs(forecast.docs_from_hourly(ahead), p))
     fc = serving.forecast_city_days(forecast.read_forecast(spark, path))
     hist = serving.historical_city_days(obs)
     u = serving.unified_city_days(hist, fc)

@@ -90,3 +90,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _fs_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))
+
+
+def landed_path(spark: SparkSession, name: str, source: str) -> str:
+    """Stable path for a copy derived from ``source`` (one per source)."""
+    import hashlib
+    base = os.path.dirname(checkpoint_root(spark).rstrip("/"))
+    tag = hashlib.md5(os.path.abspath(source).encode()).hexdigest()[:12]
+    return os.path.join(base, "landed", f"{name}-{tag}")
+
+
+def land_once(spark: SparkSession, path: str, write) -> str:
+    """Run ``write(path)`` unless a completed copy (``_SUCCESS``) is there."""
+    if not _fs_exists(spark, os.path.join(path, "_SUCCESS")):
+        write(path)
+    return path
