@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import bins, labels
@@ -367,12 +367,8 @@ def q_weather_alerts(spark, sf_dir):
 
 # ---- split / sampling -------------------------------------------------------
 
-def _keyed_obs(spark, sf_dir):
-    return _obs(spark, sf_dir)
-
-
 def _split(spark, sf_dir):
-    return sampling.stratified_split(_keyed_obs(spark, sf_dir), "suspension",
+    return sampling.stratified_split(_obs(spark, sf_dir), "suspension",
                                      training.row_key_col(), 0.2)
 
 

@@ -99,12 +99,15 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+LANDING_VERSION = 2  # bump when a landing format changes, so old copies are not reused
+
+
 def landed_path(spark: SparkSession, name: str, source: str) -> str:
-    """Stable path for a copy derived from ``source`` (one per source)."""
+    """Stable path for a copy derived from ``source`` (one per source and format)."""
     import hashlib
     base = os.path.dirname(checkpoint_root(spark).rstrip("/"))
     tag = hashlib.md5(os.path.abspath(source).encode()).hexdigest()[:12]
-    return os.path.join(base, "landed", f"{name}-{tag}")
+    return os.path.join(base, "landed", f"{name}-v{LANDING_VERSION}-{tag}")
 
 
 def land_once(spark: SparkSession, path: str, write) -> str:

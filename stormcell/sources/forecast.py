@@ -45,11 +45,14 @@ def _field(name):
 
 def docs_from_hourly(hourly: DataFrame) -> DataFrame:
     """The inverse: one document per (city, day) holding its hours in order.
-    A day holds at most 24 hourly readings, so each collected group is small."""
-    day = F.to_date("date")
+
+    Readings are first reduced to one per (city, hour) -- the mean of repeated
+    deliveries, combined map-side -- so each collected group holds at most 24
+    entries however many copies arrive."""
+    per_hour = hourly.groupBy("city", "date").agg(*[F.avg(c).alias(c) for c in WEATHER_COLS])
     items = F.array_sort(F.collect_list(F.struct(
         F.col("date").alias("ts"), *[F.col(c) for c in WEATHER_COLS])))
-    g = hourly.groupBy("city", day.alias("_day")).agg(items.alias("_items"))
+    g = per_hour.groupBy("city", F.to_date("date").alias("_day")).agg(items.alias("_items"))
     hourly_struct = F.struct(
         F.transform("_items", lambda x: F.date_format(x["ts"], TIME_FORMAT)).alias("time"),
         *[F.transform("_items", _field(c)).alias(c) for c in
