@@ -87,3 +87,31 @@ def scenario_grid(base: DataFrame, temp_offsets, precip_offsets, wind_offsets,
         "rule_level": rules.rule_level("s_windspeed", "s_precipitation", "s_apparent"),
         "rule_reasons": rules.rule_reasons("s_windspeed", "s_precipitation", "s_apparent"),
     })
+
+
+def latest_forecast(hourly: DataFrame, issued_col: str = "issued_at") -> DataFrame:
+    """Revised forecasts: per (city, hour) keep the values of the latest issue
+    (``max_by``; a partial aggregate, no sort of the revisions)."""
+    from ..schema import WEATHER_COLS
+    return hourly.groupBy("city", "date").agg(
+        *[F.max_by(c, issued_col).alias(c) for c in WEATHER_COLS],
+        F.max(issued_col).alias(issued_col))
+
+
+def answer_requests(requests: DataFrame, historical: DataFrame,
+                    forecast_days: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+    """Batch form of the per-request lookup: every requested (city, day) is
+    answered from history when the day is recorded, else from the forecast
+    summary joined with its prediction on the same key (J3).  Requests with
+    neither are dropped, as failed lookups are."""
+    hist = historical.select("city", "day", *[c for c in historical.columns
+                                              if c not in ("city", "day")])
+    fc = forecast_days
+    if predictions is not None:
+        fc = fc.join(predictions.select("city", "day", F.col("predicted_level").alias("level"),
+                                        "confidence", "probabilities", "risk_level"),
+                     ["city", "day"], "left")
+    from_hist = requests.join(hist, ["city", "day"], "inner")
+    unrecorded = requests.join(hist.select("city", "day"), ["city", "day"], "left_anti")
+    from_fc = unrecorded.join(fc, ["city", "day"], "inner")
+    return from_hist.unionByName(from_fc, allowMissingColumns=True)

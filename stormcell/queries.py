@@ -468,23 +468,48 @@ def q_artifacts_roundtrip(spark, sf_dir):
 
 # ---- serving ----------------------------------------------------------------
 
-def q_unified_city_day(spark, sf_dir):
-    """Recorded days plus the forecast feed.  The feed is stood in for by
-    the last week of readings landed as forecast documents one week later."""
-    obs = _obs(spark, sf_dir)
+def _forecast_feed(spark, sf_dir, obs):
+    """Stand-in for the forecast feed: the last week of readings landed as
+    forecast documents one week later (once per data folder), read back."""
     _, hi = filters.data_bounds(obs)
     start = hi - dt.timedelta(days=FORECAST_DAYS - 1)
     ahead = (obs.filter(F.col("date") >= _ntz(dt.datetime.combine(start, dt.time())))
              .withColumn("date", F.col("date") + F.expr(f"INTERVAL {FORECAST_DAYS} DAYS")))
     path = land_once(spark, landed_path(spark, "forecast-feed", sf_dir),
                      lambda p: forecast.land_forecast_docs(forecast.docs_from_hourly(ahead), p))
-    fc = serving.forecast_city_days(forecast.read_forecast(spark, path))
+    return forecast.read_forecast(spark, path)
+
+
+def q_unified_city_day(spark, sf_dir):
+    """Recorded days plus the forecast feed under one schema."""
+    obs = _obs(spark, sf_dir)
+    fc = serving.forecast_city_days(_forecast_feed(spark, sf_dir, obs))
     hist = serving.historical_city_days(obs)
     u = serving.unified_city_days(hist, fc)
     return u.select("mode", "city", "day", *WEATHER_COLS, "n_hours", "level",
                     "is_prediction", "confidence")
 
 
+def q_request_answers(spark, sf_dir):
+    """E2 / J3 in batch: requested (city, day) pairs -- every recorded day and
+    the same days two weeks later -- answered from history, or from the
+    forecast summary joined with the model's prediction; unanswerable
+    requests drop out."""
+    obs = _obs(spark, sf_dir)
+    model, _ = _model(spark, sf_dir)
+    feed = _forecast_feed(spark, sf_dir, obs)
+    fc_feats = feat.training_features(
+        feed.withColumn("suspension", F.lit(None).cast("int")),
+        medians=impute.fit_medians(obs), codes=feat.city_codes(obs))
+    preds = scoring.score_city_days(model, fc_feats)
+    days = obs.select("city", F.to_date("date").alias("day")).distinct()
+    requests = days.union(days.select("city", F.date_add("day", 14).alias("day"))).distinct()
+    ans = serving.answer_requests(requests, serving.historical_city_days(obs).drop("probabilities"),
+                                  serving.forecast_city_days(feed), preds)
+    return ans.select("mode", "city", "day", *WEATHER_COLS, "level", "is_prediction",
+                      "confidence", "risk_level")
+
+
 def q_advisory_bulletin(spark, sf_dir):
     b = serving.advisory_bulletin(_obs(spark, sf_dir), dims.level_dim(spark))
     return b.select("city", "day", "level", "rule_level", "final_level", "decision_source",
@@ -588,6 +613,7 @@ QUERIES = {
     "cv_accuracy": q_cv_accuracy,
     "artifacts_roundtrip": q_artifacts_roundtrip,
     "unified_city_day": q_unified_city_day,
+    "request_answers": q_request_answers,
     "advisory_bulletin": q_advisory_bulletin,
     "scenario_grid": q_scenario_grid,
     "stream_city_day": q_stream_city_day,

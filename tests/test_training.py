@@ -57,3 +57,23 @@ def test_bulletin_written_by_day(spark, obs, tmp_path):
     plan = one_day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
     assert back.count() == b.count()
+
+
+def test_request_answers_routes_history_and_forecast(spark, obs):
+    ans = Q.q_request_answers(spark, SF001)
+    modes = {r["mode"]: r["n"] for r in ans.groupBy("mode").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_days = obs.select("city", F.to_date("date")).distinct().count()
+    assert modes["historical"] >= n_days and modes["forecast"] > 0
+    fc = ans.filter(F.col("mode") == "forecast")
+    assert fc.filter(F.col("level").isNull()).count() == 0
+
+
+def test_latest_forecast_takes_last_issue(spark):
+    import datetime as dtm
+    rows = [("A", dtm.datetime(2025, 1, 1, 0), 1.0, 2.0, 3.0, 4.0, 5.0, 1),
+            ("A", dtm.datetime(2025, 1, 1, 0), 9.0, 9.0, 9.0, 9.0, 9.0, 2)]
+    df = spark.createDataFrame(rows, "city STRING, date TIMESTAMP_NTZ, relativehumidity_2m DOUBLE, "
+                               "temperature_2m DOUBLE, precipitation DOUBLE, "
+                               "apparent_temperature DOUBLE, windspeed_10m DOUBLE, issued_at INT")
+    r = serving.latest_forecast(df).first()
+    assert r["precipitation"] == 9.0 and r["issued_at"] == 2
