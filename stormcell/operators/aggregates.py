@@ -173,32 +173,23 @@ def day_extremes(obs: DataFrame) -> DataFrame:
     )
 
 
-def _long_by_level(obs: DataFrame, variables) -> DataFrame:
-    stack = F.inline(F.array(*[F.struct(F.lit(v).alias("variable"),
-                                        F.col(v).cast("double").alias("value"))
-                               for v in variables]))
-    return (obs.select(F.col("suspension").alias("level"), stack)
-            .filter(F.col("value").isNotNull() & F.col("level").isNotNull()))
+def value_histogram(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, value) -> count of rows: a partial-aggregated shuffle, so a
+    group holding most rows contributes one row per distinct value."""
+    return (df.filter(F.col(value).isNotNull())
+            .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")))
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str,
-                    probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics
-    (the usual "linear" rule), computed from a value histogram.
-
-    ``groupBy(groups + [value]).count()`` is a partial-aggregated shuffle, so a
-    group holding most of the rows only contributes one row per distinct value;
-    the cumulative window then runs over the histogram (distinct values per
-    group), never over the raw rows.  Cost grows with the number of distinct
-    values: readings quantised to sensor resolution keep it small.
-    """
-    hist = (df.filter(F.col(value).isNotNull())
-            .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")))
+def quantiles_from_histogram(hist: DataFrame, groups: list[str], value: str,
+                             probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear interpolation between order statistics) plus
+    n, min and max per group, from a value histogram.  The cumulative window
+    runs over distinct values, never over raw rows."""
     w = Window.partitionBy(*groups).orderBy(value)
-    hist = (hist.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_n", F.sum("_c").over(Window.partitionBy(*groups))))
-    hist = hist.withColumn("_lo", F.col("_hi") - F.col("_c"))  # 0-based [lo, hi)
-    aggs = [F.max("_n").alias("n")]
+    h = (hist.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*groups))))
+    h = h.withColumn("_lo", F.col("_hi") - F.col("_c"))  # 0-based [lo, hi)
+    aggs = [F.max("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")]
     for name, p in probs.items():
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
         lo_i, hi_i = F.floor(pos), F.ceil(pos)
@@ -208,45 +199,79 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str,
                     .alias(f"_{name}_b"))
         aggs.append(F.max(pos - lo_i).alias(f"_{name}_f"))
     # the histogram is already partitioned by the groups: no new shuffle here
-    out = hist.groupBy(*groups).agg(*aggs)
+    out = h.groupBy(*groups).agg(*aggs)
     for name in probs:
         a, b, f = F.col(f"_{name}_a"), F.col(f"_{name}_b"), F.col(f"_{name}_f")
         out = out.withColumn(name, F.when(f == 0, a).otherwise(a + (b - a) * f))
     return out.drop(*[f"_{n}_{x}" for n in probs for x in "abf"])
 
 
+def exact_quantiles(df: DataFrame, groups: list[str], value: str,
+                    probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, from a value histogram.
+
+    Cost grows with the number of distinct values per group (readings
+    quantised to sensor resolution keep it small), not with the row count.
+    """
+    return quantiles_from_histogram(value_histogram(df, groups, value), groups, value, probs)
+
+
+def _long_by_level(obs: DataFrame, variables) -> DataFrame:
+    stack = F.inline(F.array(*[F.struct(F.lit(v).alias("variable"),
+                                        F.col(v).cast("double").alias("value"))
+                               for v in variables]))
+    return (obs.select(F.col("suspension").alias("level"), stack)
+            .filter(F.col("value").isNotNull() & F.col("level").isNotNull()))
+
+
+def _with_fences(stats: DataFrame) -> DataFrame:
+    return (stats.withColumn("iqr", F.col("q3") - F.col("q1"))
+            .withColumn("fence_low", F.col("q1") - 1.5 * F.col("iqr"))
+            .withColumn("fence_high", F.col("q3") + 1.5 * F.col("iqr")))
+
+
+def _tail_aggs(weight):
+    outside = (F.col("value") < F.col("fence_low")) | (F.col("value") > F.col("fence_high"))
+    return [F.sum(F.when(outside, weight).otherwise(0)).cast("long").alias("n_outliers"),
+            F.min(F.when(F.col("value") >= F.col("fence_low"), F.col("value"))).alias("whisker_low"),
+            F.max(F.when(F.col("value") <= F.col("fence_high"), F.col("value"))).alias("whisker_high")]
+
+
+BOX_COLS = ["level", "variable", "n", "min", "q1", "median", "q3", "max", "iqr",
+            "fence_low", "fence_high", "n_outliers", "whisker_low", "whisker_high"]
+
+
 def box_stats(obs: DataFrame, variables=BOX_VARS, approx_accuracy: int | None = None) -> DataFrame:
     """Five-number summary per (level, variable) with 1.5*IQR fences, whiskers
-    and the outlier count.  Quartiles use linear interpolation (exact, from a
-    value histogram); pass ``approx_accuracy`` to use the bounded-memory sketch."""
+    and the outlier count.
+
+    Exact path: one pass over the rows builds the value histogram; quartiles
+    (linear interpolation), extremes, fences, whiskers and outliers all come
+    from it.  ``approx_accuracy`` uses the bounded-memory quantile sketch and a
+    second pass over the rows for the tails, for unbounded value cardinality.
+    """
+    keys = ["level", "variable"]
     long = _long_by_level(obs, variables)
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     if approx_accuracy:
-        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        q = (long.groupBy("level", "variable")
-             .agg(F.percentile_approx("value", probs, approx_accuracy).alias("_q"),
-                  F.count(F.lit(1)).alias("n"))
-             .select("level", "variable", "n", F.col("_q")[0].alias("q1"),
-                     F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
+        arr = F.array(*[F.lit(p) for p in probs.values()])
+        stats = (long.groupBy(*keys)
+                 .agg(F.percentile_approx("value", arr, approx_accuracy).alias("_q"),
+                      F.count(F.lit(1)).alias("n"), F.min("value").alias("min"),
+                      F.max("value").alias("max"))
+                 .select(*keys, "n", "min", "max", *[F.col("_q")[i].alias(k)
+                                                     for i, k in enumerate(probs)]))
+        base, weight = long, F.lit(1)
     else:
-        q = exact_quantiles(long, ["level", "variable"], "value",
-                            {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    ext = long.groupBy("level", "variable").agg(F.min("value").alias("min"),
-                                                 F.max("value").alias("max"))
-    stats = (q.join(ext, ["level", "variable"])
-             .select("level", "variable", "n", "min", "q1", "median", "q3", "max")
-             .withColumn("iqr", F.col("q3") - F.col("q1"))
-             .withColumn("fence_low", F.col("q1") - 1.5 * F.col("iqr"))
-             .withColumn("fence_high", F.col("q3") + 1.5 * F.col("iqr")))
+        # used twice below; the identical exchange is reused within the query
+        hist = value_histogram(long, keys, "value")
+        stats = quantiles_from_histogram(hist, keys, "value", probs)
+        base, weight = hist, F.col("_c")
+    stats = _with_fences(stats)
     # one row per (level, variable): materialised once, broadcast after the size check
-    fences = broadcast_checked(stats.select("level", "variable", "fence_low", "fence_high"),
-                               materialize=True)
-    tails = (long.join(fences, ["level", "variable"])
-             .groupBy("level", "variable").agg(
-                 F.sum(((F.col("value") < F.col("fence_low")) |
-                        (F.col("value") > F.col("fence_high"))).cast("long")).alias("n_outliers"),
-                 F.min(F.when(F.col("value") >= F.col("fence_low"), F.col("value"))).alias("whisker_low"),
-                 F.max(F.when(F.col("value") <= F.col("fence_high"), F.col("value"))).alias("whisker_high")))
-    return stats.join(tails, ["level", "variable"])
+    fences = broadcast_checked(stats.select(*keys, "fence_low", "fence_high"), materialize=True)
+    tails = base.join(fences, keys).groupBy(*keys).agg(*_tail_aggs(weight))
+    return stats.join(tails, keys).select(*BOX_COLS)
 
 
 def class_distribution(df: DataFrame, label: str = "suspension") -> DataFrame:
