@@ -105,33 +105,59 @@ def plan_from_sizes(sizes: DataFrame, label: str, ratio: float = 0.8) -> DataFra
             .select(label, "n", "target", "extra"))
 
 
+def _draw_copies(small: DataFrame, label: str, seed: int, chunk: int) -> DataFrame:
+    """``extra`` draws per class of a class rank in 1..n, uniform with
+    replacement.  Draws are generated in chunks of ``chunk`` so no single task
+    creates all copies of a large class; each draw is a seeded hash of
+    (class, copy index), so a re-run task draws the same ranks."""
+    chunks = (small.select(label, "n", "extra", F.explode(F.sequence(
+        F.lit(0), F.ceil(F.col("extra") / F.lit(chunk)).cast("int") - 1)).alias("_chunk"))
+        .repartition(label, "_chunk"))
+    draws = chunks.select(label, "n", F.explode(F.sequence(
+        F.col("_chunk") * chunk + 1,
+        F.least((F.col("_chunk") + 1) * chunk, F.col("extra")).cast("int"))).alias("_copy"))
+    rank = F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col("_copy")), F.col("n")) + 1
+    return draws.select(label, F.col("_copy"), rank.alias("_rank"))
+
+
 def oversample(df: DataFrame, label: str, key: Column | str, ratio: float = 0.8,
-               noise_cols=(), noise_sd: float | dict = 0.02) -> DataFrame:
+               noise_cols=(), noise_sd: float | dict = 0.02, mode: str = "even",
+               seed: int = 42, chunk: int = 1_000_000) -> DataFrame:
     """Grow every class smaller than floor(ratio * largest class) to exactly that
-    size.  The copies are spread evenly: the row of class rank r gets
-    floor(extra / n) + (r <= extra mod n) copies; larger classes are untouched.
+    size; larger classes are untouched.
+
+    ``mode="even"`` spreads the copies evenly: the row of class rank r gets
+    floor(extra / n) + (r <= extra mod n) copies.  ``mode="random"`` draws the
+    copied rows uniformly with replacement (seeded, see ``_draw_copies``).
     Copies carry ``is_synthetic = true`` and Gaussian noise on ``noise_cols``
     (``noise_sd`` is one deviation for all, or a dict per column).
     """
     plan = oversample_plan(df, label, ratio)
     small = plan.filter(F.col("extra") > 0).select(label, "n", "extra")
     base = df.withColumn("is_synthetic", F.lit(False))
-    # only minority rows are ranked; the (large) majority classes pass through
     # one row per class: checked (labels are not assumed to be few) and
     # materialised once, it feeds both the semi-join and the join below
     small = broadcast_checked(small, materialize=True)
+    # only minority rows are ranked; the (large) majority classes pass through
     minority = df.join(small.select(label), label, "left_semi")
-    ranked = hash_rank(minority, label, key, "_rank").join(small, label)
-    copies_n = (F.floor(F.col("extra") / F.col("n"))
-                + (F.col("_rank") <= F.col("extra") % F.col("n")).cast("long")).cast("int")
+    ranked = hash_rank(minority, label, key, "_rank")
     k = F.col(key) if isinstance(key, str) else key
-    copies = (ranked.withColumn("_copies", copies_n)
-              .filter(F.col("_copies") > 0)
-              .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
+    if mode == "even":
+        ranked = ranked.join(small, label)
+        copies_n = (F.floor(F.col("extra") / F.col("n"))
+                    + (F.col("_rank") <= F.col("extra") % F.col("n")).cast("long")).cast("int")
+        copies = (ranked.withColumn("_copies", copies_n)
+                  .filter(F.col("_copies") > 0)
+                  .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+                  .drop("n", "extra", "_copies"))
+    elif mode == "random":
+        copies = ranked.join(_draw_copies(small, label, seed, chunk), [label, "_rank"])
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
     sd = noise_sd if isinstance(noise_sd, dict) else {c: noise_sd for c in noise_cols}
     noisy = {c: F.col(c) + F.lit(float(sd[c])) * hash_normal(k, F.col("_copy"), F.lit(c))
              for c in noise_cols}
     synth = (copies.withColumns(noisy)
-             .drop("_rank", "n", "extra", "_copies", "_copy")
+             .drop("_rank", "_copy")
              .withColumn("is_synthetic", F.lit(True)))
     return base.unionByName(synth.select(*base.columns))

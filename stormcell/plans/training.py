@@ -36,13 +36,14 @@ class TrainConfig:
     noise_sd: float = 0.02          # in standard deviations of each scaled column
     use_class_weights: bool = False
     use_oversampling: bool = True
+    oversample_mode: str = "even"   # or "random": draws with replacement
     num_trees: int = 30
     max_depth: int = 10
     seed: int = 42
 
     @classmethod
     def parity(cls) -> "TrainConfig":
-        return cls(use_class_weights=True, use_oversampling=True)
+        return cls(use_class_weights=True, use_oversampling=True, oversample_mode="random")
 
 
 def row_key_col() -> F.Column:
@@ -73,7 +74,8 @@ def training_rows(train: DataFrame, params, cfg: TrainConfig) -> DataFrame:
         # noise of noise_sd scaled units = noise_sd * std in raw units
         sd = {c: cfg.noise_sd * params[c][1] for c in SCALED_COLS}
         rows = sampling.oversample(rows, "suspension", row_key_col(), cfg.oversample_ratio,
-                                   noise_cols=SCALED_COLS, noise_sd=sd)
+                                   noise_cols=SCALED_COLS, noise_sd=sd,
+                                   mode=cfg.oversample_mode, seed=cfg.seed)
     return rows
 
 

@@ -60,8 +60,9 @@ def test_split_is_exact_disjoint_and_complete(spark, labels):
 @given(st.lists(st.integers(min_value=0, max_value=3), min_size=5, max_size=150))
 def test_oversample_counts_exact(spark, labels):
     df = _rows(spark, labels).withColumn("x", F.lit(1.0))
+    mode = "random" if len(labels) % 2 else "even"
     out = sampling.oversample(df, "label", F.col("id").cast("string"), 0.8,
-                              noise_cols=["x"], noise_sd=0.02)
+                              noise_cols=["x"], noise_sd=0.02, mode=mode, chunk=7)
     counts = {r["label"]: (r["n"], r["s"]) for r in out.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("is_synthetic").cast("int")).alias("s")).collect()}
     target = int(max(labels.count(v) for v in set(labels)) * 0.8)
@@ -93,3 +94,17 @@ def test_class_weights(spark):
     df = _rows(spark, [0] * 6 + [1] * 2)
     w = {r["label"]: r["weight"] for r in sampling.class_weights(df, "label").collect()}
     assert w[0] == 8 / (2 * 6) and w[1] == 8 / (2 * 2)
+
+
+def test_random_oversample_draws_with_replacement(spark):
+    df = _rows(spark, [0] * 100 + [1] * 10).withColumn("x", F.lit(1.0))
+    out = sampling.oversample(df, "label", F.col("id").cast("string"), 0.8, mode="random",
+                              seed=7, chunk=13)
+    synth = out.filter(F.col("is_synthetic") & (F.col("label") == 1))
+    assert synth.count() == 70
+    per_row = [r["n"] for r in synth.groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(per_row) <= 10 and max(per_row) > min(per_row) or len(per_row) < 10
+    again = sampling.oversample(df.repartition(3), "label", F.col("id").cast("string"), 0.8,
+                                mode="random", seed=7, chunk=5)
+    assert sorted(synth.select("id").collect()) == sorted(
+        again.filter(F.col("is_synthetic") & (F.col("label") == 1)).select("id").collect())
