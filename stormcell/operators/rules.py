@@ -17,23 +17,26 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def wind_band(wind, field: int) -> Column:
-    """Value of ``field`` of the first band with min <= wind <= max (inclusive)."""
+def wind_band(wind, field: int, open_top: bool = False) -> Column:
+    """Value of ``field`` of the first band with min <= wind <= max (inclusive).
+    Winds above the last band match nothing (as published); ``open_top``
+    lets the last band run on without an upper end."""
     w = _c(wind)
     expr = None
-    for band in CRITERIA_WIND:
-        cond = (w >= band[1]) & (w <= band[2])
+    last = len(CRITERIA_WIND) - 1
+    for i, band in enumerate(CRITERIA_WIND):
+        cond = (w >= band[1]) if (open_top and i == last) else (w >= band[1]) & (w <= band[2])
         val = F.lit(band[field])
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     return expr
 
 
-def wind_signal(wind="windspeed_10m") -> Column:
-    return wind_band(wind, 0)
+def wind_signal(wind="windspeed_10m", open_top: bool = False) -> Column:
+    return wind_band(wind, 0, open_top)
 
 
-def wind_level(wind="windspeed_10m") -> Column:
-    return F.coalesce(wind_band(wind, 3), F.lit(0))
+def wind_level(wind="windspeed_10m", open_top: bool = False) -> Column:
+    return F.coalesce(wind_band(wind, 3, open_top), F.lit(0))
 
 
 def wind_reason(wind="windspeed_10m") -> Column:

@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lookups import broadcast_checked
 
@@ -61,6 +62,31 @@ def stratified_split(df: DataFrame, label: str, key: Column | str,
             .drop("_rank", "_n_test", "_n_class"))
 
 
+def time_split(df: DataFrame, date_col: str = "date", test_fraction: float = 0.2) -> DataFrame:
+    """Adds ``is_test`` for the latest rows in time: test starts at the first
+    timestamp whose cumulative row count exceeds the train share (whole
+    timestamps, so every series is cut at the same instant; no neighbour of a
+    test hour leaks into training as in a random split).
+
+    The cumulative count runs over the distinct timestamps (a histogram made
+    with a partial aggregate), not over the rows."""
+    hist = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_c"))
+    # one row per distinct timestamp (hours over the data's span): small
+    w_all = Window.partitionBy()
+    cum = hist.select(date_col,
+                      F.sum("_c").over(Window.orderBy(date_col).rowsBetween(
+                          Window.unboundedPreceding, 0)).alias("_cum"),
+                      F.sum("_c").over(w_all).alias("_n"))
+    n_train = F.col("_n") - F.floor(F.col("_n") * F.lit(float(test_fraction)) + F.lit(0.5))
+    # the cut-off is a fitted scalar (one aggregate job)
+    cutoff = cum.filter(F.col("_cum") > n_train).agg(F.min(date_col)).first()[0]
+    if cutoff is None:
+        return df.withColumn("is_test", F.lit(False))
+    lit = (F.to_timestamp_ntz(F.lit(cutoff.isoformat(sep=" ")))
+           if isinstance(df.schema[date_col].dataType, T.TimestampNTZType) else F.lit(cutoff))
+    return df.withColumn("is_test", F.coalesce(F.col(date_col) >= lit, F.lit(False)))
+
+
 def cv_folds(df: DataFrame, label: str, key: Column | str, k: int = 5) -> DataFrame:
     """Adds ``fold`` in 0..k-1, stratified: (class rank - 1) mod k."""
     ranked = hash_rank(df, label, key, "_rank")

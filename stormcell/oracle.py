@@ -430,6 +430,11 @@ FROM (SELECT DISTINCT city FROM obs WHERE city IS NOT NULL)"""
     text, n = alerts_sql()
     o["weather_alerts"] = with_(EXTREMES) + f"SELECT city, day, {n} AS n_alerts, {text} AS alerts FROM ext"
     o["stratified_split"] = with_(SPLIT) + "SELECT city, date, suspension, is_test FROM split"
+    o["time_split"] = with_("""h AS (SELECT date, count(*) AS c FROM obs GROUP BY date),
+cum AS (SELECT date, sum(c) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum,
+               sum(c) OVER () AS n FROM h),
+cut AS (SELECT min(date) AS cutoff FROM cum WHERE cum > n - (2 * n + 5) // 10)""") + """SELECT city, date,
+  suspension, coalesce(date >= cut.cutoff, false) AS is_test FROM obs, cut"""
     o["class_weights"] = with_(SPLIT) + """SELECT suspension, n,
   CAST(sum(n) OVER () AS DOUBLE) / CAST(count(*) OVER () * n AS DOUBLE) AS weight
 FROM (SELECT suspension, count(*) AS n FROM train GROUP BY suspension)"""

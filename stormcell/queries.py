@@ -376,6 +376,12 @@ def q_stratified_split(spark, sf_dir):
     return _split(spark, sf_dir).select("city", "date", "suspension", "is_test")
 
 
+def q_time_split(spark, sf_dir):
+    """Q7: the leak-free alternative -- the latest ~20 % of rows by time are test."""
+    return sampling.time_split(_obs(spark, sf_dir), "date", 0.2).select(
+        "city", "date", "suspension", "is_test")
+
+
 def q_standardize(spark, sf_dir):
     train = (impute.impute_obs(_obs(spark, sf_dir))
              .withColumn("apparent_temp_delta", bins.apparent_temp_delta()))
@@ -601,6 +607,7 @@ QUERIES = {
     "prob_pad": q_prob_pad,
     "weather_alerts": q_weather_alerts,
     "stratified_split": q_stratified_split,
+    "time_split": q_time_split,
     "standardize": q_standardize,
     "class_weights": q_class_weights,
     "oversample_counts": q_oversample_counts,

@@ -57,3 +57,9 @@ def test_rules_compile_to_expressions(spark):
                                 F.lit(30.0).alias("apparent_temperature"))
     plan = rules.apply_rules(df)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_open_top_band_flag(spark):
+    df = spark.createDataFrame([(301.0,), (300.0,)], "w DOUBLE")
+    got = df.select(rules.wind_level("w").alias("p"), rules.wind_level("w", open_top=True).alias("o")).collect()
+    assert (got[0]["p"], got[0]["o"]) == (0, 4) and (got[1]["p"], got[1]["o"]) == (4, 4)
