@@ -44,9 +44,18 @@ def main() -> None:
     spark = get_session(f"local[{cpus}]", app="stormcell-bench",
                         shuffle_partitions=int(cpus) * 2,
                         extra={"spark.driver.memory": "16g"})
-    # warm-up: JVM, parquet footers
-    QUERIES["city_day_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    from pyspark.sql import functions as F
+
+    from stormcell.sources.fixture import load_obs
+    # JVM / code-generation warm-up on generated numbers (not on the data)
+    (spark.range(200_000).groupBy((F.col("id") % 97).alias("k"))
+     .agg(F.avg("id")).write.format("noop").mode("overwrite").save())
     times = {}
+    # one-time ingest: derive the hourly table from the raw tables and land it
+    # as parquet; every query below reads the landed table
+    t0 = time.perf_counter()
+    load_obs(spark, sf_dir)
+    times["ingest_obs"] = round(time.perf_counter() - t0, 3)
     for name in HEADLINE:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

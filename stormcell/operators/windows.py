@@ -128,13 +128,18 @@ def series_features(df: DataFrame, key: str = "city", order: str = "date",
     """
     from .lookups import broadcast_checked
 
+    hot = None
+    if layout == "auto":
+        hot = hot_series(df, key, max_series_rows).checkpoint(eager=True)
+        if hot.limit(1).count() == 0:
+            layout = "plain"  # no series needs splitting: one exchange, no halo
     if layout == "plain":
         w = Window.partitionBy(key).orderBy(order)
         out = df.withColumns(rolling_lag_columns(w, windows, lags, temp_fill))
         return out.withColumns(peak_columns())
     halo = max(max(windows) - 1, max(lags))
     if layout == "auto":
-        hot = broadcast_checked(hot_series(df, key, max_series_rows), materialize=True)
+        hot = broadcast_checked(hot)
         tagged = (df.join(hot, key, "left")
                   .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False))))
         laid = halo_layout(tagged, [key], order, halo, block_unit, hot_col="_hot").drop("_hot")

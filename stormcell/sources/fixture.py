@@ -82,11 +82,24 @@ def weather_obs_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
     )
 
 
-def load_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly table computed from ``events`` and ``nation``."""
     return weather_obs_from_events(read_table(spark, sf_dir, "events"),
                                    read_table(spark, sf_dir, "nation"))
 
 
+def load_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly table as every query reads it: derived once per data folder,
+    landed as parquet (year/month partitions, rows sorted by city and time so
+    row-group statistics skip on date filters) in the shared folder, and read
+    back with its schema -- the ingest-once, query-many shape."""
+    from ..session import land_once, landed_path
+    from .csv_source import land_obs_parquet, read_obs_parquet
+    path = land_once(spark, landed_path(spark, "weather-obs", sf_dir),
+                     lambda p: land_obs_parquet(derive_obs(spark, sf_dir), p))
+    return read_obs_parquet(spark, path)
+
+
 def city_dim_from_nation(nation: DataFrame) -> DataFrame:
     """Stand-in coordinates for the fixture's sites (integer functions of the key)."""
     k = F.col("n_nationkey")
