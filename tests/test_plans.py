@@ -57,3 +57,15 @@ def test_scaler_population_std(spark):
 def test_zero_spread_scales_by_one(spark):
     df = spark.createDataFrame([(5.0,), (5.0,)], "x DOUBLE")
     assert scaling.fit_scaler(df, ["x"])["x"] == (5.0, 1.0)
+
+
+def test_registered_slice_reaches_the_scan(spark):
+    """P1 on the ingested table: both the time range and the city are parquet
+    pushed filters (row groups skip)."""
+    from stormcell.queries import q_city_day_slice
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = q_city_day_slice(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):].split("]")[0]
+    assert "GreaterThanOrEqual(date" in pushed and "LessThan(date" in pushed
+    assert "EqualTo(city,NATION_3)" in pushed
+    assert "ReadSchema" in plan
