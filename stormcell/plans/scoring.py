@@ -20,7 +20,7 @@ from ..functions import labels
 from ..session import checkpoint_root
 from . import training
 
-_MODELS: dict[str, PipelineModel] = {}
+_FITTED: dict[str, tuple[PipelineModel, DataFrame]] = {}
 
 
 def model_path(spark: SparkSession, tag: str) -> str:
@@ -28,21 +28,25 @@ def model_path(spark: SparkSession, tag: str) -> str:
                         hashlib.md5(tag.encode()).hexdigest()[:16])
 
 
-def fitted_model(spark: SparkSession, features: DataFrame, tag: str,
+def fitted_model(spark: SparkSession, build_features, tag: str,
                  cfg: training.TrainConfig = training.TrainConfig()) -> tuple[PipelineModel, DataFrame]:
-    """Split, fit on train, save under the shared folder; reuse when present.
-    Returns the model and the split feature table."""
-    # split once and keep it: model fit, evaluation and scoring all read it
-    split = training.split(features, cfg).checkpoint(eager=True)
+    """Model and split feature table for ``tag``, built once per session.
+
+    ``build_features()`` is only called when nothing is cached.  The split is
+    checkpointed into the shared folder (model fit, evaluation and scoring all
+    read it) and the model is saved there, so a later call -- or a retry after
+    a lost executor -- reads both instead of recomputing them."""
+    key = f"{spark.sparkContext.applicationId}:{tag}"
+    if key in _FITTED:
+        return _FITTED[key]
+    split = training.split(build_features(), cfg).checkpoint(eager=True)
     path = model_path(spark, tag)
-    if tag in _MODELS:
-        return _MODELS[tag], split
     try:
         model = PipelineModel.load(path)
     except Exception:  # noqa: BLE001 - not saved yet
         model = training.fit(split.filter(~F.col("is_test")), cfg)
         model.write().overwrite().save(path)
-    _MODELS[tag] = model
+    _FITTED[key] = (model, split)
     return model, split
 
 

@@ -420,9 +420,8 @@ def q_cv_folds(spark, sf_dir):
 # ---- model ------------------------------------------------------------------
 
 def _model(spark, sf_dir):
-    feats = feat.training_features(_obs(spark, sf_dir))
-    model, split = scoring.fitted_model(spark, feats, f"rf:{os.path.abspath(sf_dir)}")
-    return model, split
+    return scoring.fitted_model(spark, lambda: feat.training_features(_obs(spark, sf_dir)),
+                                f"rf:{os.path.abspath(sf_dir)}")
 
 
 def q_train_eval(spark, sf_dir):
