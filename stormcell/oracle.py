@@ -443,6 +443,18 @@ FROM (SELECT suspension, count(*) AS n FROM train GROUP BY suspension)"""
   CAST(CASE WHEN n < t THEN t - n ELSE 0 END AS BIGINT) AS n_synthetic
 FROM (SELECT suspension, n, CAST(floor(CAST(max(n) OVER () AS DOUBLE) * 0.8) AS BIGINT) AS t
       FROM (SELECT suspension, count(*) AS n FROM train GROUP BY suspension))"""
+    o["oversample_copies"] = with_(SPLIT, f"""r AS (
+  SELECT city, date, suspension,
+         row_number() OVER (PARTITION BY suspension ORDER BY {KEY}, {KEY_TXT}) AS rk,
+         count(*) OVER (PARTITION BY suspension) AS n
+  FROM train
+),
+t AS (SELECT CAST(floor(CAST(max(n) AS DOUBLE) * 0.8) AS BIGINT) AS target FROM r)""") + """SELECT city, date,
+  suspension,
+  CAST(CASE WHEN n < target
+            THEN (target - n) // n + CASE WHEN rk <= (target - n) % n THEN 1 ELSE 0 END
+            ELSE 0 END AS BIGINT) AS n_copies
+FROM r, t"""
     o["cv_folds"] = with_(SPLIT) + f"""SELECT city, date, suspension,
   CAST((row_number() OVER (PARTITION BY suspension ORDER BY {KEY}, {KEY_TXT}) - 1) % 5 AS INTEGER) AS fold
 FROM train"""

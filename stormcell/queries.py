@@ -405,6 +405,14 @@ def q_oversample_counts(spark, sf_dir):
         F.sum(F.col("is_synthetic").cast("long")).alias("n_synthetic"))
 
 
+def q_oversample_copies(spark, sf_dir):
+    """M4 per row: how many synthetic copies each training row received."""
+    train = _split(spark, sf_dir).filter(~F.col("is_test"))
+    over = sampling.oversample(train, "suspension", training.row_key_col(), 0.8)
+    return over.groupBy("city", "date", "suspension").agg(
+        F.sum(F.col("is_synthetic").cast("int")).alias("n_copies"))
+
+
 def q_oversample_noise(spark, sf_dir):
     train = _split(spark, sf_dir).filter(~F.col("is_test"))
     return sampling.oversample(train, "suspension", training.row_key_col(), 0.8,
@@ -610,6 +618,7 @@ QUERIES = {
     "standardize": q_standardize,
     "class_weights": q_class_weights,
     "oversample_counts": q_oversample_counts,
+    "oversample_copies": q_oversample_copies,
     "oversample_noise": q_oversample_noise,
     "cv_folds": q_cv_folds,
     "train_eval": q_train_eval,
