@@ -48,7 +48,8 @@ def _imputed(spark, sf_dir) -> DataFrame:
 
 
 def _filtered(spark, sf_dir) -> DataFrame:
-    return filters.range_city_filter(_obs(spark, sf_dir), RANGE_START, RANGE_END, RANGE_CITIES)
+    obs = load_obs(spark, sf_dir, RANGE_START, RANGE_END)  # month folders pruned
+    return filters.range_city_filter(obs, RANGE_START, RANGE_END, RANGE_CITIES)
 
 
 def _ntz(value) -> F.Column:
@@ -86,7 +87,8 @@ def q_dataset_profile(spark, sf_dir):
 # ---- filters / imputation -------------------------------------------------
 
 def q_city_day_slice(spark, sf_dir):
-    return filters.city_day_slice(_obs(spark, sf_dir), SLICE_DAY, SLICE_CITY)
+    obs = load_obs(spark, sf_dir, SLICE_DAY, SLICE_DAY)  # one month folder
+    return filters.city_day_slice(obs, SLICE_DAY, SLICE_CITY)
 
 
 def q_range_city_filter(spark, sf_dir):

@@ -35,5 +35,26 @@ def land_obs_parquet(obs: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("year", "month").parquet(path))
 
 
-def read_obs_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*[f.name for f in OBS_SCHEMA.fields])
+def read_obs_parquet(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
+    """The landed table; with a day range, only the year/month folders that
+    overlap it are listed and opened (partition pruning) -- the exact date
+    predicate is still applied by the caller."""
+    df = spark.read.parquet(path)
+    if start is not None or end is not None:
+        ym = F.col("year") * 100 + F.col("month")
+        if start is not None:
+            s = _as_date(start)
+            df = df.filter(ym >= s.year * 100 + s.month)
+        if end is not None:
+            e = _as_date(end)
+            df = df.filter(ym <= e.year * 100 + e.month)
+    return df.select(*[f.name for f in OBS_SCHEMA.fields])
+
+
+def _as_date(value):
+    import datetime as dt
+    if isinstance(value, dt.datetime):
+        return value.date()
+    if isinstance(value, dt.date):
+        return value
+    return dt.date.fromisoformat(str(value)[:10])
