@@ -30,8 +30,11 @@ def row_key(*cols) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def hash_rank(df: DataFrame, group: str, key: Column | str, rank_col: str = "rank") -> DataFrame:
-    """1-based rank of each row within ``group`` ordered by (md5(key), key)."""
+def hash_rank(df: DataFrame, group: str, key: Column | str, rank_col: str = "rank",
+              size_col: str | None = None) -> DataFrame:
+    """1-based rank of each row within ``group`` ordered by (md5(key), key).
+    With ``size_col`` the group's row count is attached too (taken from the
+    same bucket counts, no extra pass)."""
     k = F.col(key) if isinstance(key, str) else key
     with_h = (df.withColumn("_key", k)
               .withColumn("_h", F.md5(F.col("_key")))
@@ -39,11 +42,14 @@ def hash_rank(df: DataFrame, group: str, key: Column | str, rank_col: str = "ran
     counts = with_h.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wo = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "_b",
-                            F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
+                            F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"),
+                            F.sum("_cnt").over(Window.partitionBy(group)).alias("_gsize"))
     wr = Window.partitionBy(group, "_b").orderBy("_h", "_key")
-    return (with_h.join(broadcast_checked(offsets, materialize=True), [group, "_b"])
-            .withColumn(rank_col, F.col("_off") + F.row_number().over(wr))
-            .drop("_h", "_b", "_off", "_key"))
+    out = (with_h.join(broadcast_checked(offsets, materialize=True), [group, "_b"])
+           .withColumn(rank_col, F.col("_off") + F.row_number().over(wr)))
+    if size_col:
+        out = out.withColumnRenamed("_gsize", size_col)
+    return out.drop("_h", "_b", "_off", "_key", "_gsize")
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -54,12 +60,10 @@ def stratified_split(df: DataFrame, label: str, key: Column | str,
                      test_fraction: float = 0.2) -> DataFrame:
     """Adds ``is_test``: in every class exactly round-half-up(fraction * n) rows,
     the first ones in md5 order."""
-    sizes = class_sizes(df, label).withColumn(
-        "_n_test", F.floor(F.col("_n_class") * F.lit(float(test_fraction)) + F.lit(0.5)))
-    ranked = hash_rank(df, label, key, "_rank")
-    return (ranked.join(broadcast_checked(sizes, materialize=True), label)
-            .withColumn("is_test", F.col("_rank") <= F.col("_n_test"))
-            .drop("_rank", "_n_test", "_n_class"))
+    ranked = hash_rank(df, label, key, "_rank", size_col="_n_class")
+    n_test = F.floor(F.col("_n_class") * F.lit(float(test_fraction)) + F.lit(0.5))
+    return (ranked.withColumn("is_test", F.col("_rank") <= n_test)
+            .drop("_rank", "_n_class"))
 
 
 def time_split(df: DataFrame, date_col: str = "date", test_fraction: float = 0.2) -> DataFrame:

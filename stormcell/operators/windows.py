@@ -157,7 +157,8 @@ def _safe_div(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den)
 
 
-def serving_day_features(obs: DataFrame, windows=ROLL_WINDOWS, lags=LAGS) -> DataFrame:
+def serving_day_features(obs: DataFrame, windows=ROLL_WINDOWS, lags=LAGS,
+                         with_summary: bool = False) -> DataFrame:
     """Per (city, day), the scoring-time stand-ins for the series features:
 
     * ``*_roll_{w}h``: mean of the first min(n, w) rows of the day,
@@ -170,13 +171,16 @@ def serving_day_features(obs: DataFrame, windows=ROLL_WINDOWS, lags=LAGS) -> Dat
     window then runs over at most one row per distinct timestamp.  With
     unique timestamps this equals ranking the raw rows; tied duplicates at a
     cut are counted pro rata (their mean), and a tied k-th row takes the
-    largest of the tied values.
+    largest of the tied values.  ``with_summary`` also returns the day's
+    means (rain: total) from the same pass.
     """
     per_ts = obs.groupBy("city", F.to_date("date").alias("day"), "date").agg(
         F.count(F.lit(1)).alias("_c"),
         F.sum("precipitation").alias("_sp"), F.count("precipitation").alias("_np"),
         F.sum("windspeed_10m").alias("_sw"), F.count("windspeed_10m").alias("_nw"),
         F.sum("temperature_2m").alias("_st"), F.count("temperature_2m").alias("_nt"),
+        F.sum("relativehumidity_2m").alias("_sh"), F.count("relativehumidity_2m").alias("_nh"),
+        F.sum("apparent_temperature").alias("_sa"), F.count("apparent_temperature").alias("_na"),
         F.max("precipitation").alias("_mp"), F.max("temperature_2m").alias("_mt"))
     w = Window.partitionBy("city", "day").orderBy("date")
     per_ts = (per_ts
@@ -185,6 +189,12 @@ def serving_day_features(obs: DataFrame, windows=ROLL_WINDOWS, lags=LAGS) -> Dat
               .withColumn("_lo", F.col("_hi") - F.col("_c")))
     aggs = [F.min("date").alias("first_ts"), F.max(_N).alias("n_hours"),
             _safe_div(F.sum("_st"), F.sum("_nt")).alias("_temp_mean")]
+    if with_summary:
+        aggs += [_safe_div(F.sum("_st"), F.sum("_nt")).alias("temperature_2m"),
+                 _safe_div(F.sum("_sh"), F.sum("_nh")).alias("relativehumidity_2m"),
+                 F.coalesce(F.sum("_sp"), F.lit(0.0)).alias("precipitation"),
+                 _safe_div(F.sum("_sa"), F.sum("_na")).alias("apparent_temperature"),
+                 _safe_div(F.sum("_sw"), F.sum("_nw")).alias("windspeed_10m")]
     for n in windows:
         frac = (F.greatest(F.lit(0), F.least(F.col("_c"), F.lit(n) - F.col("_lo")))
                 .cast("double") / F.col("_c").cast("double"))

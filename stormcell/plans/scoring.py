@@ -75,15 +75,13 @@ def serving_feature_rows(obs: DataFrame, codes: DataFrame, medians: dict) -> Dat
     """
     from ..functions import bins
     from ..functions import calendar as cal
-    from ..operators import aggregates as agg
     from ..operators import windows
     from ..operators.impute import impute
     from ..schema import FEATURES
     from .features import encode_city
 
-    days = agg.city_day_summary(obs).drop("n_hours")
-    serve = windows.serving_day_features(obs)
-    rows = days.join(serve, ["city", "day"])
+    # day means and head/tail features from one pass over the rows
+    rows = windows.serving_day_features(obs, with_summary=True)
     rows = impute(rows, medians).withColumns(cal.temporal_columns("first_ts"))
     rows = rows.withColumns(windows.peak_columns()).withColumns({
         "apparent_temp_delta": bins.apparent_temp_delta(),

@@ -91,3 +91,13 @@ def test_plain_layout_single_exchange(spark):
     obs = obs_frame(spark, [("A", "2024-01-01 00", 1.0, 1.0, 1.0, 1.0, 1.0, 0)])
     plan = windows.series_features(obs, layout="plain")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1
+
+
+def test_serving_summary_equals_city_day_summary(spark):
+    from stormcell.operators import aggregates as agg
+    obs = load_obs(spark, SF01)
+    cols = ["city", "day", "temperature_2m", "relativehumidity_2m", "precipitation",
+            "apparent_temperature", "windspeed_10m", "n_hours"]
+    a = windows.serving_day_features(obs, with_summary=True).select(*cols)
+    b = agg.city_day_summary(obs).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
