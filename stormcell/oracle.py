@@ -389,6 +389,7 @@ FROM conf"""
     series = with_(IMPUTED, _series_sql())
     o["rolling_means"] = series + "SELECT city, date, " + ", ".join(
         f"{v}_roll_{n}h" for v in ("precip", "wind") for n in (3, 6, 12)) + " FROM series"
+    o["rolling_means_halo"] = o["rolling_means"]
     o["lag_features"] = series + "SELECT city, date, " + ", ".join(
         f"{v}_lag_{k}h" for v in ("precip", "temp") for k in (1, 2, 3)) + " FROM series"
     o["peak_flags"] = series + """SELECT city, date,

@@ -283,11 +283,11 @@ def q_confusion_rates(spark, sf_dir):
 
 # ---- windows --------------------------------------------------------------
 
-def _series(spark, sf_dir):
+def _series(spark, sf_dir, **layout):
     obs = _obs(spark, sf_dir)
     med = impute.fit_medians(obs)
     filled = impute.impute(obs, med)
-    return windows.series_features(filled, temp_fill=F.lit(med["temperature_2m"]))
+    return windows.series_features(filled, temp_fill=F.lit(med["temperature_2m"]), **layout)
 
 
 def q_rolling_means(spark, sf_dir):
@@ -296,6 +296,14 @@ def q_rolling_means(spark, sf_dir):
                                       for n in (3, 6, 12)])
 
 
+def q_rolling_means_halo(spark, sf_dir):
+    """W1 with every series split into daily blocks plus an 11-row halo -- the
+    layout used for hot series -- checked against the same SQL."""
+    s = _series(spark, sf_dir, layout="halo", block_unit="day")
+    return s.select("city", "date", *[f"{v}_roll_{n}h" for v in ("precip", "wind")
+                                      for n in (3, 6, 12)])
+
+
 def q_lag_features(spark, sf_dir):
     s = _series(spark, sf_dir)
     return s.select("city", "date", *[f"{v}_lag_{k}h" for v in ("precip", "temp")
@@ -604,6 +612,7 @@ QUERIES = {
     "aggregate_scores": q_aggregate_scores,
     "confusion_rates": q_confusion_rates,
     "rolling_means": q_rolling_means,
+    "rolling_means_halo": q_rolling_means_halo,
     "lag_features": q_lag_features,
     "peak_flags": q_peak_flags,
     "serving_head_means": q_serving_head_means,
