@@ -108,3 +108,20 @@ def test_random_oversample_draws_with_replacement(spark):
                                 mode="random", seed=7, chunk=5)
     assert sorted(synth.select("id").collect()) == sorted(
         again.filter(F.col("is_synthetic") & (F.col("label") == 1)).select("id").collect())
+
+
+def test_hot_class_ranked_in_small_partitions(spark):
+    """A class holding ~99 % of the rows is ranked in (class, md5-bucket)
+    partitions of a handful of rows each, and the ranks stay exact."""
+    df = spark.range(20000).select(F.col("id"), F.when(F.col("id") < 19800, 0).otherwise(1)
+                                   .cast("int").alias("label"))
+    key = F.col("id").cast("string")
+    bucket = F.conv(F.substring(F.md5(key), 1, 4), 16, 10)
+    biggest = df.groupBy("label", bucket.alias("b")).count().agg(F.max("count")).first()[0]
+    assert biggest <= 10
+    ranked = sampling.hash_rank(df, "label", key, "rank", size_col="n")
+    stats = {r["label"]: r for r in ranked.groupBy("label").agg(
+        F.min("rank").alias("lo"), F.max("rank").alias("hi"),
+        F.countDistinct("rank").alias("d"), F.max("n").alias("n")).collect()}
+    assert (stats[0]["lo"], stats[0]["hi"], stats[0]["d"], stats[0]["n"]) == (1, 19800, 19800, 19800)
+    assert (stats[1]["lo"], stats[1]["hi"], stats[1]["d"]) == (1, 200, 200)

@@ -101,3 +101,30 @@ def test_serving_summary_equals_city_day_summary(spark):
     a = windows.serving_day_features(obs, with_summary=True).select(*cols)
     b = agg.city_day_summary(obs).select(*cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_hot_series_is_split_into_bounded_partitions(spark):
+    """One series with most of the rows: auto layout splits only it, every
+    window partition stays within one day plus the 11-row halo, results equal
+    the plain window."""
+    import datetime as dtm
+
+    from stormcell.schema import OBS_SCHEMA
+    t0 = dtm.datetime(2024, 1, 1)
+    rows = [("HOT", t0 + dtm.timedelta(hours=h), 50.0, 20.0, float(h % 13), 22.0,
+             float(h % 29), 0) for h in range(3000) if h % 7 != 3]   # gaps too
+    rows += [(f"C{c}", t0 + dtm.timedelta(hours=h), 50.0, 20.0, float(h), 22.0, 1.0, 0)
+             for c in range(5) for h in range(60)]
+    obs = spark.createDataFrame(rows, OBS_SCHEMA)
+    hot = windows.hot_series(obs, "city", 1000).collect()
+    assert [r["city"] for r in hot] == ["HOT"]
+    tagged = obs.join(F.broadcast(windows.hot_series(obs, "city", 1000)), "city", "left") \
+        .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
+    laid = windows.halo_layout(tagged, ["city"], "date", 11, "day", hot_col="_hot")
+    sizes = laid.groupBy("city", "_blk").count()
+    assert sizes.filter(F.col("city") == "HOT").agg(F.max("count")).first()[0] <= 24 + 11
+    assert sizes.filter(F.col("city") != "HOT").agg(F.max("count")).first()[0] == 60
+    plain = windows.series_features(obs, layout="plain").select("city", "date", *FEATS)
+    auto = windows.series_features(obs, layout="auto", block_unit="day",
+                                   max_series_rows=1000).select("city", "date", *FEATS)
+    assert plain.exceptAll(auto).count() == 0 and auto.exceptAll(plain).count() == 0
