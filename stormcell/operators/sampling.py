@@ -175,11 +175,22 @@ def oversample(df: DataFrame, label: str, key: Column | str, ratio: float = 0.8,
     if mode == "even":
         ranked = ranked.join(small, label)
         copies_n = (F.floor(F.col("extra") / F.col("n"))
-                    + (F.col("_rank") <= F.col("extra") % F.col("n")).cast("long")).cast("int")
-        copies = (ranked.withColumn("_copies", copies_n)
-                  .filter(F.col("_copies") > 0)
-                  .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-                  .drop("n", "extra", "_copies"))
+                    + (F.col("_rank") <= F.col("extra") % F.col("n")).cast("long"))
+        per_row = ranked.withColumn("_copies", copies_n).filter(F.col("_copies") > 0)
+        # the plan table has one row per class and is already materialised
+        most = max((-(-r["extra"] // r["n"]) for r in small.collect()), default=0)
+        if most > chunk:
+            # a tiny class under a huge target: split each row's copies into
+            # chunks spread over tasks before generating them
+            per_row = (per_row.withColumn("_chunk", F.explode(F.sequence(
+                F.lit(0), (F.ceil(F.col("_copies") / F.lit(chunk)) - 1).cast("int"))))
+                .repartition(label, "_rank", "_chunk"))
+            lo = F.col("_chunk") * chunk + 1
+            hi = F.least((F.col("_chunk") + 1) * chunk, F.col("_copies"))
+        else:
+            lo, hi = F.lit(1), F.col("_copies")
+        copies = (per_row.withColumn("_copy", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
+                  .drop("n", "extra", "_copies", "_chunk"))
     elif mode == "random":
         copies = ranked.join(_draw_copies(small, label, seed, chunk), [label, "_rank"])
     else:

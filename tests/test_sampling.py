@@ -125,3 +125,13 @@ def test_hot_class_ranked_in_small_partitions(spark):
         F.countDistinct("rank").alias("d"), F.max("n").alias("n")).collect()}
     assert (stats[0]["lo"], stats[0]["hi"], stats[0]["d"], stats[0]["n"]) == (1, 19800, 19800, 19800)
     assert (stats[1]["lo"], stats[1]["hi"], stats[1]["d"]) == (1, 200, 200)
+
+
+def test_even_copies_chunked_for_tiny_class(spark):
+    """Copies of one row spread over chunks (and tasks) when a class is tiny."""
+    df = _rows(spark, [0] * 400 + [1] * 3).withColumn("x", F.lit(1.0))
+    out = sampling.oversample(df, "label", F.col("id").cast("string"), 0.8, chunk=10)
+    synth = out.filter(F.col("is_synthetic"))
+    assert synth.count() == 320 - 3
+    per_row = sorted(r["n"] for r in synth.groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect())
+    assert per_row == [105, 106, 106]
