@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 # Largest side we are willing to ship to every executor.
 BROADCAST_MAX_ROWS = 1_000_000
 
@@ -21,7 +23,7 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     and again for the join.
     """
     if materialize:
-        df = df.checkpoint(eager=True)
+        df = checkpoint(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import LAGS, ROLL_WINDOWS
+from ..session import checkpoint
 
 _BLK, _HALO, _RN, _N, _J = "_blk", "_halo", "_rn", "_n", "_j"
 
@@ -130,7 +131,7 @@ def series_features(df: DataFrame, key: str = "city", order: str = "date",
 
     hot = None
     if layout == "auto":
-        hot = hot_series(df, key, max_series_rows).checkpoint(eager=True)
+        hot = checkpoint(hot_series(df, key, max_series_rows))
         if hot.limit(1).count() == 0:
             layout = "plain"  # no series needs splitting: one exchange, no halo
     if layout == "plain":

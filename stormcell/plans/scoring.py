@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..session import checkpoint_root
+from ..session import checkpoint, checkpoint_root
 from . import training
 
 _FITTED: dict[str, tuple[PipelineModel, DataFrame]] = {}
@@ -39,7 +39,7 @@ def fitted_model(spark: SparkSession, build_features, tag: str,
     key = f"{spark.sparkContext.applicationId}:{tag}"
     if key in _FITTED:
         return _FITTED[key]
-    split = training.split(build_features(), cfg).checkpoint(eager=True)
+    split = checkpoint(training.split(build_features(), cfg))
     path = model_path(spark, tag)
     try:
         model = PipelineModel.load(path)

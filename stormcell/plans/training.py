@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..operators import sampling, scaling, scores
 from ..operators.lookups import broadcast_checked
 from ..schema import FEATURES, SCALED_COLS
+from ..session import checkpoint
 
 
 @dataclass
@@ -86,7 +87,7 @@ def fit(train: DataFrame, cfg: TrainConfig = TrainConfig()) -> PipelineModel:
     params = scaling.fit_scaler(train, SCALED_COLS)
     # the forest makes several passes over its input: materialise it once in
     # the shared checkpoint folder (also cuts the lineage for task retries)
-    rows = training_rows(train, params, cfg).checkpoint(eager=True)
+    rows = checkpoint(training_rows(train, params, cfg))
     rf = RandomForestClassifier(labelCol="label", featuresCol="features",
                                 weightCol="weight", numTrees=cfg.num_trees,
                                 maxDepth=cfg.max_depth, seed=cfg.seed,

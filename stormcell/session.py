@@ -86,6 +86,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def checkpoint(df, eager: bool = True):
+    """``df.checkpoint()`` into the shared folder (resolved from the session
+    first, so library calls work without an explicit setup step)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=eager)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = checkpoint_root(spark)
@@ -99,7 +106,7 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-LANDING_VERSION = 2  # bump when a landing format changes, so old copies are not reused
+LANDING_VERSION = 3  # bump when a landing format changes, so old copies are not reused
 
 
 def landed_path(spark: SparkSession, name: str, source: str) -> str:
@@ -110,8 +117,9 @@ def landed_path(spark: SparkSession, name: str, source: str) -> str:
     return os.path.join(base, "landed", f"{name}-v{LANDING_VERSION}-{tag}")
 
 
-def land_once(spark: SparkSession, path: str, write) -> str:
-    """Run ``write(path)`` unless a completed copy (``_SUCCESS``) is there."""
-    if not _fs_exists(spark, os.path.join(path, "_SUCCESS")):
+def land_once(spark: SparkSession, path: str, write, refresh: bool = False) -> str:
+    """Run ``write(path)`` unless a completed copy (``_SUCCESS``) is there
+    (``refresh`` writes it again; the writers overwrite)."""
+    if refresh or not _fs_exists(spark, os.path.join(path, "_SUCCESS")):
         write(path)
     return path

@@ -88,16 +88,18 @@ def derive_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    read_table(spark, sf_dir, "nation"))
 
 
-def load_obs(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+def load_obs(spark: SparkSession, sf_dir: str, start=None, end=None,
+             refresh: bool = False) -> DataFrame:
     """The hourly table as every query reads it: derived once per data folder,
     landed as parquet (year/month partitions, rows sorted by city and time so
     row-group statistics skip on date filters) in the shared folder, and read
     back with its schema -- the ingest-once, query-many shape.  ``start`` /
-    ``end`` (days) prune the year/month partitions that cannot match."""
+    ``end`` (days) prune the year/month partitions that cannot match;
+    ``refresh`` lands the table again even when a copy exists."""
     from ..session import land_once, landed_path
     from .csv_source import land_obs_parquet, read_obs_parquet
     path = land_once(spark, landed_path(spark, "weather-obs", sf_dir),
-                     lambda p: land_obs_parquet(derive_obs(spark, sf_dir), p))
+                     lambda p: land_obs_parquet(derive_obs(spark, sf_dir), p), refresh)
     return read_obs_parquet(spark, path, start, end)
 
 
