@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 def confusion_counts(pred: DataFrame, actual: str = "actual",
                      predicted: str = "predicted") -> DataFrame:
-    """Dense confusion table over the sorted union of labels seen on either side."""
+    """Dense confusion table over the sorted union of labels seen on either side
+    (pairs with a missing label on either side are not scored)."""
+    pred = pred.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     counts = (pred.groupBy(F.col(actual).cast("int").alias("actual"),
                            F.col(predicted).cast("int").alias("predicted"))
               .agg(F.count(F.lit(1)).alias("n")))

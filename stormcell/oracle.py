@@ -129,6 +129,7 @@ def n_reasons_sql(w="windspeed_10m", p="precipitation", a="apparent_temperature"
 
 RULE_PRED = f"""pred AS (
   SELECT suspension AS actual, {rule_level_sql()} AS predicted FROM obs
+  WHERE suspension IS NOT NULL
 ),
 pair_cnt AS (SELECT actual, predicted, count(*) AS n FROM pred GROUP BY ALL),
 lbl AS (SELECT DISTINCT x AS l FROM (SELECT actual AS x FROM pair_cnt

@@ -60,6 +60,12 @@ def test_dense_grid_and_zero_division(spark):
     assert agg["balanced_accuracy"] == pytest.approx((0.5 + 0.0) / 2)
 
 
+def test_missing_labels_not_scored(spark):
+    pred = spark.createDataFrame([(0, 0), (None, 1), (1, None), (1, 1)], "actual INT, predicted INT")
+    conf = scores.confusion_counts(pred)
+    assert conf.count() == 4 and conf.agg({"n": "sum"}).first()[0] == 2
+
+
 def test_fold_summary_population_std(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "accuracy DOUBLE")
     r = scores.fold_summary(df).first()
