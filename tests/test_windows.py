@@ -128,3 +128,35 @@ def test_hot_series_is_split_into_bounded_partitions(spark):
     auto = windows.series_features(obs, layout="auto", block_unit="day",
                                    max_series_rows=1000).select("city", "date", *FEATS)
     assert plain.exceptAll(auto).count() == 0 and auto.exceptAll(plain).count() == 0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.integers(min_value=0, max_value=200), min_size=1, max_size=60,
+                         unique=True), min_size=1, max_size=3))
+def test_halo_property_random_gaps(spark, series):
+    """Random sparse hourly series (gaps of any length, short or empty days):
+    the halo layout equals the plain window, and each rolling mean lies within
+    the min and max of the rows it covers."""
+    import datetime as dtm
+
+    from stormcell.schema import OBS_SCHEMA
+    t0 = dtm.datetime(2024, 1, 1)
+    rows = [(f"S{i}", t0 + dtm.timedelta(hours=5 * h), 50.0, 20.0 + (h % 7), float((h * 37) % 11),
+             22.0, float((h * 13) % 17), 0) for i, hours in enumerate(series) for h in hours]
+    obs = spark.createDataFrame(rows, OBS_SCHEMA)
+    plain = windows.series_features(obs, layout="plain").select("city", "date", *FEATS)
+    halo = windows.series_features(obs, layout="halo", block_unit="day").select("city", "date", *FEATS)
+    assert plain.exceptAll(halo).count() == 0 and halo.exceptAll(plain).count() == 0
+    by_city = {}
+    for c, t, *_rest in rows:
+        by_city.setdefault(c, []).append((t, _rest[2]))
+    got = {(r["city"], r["date"]): r["precip_roll_6h"] for r in halo.collect()}
+    for c, vals in by_city.items():
+        vals.sort()
+        for i, (t, _v) in enumerate(vals):
+            window_vals = [v for _t, v in vals[max(0, i - 5): i + 1]]
+            assert min(window_vals) - 1e-9 <= got[(c, t)] <= max(window_vals) + 1e-9
