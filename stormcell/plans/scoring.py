@@ -52,7 +52,8 @@ def fitted_model(spark: SparkSession, build_features, tag: str,
 
 def score_city_days(model: PipelineModel, features: DataFrame, n_classes: int | None = None) -> DataFrame:
     pred = training.predict(model, features)
-    k = n_classes or model.stages[-1].numClasses
+    clf = model.stages[-1]
+    k = n_classes or (clf.numClasses if hasattr(clf, "numClasses") else len(clf.models))
     per_day = pred.groupBy("city", F.to_date("date").alias("day")).agg(
         F.mode("predicted", deterministic=True).alias("predicted_level"),
         *[F.avg(F.col("probabilities")[i]).alias(f"_p{i}") for i in range(k)],

@@ -77,3 +77,18 @@ def test_latest_forecast_takes_last_issue(spark):
                                "apparent_temperature DOUBLE, windspeed_10m DOUBLE, issued_at INT")
     r = serving.latest_forecast(df).first()
     assert r["precipitation"] == 9.0 and r["issued_at"] == 2
+
+
+def test_boosted_one_vs_rest_option(spark, obs):
+    from stormcell.plans import scoring
+    feats = feat.training_features(obs)
+    split = training.split(feats)
+    cfg = training.TrainConfig(model="boosted", boost_iters=3, max_depth=3)
+    model = training.fit(split.filter(~F.col("is_test")), cfg)
+    pred = training.predict(model, split.filter(F.col("is_test"))).select("predicted", "probabilities").collect()
+    assert pred and all(abs(sum(r["probabilities"]) - 1.0) < 1e-9 for r in pred)
+    assert all(r["probabilities"].index(max(r["probabilities"])) == r["predicted"] for r in pred)
+    imp = training.feature_importances(spark, model).collect()
+    assert len(imp) == len(FEATURES)
+    days = scoring.score_city_days(model, split.drop("is_test"))
+    assert days.count() > 0
