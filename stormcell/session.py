@@ -20,8 +20,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # wall-clock hours matter (rush hour, day cut); timestamps are kept as
-    # timestamp_ntz, the zone only matters for the streaming cast.
+    # wall-clock hours matter (rush hour, day cut): timestamps stay
+    # timestamp_ntz and literals are parsed from text, so results do not
+    # depend on the session zone (checked by running the oracle under another)
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
