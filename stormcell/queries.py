@@ -551,24 +551,28 @@ def q_scenario_grid(spark, sf_dir):
 # ---- streaming ----------------------------------------------------------------
 
 def q_stream_city_day(spark, sf_dir):
-    """Readings land in two drops; the second also re-delivers the last day
-    of the first.  Each drop is drained with availableNow from the same
-    checkpoint (state carries over), then the latest version per (city, day)
-    is read back."""
+    """Readings arrive in two drops -- the second also re-delivers the last
+    day of the first -- landed once per data folder.  Each call drains them
+    with availableNow into a fresh sink and state, and the latest version per
+    (city, day) is read back.  (State carried across runs and late readings
+    are exercised in tests/test_streaming.py.)"""
     obs = _obs(spark, sf_dir)
-    lo, hi = filters.data_bounds(obs)
-    cut = dt.datetime.combine(lo + (hi - lo) // 2, dt.time())
-    redeliver = cut - dt.timedelta(days=1)
-    src = scratch_path(spark, "stream-src")
+    src = landed_path(spark, "stream-drops", sf_dir)
+
+    def land(_):
+        lo, hi = filters.data_bounds(obs)
+        cut = dt.datetime.combine(lo + (hi - lo) // 2, dt.time())
+        redeliver = cut - dt.timedelta(days=1)
+        first = obs.filter(F.col("date") < _ntz(cut))
+        second = obs.filter((F.col("date") >= _ntz(cut)) |
+                            ((F.col("date") >= _ntz(redeliver)) & (F.col("date") < _ntz(cut))))
+        first.write.mode("overwrite").parquet(os.path.join(src, "drop=0"))
+        second.write.mode("overwrite").parquet(os.path.join(src, "drop=1"))
+
+    land_once(spark, os.path.join(src, "drop=1"), land)  # drop 1 is written last
     sink = scratch_path(spark, "stream-sink")
     ckpt = scratch_path(spark, "stream-ckpt")
-    first = obs.filter(F.col("date") < _ntz(cut))
-    second = obs.filter((F.col("date") >= _ntz(cut)) |
-                        ((F.col("date") >= _ntz(redeliver)) & (F.col("date") < _ntz(cut))))
-    for i, drop in enumerate((first, second)):
-        drop.write.mode("overwrite").parquet(os.path.join(src, f"drop={i}"))
-        q = stream.run_to_sink(stream.city_day_stream(spark, src), sink, ckpt)
-        q.awaitTermination()
+    stream.run_to_sink(stream.city_day_stream(spark, src), sink, ckpt).awaitTermination()
     out = stream.latest_city_days(spark, sink)
     return out.select("city", "day", *WEATHER_COLS, "n_hours", "rule_level",
                       _reasons_text().alias("reasons"))
