@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     # depend on the session zone (checked by running the oracle under another)
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints in the shared folder are removed once no plan refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
