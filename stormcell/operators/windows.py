@@ -3,12 +3,13 @@ and the day-bounded head/tail features used when scoring one (city, day).
 
 Layout.  A plain ``Window.partitionBy(city)`` gives at most one task per city;
 a city holding a third of all rows would become one task holding a third of
-the data.  The default ``halo`` layout splits every series into calendar blocks
-(week by default) and copies the last ``H`` rows before each block into it, so
+the data.  The halo layout splits a series into calendar blocks (week by
+default) and copies the last ``H`` rows before each block into it, so
 row-based frames of up to ``H + 1`` rows and lags up to ``H`` are exact while
 every (city, block) is its own window partition.  The copied rows are chosen by
 exact row counts, so gaps and short blocks are handled: a block with fewer
-than ``H`` rows passes rows on from the blocks before it.
+than ``H`` rows passes rows on from the blocks before it.  The default
+``auto`` layout applies it only to series above a size bound (the hot keys).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..schema import LAGS, ROLL_WINDOWS
 from ..session import checkpoint
 
-_BLK, _HALO, _RN, _N, _J = "_blk", "_halo", "_rn", "_n", "_j"
+_BLK, _HALO, _N, _J = "_blk", "_halo", "_n", "_j"
 
 
 def _block(ts: Column, unit: str) -> Column:
