@@ -34,12 +34,13 @@ def halo_layout(df: DataFrame, keys: list[str], order: str, halo: int,
     rows that precede each block (``_halo = true``).  Window over
     ``keys + [_blk]`` ordered by ``order`` and drop the halo rows afterwards.
 
-    Only a narrow projection (series key, block, order key) is ranked to find
-    each block's last ``halo`` rows; the rows to copy are then picked out of
-    the full table with a join against that small (series, time, destination)
-    table, broadcast when its size check passes.  Order keys are assumed unique
-    within a series (the hourly grid); tied keys would make any row frame
-    order-dependent anyway.
+    Each block's last ``halo`` rows are found with ``row_number() <= halo``:
+    Spark evaluates that top-k map-side (WindowGroupLimit), so at most
+    ``halo`` rows per block and task are shuffled, whole.  They are joined with
+    the small (block -> later block) table, whose size is proportional to the
+    number of blocks, never to the rows: the full table is not joined at all.
+    Order keys are assumed unique within a series (the hourly grid); tied keys
+    would make any row frame order-dependent anyway.
 
     With ``hot_col`` only rows flagged hot are split into blocks; the other
     series keep one window partition each (null block) and need no copies.
@@ -50,13 +51,9 @@ def halo_layout(df: DataFrame, keys: list[str], order: str, halo: int,
     if hot_col:
         blk = F.when(F.col(hot_col), blk).otherwise(F.lit(None).cast("date"))
     base = df.withColumn(_BLK, blk)
-    narrow = (base.filter(F.col(hot_col)) if hot_col else base).select(*keys, _BLK, order)
-    w = Window.partitionBy(*keys, _BLK).orderBy(F.desc(order))
-    # rank <= halo is a top-k filter: Spark applies it map-side (WindowGroupLimit)
-    # before the shuffle, so at most ``halo`` rows per block and task move
-    ranked = narrow.withColumn(_J, F.row_number().over(w))
+    hot_rows = base.filter(F.col(hot_col)) if hot_col else base
     # rows per (series, block): partial aggregate, one row per block and task
-    counts = narrow.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias(_N))
+    counts = hot_rows.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias(_N))
     wk = Window.partitionBy(*keys).orderBy(_BLK)
     lead_cols = {}
     for k in range(1, halo + 1):
@@ -72,13 +69,14 @@ def halo_layout(df: DataFrame, keys: list[str], order: str, halo: int,
     # that still needs rows from src
     pairs = (led.select(*keys, "_src", F.inline(F.array(*entries)))
              .filter(F.col("dst").isNotNull() & (F.col("between") < halo)))
-    tails = (ranked.filter(F.col(_J) <= halo)
-             .select(*keys, F.col(_BLK).alias("_src"), order, _J))
-    wanted = (tails.join(pairs, [*keys, "_src"])
+    w = Window.partitionBy(*keys, _BLK).orderBy(F.desc(order))
+    tails = (hot_rows.withColumn(_J, F.row_number().over(w))
+             .filter(F.col(_J) <= halo)
+             .withColumnRenamed(_BLK, "_src"))
+    copies = (tails.join(broadcast_checked(pairs, materialize=True), [*keys, "_src"])
               .filter(F.col(_J) + F.col("between") <= halo)
-              .select(*keys, order, F.col("dst")))
-    copies = (base.join(broadcast_checked(wanted, materialize=True), [*keys, order])
-              .withColumn(_BLK, F.col("dst")).drop("dst"))
+              .withColumn(_BLK, F.col("dst"))
+              .drop("_src", "dst", "between", _J))
     core = base.withColumn(_HALO, F.lit(False))
     return core.unionByName(copies.withColumn(_HALO, F.lit(True)))
 

@@ -21,6 +21,9 @@ NOTES = {
                          "dimension (5 rows) is broadcast.",
     "rolling_means": "No hot series at this size, so the auto layout is one exchange by city "
                      "and one sort; medians come from a histogram aggregate job before it.",
+    "rolling_means_halo": "Halo layout (what hot series get): core rows go straight to the "
+                          "final exchange; block tails are a map-side top-11 "
+                          "(WindowGroupLimit) joined with the small block-pairs table.",
     "box_stats": "One pass over the rows builds the (level, variable, value) histogram; "
                  "quartiles and tails come from the histogram, fences are broadcast.",
     "stratified_split": "Exact class ranks: (label, md5-bucket) counts become broadcast "
