@@ -83,7 +83,10 @@ def weather_obs_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def derive_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hourly table computed from ``events`` and ``nation``."""
+    """The hourly table computed from ``events`` and ``nation``.
+
+    Landed copies are reused across runs: bump ``session.LANDING_VERSION``
+    whenever this derivation (or a landing layout) changes."""
     return weather_obs_from_events(read_table(spark, sf_dir, "events"),
                                    read_table(spark, sf_dir, "nation"))
 
