@@ -130,18 +130,26 @@ def hour_weekday_long(filtered: DataFrame, variable: str = "temperature_2m") ->
             .filter(F.col("mean_value").isNotNull()))
 
 
-def hour_weekday_pivot(filtered: DataFrame, variable: str = "temperature_2m") -> DataFrame:
+def hour_weekday_pivot(filtered: DataFrame, variable: str = "temperature_2m",
+                       drop_empty: bool = True) -> DataFrame:
     """Wide form: one row per weekday (calendar order), one column per hour.
 
-    The 24 pivot values are given explicitly, so Spark runs no extra job to
-    discover them.
+    With ``drop_empty`` (the pivot-table rule) only hours holding a value are
+    columns; finding them is one small job (at most 24 values).  Otherwise
+    all 24 hours are given explicitly and no job runs before the pivot.
     """
     if variable not in WEATHER_COLS:
         raise ValueError(f"unknown variable {variable!r}")
-    return (filtered.withColumn("hour", cal.hour("date"))
+    with_hour = filtered.withColumn("hour", cal.hour("date"))
+    if drop_empty:
+        hours = sorted(r[0] for r in with_hour.filter(F.col(variable).isNotNull())
+                       .select("hour").distinct().collect())
+    else:
+        hours = list(range(24))
+    return (with_hour
             .groupBy(cal.day_of_week("date").alias("weekday"),
                      cal.day_name("date").alias("day_name"))
-            .pivot("hour", list(range(24)))
+            .pivot("hour", hours)
             .agg(F.avg(variable))
             .orderBy("weekday"))
 

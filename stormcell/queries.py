@@ -216,9 +216,13 @@ def q_hour_weekday_pivot(spark, sf_dir):
 
 
 def q_hour_weekday_wide(spark, sf_dir):
-    wide = agg.hour_weekday_pivot(_filtered(spark, sf_dir), PIVOT_VARIABLE)
+    """A8 as a fixed-width report: all 24 hour columns (empty hours are null).
+    The pivot-table rule that drops empty hours (``drop_empty=True``, the
+    library default) yields data-dependent columns; it is unit-tested, and the
+    long form above carries the same cells with an oracle."""
+    wide = agg.hour_weekday_pivot(_filtered(spark, sf_dir), PIVOT_VARIABLE, drop_empty=False)
     return wide.select("weekday", "day_name",
-                       *[F.col(str(h)).alias(f"h{h:02d}") for h in range(24)])
+                       *[F.col(c).alias(f"h{int(c):02d}") for c in wide.columns[2:]])
 
 
 def q_corr_matrix(spark, sf_dir):

@@ -52,6 +52,9 @@ def test_ranking_and_pivot(tiny):
     wide = agg.hour_weekday_pivot(tiny, "temperature_2m").collect()
     assert [r["day_name"] for r in wide] == ["Monday", "Tuesday"]
     assert wide[0]["0"] == 25.0 and wide[1]["10"] == 30.0 and wide[0]["10"] is None
+    assert set(wide[0].asDict()) == {"weekday", "day_name", "0", "1", "2", "3", "10", "11"}
+    full = agg.hour_weekday_pivot(tiny, "temperature_2m", drop_empty=False)
+    assert len(full.columns) == 26
 
 
 def test_box_stats_linear_quartiles(spark):
