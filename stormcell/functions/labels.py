@@ -31,13 +31,25 @@ def decision_source(model_level, rule_level) -> Column:
             .otherwise(F.lit("model")))
 
 
+# Correlation bands on |r| (upper bound, label); at or above
+# the last bound the sign decides.
+CORRELATION_BANDS = [
+    (0.2, "No correlation"),
+    (0.4, "Weak correlation"),
+    (0.7, "Moderate correlation"),
+]
+STRONG_POSITIVE = "Strong correlation"
+STRONG_NEGATIVE = "Strong negative correlation"
+
+
 def correlation_label(r) -> Column:
     a = F.abs(_c(r))
-    return (F.when(a < 0.2, F.lit("No correlation"))
-            .when(a < 0.4, F.lit("Weak correlation"))
-            .when(a < 0.7, F.lit("Moderate correlation"))
-            .when(_c(r) > 0, F.lit("Strong correlation"))
-            .otherwise(F.lit("Strong negative correlation")))
+    expr = None
+    for bound, text in CORRELATION_BANDS:
+        expr = (F.when(a < bound, F.lit(text)) if expr is None
+                else expr.when(a < bound, F.lit(text)))
+    return (expr.when(_c(r) > 0, F.lit(STRONG_POSITIVE))
+            .otherwise(F.lit(STRONG_NEGATIVE)))
 
 
 # Plain-language sentence for a pair of variables.  Keys are
@@ -59,16 +71,33 @@ def pad_probabilities(p, n: int = 5) -> Column:
     return F.slice(F.concat(arr, F.array_repeat(F.lit(0.0), n)), 1, n)
 
 
+# Day alert tags, strongest first within a group
+# (group, tag, day metric, strictly greater than).
+ALERT_TAGS = [
+    ("wind", "HIGH WIND", "max_wind", 100.0),
+    ("wind", "MODERATE WIND", "max_wind", 60.0),
+    ("rain", "HEAVY RAINFALL", "total_precip", 30.0),
+    ("rain", "MODERATE RAINFALL", "total_precip", 15.0),
+    ("heat", "EXTREME HEAT", "max_temp", 40.0),
+    ("heat", "HIGH TEMPERATURE", "max_temp", 35.0),
+    ("humidity", "HIGH HUMIDITY", "avg_humidity", 80.0),
+]
+# Fixed values: "favourable" = no rain, max wind below 30, max temp below 35.
+FAVORABLE = ("FAVORABLE CONDITIONS", 0.0, 30.0, 35.0)
+
+
 def weather_alerts(max_wind="max_wind", total_precip="total_precip",
                    max_temp="max_temp", avg_humidity="avg_humidity") -> Column:
-    """Alert tags for one day; within a group only the strongest tag is kept,
-    and "FAVORABLE CONDITIONS" when there is no rain, wind < 30 and temp < 35."""
-    w, p, t, h = _c(max_wind), _c(total_precip), _c(max_temp), _c(avg_humidity)
-    tags = F.array(
-        F.when(w > 100, F.lit("HIGH WIND")).when(w > 60, F.lit("MODERATE WIND")),
-        F.when(p > 30, F.lit("HEAVY RAINFALL")).when(p > 15, F.lit("MODERATE RAINFALL")),
-        F.when(t > 40, F.lit("EXTREME HEAT")).when(t > 35, F.lit("HIGH TEMPERATURE")),
-        F.when(h > 80, F.lit("HIGH HUMIDITY")),
-        F.when((p == 0) & (w < 30) & (t < 35), F.lit("FAVORABLE CONDITIONS")),
-    )
-    return F.filter(tags, lambda x: x.isNotNull())
+    """Alert tags for one day: within a group only the strongest tag, plus
+    the favourable tag when there is no rain and wind and heat stay low."""
+    cols = {"max_wind": _c(max_wind), "total_precip": _c(total_precip),
+            "max_temp": _c(max_temp), "avg_humidity": _c(avg_humidity)}
+    groups: dict[str, Column] = {}
+    for group, tag, metric, bound in ALERT_TAGS:
+        cond = cols[metric] > bound
+        groups[group] = (F.when(cond, F.lit(tag)) if group not in groups
+                         else groups[group].when(cond, F.lit(tag)))
+    tag, rain, wind, temp = FAVORABLE
+    favorable = F.when((cols["total_precip"] == rain) & (cols["max_wind"] < wind)
+                       & (cols["max_temp"] < temp), F.lit(tag))
+    return F.filter(F.array(*groups.values(), favorable), lambda x: x.isNotNull())

@@ -98,14 +98,18 @@ def rolling_lag_columns(w: Window, windows=ROLL_WINDOWS, lags=LAGS,
     return cols
 
 
+# Peak flags -- the reading exceeds this multiple of its
+# 6-row mean (flag, reading, mean, factor).
+PEAKS = [
+    ("is_precip_peak", "precipitation", "precip_roll_6h", 1.5),
+    ("is_wind_peak", "windspeed_10m", "wind_roll_6h", 1.3),
+]
+
+
 def peak_columns() -> dict[str, Column]:
     """Sudden-change flags against the 6-row mean (strict)."""
-    return {
-        "is_precip_peak": F.coalesce(
-            (F.col("precipitation") > F.col("precip_roll_6h") * 1.5).cast("int"), F.lit(0)),
-        "is_wind_peak": F.coalesce(
-            (F.col("windspeed_10m") > F.col("wind_roll_6h") * 1.3).cast("int"), F.lit(0)),
-    }
+    return {flag: F.coalesce((F.col(x) > F.col(mean) * factor).cast("int"), F.lit(0))
+            for flag, x, mean, factor in PEAKS}
 
 
 def hot_series(df: DataFrame, key: str, max_series_rows: int) -> DataFrame:

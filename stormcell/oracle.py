@@ -8,8 +8,10 @@ by row count only.
 
 from __future__ import annotations
 
-from .functions.labels import NO_PATTERN, PAIR_SENTENCES
+from .functions.labels import (ALERT_TAGS, CORRELATION_BANDS, FAVORABLE, NO_PATTERN,
+                               PAIR_SENTENCES, STRONG_NEGATIVE, STRONG_POSITIVE)
 from .operators.aggregates import BOX_VARS, CORR_VARS
+from .operators.windows import PEAKS
 from .queries import (FORECAST_DAYS, PIVOT_VARIABLE, RANGE_CITIES, RANGE_END, RANGE_START,
                       SCATTER_PAIR, SCENARIO_PRECIP, SCENARIO_TEMP, SCENARIO_WIND, SLICE_CITY,
                       SLICE_DAY)
@@ -210,18 +212,24 @@ EXTREMES = """ext AS (
 
 
 def alerts_sql(w="max_wind", p="total_precip", t="max_temp", h="avg_humidity") -> tuple[str, str]:
-    items = [
-        f"CASE WHEN {w} > 100 THEN 'HIGH WIND' WHEN {w} > 60 THEN 'MODERATE WIND' END",
-        f"CASE WHEN {p} > 30 THEN 'HEAVY RAINFALL' WHEN {p} > 15 THEN 'MODERATE RAINFALL' END",
-        f"CASE WHEN {t} > 40 THEN 'EXTREME HEAT' WHEN {t} > 35 THEN 'HIGH TEMPERATURE' END",
-        f"CASE WHEN {h} > 80 THEN 'HIGH HUMIDITY' END",
-        f"CASE WHEN {p} = 0 AND {w} < 30 AND {t} < 35 THEN 'FAVORABLE CONDITIONS' END",
-    ]
+    metric = {"max_wind": w, "total_precip": p, "max_temp": t, "avg_humidity": h}
+    groups: dict[str, list[str]] = {}
+    for group, tag, m, bound in ALERT_TAGS:
+        groups.setdefault(group, []).append(f"WHEN {metric[m]} > {bound} THEN {_q(tag)}")
+    items = [f"CASE {' '.join(whens)} END" for whens in groups.values()]
+    tag, rain, wind, temp = FAVORABLE
+    items.append(f"CASE WHEN {p} = {rain} AND {w} < {wind} AND {t} < {temp} THEN {_q(tag)} END")
     text = "concat_ws(', ', " + ", ".join(items) + ")"
     n = "(" + " + ".join(f"CAST(({i}) IS NOT NULL AS INTEGER)" for i in items) + ")"
     return text, n
 
 
+def _corr_label_sql(r: str = "r") -> str:
+    whens = " ".join(f"WHEN abs({r}) < {b} THEN {_q(text)}" for b, text in CORRELATION_BANDS)
+    return (f"CASE {whens} WHEN {r} > 0 THEN {_q(STRONG_POSITIVE)} "
+            f"ELSE {_q(STRONG_NEGATIVE)} END")
+
+
 def _corr_rows() -> str:
     pairs = [(a, b) for i, a in enumerate(CORR_VARS) for b in CORR_VARS[i:]]
     one = "cr AS (SELECT " + ", ".join(f"corr({a}, {b}) AS c_{a}__{b}" for a, b in pairs) + " FROM obs)"
@@ -350,9 +358,7 @@ FROM filtered GROUP BY ALL HAVING avg({PIVOT_VARIABLE}) IS NOT NULL"""
     o["corr_matrix"] = with_(_corr_rows()) + "SELECT var_x, var_y, round(r, 9) AS r FROM cm"
     o["corr_label"] = with_(_corr_rows()) + f"""SELECT var_x AS var1, var_y AS var2,
   round(r, 9) AS r,
-  CASE WHEN abs(r) < 0.2 THEN 'No correlation' WHEN abs(r) < 0.4 THEN 'Weak correlation'
-       WHEN abs(r) < 0.7 THEN 'Moderate correlation' WHEN r > 0 THEN 'Strong correlation'
-       ELSE 'Strong negative correlation' END AS label,
+  {_corr_label_sql()} AS label,
   {_sentence_sql()} AS sentence
 FROM cm WHERE var_x <> var_y"""
     o["day_extremes"] = with_(EXTREMES) + "SELECT * FROM ext"
@@ -393,10 +399,9 @@ FROM conf"""
     o["rolling_means_halo"] = o["rolling_means"]
     o["lag_features"] = series + "SELECT city, date, " + ", ".join(
         f"{v}_lag_{k}h" for v in ("precip", "temp") for k in (1, 2, 3)) + " FROM series"
-    o["peak_flags"] = series + """SELECT city, date,
-  coalesce(CAST(precipitation > precip_roll_6h * CAST(1.5 AS DOUBLE) AS INTEGER), 0) AS is_precip_peak,
-  coalesce(CAST(windspeed_10m > wind_roll_6h * CAST(1.3 AS DOUBLE) AS INTEGER), 0) AS is_wind_peak
-FROM series"""
+    o["peak_flags"] = series + "SELECT city, date, " + ", ".join(
+        f"coalesce(CAST({x} > {mean} * CAST({factor} AS DOUBLE) AS INTEGER), 0) AS {flag}"
+        for flag, x, mean, factor in PEAKS) + " FROM series"
     o["serving_head_means"] = with_(SERVING) + "SELECT city, day, first_ts, n_hours, " + ", ".join(
         f"{v}_roll_{n}h" for v in ("precip", "wind") for n in (3, 6, 12)) + " FROM sday"
     o["serving_tail_values"] = with_(SERVING) + "SELECT city, day, " + ", ".join(
