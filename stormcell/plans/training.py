@@ -63,6 +63,20 @@ def split(features: DataFrame, cfg: TrainConfig = TrainConfig()) -> DataFrame:
     return sampling.stratified_split(features, "suspension", row_key_col(), cfg.test_fraction)
 
 
+def leak_free_features(obs: DataFrame, cfg: TrainConfig = TrainConfig(),
+                       layout: str = "auto") -> DataFrame:
+    """Feature table with ``is_test`` where the imputation medians (and the
+    temperature lag fill) are fitted on the train rows only.  The split is
+    made on the raw rows with the same md5 keys, so it equals ``split`` of
+    the parity features row for row."""
+    from ..operators.impute import fit_medians
+    from .features import city_codes, training_features
+    tagged = sampling.stratified_split(obs, "suspension", row_key_col(), cfg.test_fraction)
+    medians = fit_medians(tagged.filter(~F.col("is_test")))
+    feats = training_features(obs, layout=layout, medians=medians, codes=city_codes(obs))
+    return feats.join(tagged.select("city", "date", "is_test"), ["city", "date"])
+
+
 def scaler_stage(params: dict[str, tuple[float, float]]) -> SQLTransformer:
     exprs = ", ".join(f"({c} - {m!r}) / {s!r} AS {c}__z" for c, (m, s) in params.items())
     return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")

@@ -92,3 +92,17 @@ def test_boosted_one_vs_rest_option(spark, obs):
     assert len(imp) == len(FEATURES)
     days = scoring.score_city_days(model, split.drop("is_test"))
     assert days.count() > 0
+
+
+def test_leak_free_features_use_train_medians(spark, obs):
+    from stormcell.operators.impute import fit_medians
+    lf = training.leak_free_features(obs)
+    parity = training.split(feat.training_features(obs))
+    a = lf.select("city", "date", "is_test")
+    b = parity.select("city", "date", "is_test")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    train_med = fit_medians(obs.join(lf.filter(~F.col("is_test")).select("city", "date"),
+                                     ["city", "date"]))
+    filled = obs.filter(F.col("temperature_2m").isNull()).select("city", "date") \
+        .join(lf, ["city", "date"]).select("temperature_2m").distinct().collect()
+    assert [r[0] for r in filled] in ([], [train_med["temperature_2m"]])
