@@ -44,7 +44,7 @@ def test_oversample_plan_golden(spark):
     assert sum(r["n"] + r["extra"] for r in plan.values()) == 2962919
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(min_value=0, max_value=3), min_size=5, max_size=120))
 def test_split_is_exact_disjoint_and_complete(spark, labels):
     df = _rows(spark, labels)
@@ -56,7 +56,7 @@ def test_split_is_exact_disjoint_and_complete(spark, labels):
         assert n_test == int(n * 0.2 + 0.5)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(min_value=0, max_value=3), min_size=5, max_size=150))
 def test_oversample_counts_exact(spark, labels):
     df = _rows(spark, labels).withColumn("x", F.lit(1.0))

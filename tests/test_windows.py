@@ -134,7 +134,7 @@ from hypothesis import HealthCheck, given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.integers(min_value=0, max_value=200), min_size=1, max_size=60,
                          unique=True), min_size=1, max_size=3))
 def test_halo_property_random_gaps(spark, series):
