@@ -100,3 +100,51 @@ def score_serving_days(model: PipelineModel, rows: DataFrame) -> DataFrame:
                        "probabilities",
                        F.array_max("probabilities").alias("confidence"),
                        labels.risk_label("predicted").alias("risk_level"))
+
+
+def scenario_feature_rows(grid: DataFrame, codes: DataFrame, hour: int = 12) -> DataFrame:
+    """Feature rows for what-if scenarios, each read as a one-hour day at
+    ``hour`` of its date: the head means are the values themselves, the lags
+    fall back to 0 rain and the scenario temperature, and no peak can fire."""
+    from ..functions import bins
+    from ..functions import calendar as cal
+    from ..operators import windows
+    from ..schema import FEATURES, ROLL_WINDOWS, LAGS
+    from .features import encode_city
+
+    ts = F.make_timestamp_ntz(F.year("day"), F.month("day"), F.dayofmonth("day"),
+                              F.lit(hour), F.lit(0), F.lit(0))
+    rows = grid.select(
+        "city", "day", "scenario", ts.alias("date"),
+        F.col("relativehumidity_2m"),
+        F.col("s_temperature").alias("temperature_2m"),
+        F.col("s_precipitation").alias("precipitation"),
+        F.col("s_apparent").alias("apparent_temperature"),
+        F.col("s_windspeed").alias("windspeed_10m"),
+        "rule_level")
+    cols = dict(cal.temporal_columns("date"))
+    for n in ROLL_WINDOWS:
+        cols[f"precip_roll_{n}h"] = F.col("precipitation")
+        cols[f"wind_roll_{n}h"] = F.col("windspeed_10m")
+    for k in LAGS:
+        cols[f"precip_lag_{k}h"] = F.lit(0.0)
+        cols[f"temp_lag_{k}h"] = F.col("temperature_2m")
+    rows = rows.withColumns(cols).withColumns(windows.peak_columns()).withColumns({
+        "apparent_temp_delta": bins.apparent_temp_delta(),
+        "precip_intensity": bins.precip_intensity(),
+        "wind_category": bins.wind_category(),
+    })
+    rows = encode_city(rows, codes)
+    return rows.select("city", "day", "scenario", "date", "rule_level",
+                       *[F.col(c).cast("double").alias(c) for c in FEATURES])
+
+
+def score_scenarios(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Model level, confidence and the final level max(model, rules)."""
+    pred = training.predict(model, rows)
+    return pred.select("city", "day", "scenario", "rule_level",
+                       F.col("predicted").alias("model_level"),
+                       F.array_max("probabilities").alias("confidence"),
+                       labels.final_level(F.col("predicted"), F.col("rule_level")).alias("final_level"),
+                       labels.decision_source(F.col("predicted"), F.col("rule_level"))
+                       .alias("decision_source"))

@@ -552,6 +552,17 @@ def q_scenario_grid(spark, sf_dir):
     return g.select("city", "day", "scenario", "rule_level", _reasons_text().alias("reasons"))
 
 
+def q_scenario_scores(spark, sf_dir):
+    """M11 scored: every scenario row through the model and the rules; the
+    final level is the larger of the two."""
+    obs = _obs(spark, sf_dir)
+    model, _ = _model(spark, sf_dir)
+    grid = serving.scenario_grid(agg.city_day_summary(obs), SCENARIO_TEMP,
+                                 SCENARIO_PRECIP, SCENARIO_WIND)
+    rows = scoring.scenario_feature_rows(grid, feat.city_codes(obs))
+    return scoring.score_scenarios(model, rows)
+
+
 # ---- streaming ----------------------------------------------------------------
 
 def q_stream_city_day(spark, sf_dir):
@@ -650,5 +661,6 @@ QUERIES = {
     "request_answers": q_request_answers,
     "advisory_bulletin": q_advisory_bulletin,
     "scenario_grid": q_scenario_grid,
+    "scenario_scores": q_scenario_scores,
     "stream_city_day": q_stream_city_day,
 }

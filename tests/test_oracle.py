@@ -12,7 +12,7 @@ import __spark_entry__ as E
 from tests.conftest import SF001
 
 SLOW = {"train_eval", "top_features", "score_city_days", "score_serving_days",
-        "cv_accuracy", "artifacts_roundtrip", "request_answers"}
+        "cv_accuracy", "artifacts_roundtrip", "request_answers", "scenario_scores"}
 TABLES = ["events", "nation", "orders"]
 
 

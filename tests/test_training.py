@@ -106,3 +106,12 @@ def test_leak_free_features_use_train_medians(spark, obs):
     filled = obs.filter(F.col("temperature_2m").isNull()).select("city", "date") \
         .join(lf, ["city", "date"]).select("temperature_2m").distinct().collect()
     assert [r[0] for r in filled] in ([], [train_med["temperature_2m"]])
+
+
+def test_scenario_scores(spark, obs):
+    out = Q.q_scenario_scores(spark, SF001)
+    n_days = obs.select("city", F.to_date("date")).distinct().count()
+    assert out.count() == 27 * n_days
+    bad = out.filter((F.col("final_level") < F.col("rule_level")) |
+                     (F.col("final_level") < F.col("model_level")))
+    assert bad.count() == 0
