@@ -173,11 +173,13 @@ def cross_validate(train: DataFrame, k: int = 5, cfg: TrainConfig = TrainConfig(
     spark = train.sparkSession
     folded = sampling.cv_folds(train, "suspension", row_key_col(), k).persist()
     results = []
-    for f in range(k):
-        model = fit(folded.filter(F.col("fold") != f), cfg)
-        acc = evaluate(model, folded.filter(F.col("fold") == f))["aggregate"].first()["accuracy"]
-        results.append((f, float(acc)))
-    folded.unpersist()
+    try:
+        for f in range(k):
+            model = fit(folded.filter(F.col("fold") != f), cfg)
+            acc = evaluate(model, folded.filter(F.col("fold") == f))["aggregate"].first()["accuracy"]
+            results.append((f, float(acc)))
+    finally:
+        folded.unpersist()
     return spark.createDataFrame(results, "fold INT, accuracy DOUBLE")
 
 
