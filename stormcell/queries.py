@@ -531,6 +531,10 @@ def q_request_answers(spark, sf_dir):
     preds = scoring.score_city_days(model, fc_feats)
     days = obs.select("city", F.to_date("date").alias("day")).distinct()
     requests = days.union(days.select("city", F.date_add("day", 14).alias("day"))).distinct()
+    # P10: only days a user may pick -- first recorded day to "today" + 7,
+    # with today = the last recorded day
+    lo, hi = filters.data_bounds(obs)
+    requests = filters.request_bounds(requests, lo, hi, FORECAST_DAYS, date_col="day")
     ans = serving.answer_requests(requests, serving.historical_city_days(obs).drop("probabilities"),
                                   serving.forecast_city_days(feed), preds)
     return ans.select("mode", "city", "day", *WEATHER_COLS, "level", "is_prediction",
