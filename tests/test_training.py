@@ -115,3 +115,29 @@ def test_scenario_scores(spark, obs):
     bad = out.filter((F.col("final_level") < F.col("rule_level")) |
                      (F.col("final_level") < F.col("model_level")))
     assert bad.count() == 0
+
+
+def test_serving_feature_rows_on_short_days(spark):
+    from stormcell.plans import scoring
+    from tests.conftest import obs_frame
+    rows = [("A", "2024-01-06 09", 60.0, 30.0, 4.0, 33.0, 20.0, 0),          # one-hour day
+            ("B", "2024-01-01 07", 50.0, 20.0, 1.0, 21.0, 10.0, 1),          # three hours
+            ("B", "2024-01-01 08", 70.0, 22.0, 2.0, 23.0, 30.0, 1),
+            ("B", "2024-01-01 09", None, 24.0, 3.0, 25.0, 50.0, 1)]
+    obs = obs_frame(spark, rows)
+    med = {"relativehumidity_2m": 55.0, "temperature_2m": 22.0,
+           "apparent_temperature": 23.0, "windspeed_10m": 20.0}
+    out = {r["city"]: r for r in scoring.serving_feature_rows(
+        obs, feat.city_codes(obs), med).collect()}
+    a, b = out["A"], out["B"]
+    assert [c for c in a.asDict() if c in FEATURES] == FEATURES
+    # one hour: head means are the values, lags fall back to 0 / the day's temperature
+    assert a["precip_roll_12h"] == 4.0 and a["precip_lag_1h"] == 0.0 and a["temp_lag_3h"] == 30.0
+    assert (a["hour"], a["day_of_week"], a["is_weekend"], a["is_rush_hour"]) == (9.0, 5.0, 1.0, 1.0)
+    # three hours: daily mean / total, first-hour calendar, tail values
+    assert b["precipitation"] == 6.0 and b["temperature_2m"] == 22.0
+    assert b["relativehumidity_2m"] == 60.0 and b["hour"] == 7.0
+    assert b["precip_roll_3h"] == 2.0 and b["precip_lag_1h"] == 3.0 and b["temp_lag_2h"] == 22.0
+    assert b["temp_lag_3h"] == 22.0  # 3 >= n: the day's mean temperature
+    assert b["is_precip_peak"] == 1.0  # daily total 6 > 1.5 x head mean 2
+    assert (a["city_encoded"], b["city_encoded"]) == (0.0, 1.0)
