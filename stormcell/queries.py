@@ -253,6 +253,12 @@ def q_box_stats(spark, sf_dir):
     return agg.box_stats(_filtered(spark, sf_dir))
 
 
+def q_box_stats_approx(spark, sf_dir):
+    """A12 with the bounded-memory quantile sketch (for unbounded value
+    cardinality at scale); rows-only, as a sketch is not an exact oracle."""
+    return agg.box_stats(_filtered(spark, sf_dir), approx_accuracy=10_000)
+
+
 def q_class_distribution(spark, sf_dir):
     return agg.class_distribution(_obs(spark, sf_dir))
 
@@ -628,6 +634,7 @@ QUERIES = {
     "corr_label": q_corr_label,
     "day_extremes": q_day_extremes,
     "box_stats": q_box_stats,
+    "box_stats_approx": q_box_stats_approx,
     "class_distribution": q_class_distribution,
     "sample_pair": q_sample_pair,
     "confusion_matrix": q_confusion_matrix,

@@ -85,3 +85,31 @@ def test_medians_and_imputation(tiny):
 def test_profile(tiny):
     r = agg.dataset_profile(tiny).first()
     assert r["n_rows"] == 6 and r["n_cities"] == 2 and r["cities"] == "A,B"
+
+
+def test_box_stats_approx_close_to_exact(spark):
+    from stormcell.sources.fixture import load_obs
+    from tests.conftest import SF001
+    obs = load_obs(spark, SF001)
+    exact = {(r["level"], r["variable"]): r for r in agg.box_stats(obs).collect()}
+    approx = {(r["level"], r["variable"]): r for r in agg.box_stats(obs, approx_accuracy=10_000).collect()}
+    assert set(exact) == set(approx)
+    for k, e in exact.items():
+        a = approx[k]
+        assert (a["n"], a["min"], a["max"]) == (e["n"], e["min"], e["max"])
+        assert a["n_outliers"] >= 0 and a["whisker_low"] >= e["min"]
+    # brute force: with this accuracy the sketch's median is one of the two
+    # order statistics the exact (interpolated) median lies between
+    from stormcell.operators.aggregates import BOX_VARS
+    vals = {}
+    for r in obs.select("suspension", *BOX_VARS).collect():
+        for v in BOX_VARS:
+            if r[v] is not None and r["suspension"] is not None:
+                vals.setdefault((r["suspension"], v), []).append(r[v])
+    for k, xs in vals.items():
+        xs.sort()
+        pos = (len(xs) - 1) * 0.5
+        i = int(pos)
+        below, above = xs[i], xs[min(len(xs) - 1, i + 1)]
+        assert approx[k]["median"] in (below, above)
+        assert exact[k]["median"] == ((below + above) / 2 if pos % 1 else below)
