@@ -160,3 +160,15 @@ def test_halo_property_random_gaps(spark, series):
         for i, (t, _v) in enumerate(vals):
             window_vals = [v for _t, v in vals[max(0, i - 5): i + 1]]
             assert min(window_vals) - 1e-9 <= got[(c, t)] <= max(window_vals) + 1e-9
+
+
+def test_halo_tails_are_a_map_side_top_k(spark):
+    """The block tails come from a WindowGroupLimit below the exchange, and no
+    join touches the full table: the only broadcast side is the small
+    block-pairs table."""
+    obs = obs_frame(spark, [("A", f"2024-01-{d:02d} {h:02d}", 50.0, 20.0, 1.0, 22.0, 1.0, 0)
+                            for d in (1, 2) for h in range(24)])
+    plan = windows.series_features(obs, layout="halo", block_unit="day") \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
