@@ -135,3 +135,13 @@ def test_even_copies_chunked_for_tiny_class(spark):
     assert synth.count() == 320 - 3
     per_row = sorted(r["n"] for r in synth.groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect())
     assert per_row == [105, 106, 106]
+
+
+def test_hash_rank_plan_is_bucketed(spark):
+    """Ranks come from one exchange on (label, hash bucket) plus a broadcast
+    join of the small offsets table -- never a window over a whole label."""
+    df = _rows(spark, [0] * 50 + [1] * 5)
+    plan = sampling.hash_rank(df, "label", F.col("id").cast("string"), "rank") \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert "hashpartitioning(label" in plan and "_b" in plan.split("hashpartitioning(label")[1][:40]
