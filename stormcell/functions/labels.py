@@ -52,14 +52,15 @@ def correlation_label(r) -> Column:
             .otherwise(F.lit(STRONG_NEGATIVE)))
 
 
-# Plain-language sentence for a pair of variables.  Keys are
-# stored in sorted order, so every entry can be reached.
+# Plain-language sentence for a pair of variables.  Lookups
+# sort both the pair asked for and each key below, so every entry is reachable
+# whichever order the two variables come in.
 PAIR_SENTENCES = [
-    ("precipitation", "temperature_2m", "Rainfall often cools the air."),
+    ("temperature_2m", "precipitation", "Rainfall often cools the air."),
     ("temperature_2m", "windspeed_10m", "Stronger winds usually make it feel cooler."),
     ("precipitation", "windspeed_10m", "Wind and rain together are typical of storms."),
     ("relativehumidity_2m", "temperature_2m", "Hot and humid days feel especially muggy."),
-    ("precipitation", "relativehumidity_2m", "Humid air makes rain more likely."),
+    ("relativehumidity_2m", "precipitation", "Humid air makes rain more likely."),
     ("apparent_temperature", "windspeed_10m", "The wind can change the temperature you feel."),
 ]
 NO_PATTERN = "No clear pattern between these variables."

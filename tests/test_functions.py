@@ -88,3 +88,12 @@ def test_day_range_is_pushed_as_range(spark, tmp_path):
     assert "GreaterThanOrEqual(date" in pushed and "LessThan(date" in pushed
     assert "In(city" in pushed or "EqualTo(city" in pushed
     assert df.select(F.count(F.lit(1))).first()[0] == 1
+
+
+def test_every_pair_sentence_is_reachable(spark):
+    from stormcell.queries import q_corr_label
+    from tests.conftest import SF001
+    got = {(r["var1"], r["var2"]): r["sentence"] for r in q_corr_label(spark, SF001).collect()}
+    for a, b, text in labels.PAIR_SENTENCES:
+        assert got[(a, b)] == text and got[(b, a)] == text
+    assert sum(v == labels.NO_PATTERN for v in got.values()) == 20 - 12
