@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Upper bin edges (right-closed) for rain intensity 0..4.
-PRECIP_EDGES = [0.0, 5.0, 15.0, 50.0]
-# Upper bin edges (right-closed) for wind category 0..3.
-WIND_EDGES = [20.0, 40.0, 60.0]
+# Right-closed bin edges, rain intensity 0..4 and wind category 0..3.
+PRECIP_BINS = [-1, 0, 5, 15, 50, 200]
+WIND_BINS = [-1, 20, 40, 60, 100]
+
+# The inner edges decide; values beyond the outer edges are clamped into the
+# first / last bin (the scoring-time rule) instead of failing.
+PRECIP_EDGES = [float(e) for e in PRECIP_BINS[1:-1]]
+WIND_EDGES = [float(e) for e in WIND_BINS[1:-1]]
 
 
 def _c(c) -> Column:
