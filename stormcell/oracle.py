@@ -294,8 +294,9 @@ req AS (
   CASE WHEN request_date BETWEEN b.lo AND b.hi THEN 'historical' ELSE 'forecast' END AS mode
 FROM req, b"""
     o["enrich_city"] = "WITH " + CITY_DIM_CTE + """
-SELECT n.n_name AS city, c.lat, c.lon, c.city IS NOT NULL AS known
-FROM nation n LEFT JOIN city_dim c ON c.city = n.n_name"""
+SELECT cu.c_custkey, n.n_name AS city, c.lat, c.lon, c.city IS NOT NULL AS known
+FROM customer cu JOIN nation n ON n.n_nationkey = cu.c_nationkey
+LEFT JOIN city_dim c ON c.city = n.n_name"""
     o["enrich_level"] = with_(MODE, LEVELS) + """SELECT m.city, m.day, m.level,
   coalesce(lv.level_name, 'Unmapped') AS level_name, lv.color, coalesce(lv.risk, 'Unmapped') AS risk
 FROM mode_lvl m LEFT JOIN lv ON lv.level = m.level"""

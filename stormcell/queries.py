@@ -116,8 +116,12 @@ def q_route_mode(spark, sf_dir):
 # ---- lookups --------------------------------------------------------------
 
 def q_enrich_city(spark, sf_dir):
+    """One coordinate lookup per customer's home city (grows with the
+    customer table); cities without coordinates keep ``known = false``."""
     nation = read_table(spark, sf_dir, "nation")
-    req = nation.select(F.col("n_name").alias("city"))
+    customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    names = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city"))
+    req = customers.join(F.broadcast(names), "c_nationkey").select("c_custkey", "city")
     return lookups.enrich_city(req, city_dim_from_nation(nation))
 
 

@@ -13,7 +13,7 @@ from tests.conftest import SF001
 
 SLOW = {"train_eval", "top_features", "score_city_days", "score_serving_days",
         "cv_accuracy", "artifacts_roundtrip", "request_answers", "scenario_scores"}
-TABLES = ["events", "nation", "orders"]
+TABLES = ["events", "nation", "orders", "customer"]
 
 
 def _norm(v):
