@@ -109,7 +109,7 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-LANDING_VERSION = 3  # bump when a landing format changes, so old copies are not reused
+LANDING_VERSION = 4  # bump when a landing format changes, so old copies are not reused
 
 
 def landed_path(spark: SparkSession, name: str, source: str) -> str:

@@ -1,9 +1,13 @@
 """Adapter from the driver's generated tables to ``weather_obs``.
 
 The generated data has no weather, so hourly readings are derived from
-``events``: a site is ``user_id % 17``, the hour is the event's wall-clock hour,
-and each weather variable is the largest reading of one event type in that
-(site, hour).  The city name comes from ``nation``.
+``events``: a site is ``user_id % n_sites``, the hour is the event's wall-clock
+hour, and each weather variable is the largest reading of one event type in
+that (site, hour).  ``n_sites = max(17, ceil(users / 9))``: 17 sites (the
+reference's city count) on the small data sets, and more sites as the user
+base grows, so the hourly table keeps growing with the data instead of
+filling a fixed 17 x hours grid.  Site k takes the name of nation k % 25,
+suffixed with ``#(k div 25)`` beyond the first 25.
 
 Readings are kept as integers until the last step and then divided by 1024, a
 power of two: every value is then a dyadic rational, sums of them are exact in
@@ -18,7 +22,9 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-N_SITES = 17
+MIN_SITES = 17          # the reference's number of cities
+USERS_PER_SITE = 9
+N_SITES = MIN_SITES     # sites that carry coordinates in the city stand-in
 UNIT = 1024.0  # readings are integers in units of 1/1024
 
 # event type -> weather variable
@@ -41,10 +47,17 @@ def _hour_ntz(ts: Column) -> Column:
                                 F.hour(ts), F.lit(0), F.lit(0))
 
 
+def site_count(events: DataFrame) -> int:
+    """max(17, ceil(distinct users / 9)) -- a fitted scalar (one aggregate)."""
+    users = events.agg(F.countDistinct("user_id")).first()[0] or 0
+    return max(MIN_SITES, -(-users // USERS_PER_SITE))
+
+
 def weather_obs_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
+    n_sites = site_count(events)
     v = F.round(F.col("value") * 100).cast("bigint")
     ev = events.select(
-        (F.col("user_id") % N_SITES).alias("site_id"),
+        (F.col("user_id") % n_sites).alias("site_id"),
         _hour_ntz(F.col("ts")).alias("date"),
         F.col("event_type"),
         v.alias("v"),
@@ -65,11 +78,13 @@ def weather_obs_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
     def scaled(c: Column) -> Column:
         return c.cast("double") / F.lit(UNIT)
 
-    sites = nation.select(F.col("n_nationkey").cast("bigint").alias("site_id"),
-                          F.col("n_name").alias("city"))
+    names = nation.select(F.col("n_nationkey").cast("bigint").alias("_nk"),
+                          F.col("n_name"))
+    city = F.when(F.col("site_id") < 25, F.col("n_name")).otherwise(
+        F.concat(F.col("n_name"), F.lit("#"), F.expr("site_id div 25").cast("string")))
     # nation is a fixed 25-row dimension
-    return g.join(F.broadcast(sites), "site_id").select(
-        F.col("city"),
+    return g.join(F.broadcast(names), F.col("site_id") % 25 == F.col("_nk")).select(
+        city.alias("city"),
         F.col("date"),
         F.when(F.col("h_v").isNull(), F.lit(None).cast("double"))
          .otherwise(scaled(F.least(F.lit(102400), F.lit(40960) + 2 * F.col("h_v"))))
@@ -118,8 +133,11 @@ def city_dim_from_nation(nation: DataFrame) -> DataFrame:
 
 # The same derivation as DuckDB SQL (a CTE named ``obs``), used by the oracle.
 OBS_CTE = """
+obs_n AS (
+  SELECT greatest(17, (count(DISTINCT user_id) + 8) // 9) AS n_sites FROM events
+),
 obs_ev AS (
-  SELECT user_id % 17 AS site_id,
+  SELECT user_id % (SELECT n_sites FROM obs_n) AS site_id,
          date_trunc('hour', ts) AS date,
          event_type,
          CAST(round(value * 100) AS BIGINT) AS v
@@ -136,7 +154,9 @@ obs_g AS (
   FROM obs_ev GROUP BY site_id, date
 ),
 obs AS (
-  SELECT n.n_name AS city, g.date,
+  SELECT CASE WHEN g.site_id < 25 THEN n.n_name
+              ELSE n.n_name || '#' || CAST(g.site_id // 25 AS VARCHAR) END AS city,
+         g.date,
          CASE WHEN g.h_v IS NULL THEN NULL
               ELSE CAST(least(102400, 40960 + 2 * g.h_v) AS DOUBLE) / 1024.0 END
            AS relativehumidity_2m,
@@ -145,7 +165,7 @@ obs AS (
          CAST(22528 + g.a_v AS DOUBLE) / 1024.0 AS apparent_temperature,
          CAST(5 * g.w_v AS DOUBLE) / 1024.0 AS windspeed_10m,
          CAST(least(5, g.all_v // 6000) AS INTEGER) AS suspension
-  FROM obs_g g JOIN nation n ON n.n_nationkey = g.site_id
+  FROM obs_g g JOIN nation n ON n.n_nationkey = g.site_id % 25
 )"""
 
 CITY_DIM_CTE = """
