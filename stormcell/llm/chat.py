@@ -29,16 +29,17 @@ BLOCK = 256
 SEGMENT = 16
 END = "<|end|>\n"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
+ROLE_ESCAPES = (*ESCAPES, ("|", "&#124;"))  # a role also ends at a mark's bar
 
 
-def escape(c: Column) -> Column:
-    for raw, safe in ESCAPES:
+def escape(c: Column, pairs=ESCAPES) -> Column:
+    for raw, safe in pairs:
         c = F.replace(c, F.lit(raw), F.lit(safe))
     return c
 
 
-def unescape(c: Column) -> Column:
-    for raw, safe in reversed(ESCAPES):
+def unescape(c: Column, pairs=ESCAPES) -> Column:
+    for raw, safe in reversed(pairs):
         c = F.replace(c, F.lit(safe), F.lit(raw))
     return c
 
@@ -73,7 +74,7 @@ def numbered(turns: DataFrame, tokens=about_tokens) -> DataFrame:
 
 
 def _render(t: Column) -> Column:
-    return F.concat(F.lit("<|"), escape(t["role"]), F.lit("|>\n"), escape(t["text"]), F.lit(END))
+    return F.concat(F.lit("<|"), escape(t["role"], ROLE_ESCAPES), F.lit("|>\n"), escape(t["text"]), F.lit(END))
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS,
@@ -134,7 +135,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY
                     F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss"))
 
     def mask(state, turn):
-        start = state["at"] + F.char_length(escape(turn["role"])) + 5
+        start = state["at"] + F.char_length(escape(turn["role"], ROLE_ESCAPES)) + 5
         length = F.char_length(escape(turn["text"])).cast("long")
         span = F.struct(start.alias("start"), length.alias("length"))
         return F.struct(
@@ -156,7 +157,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     def parse(p):
         cut = F.locate("|>\n", p)
-        return F.struct(unescape(p.substr(F.lit(3), cut - 3)).alias("role"),
+        return F.struct(unescape(p.substr(F.lit(3), cut - 3), ROLE_ESCAPES).alias("role"),
                         unescape(p.substr(cut + 3, F.char_length(p))).alias("text"))
 
     targets = F.transform("loss", lambda s: unescape(

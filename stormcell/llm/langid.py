@@ -117,7 +117,7 @@ def train(docs: DataFrame, entries: int = ENTRIES) -> Model:
             rows.append([math.log(r["by"].get(lang, 0) + 0.5) - b
                          for lang, b in zip(langs, base, strict=True)])
         tables.append(t)
-    return Model(langs, tables, np.array(rows, np.float32).reshape(-1, len(langs)))
+    return Model(langs, tables, np.array(rows, np.float32).reshape(len(rows), len(langs)))
 
 
 class Scorer(dict):

@@ -167,7 +167,8 @@ def candidates(reps: DataFrame, levels: int, small: int, similarity: float):
     return stage(near, "near"), rows
 
 
-def _dense(rows: DataFrame, reps: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+def _dense(rows: DataFrame, reps: DataFrame, groups: DataFrame, similarity: float,
+           block: int) -> DataFrame:
     """Links between different groups inside the buckets that stayed large:
     all blocks of a bucket against each other by sketches."""
     least = least_agreement(similarity)
@@ -176,7 +177,7 @@ def _dense(rows: DataFrame, reps: DataFrame, groups: DataFrame, similarity: floa
     mixed = (member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo <> hi").select("key"))
     blocks = (member.join(mixed, "key")
-              .withColumn("blocks", F.ceil(F.col("n") / DENSE_BLOCK).cast("int"))
+              .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
               .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("key", "id", "root", "block",
@@ -285,7 +286,8 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float,
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
-                    levels: int = LEVELS, small: int = SMALL) -> DataFrame:
+                    levels: int = LEVELS, small: int = SMALL, block: int = BLOCK,
+                    dense_block: int = DENSE_BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored).
 
     doc_id; class_id: the smallest doc_id among the documents connected by
@@ -303,12 +305,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     reps = sig.join(sets.select(F.col("rep").alias(UID), "copies"), UID)
     near, dense = candidates(reps, levels, small, similarity)
     groups = components(near, "a", "b")
-    more = stage(_dense(dense, reps, groups, similarity), "dense")
+    more = stage(_dense(dense, reps, groups, similarity, dense_block), "dense")
     if not more.isEmpty():
         groups = components(near.union(more), "a", "b")
     members = groups.join(sets, groups["node"] == sets["rep"]).select(
         F.col("node").alias("id"), "copies", "root")
-    found = stage(exact_links(docs, members, similarity), "links")
+    found = stage(exact_links(docs, members, similarity, block), "links")
     top = found.where("blocks = 1").select("id", "top")
     across = components(found.where("blocks > 1"), "id", "top")
     top = top.union(across.select("node", "root"))

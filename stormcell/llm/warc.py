@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import UID, stage, with_uid
+from .common import stage
 
 LEVEL = 1
 CHUNK = 1 << 20
@@ -122,65 +122,74 @@ def _page_of(uri: str | None):
 
 def write_archives(pages: DataFrame, root: str, date: str = DATE) -> DataFrame:
     """One monolithic archive per partition of ``pages`` (page_id, url, html);
-    returns (archive, part, records)."""
+    returns a row per record: archive, place (in the archive), page_id, bytes
+    and digest of the payload."""
+    names = ["archive", "place", "page_id", "bytes", "digest"]
+
     def write(batches):
-        out = stream = fs = path = None
-        n = part = 0
+        out = stream = path = None
+        place = 0
         for batch in batches:
-            for uid, page, url, html in zip(*(batch.column(c).to_pylist()
-                                              for c in (UID, "page_id", "url", "html")), strict=True):
-                if out is None:
-                    part = uid >> 33
-                    fs, folder = open_fs(root)
-                    path = f"{folder}/raw-{part:06d}-{uuid.uuid4().hex}.warc.gz"
-                    fs.create_dir(folder, recursive=True)
-                    stream = fs.open_output_stream(path, compression=None)
-                    out = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            if not batch.num_rows:
+                continue
+            if out is None:
+                fs, folder = open_fs(root)
+                path = f"{folder}/raw-{uuid.uuid4().hex}.warc.gz"
+                fs.create_dir(folder, recursive=True)
+                stream = fs.open_output_stream(path, compression=None)
+                out = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            ids = batch.column("page_id").to_pylist()
+            sizes, digests = [], []
+            first = place
+            for page, url, html in zip(ids, batch.column("url").to_pylist(),
+                                       batch.column("html").to_pylist(), strict=True):
                 body = (html or "").encode("utf-8", "surrogatepass")
+                sizes.append(len(body))
+                digests.append(hashlib.sha256(body).hexdigest())
                 stream.write(out.compress(record(
-                    [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:row:{uid}>"),
+                    [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:row:{place}>"),
                      ("WARC-Concurrent-To", _page_uri(page)), ("WARC-Date", date),
                      ("WARC-Target-URI", _clean(url or "urn:none")),
                      ("Content-Type", "application/http;msgtype=response")],
                     HTTP % len(body) + body)))
-                n += 1
+                place += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([path] * len(ids)), pa.array(range(first, place), pa.int64()),
+                 pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests)],
+                names=names)
         if out is not None:
             stream.write(out.flush())
             stream.close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path]), pa.array([part], pa.int64()), pa.array([n], pa.int64())],
-                names=["archive", "part", "records"])
-
-    return (with_uid(pages).select(UID, F.col("page_id").cast("long").alias("page_id"),
-                                   F.col("url").cast("string"), F.col("html").cast("string"))
-            .mapInArrow(write, "archive string, part long, records long"))
-
-
-def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(part, _uid, digest, refers_to) of the rows whose payload, of at least
-    ``least_bytes``, an earlier row holds: that with the smallest page_id (nulls
-    last, then the first row)."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    sums = stage(with_uid(pages).where(F.octet_length(html) >= least_bytes).select(
-        UID, F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest")),
-        "digests")
+
+    return (pages.select(F.col("page_id").cast("long").alias("page_id"),
+                         F.col("url").cast("string"), F.col("html").cast("string"))
+            .mapInArrow(write, "archive string, place long, page_id long, bytes long, digest string"))
+
+
+def revisits(written: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """(archive, place, refers_to) of the records whose payload, of at least
+    ``least_bytes``, an earlier one holds: that with the smallest page_id (nulls
+    last, then the first by archive and place)."""
+    sums = written.where(F.col("bytes") >= least_bytes)
     first = (sums.groupBy("digest").agg(
-        F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", UID)).alias("first"),
-        F.count("*").alias("n")).where("n > 1"))
-    return (sums.join(first, "digest").where(F.col(UID) != F.col(f"first.{UID}"))
-            .select(F.shiftright(UID, 33).alias("part"), UID, F.col("first.page_id").alias("refers_to")))
+        F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "archive", "place"))
+        .alias("first"), F.count("*").alias("n")).where("n > 1"))
+    return (sums.join(first, "digest")
+            .where((F.col("archive") != F.col("first.archive"))
+                   | (F.col("place") != F.col("first.place")))
+            .select("archive", "place", F.col("first.page_id").alias("refers_to")))
 
 
-def normalise(archives: DataFrame, repeats: DataFrame, root: str) -> DataFrame:
+def normalise(written: DataFrame, repeats: DataFrame, root: str) -> DataFrame:
     """Writes the archives again with a gzip member per record, and beside each
     an index with a line per record: offset, length, type, record id, digest.
 
     ``repeats``: the rows to become revisits.  Those of one archive (a file, so
     a bounded number) travel to its task.  Returns (archive, index, records).
     """
-    per_file = repeats.groupBy("part").agg(
-        F.map_from_entries(F.collect_list(F.struct(UID, F.struct("refers_to")))).alias("again"))
-    work = (archives.join(per_file, "part", "left").select("archive", "again")
+    per_file = repeats.groupBy("archive").agg(
+        F.map_from_entries(F.collect_list(F.struct("place", F.struct("refers_to")))).alias("again"))
+    work = (written.select("archive").distinct().join(per_file, "archive", "left")
             .repartition(F.col("archive")))
 
     def run(batches):
@@ -197,12 +206,12 @@ def normalise(archives: DataFrame, repeats: DataFrame, root: str) -> DataFrame:
                     for fields, block in records(inflate(raw)):
                         payload = payload_of(block)
                         digest = hashlib.sha256(payload).hexdigest()
-                        uid = int(fields["WARC-Record-ID"][len("<urn:row:"):-1])
+                        place = int(fields["WARC-Record-ID"][len("<urn:row:"):-1])
                         kind, more = "response", []
-                        if uid in again:
+                        if place in again:
                             kind = "revisit"
                             more = [("WARC-Profile", REVISIT),
-                                    ("WARC-Refers-To", _page_uri(again[uid]["refers_to"]))]
+                                    ("WARC-Refers-To", _page_uri(again[place]["refers_to"]))]
                             block = block[:len(block) - len(payload)]
                         head = [(k, kind if k == "WARC-Type" else v) for k, v in fields.items()
                                 if k != "Content-Length"]
@@ -211,7 +220,7 @@ def normalise(archives: DataFrame, repeats: DataFrame, root: str) -> DataFrame:
                             [*head, ("WARC-Payload-Digest", f"sha256:{digest}"), *more], block))
                         data += gz.flush()
                         out.write(data)
-                        index.write(f"{at}\t{len(data)}\t{kind}\t{uid}\t{digest}\n".encode())
+                        index.write(f"{at}\t{len(data)}\t{kind}\t{place}\t{digest}\n".encode())
                         at += len(data)
                         n += 1
                 yield pa.RecordBatch.from_arrays(
@@ -279,5 +288,5 @@ def archive_pages(pages: DataFrame, root: str | None = None,
     """
     root = root or scratch_path(pages.sparkSession, "warc")
     raw = stage(write_archives(pages, root), "archives")
-    new = stage(normalise(raw, revisits(pages, least_bytes), root), "normalised")
+    new = stage(normalise(raw, revisits(raw, least_bytes), root), "normalised")
     return read_archives(new, root)
