@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ROWS
+from .common import CACHE_ROWS, stage
 
 MAX_GRAM = 5
 ENTRIES = 60_000
@@ -47,29 +47,30 @@ def grams(word: str):
             yield n, w[i:i + n]
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(lang, kind, gram, n): kind 0 are words, kind k the k-grams."""
+def _table(tables: list[tuple[str, int, Counter]]) -> pa.RecordBatch:
+    langs, kinds, keys, ns = [], [], [], []
+    for lang, kind, t in tables:
+        langs += [lang] * len(t)
+        kinds += [kind] * len(t)
+        keys += t.keys()
+        ns += t.values()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(keys, pa.string()),
+         pa.array(ns, pa.int64())], names=["lang", "kind", "gram", "n"])
+
+
+COUNTS = "lang string, kind int, gram string, n long"
+
+
+def _summed(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, kind 0, gram, n): the words of each language."""
     def count(batches):
         words: dict[str, Counter] = {}
         size = 0
-
-        def out():
-            langs, kinds, keys, ns = [], [], [], []
-            for lang, found in words.items():
-                tables = [found, *(Counter() for _ in range(MAX_GRAM))]
-                for w, n in found.items():
-                    for k, g in grams(w):
-                        tables[k][g] += n
-                for k, t in enumerate(tables):
-                    langs += [lang] * len(t)
-                    kinds += [k] * len(t)
-                    keys += t.keys()
-                    ns += t.values()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()),
-                 pa.array(keys, pa.string()), pa.array(ns, pa.int64())],
-                names=["lang", "kind", "gram", "n"])
-
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(),
                                   batch.column("text").to_pylist(), strict=True):
@@ -78,13 +79,32 @@ def counts(docs: DataFrame) -> DataFrame:
                 c.update(letters(text))
                 size += len(c) - before
                 if size > CACHE_ROWS:
-                    yield out()
+                    yield _table([(lang, 0, c) for lang, c in words.items()])
                     words, size = {}, 0
-        yield out()
+        yield _table([(lang, 0, c) for lang, c in words.items()])
+
+    return _summed(docs.where("lang is not null and text is not null").select("lang", "text")
+                   .mapInArrow(count, COUNTS))
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """(lang, kind k, gram, n): the k-grams of the counted words."""
+    def count(batches):
+        tables: dict[tuple[str, int], Counter] = {}
+        size = 0
+        for batch in batches:
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "gram", "n")),
+                                     strict=True):
+                for k, g in grams(word):
+                    t = tables.setdefault((lang, k), Counter())
+                    size += g not in t
+                    t[g] += n
+                if size > CACHE_ROWS:
+                    yield _table([(*key, t) for key, t in tables.items()])
+                    tables, size = {}, 0
+        yield _table([(*key, t) for key, t in tables.items()])
 
-    return (docs.where("lang is not null and text is not null").select("lang", "text")
-            .mapInArrow(count, "lang string, kind int, gram string, n long")
-            .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
+    return _summed(words.mapInArrow(count, COUNTS))
 
 
 class Model:
@@ -94,8 +114,8 @@ class Model:
 
 def train(docs: DataFrame, entries: int = ENTRIES) -> Model:
     """Model of the languages in ``docs`` (text, lang); rows without either are left out."""
-    from .common import stage
-    table = stage(counts(docs), "language-counts")
+    words = stage(word_counts(docs), "language-words")
+    table = words.union(stage(gram_counts(words), "language-grams"))
     total = {(r["lang"], r["kind"]): (r["t"], r["v"]) for r in table.groupBy("lang", "kind").agg(
         F.sum("n").alias("t"), F.count("*").alias("v")).limit(MAX_LANGUAGES * (MAX_GRAM + 1) + 1)
         .collect()}
@@ -104,7 +124,9 @@ def train(docs: DataFrame, entries: int = ENTRIES) -> Model:
         raise ValueError(f"over {MAX_LANGUAGES} languages: the model would not be bounded")
     entries = min(entries, MODEL_CELLS // max(1, len(langs) * (MAX_GRAM + 1)))
     by_gram = table.groupBy("kind", "gram").agg(
-        F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0))
+                                   .alias(f"n{k}") for k, lang in enumerate(langs)])
+    by_lang = F.array([F.col(f"n{k}") for k in range(len(langs))]).alias("by")
     tables: list[dict[str, int]] = []
     rows = []
     for kind in range(MAX_GRAM + 1):
@@ -112,10 +134,10 @@ def train(docs: DataFrame, entries: int = ENTRIES) -> Model:
         base = [math.log(total.get((lang, kind), (0, 0))[0] + total.get((lang, kind), (0, 0))[1] + 1)
                 for lang in langs]
         for r in (by_gram.where(F.col("kind") == kind).orderBy(F.desc("all"), "gram")
-                  .limit(entries).collect()):
+                  .limit(entries).select("gram", by_lang).collect()):
             t[r["gram"]] = len(rows)
-            rows.append([math.log(r["by"].get(lang, 0) + 0.5) - b
-                         for lang, b in zip(langs, base, strict=True)])
+            rows.append(np.array([math.log(n + 0.5) - b for n, b in zip(r["by"], base, strict=True)],
+                                 np.float32))
         tables.append(t)
     return Model(langs, tables, np.array(rows, np.float32).reshape(len(rows), len(langs)))
 
