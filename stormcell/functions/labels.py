@@ -14,9 +14,11 @@ def _c(c) -> Column:
 
 
 def risk_label(level) -> Column:
-    """names[min(level, 4)]"""
+    """names[min(level, 4)]; null without a level (``least`` would skip the null)"""
     names = F.array(*[F.lit(n) for n in RISK_LEVELS])
-    return F.element_at(names, F.least(_c(level), F.lit(len(RISK_LEVELS) - 1)) + 1)
+    lv = _c(level)
+    return F.when(lv.isNotNull(), F.element_at(
+        names, F.least(lv, F.lit(len(RISK_LEVELS) - 1)) + 1))
 
 
 def final_level(model_level, rule_level) -> Column:
@@ -24,8 +26,9 @@ def final_level(model_level, rule_level) -> Column:
 
 
 def decision_source(model_level, rule_level) -> Column:
-    """Which side the final level is justified by; none at level 0."""
-    m, r = _c(model_level), _c(rule_level)
+    """Which side the final level is justified by; none at level 0.  A missing
+    level counts as 0, so it never takes the credit."""
+    m, r = (F.coalesce(_c(x), F.lit(0)) for x in (model_level, rule_level))
     return (F.when(F.greatest(m, r) <= 0, F.lit("none"))
             .when(r > m, F.lit("rules"))
             .otherwise(F.lit("model")))

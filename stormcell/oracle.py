@@ -252,7 +252,7 @@ def _sentence_sql() -> str:
 
 def _box_sql() -> str:
     longs = "\nUNION ALL ".join(
-        f"SELECT suspension AS level, {_q(v)} AS variable, CAST({v} AS DOUBLE) AS value FROM filtered"
+        f"SELECT suspension AS level, {_q(v)} AS variable, CAST({v} AS DOUBLE) AS value FROM obs"
         for v in BOX_VARS)
     return f"""lng AS (SELECT * FROM ({longs}) WHERE value IS NOT NULL AND level IS NOT NULL),
 st AS (
@@ -303,7 +303,7 @@ FROM mode_lvl m LEFT JOIN lv ON lv.level = m.level"""
     o["suspension_map"] = with_(MODE, LEVELS, CITY_DIM_CTE.strip()) + """SELECT m.city, m.day,
   c.lat, c.lon, m.level, coalesce(lv.level_name, 'Unmapped') AS level_name, lv.color,
   coalesce(lv.risk, 'Unmapped') AS risk
-FROM mode_lvl m JOIN city_dim c ON c.city = m.city LEFT JOIN lv ON lv.level = m.level"""
+FROM mode_lvl m LEFT JOIN city_dim c ON c.city = m.city LEFT JOIN lv ON lv.level = m.level"""
     o["rule_wind"] = with_() + (f"SELECT city, date, {wind_signal_sql('windspeed_10m')} AS wind_signal, "
                                 f"{wind_level_sql('windspeed_10m')} AS wind_level FROM obs")
     o["rule_rain"] = with_() + (
@@ -322,8 +322,8 @@ FROM mode_lvl m JOIN city_dim c ON c.city = m.city LEFT JOIN lv ON lv.level = m.
 FROM cd JOIN mode_lvl m USING (city, day) GROUP BY ALL"""
     o["final_decision"] = with_(SUMMARY, MODE, LEVELS) + f"""SELECT x.city, x.day, x.level, x.rule_level,
   greatest(x.level, x.rule_level) AS final_level,
-  CASE WHEN greatest(x.level, x.rule_level) <= 0 THEN 'none'
-       WHEN x.rule_level > x.level THEN 'rules' ELSE 'model' END AS decision_source,
+  CASE WHEN greatest(coalesce(x.level, 0), x.rule_level) <= 0 THEN 'none'
+       WHEN x.rule_level > coalesce(x.level, 0) THEN 'rules' ELSE 'model' END AS decision_source,
   coalesce(lv.level_name, 'Unmapped') AS level_name, coalesce(lv.risk, 'Unmapped') AS risk
 FROM (SELECT cd.city, cd.day, m.level, {rule_level_sql()} AS rule_level
       FROM cd JOIN mode_lvl m USING (city, day)) x
@@ -335,27 +335,27 @@ LEFT JOIN lv ON lv.level = greatest(x.level, x.rule_level)"""
   avg(windspeed_10m) AS windspeed_mean, max(windspeed_10m) AS windspeed_max,
   avg(relativehumidity_2m) AS humidity_mean, count(*) AS count
 FROM imputed WHERE suspension IS NOT NULL GROUP BY suspension"""
-    o["range_kpis"] = with_(FILTERED) + """SELECT count(*) AS total_records,
+    o["range_kpis"] = with_() + """SELECT count(*) AS total_records,
   avg(CASE WHEN suspension > 0 THEN 1 ELSE 0 END) * 100 AS suspension_rate_pct,
   avg(precipitation) AS avg_precipitation, avg(temperature_2m) AS avg_temperature
-FROM filtered"""
-    o["days_per_level"] = with_(FILTERED) + """SELECT suspension AS level,
+FROM obs"""
+    o["days_per_level"] = with_() + """SELECT suspension AS level,
   count(DISTINCT CAST(date AS DATE)) AS days
-FROM filtered WHERE suspension IS NOT NULL AND suspension < 5 GROUP BY suspension"""
-    o["city_ranking"] = with_(FILTERED) + """SELECT city, mean_level, n_records,
+FROM obs WHERE suspension IS NOT NULL AND suspension < 5 GROUP BY suspension"""
+    o["city_ranking"] = with_() + """SELECT city, mean_level, n_records,
   CAST(row_number() OVER (ORDER BY mean_level DESC NULLS LAST, city) AS INTEGER) AS rank
 FROM (SELECT city, avg(suspension) AS mean_level, count(suspension) AS n_records
-      FROM filtered WHERE city IS NOT NULL GROUP BY city)"""
-    o["daily_trend"] = with_(FILTERED) + """SELECT CAST(date AS DATE) AS day,
-  avg(suspension) AS avg_suspension FROM filtered GROUP BY 1"""
-    o["hour_weekday_pivot"] = with_(FILTERED) + f"""SELECT CAST(isodow(date) - 1 AS INTEGER) AS weekday,
+      FROM obs WHERE city IS NOT NULL GROUP BY city)"""
+    o["daily_trend"] = with_() + """SELECT CAST(date AS DATE) AS day,
+  avg(suspension) AS avg_suspension FROM obs GROUP BY 1"""
+    o["hour_weekday_pivot"] = with_() + f"""SELECT CAST(isodow(date) - 1 AS INTEGER) AS weekday,
   dayname(date) AS day_name, CAST(hour(date) AS INTEGER) AS hour,
   avg({PIVOT_VARIABLE}) AS mean_value
-FROM filtered GROUP BY ALL HAVING avg({PIVOT_VARIABLE}) IS NOT NULL"""
-    o["hour_weekday_wide"] = with_(FILTERED) + "SELECT CAST(isodow(date) - 1 AS INTEGER) AS weekday, " \
+FROM obs GROUP BY ALL HAVING avg({PIVOT_VARIABLE}) IS NOT NULL"""
+    o["hour_weekday_wide"] = with_() + "SELECT CAST(isodow(date) - 1 AS INTEGER) AS weekday, " \
         "dayname(date) AS day_name, " + ", ".join(
             f"avg(CASE WHEN hour(date) = {h} THEN {PIVOT_VARIABLE} END) AS h{h:02d}"
-            for h in range(24)) + " FROM filtered GROUP BY ALL"
+            for h in range(24)) + " FROM obs GROUP BY ALL"
     o["corr_matrix"] = with_(_corr_rows()) + "SELECT var_x, var_y, round(r, 9) AS r FROM cm"
     o["corr_label"] = with_(_corr_rows()) + f"""SELECT var_x AS var1, var_y AS var2,
   round(r, 9) AS r,
@@ -363,7 +363,7 @@ FROM filtered GROUP BY ALL HAVING avg({PIVOT_VARIABLE}) IS NOT NULL"""
   {_sentence_sql()} AS sentence
 FROM cm WHERE var_x <> var_y"""
     o["day_extremes"] = with_(EXTREMES) + "SELECT * FROM ext"
-    o["box_stats"] = with_(FILTERED, _box_sql()) + """SELECT s.level, s.variable, s.n, s.min, s.q1,
+    o["box_stats"] = with_(_box_sql()) + """SELECT s.level, s.variable, s.n, s.min, s.q1,
   s.median, s.q3, s.max, s.iqr, s.fence_low, s.fence_high,
   CAST(sum(CASE WHEN l.value < s.fence_low OR l.value > s.fence_high THEN 1 ELSE 0 END) AS BIGINT)
     AS n_outliers,
@@ -428,7 +428,8 @@ FROM imputed"""
   CAST(row_number() OVER (ORDER BY city) - 1 AS INTEGER) AS city_encoded
 FROM (SELECT DISTINCT city FROM obs WHERE city IS NOT NULL)"""
     o["risk_label"] = with_(MODE) + """SELECT city, day, level,
-  (['None', 'Low', 'Medium', 'High', 'Critical'])[least(level, 4) + 1] AS risk_level FROM mode_lvl"""
+  CASE WHEN level IS NOT NULL
+    THEN (['None', 'Low', 'Medium', 'High', 'Critical'])[least(level, 4) + 1] END AS risk_level FROM mode_lvl"""
     shares = ", ".join(
         f"avg(CASE WHEN suspension IS NULL THEN NULL WHEN suspension = {i} THEN CAST(1 AS DOUBLE) "
         f"ELSE CAST(0 AS DOUBLE) END) AS p{i}" for i in range(6))
