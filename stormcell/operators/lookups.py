@@ -9,23 +9,26 @@ from ..session import checkpoint
 
 # Largest side we are willing to ship to every executor.
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 128 << 20
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                       materialize: bool = False) -> DataFrame:
     """Broadcast hint only when the side is proven small.
 
-    The check reads at most ``max_rows + 1`` rows (a limit, not a full count);
-    a larger side is returned unchanged and the join falls back to a shuffle
-    join chosen by Catalyst / AQE.  With ``materialize`` the side is first
+    The check counts the rows and the bytes of their text (a partial aggregate
+    per task); a larger side is returned unchanged and the join falls back to a
+    shuffle join chosen by Catalyst / AQE.  With ``materialize`` the side is first
     written to the shared checkpoint folder, so a side that is expensive to
     derive (it scans the big table) is computed once, not once for the check
     and again for the join.
     """
     if materialize:
         df = checkpoint(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(
+        F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    small = size["n"] <= max_rows and size["bytes"] <= BROADCAST_MAX_BYTES
+    return F.broadcast(df) if small else df
 
 
 def enrich_city(requests: DataFrame, cities: DataFrame, city_col: str = "city") -> DataFrame:
@@ -40,7 +43,7 @@ def enrich_city(requests: DataFrame, cities: DataFrame, city_col: str = "city")
 def enrich_level(df: DataFrame, levels: DataFrame, level_col: str = "level") -> DataFrame:
     """level -> name/color/risk.  Level 5 has no row: it is kept as 'Unmapped'."""
     dim = levels.select(F.col("level").alias(level_col), "level_name", "color", "risk")
-    return (df.join(F.broadcast(dim), level_col, "left")
+    return (df.join(broadcast_checked(dim), level_col, "left")
             .withColumn("level_name", F.coalesce(F.col("level_name"), F.lit("Unmapped")))
             .withColumn("risk", F.coalesce(F.col("risk"), F.lit("Unmapped"))))
 
@@ -49,9 +52,9 @@ def suspension_map(city_days: DataFrame, cities: DataFrame, levels: DataFrame,
                    level_col: str = "level") -> DataFrame:
     """One row per (city, day) with coordinates and level colour/name.
 
-    Cities with no data for the day simply have no row (the reference drops
-    failed lookups); level 5 is kept as 'Unmapped' instead of dropping the city.
+    A city without coordinates keeps its row with nulls, and level 5 is kept as
+    'Unmapped': no city-day is lost.
     """
     with_city = city_days.join(broadcast_checked(cities.select("city", "lat", "lon")),
-                               "city", "inner")
+                               "city", "left")
     return enrich_level(with_city, levels, level_col)

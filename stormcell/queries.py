@@ -20,9 +20,9 @@ from .operators import filters, impute, lookups, rules, sampling, scaling, score
 from .plans import features as feat
 from .plans import scoring, serving, training
 from .schema import SCALED_COLS, WEATHER_COLS
-from .session import land_once, landed_path, scratch_path
+from .session import checkpoint, land_once, landed_path, scratch_path, source_state
 from .sources import csv_source, dims, forecast
-from .sources.fixture import city_dim_from_nation, load_obs, read_table
+from .sources.fixture import city_dim_from_sites, load_obs, read_table
 from .streaming import city_day_stream as stream
 
 # Fixed query parameters (repeated in the oracle SQL).
@@ -115,14 +115,19 @@ def q_route_mode(spark, sf_dir):
 
 # ---- lookups --------------------------------------------------------------
 
+def _cities(spark, sf_dir) -> DataFrame:
+    return city_dim_from_sites(read_table(spark, sf_dir, "events"),
+                               read_table(spark, sf_dir, "nation"))
+
+
 def q_enrich_city(spark, sf_dir):
     """One coordinate lookup per customer's home city (grows with the
     customer table); cities without coordinates keep ``known = false``."""
     nation = read_table(spark, sf_dir, "nation")
     customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     names = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city"))
-    req = customers.join(F.broadcast(names), "c_nationkey").select("c_custkey", "city")
-    return lookups.enrich_city(req, city_dim_from_nation(nation))
+    req = customers.join(names, "c_nationkey").select("c_custkey", "city")
+    return lookups.enrich_city(req, _cities(spark, sf_dir))
 
 
 def q_enrich_level(spark, sf_dir):
@@ -134,8 +139,7 @@ def q_enrich_level(spark, sf_dir):
 def q_suspension_map(spark, sf_dir):
     obs = _obs(spark, sf_dir)
     days = agg.day_level_mode(obs)
-    cities = city_dim_from_nation(read_table(spark, sf_dir, "nation"))
-    return lookups.suspension_map(days, cities, dims.level_dim(spark)).select(
+    return lookups.suspension_map(days, _cities(spark, sf_dir), dims.level_dim(spark)).select(
         "city", "day", "lat", "lon", "level", "level_name", "color", "risk")
 
 
@@ -200,23 +204,23 @@ def q_level_thresholds(spark, sf_dir):
 
 
 def q_range_kpis(spark, sf_dir):
-    return agg.range_kpis(_filtered(spark, sf_dir))
+    return agg.range_kpis(_obs(spark, sf_dir))
 
 
 def q_days_per_level(spark, sf_dir):
-    return agg.days_per_level(_filtered(spark, sf_dir))
+    return agg.days_per_level(_obs(spark, sf_dir))
 
 
 def q_city_ranking(spark, sf_dir):
-    return agg.city_ranking(_filtered(spark, sf_dir))
+    return agg.city_ranking(_obs(spark, sf_dir))
 
 
 def q_daily_trend(spark, sf_dir):
-    return agg.daily_trend(_filtered(spark, sf_dir))
+    return agg.daily_trend(_obs(spark, sf_dir))
 
 
 def q_hour_weekday_pivot(spark, sf_dir):
-    return agg.hour_weekday_long(_filtered(spark, sf_dir), PIVOT_VARIABLE)
+    return agg.hour_weekday_long(_obs(spark, sf_dir), PIVOT_VARIABLE)
 
 
 def q_hour_weekday_wide(spark, sf_dir):
@@ -224,7 +228,7 @@ def q_hour_weekday_wide(spark, sf_dir):
     The pivot-table rule that drops empty hours (``drop_empty=True``, the
     library default) yields data-dependent columns; it is unit-tested, and the
     long form above carries the same cells with an oracle."""
-    wide = agg.hour_weekday_pivot(_filtered(spark, sf_dir), PIVOT_VARIABLE, drop_empty=False)
+    wide = agg.hour_weekday_pivot(_obs(spark, sf_dir), PIVOT_VARIABLE, drop_empty=False)
     return wide.select("weekday", "day_name",
                        *[F.col(c).alias(f"h{int(c):02d}") for c in wide.columns[2:]])
 
@@ -254,13 +258,13 @@ def q_day_extremes(spark, sf_dir):
 
 
 def q_box_stats(spark, sf_dir):
-    return agg.box_stats(_filtered(spark, sf_dir))
+    return agg.box_stats(_obs(spark, sf_dir))
 
 
 def q_box_stats_approx(spark, sf_dir):
     """A12 with the bounded-memory quantile sketch (for unbounded value
     cardinality at scale); rows-only, as a sketch is not an exact oracle."""
-    return agg.box_stats(_filtered(spark, sf_dir), approx_accuracy=10_000)
+    return agg.box_stats(_obs(spark, sf_dir), approx_accuracy=10_000)
 
 
 def q_class_distribution(spark, sf_dir):
@@ -391,6 +395,12 @@ def q_weather_alerts(spark, sf_dir):
 
 # ---- split / sampling -------------------------------------------------------
 
+def _train(spark, sf_dir):
+    """The training rows, split once and kept: oversampling and folds read them
+    several times."""
+    return checkpoint(_split(spark, sf_dir).filter(~F.col("is_test")))
+
+
 def _split(spark, sf_dir):
     return sampling.stratified_split(_obs(spark, sf_dir), "suspension",
                                      training.row_key_col(), 0.2)
@@ -421,7 +431,7 @@ def q_class_weights(spark, sf_dir):
 
 
 def q_oversample_counts(spark, sf_dir):
-    train = _split(spark, sf_dir).filter(~F.col("is_test"))
+    train = _train(spark, sf_dir)
     over = sampling.oversample(train, "suspension", training.row_key_col(), 0.8,
                                noise_cols=WEATHER_COLS, noise_sd=0.02)
     return over.groupBy("suspension").agg(
@@ -431,20 +441,20 @@ def q_oversample_counts(spark, sf_dir):
 
 def q_oversample_copies(spark, sf_dir):
     """M4 per row: how many synthetic copies each training row received."""
-    train = _split(spark, sf_dir).filter(~F.col("is_test"))
+    train = _train(spark, sf_dir)
     over = sampling.oversample(train, "suspension", training.row_key_col(), 0.8)
     return over.groupBy("city", "date", "suspension").agg(
         F.sum(F.col("is_synthetic").cast("int")).alias("n_copies"))
 
 
 def q_oversample_noise(spark, sf_dir):
-    train = _split(spark, sf_dir).filter(~F.col("is_test"))
+    train = _train(spark, sf_dir)
     return sampling.oversample(train, "suspension", training.row_key_col(), 0.8,
                                noise_cols=WEATHER_COLS, noise_sd=0.02)
 
 
 def q_cv_folds(spark, sf_dir):
-    train = _split(spark, sf_dir).filter(~F.col("is_test"))
+    train = _train(spark, sf_dir)
     return sampling.cv_folds(train, "suspension", training.row_key_col(), 5).select(
         "city", "date", "suspension", "fold")
 
@@ -452,30 +462,30 @@ def q_cv_folds(spark, sf_dir):
 # ---- model ------------------------------------------------------------------
 
 def _model(spark, sf_dir):
-    return scoring.fitted_model(spark, lambda: feat.training_features(_obs(spark, sf_dir)),
-                                f"rf:{os.path.abspath(sf_dir)}")
+    return scoring.fitted_model(spark, _obs(spark, sf_dir), "rf:" + ":".join(
+        source_state(spark, sf_dir)))
 
 
 def q_train_eval(spark, sf_dir):
-    model, split = _model(spark, sf_dir)
+    model, split, *_ = _model(spark, sf_dir)
     return training.evaluate(model, split.filter(F.col("is_test")))["per_class"]
 
 
 def q_top_features(spark, sf_dir):
-    model, _ = _model(spark, sf_dir)
+    model = _model(spark, sf_dir).model
     return (training.feature_importances(spark, model)
             .orderBy(F.desc("importance"), "feature").limit(10))
 
 
 def q_score_city_days(spark, sf_dir):
-    model, split = _model(spark, sf_dir)
+    model, split, *_ = _model(spark, sf_dir)
     return scoring.score_city_days(model, split.drop("is_test"))
 
 
 def q_cv_accuracy(spark, sf_dir):
     """M8 + A21: 5-fold accuracy on the train split (folds fixed before
     oversampling), with mean and population std."""
-    _, split = _model(spark, sf_dir)
+    split = _model(spark, sf_dir).split
     cfg = training.TrainConfig(num_trees=5, max_depth=5)
     folds = training.cross_validate(split.filter(~F.col("is_test")).drop("is_test"), 5, cfg)
     return scores.with_fold_summary(folds)
@@ -485,15 +495,15 @@ def q_score_serving_days(spark, sf_dir):
     """M10, the reference's path: one feature row per (city, day) built from
     the day's aggregates, scored by the hourly-trained model."""
     obs = _obs(spark, sf_dir)
-    model, _ = _model(spark, sf_dir)
-    rows = scoring.serving_feature_rows(obs, feat.city_codes(obs), impute.fit_medians(obs))
+    model, _, codes, medians = _model(spark, sf_dir)
+    rows = scoring.serving_feature_rows(obs, codes, medians)
     return scoring.score_serving_days(model, rows)
 
 
 def q_artifacts_roundtrip(spark, sf_dir):
     """Evaluation, importances, thresholds and summary written through
     the sinks, then loaded back; returns the per-class metrics as read."""
-    model, split = _model(spark, sf_dir)
+    model, split, *_ = _model(spark, sf_dir)
     ev = training.evaluate(model, split.filter(F.col("is_test")))
     out = scratch_path(spark, "artifacts")
     training.save_artifacts(
@@ -533,11 +543,11 @@ def q_request_answers(spark, sf_dir):
     forecast summary joined with the model's prediction; unanswerable
     requests drop out."""
     obs = _obs(spark, sf_dir)
-    model, _ = _model(spark, sf_dir)
+    model, _, codes, medians = _model(spark, sf_dir)
     feed = _forecast_feed(spark, sf_dir, obs)
     fc_feats = feat.training_features(
         feed.withColumn("suspension", F.lit(None).cast("int")),
-        medians=impute.fit_medians(obs), codes=feat.city_codes(obs))
+        medians=medians, codes=codes)
     preds = scoring.score_city_days(model, fc_feats)
     days = obs.select("city", F.to_date("date").alias("day")).distinct()
     requests = days.union(days.select("city", F.date_add("day", 14).alias("day"))).distinct()
@@ -570,38 +580,37 @@ def q_scenario_scores(spark, sf_dir):
     """M11 scored: every scenario row through the model and the rules; the
     final level is the larger of the two."""
     obs = _obs(spark, sf_dir)
-    model, _ = _model(spark, sf_dir)
+    model, _, codes, _ = _model(spark, sf_dir)
     grid = serving.scenario_grid(agg.city_day_summary(obs), SCENARIO_TEMP,
                                  SCENARIO_PRECIP, SCENARIO_WIND)
-    rows = scoring.scenario_feature_rows(grid, feat.city_codes(obs))
+    rows = scoring.scenario_feature_rows(grid, codes)
     return scoring.score_scenarios(model, rows)
 
 
 # ---- streaming ----------------------------------------------------------------
 
 def q_stream_city_day(spark, sf_dir):
-    """Readings arrive in two drops -- the second also re-delivers the last
-    day of the first -- landed once per data folder.  Each call drains them
-    with availableNow into a fresh sink and state, and the latest version per
-    (city, day) is read back.  (State carried across runs and late readings
-    are exercised in tests/test_streaming.py.)"""
+    """Readings arrive in files that hold a few cities each (so event times
+    start anew with every file), and again the last day of the first half; they
+    are landed once per state of the data folder.  Each call drains them with
+    availableNow, one file per micro-batch, into a fresh sink, and the latest
+    version per (city, day) is read back."""
     obs = _obs(spark, sf_dir)
     src = landed_path(spark, "stream-drops", sf_dir)
 
-    def land(_):
+    def land(path):
         lo, hi = filters.data_bounds(obs)
         cut = dt.datetime.combine(lo + (hi - lo) // 2, dt.time())
-        redeliver = cut - dt.timedelta(days=1)
-        first = obs.filter(F.col("date") < _ntz(cut))
-        second = obs.filter((F.col("date") >= _ntz(cut)) |
-                            ((F.col("date") >= _ntz(redeliver)) & (F.col("date") < _ntz(cut))))
-        first.write.mode("overwrite").parquet(os.path.join(src, "drop=0"))
-        second.write.mode("overwrite").parquet(os.path.join(src, "drop=1"))
-
-    land_once(spark, os.path.join(src, "drop=1"), land)  # drop 1 is written last
+        again = cut - dt.timedelta(days=1)
+        (obs.repartition(3, "city").write.mode("overwrite").parquet(os.path.join(path, "drop=0")))
+        (obs.filter((F.col("date") >= _ntz(again)) & (F.col("date") < _ntz(cut))).coalesce(1)
+         .write.mode("overwrite").parquet(os.path.join(path, "drop=1")))
+
+    land_once(spark, src, land, marker="drop=1/_SUCCESS")  # drop 1 is written last
     sink = scratch_path(spark, "stream-sink")
     ckpt = scratch_path(spark, "stream-ckpt")
-    stream.run_to_sink(stream.city_day_stream(spark, src), sink, ckpt).awaitTermination()
+    stream.run_to_sink(stream.city_day_stream(spark, src, max_files_per_trigger=1),
+                       sink, ckpt).awaitTermination()
     out = stream.latest_city_days(spark, sink)
     return out.select("city", "day", *WEATHER_COLS, "n_hours", "rule_level",
                       _reasons_text().alias("reasons"))

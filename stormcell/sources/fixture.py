@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 MIN_SITES = 17          # the reference's number of cities
 USERS_PER_SITE = 9
-N_SITES = MIN_SITES     # sites that carry coordinates in the city stand-in
+NATIONS = 25            # names before the first suffix
 UNIT = 1024.0  # readings are integers in units of 1/1024
 
 # event type -> weather variable
@@ -78,13 +78,8 @@ def weather_obs_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
     def scaled(c: Column) -> Column:
         return c.cast("double") / F.lit(UNIT)
 
-    names = nation.select(F.col("n_nationkey").cast("bigint").alias("_nk"),
-                          F.col("n_name"))
-    city = F.when(F.col("site_id") < 25, F.col("n_name")).otherwise(
-        F.concat(F.col("n_name"), F.lit("#"), F.expr("site_id div 25").cast("string")))
-    # nation is a fixed 25-row dimension
-    return g.join(F.broadcast(names), F.col("site_id") % 25 == F.col("_nk")).select(
-        city.alias("city"),
+    return _named(g, nation).select(
+        "city",
         F.col("date"),
         F.when(F.col("h_v").isNull(), F.lit(None).cast("double"))
          .otherwise(scaled(F.least(F.lit(102400), F.lit(40960) + 2 * F.col("h_v"))))
@@ -97,6 +92,15 @@ def weather_obs_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
     )
 
 
+def _named(sites: DataFrame, nation: DataFrame) -> DataFrame:
+    """``sites`` (site_id, ...) with the site's ``city``."""
+    names = nation.select(F.col("n_nationkey").cast("bigint").alias("_nk"), "n_name")
+    city = F.when(F.col("site_id") < NATIONS, F.col("n_name")).otherwise(F.concat(
+        F.col("n_name"), F.lit("#"), F.expr(f"site_id div {NATIONS}").cast("string")))
+    return (sites.join(names, F.col("site_id") % NATIONS == F.col("_nk"))
+            .withColumn("city", city).drop("_nk", "n_name"))
+
+
 def derive_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly table computed from ``events`` and ``nation``.
 
@@ -121,13 +125,16 @@ def load_obs(spark: SparkSession, sf_dir: str, start=None, end=None,
     return read_obs_parquet(spark, path, start, end)
 
 
-def city_dim_from_nation(nation: DataFrame) -> DataFrame:
-    """Stand-in coordinates for the fixture's sites (integer functions of the key)."""
-    k = F.col("n_nationkey")
-    return nation.filter(k < N_SITES).select(
-        F.col("n_name").alias("city"),
-        (F.lit(14.0) + k.cast("double") / F.lit(64.0)).alias("lat"),
-        (F.lit(120.5) + k.cast("double") / F.lit(32.0)).alias("lon"),
+def city_dim_from_sites(events: DataFrame, nation: DataFrame) -> DataFrame:
+    """Stand-in coordinates (integer functions of the site) for every site the
+    events give, and for every nation."""
+    sites = nation.sparkSession.range(max(NATIONS, site_count(events))).select(
+        F.col("id").alias("site_id"))
+    k = F.col("site_id")
+    return _named(sites, nation).select(
+        "city",
+        (F.lit(14.0) + (k % 1024).cast("double") / F.lit(64.0)).alias("lat"),
+        (F.lit(120.5) + (k % 512).cast("double") / F.lit(32.0)).alias("lon"),
     )
 
 
@@ -169,9 +176,12 @@ obs AS (
 )"""
 
 CITY_DIM_CTE = """
+city_sites AS (
+  SELECT unnest(range(greatest(25, (count(DISTINCT user_id) + 8) // 9))) AS k FROM events
+),
 city_dim AS (
-  SELECT n_name AS city,
-         14.0 + CAST(n_nationkey AS DOUBLE) / 64.0 AS lat,
-         120.5 + CAST(n_nationkey AS DOUBLE) / 32.0 AS lon
-  FROM nation WHERE n_nationkey < 17
+  SELECT CASE WHEN k < 25 THEN n_name ELSE n_name || '#' || CAST(k // 25 AS VARCHAR) END AS city,
+         14.0 + CAST(k % 1024 AS DOUBLE) / 64.0 AS lat,
+         120.5 + CAST(k % 512 AS DOUBLE) / 32.0 AS lon
+  FROM city_sites JOIN nation ON n_nationkey = k % 25
 )"""
