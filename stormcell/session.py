@@ -102,27 +102,54 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _fs_exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
 
 
-LANDING_VERSION = 4  # bump when a landing format changes, so old copies are not reused
+LANDING_VERSION = 5  # bump when a landing format changes, so old copies are not reused
+
+
+def source_state(spark: SparkSession, source: str) -> tuple[str, str]:
+    """The qualified address of a folder, and a fingerprint of what is in it:
+    name, bytes, files and modification time of every entry, as the source's
+    own file system gives them."""
+    import hashlib
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = path.makeQualified(fs.getUri(), fs.getWorkingDirectory())
+    found = []
+    for entry in fs.listStatus(path):
+        size = fs.getContentSummary(entry.getPath())
+        found.append((entry.getPath().getName(), size.getLength(), size.getFileCount(),
+                      entry.getModificationTime()))
+    return path.toString(), hashlib.md5(repr(sorted(found)).encode()).hexdigest()[:12]
 
 
 def landed_path(spark: SparkSession, name: str, source: str) -> str:
-    """Stable path for a copy derived from ``source`` (one per source and format)."""
+    """Path for a copy derived from the folder ``source``: one per address and
+    state of the source, so a source that changes is landed anew."""
     import hashlib
     base = os.path.dirname(checkpoint_root(spark).rstrip("/"))
-    tag = hashlib.md5(os.path.abspath(source).encode()).hexdigest()[:12]
-    return os.path.join(base, "landed", f"{name}-v{LANDING_VERSION}-{tag}")
+    address, state = source_state(spark, source)
+    tag = hashlib.md5(address.encode()).hexdigest()[:12]
+    return os.path.join(base, "landed", f"{name}-v{LANDING_VERSION}-{tag}", state)
 
 
-def land_once(spark: SparkSession, path: str, write, refresh: bool = False) -> str:
-    """Run ``write(path)`` unless a completed copy (``_SUCCESS``) is there
-    (``refresh`` writes it again; the writers overwrite)."""
-    if refresh or not _fs_exists(spark, os.path.join(path, "_SUCCESS")):
+def land_once(spark: SparkSession, path: str, write, refresh: bool = False,
+              marker: str = "_SUCCESS") -> str:
+    """Run ``write(path)`` unless a completed copy (``marker``) is there
+    (``refresh`` writes it again; the writers overwrite).  Copies of older
+    states of the same source are removed once the new one is complete."""
+    if refresh or not path_exists(spark, os.path.join(path, marker)):
         write(path)
+        jvm = spark.sparkContext._jvm
+        here = jvm.org.apache.hadoop.fs.Path(path)
+        fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for entry in fs.listStatus(here.getParent()):
+            if entry.getPath().getName() != here.getName():
+                fs.delete(entry.getPath(), True)
     return path

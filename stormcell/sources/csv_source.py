@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import OBS_SCHEMA
+from ..session import checkpoint
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -28,8 +29,9 @@ def land_obs_parquet(obs: DataFrame, path: str) -> None:
     """Columnar copy partitioned by year/month, rows clustered by (city, time)
     so parquet row-group statistics skip on filters.  Range partitioning
     samples the keys, so a month or a hot city is split over many evenly
-    sized tasks instead of landing in one."""
-    (obs.withColumn("year", F.year("date")).withColumn("month", F.month("date"))
+    sized tasks instead of landing in one.  The rows are checkpointed first, or
+    the sampling would compute them a second time."""
+    (checkpoint(obs).withColumn("year", F.year("date")).withColumn("month", F.month("date"))
      .repartitionByRange("year", "month", "city", "date")
      .sortWithinPartitions("year", "month", "city", "date")
      .write.mode("overwrite").partitionBy("year", "month").parquet(path))
