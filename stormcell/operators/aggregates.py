@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..schema import WEATHER_COLS
 from .lookups import broadcast_checked
+from .ordering import rank, running_total
 
 # The variables compared in the correlation matrix, in display order.
 CORR_VARS = ["temperature_2m", "relativehumidity_2m", "precipitation",
@@ -109,9 +110,8 @@ def city_ranking(filtered: DataFrame) -> DataFrame:
     agg = (filtered.filter(F.col("city").isNotNull()).groupBy("city")
            .agg(F.avg("suspension").alias("mean_level"),
                 F.count("suspension").alias("n_records")))
-    # the ranking window runs over the aggregated rows (one per city)
-    w = Window.orderBy(F.desc_nulls_last("mean_level"), F.asc("city"))
-    return agg.withColumn("rank", F.row_number().over(w))
+    ranked = rank(agg, [F.desc_nulls_last("mean_level"), F.asc("city")])
+    return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
 def daily_trend(filtered: DataFrame) -> DataFrame:
@@ -191,12 +191,17 @@ def value_histogram(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 def quantiles_from_histogram(hist: DataFrame, groups: list[str], value: str,
                              probs: dict[str, float]) -> DataFrame:
     """Exact quantiles (linear interpolation between order statistics) plus
-    n, min and max per group, from a value histogram.  The cumulative window
-    runs over distinct values, never over raw rows."""
-    w = Window.partitionBy(*groups).orderBy(value)
-    h = (hist.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*groups))))
-    h = h.withColumn("_lo", F.col("_hi") - F.col("_c"))  # 0-based [lo, hi)
+    n, min and max per group, from a value histogram.  The running counts go
+    over (group, value) as one line in range partitions, so a group of very
+    many distinct values is spread over many tasks."""
+    h = running_total(hist, [*groups, value], F.col("_c"), "_hi")
+    h = h.withColumn("_lo", F.col("_hi") - F.col("_c"))
+    per_group = h.groupBy(*groups).agg(
+        F.min("_lo").alias("_base"), F.sum("_c").alias("_n"))
+    # one row per group; the running counts then start at 0 in each of them
+    h = (h.join(broadcast_checked(per_group, materialize=True), groups)
+         .withColumn("_hi", F.col("_hi") - F.col("_base"))
+         .withColumn("_lo", F.col("_lo") - F.col("_base")))
     aggs = [F.max("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")]
     for name, p in probs.items():
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
@@ -206,7 +211,6 @@ def quantiles_from_histogram(hist: DataFrame, groups: list[str], value: str,
         aggs.append(F.max(F.when((F.col("_lo") <= hi_i) & (hi_i < F.col("_hi")), F.col(value)))
                     .alias(f"_{name}_b"))
         aggs.append(F.max(pos - lo_i).alias(f"_{name}_f"))
-    # the histogram is already partitioned by the groups: no new shuffle here
     out = h.groupBy(*groups).agg(*aggs)
     for name in probs:
         a, b, f = F.col(f"_{name}_a"), F.col(f"_{name}_b"), F.col(f"_{name}_f")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lookups import broadcast_checked
+from .ordering import running_total
 
 _BUCKET_HEX = 4  # 16 bits of the hash select the bucket
 
@@ -44,7 +45,10 @@ def hash_rank(df: DataFrame, group: str, key: Column | str, rank_col: str = "ran
     offsets = counts.select(group, "_b",
                             F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"),
                             F.sum("_cnt").over(Window.partitionBy(group)).alias("_gsize"))
-    wr = Window.partitionBy(group, "_b").orderBy("_h", "_key")
+    # the other columns settle rows with equal keys, so a task that is run
+    # again ranks them alike
+    rest = [c for c, t in df.dtypes if c != group and not t.startswith(("map", "variant"))]
+    wr = Window.partitionBy(group, "_b").orderBy("_h", "_key", *rest)
     out = (with_h.join(broadcast_checked(offsets, materialize=True), [group, "_b"])
            .withColumn(rank_col, F.col("_off") + F.row_number().over(wr)))
     if size_col:
@@ -75,13 +79,9 @@ def time_split(df: DataFrame, date_col: str = "date", test_fraction: float = 0.2
     The cumulative count runs over the distinct timestamps (a histogram made
     with a partial aggregate), not over the rows."""
     hist = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_c"))
-    # one row per distinct timestamp (hours over the data's span): small
-    w_all = Window.partitionBy()
-    cum = hist.select(date_col,
-                      F.sum("_c").over(Window.orderBy(date_col).rowsBetween(
-                          Window.unboundedPreceding, 0)).alias("_cum"),
-                      F.sum("_c").over(w_all).alias("_n"))
-    n_train = F.col("_n") - F.floor(F.col("_n") * F.lit(float(test_fraction)) + F.lit(0.5))
+    cum = running_total(hist, [date_col], F.col("_c"), "_cum")
+    total = cum.agg(F.max("_cum")).first()[0] or 0
+    n_train = total - math.floor(total * float(test_fraction) + 0.5)
     # the cut-off is a fitted scalar (one aggregate job)
     cutoff = cum.filter(F.col("_cum") > n_train).agg(F.min(date_col)).first()[0]
     if cutoff is None:
@@ -141,11 +141,12 @@ def _draw_copies(small: DataFrame, label: str, seed: int, chunk: int) -> DataFra
     creates all copies of a large class; each draw is a seeded hash of
     (class, copy index), so a re-run task draws the same ranks."""
     chunks = (small.select(label, "n", "extra", F.explode(F.sequence(
-        F.lit(0), F.ceil(F.col("extra") / F.lit(chunk)).cast("int") - 1)).alias("_chunk"))
+        F.lit(0).cast("long"), F.ceil(F.col("extra") / F.lit(chunk)).cast("long") - 1))
+        .alias("_chunk"))
         .repartition(label, "_chunk"))
     draws = chunks.select(label, "n", F.explode(F.sequence(
         F.col("_chunk") * chunk + 1,
-        F.least((F.col("_chunk") + 1) * chunk, F.col("extra")).cast("int"))).alias("_copy"))
+        F.least((F.col("_chunk") + 1) * chunk, F.col("extra").cast("long")))).alias("_copy"))
     rank = F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col("_copy")), F.col("n")) + 1
     return draws.select(label, F.col("_copy"), rank.alias("_rank"))
 
@@ -183,7 +184,8 @@ def oversample(df: DataFrame, label: str, key: Column | str, ratio: float = 0.8,
             # a tiny class under a huge target: split each row's copies into
             # chunks spread over tasks before generating them
             per_row = (per_row.withColumn("_chunk", F.explode(F.sequence(
-                F.lit(0), (F.ceil(F.col("_copies") / F.lit(chunk)) - 1).cast("int"))))
+                F.lit(0).cast("long"),
+                F.ceil(F.col("_copies") / F.lit(chunk)).cast("long") - 1)))
                 .repartition(label, "_rank", "_chunk"))
             lo = F.col("_chunk") * chunk + 1
             hi = F.least((F.col("_chunk") + 1) * chunk, F.col("_copies"))

@@ -11,43 +11,76 @@ from __future__ import annotations
 
 import hashlib
 import os
+from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..session import checkpoint, checkpoint_root
+from ..operators.impute import fit_medians
+from ..session import checkpoint, checkpoint_root, path_exists
 from . import training
+from .features import city_codes, training_features
 
-_FITTED: dict[str, tuple[PipelineModel, DataFrame]] = {}
+class Fitted(NamedTuple):
+    """What scoring needs: the model, the city codes and the medians it was
+    trained with, and the split feature table."""
+    model: PipelineModel
+    split: DataFrame
+    codes: DataFrame
+    medians: dict
 
 
-def model_path(spark: SparkSession, tag: str) -> str:
+_FITTED: dict[str, Fitted] = {}
+
+
+def model_path(spark: SparkSession, tag: str, cfg: training.TrainConfig) -> str:
+    key = f"{tag}|{cfg!r}"
     return os.path.join(checkpoint_root(spark), "models",
-                        hashlib.md5(tag.encode()).hexdigest()[:16])
+                        hashlib.md5(key.encode()).hexdigest()[:16])
+
+
+def save_fitted(path: str, model: PipelineModel, codes: DataFrame, medians: dict) -> None:
+    """The whole artefact.  The medians go last: with them it is complete."""
+    model.write().overwrite().save(f"{path}/model")
+    codes.write.mode("overwrite").parquet(f"{path}/codes")
+    rows = [(c, None if v is None else float(v)) for c, v in medians.items()]
+    (codes.sparkSession.createDataFrame(rows, "column STRING, median DOUBLE").coalesce(1)
+     .write.mode("overwrite").parquet(f"{path}/medians"))
+
+
+def load_fitted(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, dict]:
+    codes = spark.read.parquet(f"{path}/codes")
+    medians = {r["column"]: r["median"] for r in spark.read.parquet(f"{path}/medians").collect()}
+    return PipelineModel.load(f"{path}/model"), codes, medians
 
 
-def fitted_model(spark: SparkSession, build_features, tag: str,
-                 cfg: training.TrainConfig = training.TrainConfig()) -> tuple[PipelineModel, DataFrame]:
-    """Model and split feature table for ``tag``, built once per session.
+def fitted_model(spark: SparkSession, obs: DataFrame, tag: str,
+                 cfg: training.TrainConfig = training.TrainConfig()) -> Fitted:
+    """Model, codes, medians and split feature table for ``tag`` and ``cfg``,
+    built once per session.
 
-    ``build_features()`` is only called when nothing is cached.  The split is
-    checkpointed into the shared folder (model fit, evaluation and scoring all
-    read it) and the model is saved there, so a later call -- or a retry after
-    a lost executor -- reads both instead of recomputing them."""
-    key = f"{spark.sparkContext.applicationId}:{tag}"
+    The split is checkpointed into the shared folder (fit, evaluation and
+    scoring all read it); model, codes and medians are saved there, and a saved
+    artefact is used with its own codes and medians, so a city that is new in
+    ``obs`` shifts no other city's code."""
+    key = f"{spark.sparkContext.applicationId}:{tag}|{cfg!r}"
     if key in _FITTED:
         return _FITTED[key]
-    split = checkpoint(training.split(build_features(), cfg))
-    path = model_path(spark, tag)
-    try:
-        model = PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - not saved yet
+    path = model_path(spark, tag, cfg)
+    saved = path_exists(spark, f"{path}/medians/_SUCCESS")
+    if saved:
+        model, codes, medians = load_fitted(spark, path)
+    else:
+        codes, medians = checkpoint(city_codes(obs)), fit_medians(obs)
+    split = checkpoint(training.split(
+        training_features(obs, medians=medians, codes=codes), cfg))
+    if not saved:
         model = training.fit(split.filter(~F.col("is_test")), cfg)
-        model.write().overwrite().save(path)
-    _FITTED[key] = (model, split)
-    return model, split
+        save_fitted(path, model, codes, medians)
+    _FITTED[key] = Fitted(model, split, codes, medians)
+    return _FITTED[key]
 
 
 def score_city_days(model: PipelineModel, features: DataFrame, n_classes: int | None = None) -> DataFrame:
