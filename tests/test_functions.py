@@ -97,3 +97,16 @@ def test_every_pair_sentence_is_reachable(spark):
     for a, b, text in labels.PAIR_SENTENCES:
         assert got[(a, b)] == text and got[(b, a)] == text
     assert sum(v == labels.NO_PATTERN for v in got.values()) == 20 - 12
+
+
+def test_null_levels(spark):
+    from pyspark.sql import functions as F
+
+    from stormcell.functions import labels
+    rows = [(None, 0), (None, 2), (None, None), (1, None), (1, 3), (3, 1), (0, 0), (5, 0)]
+    got = spark.createDataFrame(rows, "m INT, r INT").select(
+        labels.risk_label("m").alias("risk"), labels.decision_source(F.col("m"), F.col("r")).alias("src"),
+        labels.final_level("m", "r").alias("lvl")).collect()
+    assert [tuple(r) for r in got] == [
+        (None, "none", 0), (None, "rules", 2), (None, "none", None), ("Low", "model", 1),
+        ("Low", "rules", 3), ("High", "model", 3), ("None", "none", 0), ("Critical", "model", 5)]

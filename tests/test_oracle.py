@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from stormcell.oracle import ORACLE
+from stormcell.queries import QUERIES
 from tests.conftest import SF001
 
 SLOW = {"train_eval", "top_features", "score_city_days", "score_serving_days",
@@ -43,7 +45,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SF001)
     cur = duck.execute(E.oracle_sql()[name])
@@ -52,7 +54,7 @@ def test_matches_oracle(spark, duck, name):
     assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(ocols, cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
 def test_runs_without_oracle(spark, name):
     assert E.queries()[name](spark, SF001).count() > 0
 

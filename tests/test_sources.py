@@ -52,3 +52,37 @@ def test_docs_round_trip(spark, tmp_path):
     back = forecast.read_forecast(spark, path)
     assert sorted(back.collect()) == sorted(obs.select(back.columns).collect())
     assert F is not None
+
+
+def test_landing_follows_its_source(spark, tmp_path):
+    from stormcell.session import land_once, landed_path
+    src = str(tmp_path / "src")
+
+    def load():
+        path = land_once(spark, landed_path(spark, "copy", src),
+                         lambda p: spark.read.parquet(f"{src}/t.parquet").write.parquet(p))
+        return path, spark.read.parquet(path).count()
+
+    spark.range(3).write.parquet(f"{src}/t.parquet")
+    first, n = load()
+    assert n == 3 and load() == (first, 3)
+    spark.range(10).write.mode("overwrite").parquet(f"{src}/t.parquet")
+    second, n = load()
+    assert n == 10 and second != first
+    import os
+    assert not os.path.exists(first.replace("file:", ""))  # superseded
+
+
+def test_every_site_has_coordinates_and_no_city_day_is_lost(spark):
+    from stormcell.operators import aggregates, lookups
+    from stormcell.queries import q_suspension_map
+    from stormcell.sources import dims
+    from stormcell.sources.fixture import load_obs
+    sf = "/root/testdata/sf0.1"
+    days = aggregates.day_level_mode(load_obs(spark, sf))
+    got = q_suspension_map(spark, sf)
+    assert (got.count(), got.select("city").distinct().count()) == (5010, 167)
+    assert got.filter("lat is null").count() == 0
+    none = lookups.suspension_map(days, spark.createDataFrame([], dims.CITY_SCHEMA),
+                                  dims.level_dim(spark))
+    assert none.count() == 5010

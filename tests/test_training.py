@@ -141,3 +141,52 @@ def test_serving_feature_rows_on_short_days(spark):
     assert b["temp_lag_3h"] == 22.0  # 3 >= n: the day's mean temperature
     assert b["is_precip_peak"] == 1.0  # daily total 6 > 1.5 x head mean 2
     assert (a["city_encoded"], b["city_encoded"]) == (0.0, 1.0)
+
+
+def test_a_new_city_shifts_no_code_and_loses_no_row(spark):
+    import pytest
+
+    from stormcell.plans import features as feat
+    from tests.conftest import obs_frame
+    rows = [(c, f"2024-01-01 {h:02d}", 50.0, 25.0, 1.0, 27.0, 10.0, 0)
+            for c in ("B", "C") for h in range(3)]
+    codes = feat.city_codes(obs_frame(spark, rows))
+    later = obs_frame(spark, rows + [("A", "2024-01-01 00", 50.0, 25.0, 1.0, 27.0, 10.0, 0)])
+    enc = feat.encode_city(later, codes)
+    assert {(r["city"], r["city_encoded"]) for r in enc.collect()} == {("A", -1), ("B", 0), ("C", 1)}
+    assert enc.count() == 7
+    assert [tuple(r) for r in feat.unseen_cities(later, codes).collect()] == [("A", 1)]
+    with pytest.raises(ValueError, match="A"):
+        feat.encode_city(later, codes, policy="error")
+    back = feat.decode_city(enc.drop("city"), codes)
+    assert {(r["city_encoded"], r["city"]) for r in back.collect()} == {(-1, None), (0, "B"), (1, "C")}
+
+
+def test_saved_model_carries_codes_and_medians(spark):
+    from stormcell.plans import scoring, training
+    from stormcell.session import scratch_path
+    from stormcell.sources.fixture import load_obs
+    obs = load_obs(spark, "/root/testdata/sf0.001")
+    small = training.TrainConfig(num_trees=2, max_depth=2)
+    tag = scratch_path(spark, "tag")
+    a = scoring.fitted_model(spark, obs, tag, small)
+    b = scoring.fitted_model(spark, obs, tag, training.TrainConfig(num_trees=3, max_depth=2))
+    assert a.model.stages[-1].getNumTrees != b.model.stages[-1].getNumTrees
+    model, codes, medians = scoring.load_fitted(spark, scoring.model_path(spark, tag, small))
+    assert medians == a.medians and sorted(codes.collect()) == sorted(a.codes.collect())
+    scoring._FITTED.clear()  # as in a new session that finds the artefact
+    grown = obs.union(obs.limit(1).selectExpr("'AAA' AS city", *obs.columns[1:]))
+    c = scoring.fitted_model(spark, grown, tag, small)
+    assert sorted(c.codes.collect()) == sorted(a.codes.collect()) and c.medians == a.medians
+    assert c.split.count() == obs.count() + 1
+
+
+def test_running_total_and_rank(spark):
+    from pyspark.sql import functions as F
+
+    from stormcell.operators.ordering import rank, running_total
+    df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("k")).repartition(7)
+    got = running_total(df, ["k"], F.col("k"), "t").orderBy("k").collect()
+    assert [r["t"] for r in got] == [k * (k + 1) // 2 for k in range(1000)]
+    assert {(r["k"], r["rank"]) for r in rank(df, [F.desc("k")]).collect()} == {
+        (k, 1000 - k) for k in range(1000)}
