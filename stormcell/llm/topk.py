@@ -24,6 +24,7 @@ SCALE = 1024
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 8_192
 LEAF = 64
+MAX_TASKS = 20_000
 
 
 def scaled(embeddings: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ class BallTree:
         return [(s, -i) for s, i in best]
 
 
-def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _search(vectors: DataFrame, queries: DataFrame, k: int, tasks: int) -> DataFrame:
     """Both sides come with (dim, shard, block); a query's row follows the shard's vectors."""
     both = (vectors.select("dim", "shard", "block", F.lit(0).alias("side"), UID, "vec_id", "v",
                            F.lit(None).cast("long").alias("bar"))
@@ -133,7 +134,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                                              names=["query", "query_id", "vec_id", "score"])
 
     key = ["dim", "shard", "block"]
-    return (both.repartition(*key).sortWithinPartitions(*key, "side")
+    return (both.repartition(tasks, *key).sortWithinPartitions(*key, "side")
             .mapInArrow(run, "query long, query_id long, vec_id long, score long"))
 
 
@@ -155,8 +156,9 @@ def top_k(embeddings: DataFrame, is_query, k: int = 10, shard_rows: int = SHARD_
     queries = queries.withColumn(
         "block", F.pmod(F.xxhash64(F.lit("block"), UID), F.lit(blocks)).cast("int"))
     vectors = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tasks = min(MAX_TASKS, 2 * shards * blocks)  # a given number is not merged into fewer
     none = F.lit(None).cast("long").alias("bar")
-    home = stage(_search(vectors, queries.select("*", none), k), "home")
+    home = stage(_search(vectors, queries.select("*", none), k, tasks), "home")
     bars = (home.groupBy("query").agg(F.min("score").alias("bar"), F.count("*").alias("n"))
             .select(F.col("query").alias(UID), F.when(F.col("n") == k, F.col("bar")).alias("bar")))
     found = home
@@ -164,7 +166,7 @@ def top_k(embeddings: DataFrame, is_query, k: int = 10, shard_rows: int = SHARD_
         away = (queries.join(bars, UID, "left").withColumnRenamed("shard", "own")
                 .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
                 .where("shard <> own"))
-        found = home.union(_search(vectors, away, k))
+        found = home.union(_search(vectors, away, k, tasks))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return (found.withColumn("rank", rank).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
