@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.dims import RISK_LEVELS
+from ..sources.dims import (NO_SCOPE, RECOMMENDATION_ABOVE, RECOMMENDATIONS, RISK_LEVELS,
+                            SCOPE_TEXTS)
 
 
 def _c(c) -> Column:
@@ -21,6 +22,22 @@ def risk_label(level) -> Column:
         names, F.least(lv, F.lit(len(RISK_LEVELS) - 1)) + 1))
 
 
+def _text(level, texts, other: str) -> Column:
+    lv = _c(level)
+    expr = None
+    for k, text in texts:
+        expr = F.when(lv == k, F.lit(text)) if expr is None else expr.when(lv == k, F.lit(text))
+    return expr.when(lv.isNotNull(), F.lit(other))
+
+
+def scope_text(level) -> Column:
+    return _text(level, SCOPE_TEXTS, NO_SCOPE)
+
+
+def recommendation(level) -> Column:
+    return _text(level, RECOMMENDATIONS, RECOMMENDATION_ABOVE)
+
+
 def final_level(model_level, rule_level) -> Column:
     return F.greatest(_c(model_level), _c(rule_level))
 

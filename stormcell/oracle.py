@@ -12,10 +12,13 @@ from .functions.labels import (ALERT_TAGS, CORRELATION_BANDS, FAVORABLE, NO_PATT
                                PAIR_SENTENCES, STRONG_NEGATIVE, STRONG_POSITIVE)
 from .operators.aggregates import BOX_VARS, CORR_VARS
 from .operators.windows import PEAKS
+from .plans.serving import scenario_combinations
 from .queries import (FORECAST_DAYS, PIVOT_VARIABLE, RANGE_CITIES, RANGE_END, RANGE_START,
-                      SCATTER_PAIR, SCENARIO_PRECIP, SCENARIO_TEMP, SCENARIO_WIND, SLICE_CITY,
+                      SCATTER_PAIR, SCENARIO_DAYS, SCENARIO_HOURS, SCENARIO_HUMIDITY, SCENARIO_PRECIP, SCENARIO_TEMP, SCENARIO_WIND, SLICE_CITY,
                       SLICE_DAY)
-from .sources.dims import CRITERIA_HEAT, CRITERIA_RAIN, CRITERIA_WIND, SUSPENSION_LEVELS
+from .schema import FEATURES
+from .sources.dims import (CRITERIA_HEAT, CRITERIA_RAIN, CRITERIA_WIND, NO_SCOPE,
+                           RECOMMENDATION_ABOVE, RECOMMENDATIONS, SCOPE_TEXTS, SUSPENSION_LEVELS)
 from .sources.fixture import CITY_DIM_CTE, OBS_CTE
 
 W = ["relativehumidity_2m", "temperature_2m", "precipitation",
@@ -266,10 +269,47 @@ st2 AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS fence_low,
 
 
 def _scenario_sql() -> str:
-    combos = [(t, p, w) for t in SCENARIO_TEMP for p in SCENARIO_PRECIP for w in SCENARIO_WIND]
-    vals = ", ".join(f"({i}, CAST({t} AS DOUBLE), CAST({p} AS DOUBLE), CAST({w} AS DOUBLE))"
-                     for i, (t, p, w) in enumerate(combos))
-    return f"sc(scenario, d_temp, d_precip, d_wind) AS (VALUES {vals})"
+    vals = ", ".join(
+        f"({i}, CAST({t} AS DOUBLE), CAST({p} AS DOUBLE), CAST({w} AS DOUBLE), CAST({h} AS DOUBLE), {hour}, {days})"
+        for i, t, p, w, h, hour, days in scenario_combinations(
+            SCENARIO_TEMP, SCENARIO_PRECIP, SCENARIO_WIND, SCENARIO_HUMIDITY, SCENARIO_HOURS,
+            SCENARIO_DAYS))
+    return f"sc(scenario, d_temp, d_precip, d_wind, d_humidity, s_hour, d_days) AS (VALUES {vals})"
+
+
+def _text_sql(level: str, texts, other: str) -> str:
+    whens = " ".join(f"WHEN {level} = {k} THEN {_q(t)}" for k, t in texts)
+    return f"CASE {whens} WHEN {level} IS NOT NULL THEN {_q(other)} END"
+
+
+def _feature_sql() -> dict[str, str]:
+    f = {c: c for c in FEATURES}
+    f |= {"hour": "hour(date)", "day_of_week": "isodow(date) - 1", "month": "month(date)",
+          "is_weekend": "CAST(isodow(date) - 1 >= 5 AS INTEGER)",
+          "is_rush_hour": "CAST(hour(date) IN (7, 8, 9, 17, 18, 19) AS INTEGER)",
+          "apparent_temp_delta": "apparent_temperature - temperature_2m",
+          "precip_intensity": PRECIP_BIN, "wind_category": WIND_BIN}
+    f |= {flag: f"coalesce(CAST({x} > {mean} * CAST({factor} AS DOUBLE) AS INTEGER), 0)"
+          for flag, x, mean, factor in PEAKS}
+    return f
+
+
+PRECIP_BIN = """CASE WHEN precipitation <= 0 THEN 0 WHEN precipitation <= 5 THEN 1 WHEN precipitation <= 15 THEN 2
+       WHEN precipitation <= 50 THEN 3 WHEN precipitation IS NOT NULL THEN 4 END"""
+WIND_BIN = """CASE WHEN windspeed_10m <= 20 THEN 0 WHEN windspeed_10m <= 40 THEN 1 WHEN windspeed_10m <= 60 THEN 2
+       WHEN windspeed_10m IS NOT NULL THEN 3 END"""
+AHEAD = f"""b AS (SELECT min(CAST(date AS DATE)) AS lo, max(CAST(date AS DATE)) AS hi FROM obs),
+ahead AS (
+  SELECT city, CAST(date + INTERVAL {FORECAST_DAYS} DAY AS DATE) AS day, {", ".join(W)}
+  FROM obs, b WHERE date >= CAST(b.hi - {FORECAST_DAYS - 1} AS TIMESTAMP)
+),
+fc AS (SELECT city, day, avg(relativehumidity_2m) AS relativehumidity_2m,
+              avg(temperature_2m) AS temperature_2m, coalesce(sum(precipitation), 0.0) AS precipitation,
+              avg(apparent_temperature) AS apparent_temperature, avg(windspeed_10m) AS windspeed_10m
+       FROM ahead GROUP BY city, day),
+rd AS (SELECT DISTINCT city, CAST(date AS DATE) AS day FROM obs),
+req AS (SELECT DISTINCT city, day FROM (SELECT * FROM rd UNION ALL SELECT city, CAST(day + 14 AS DATE) FROM rd), b
+        WHERE day BETWEEN b.lo AND b.hi + {FORECAST_DAYS})"""
 
 
 def build() -> dict[str, str]:
@@ -490,29 +530,71 @@ SELECT 'forecast' AS mode, city, CAST(date AS DATE) AS day,
   CAST(NULL AS DOUBLE)
 FROM ahead GROUP BY city, CAST(date AS DATE)"""
     text_b, _n = alerts_sql("max_wind", "total_precip", "max_temp", "cd.relativehumidity_2m")
-    o["advisory_bulletin"] = with_(SUMMARY, MODE, LEVELS, EXTREMES) + f"""SELECT cd.city, cd.day, m.level,
-  {rule_level_sql('cd.windspeed_10m', 'cd.precipitation', 'cd.apparent_temperature')} AS rule_level,
-  greatest(m.level, {rule_level_sql('cd.windspeed_10m', 'cd.precipitation', 'cd.apparent_temperature')}) AS final_level,
-  CASE WHEN greatest(m.level, {rule_level_sql('cd.windspeed_10m', 'cd.precipitation', 'cd.apparent_temperature')}) <= 0 THEN 'none'
-       WHEN {rule_level_sql('cd.windspeed_10m', 'cd.precipitation', 'cd.apparent_temperature')} > m.level THEN 'rules'
+    rule = rule_level_sql("cd.windspeed_10m", "cd.precipitation", "cd.apparent_temperature")
+    o["advisory_bulletin"] = with_(SUMMARY, MODE, LEVELS, EXTREMES, CITY_DIM_CTE.strip(), f"""x AS (
+  SELECT cd.city, cd.day, m.level, {rule} AS rule_level, greatest(m.level, {rule}) AS final_level,
+    {reasons_sql('cd.windspeed_10m', 'cd.precipitation', 'cd.apparent_temperature')} AS reasons,
+    {text_b} AS alerts, ext.min_temp, ext.max_temp, ext.avg_temp, ext.max_wind, ext.avg_wind,
+    ext.total_precip, ext.max_precip_hour, cd.relativehumidity_2m
+  FROM cd JOIN mode_lvl m ON m.city = cd.city AND m.day = cd.day
+  JOIN ext ON ext.city = cd.city AND ext.day = cd.day
+)""") + f"""SELECT x.*, c.lat, c.lon,
+  CASE WHEN x.final_level <= 0 THEN 'none' WHEN x.rule_level > x.level THEN 'rules'
        ELSE 'model' END AS decision_source,
   coalesce(lv.level_name, 'Unmapped') AS level_name, coalesce(lv.risk, 'Unmapped') AS risk,
-  {reasons_sql('cd.windspeed_10m', 'cd.precipitation', 'cd.apparent_temperature')} AS reasons,
-  {text_b} AS alerts,
-  ext.min_temp, ext.max_temp, ext.avg_temp, ext.max_wind, ext.avg_wind, ext.total_precip,
-  ext.max_precip_hour, cd.relativehumidity_2m
-FROM cd JOIN mode_lvl m ON m.city = cd.city AND m.day = cd.day
-JOIN ext ON ext.city = cd.city AND ext.day = cd.day
-LEFT JOIN lv ON lv.level = greatest(m.level, {rule_level_sql('cd.windspeed_10m', 'cd.precipitation', 'cd.apparent_temperature')})"""
+  {_text_sql('x.final_level', SCOPE_TEXTS, NO_SCOPE)} AS scope,
+  {_text_sql('x.final_level', RECOMMENDATIONS, RECOMMENDATION_ABOVE)} AS recommendation
+FROM x LEFT JOIN lv ON lv.level = x.final_level LEFT JOIN city_dim c ON c.city = x.city"""
     sw, sp, sa = "s_windspeed", "s_precipitation", "s_apparent"
     o["scenario_grid"] = with_(SUMMARY, _scenario_sql(), """g AS (
-  SELECT cd.city, cd.day, sc.scenario,
+  SELECT cd.city, cd.day, sc.scenario, sc.s_hour, CAST(cd.day + sc.d_days AS DATE) AS s_day,
+         CASE WHEN cd.relativehumidity_2m IS NOT NULL
+              THEN least(100.0, greatest(0.0, cd.relativehumidity_2m + sc.d_humidity)) END AS s_humidity,
          greatest(cd.windspeed_10m + sc.d_wind, 0.0) AS s_windspeed,
          greatest(cd.precipitation + sc.d_precip, 0.0) AS s_precipitation,
          cd.temperature_2m + sc.d_temp + CAST(-2.0 AS DOUBLE) AS s_apparent
   FROM cd CROSS JOIN sc
-)""") + f"SELECT city, day, scenario, {rule_level_sql(sw, sp, sa)} AS rule_level, " \
-        f"{reasons_sql(sw, sp, sa)} AS reasons FROM g"
+)""") + f"""SELECT city, day, scenario, s_humidity, s_hour, CAST(isodow(s_day) - 1 AS INTEGER) AS s_weekday,
+  CAST(month(s_day) AS INTEGER) AS s_month, {rule_level_sql(sw, sp, sa)} AS rule_level,
+  {reasons_sql(sw, sp, sa)} AS reasons FROM g"""
+    o["training_features"] = series[:-1] + """,
+codes AS (SELECT city, row_number() OVER (ORDER BY city) - 1 AS city_encoded
+          FROM (SELECT DISTINCT city FROM obs WHERE city IS NOT NULL))
+""" + "SELECT city, date, " + ", ".join(
+        f"CAST({e} AS DOUBLE) AS {c}" for c, e in _feature_sql().items()) + \
+        ", suspension FROM series LEFT JOIN codes USING (city)"
+    o["class_accuracy"] = with_(RULE_PRED) + """SELECT actual AS level, correct, total,
+  CASE WHEN total > 0 THEN CAST(correct AS DOUBLE) / CAST(total AS DOUBLE) END AS class_accuracy
+FROM (SELECT actual, CAST(sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS BIGINT) AS correct,
+             CAST(sum(n) AS BIGINT) AS total FROM conf GROUP BY actual)"""
+    o["fold_accuracy"] = with_(SPLIT, f"""f AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY suspension ORDER BY {KEY}, {KEY_TXT}) - 1) % 5 AS INTEGER) AS fold
+  FROM train
+),
+p AS (SELECT fold, CAST(sum(CASE WHEN suspension = {rule_level_sql()} THEN 1 ELSE 0 END) AS DOUBLE)
+             / CAST(count(*) AS DOUBLE) AS accuracy FROM f GROUP BY fold)""") + """SELECT fold, accuracy,
+  round(avg(accuracy) OVER (), 9) AS accuracy_mean,
+  round(stddev_pop(accuracy) OVER (), 9) AS accuracy_std FROM p"""
+    o["weighted_rows"] = with_(SPLIT) + """SELECT suspension, n, round(CAST(n AS DOUBLE) * CAST(sum(n) OVER () AS DOUBLE)
+  / CAST(count(*) OVER () * n AS DOUBLE), 6) AS weight
+FROM (SELECT suspension, count(*) AS n FROM train GROUP BY suspension)"""
+    o["sinks_roundtrip"] = with_(IMPUTED, RULE_PRED) + """SELECT pc.level, pc.precision, pc.recall, pc.f1,
+  pc.support, t.precipitation_mean, t.windspeed_max, t.humidity_mean, t.count, w.n_wrong,
+  (SELECT CAST(sum(tp) AS DOUBLE) / CAST(sum(support) AS DOUBLE) FROM pc) AS accuracy
+FROM pc LEFT JOIN (SELECT suspension AS level, avg(precipitation) AS precipitation_mean,
+    max(windspeed_10m) AS windspeed_max, avg(relativehumidity_2m) AS humidity_mean, count(*) AS count
+  FROM imputed WHERE suspension IS NOT NULL GROUP BY 1) t USING (level)
+LEFT JOIN (SELECT actual AS level, CAST(sum(n) AS BIGINT) AS n_wrong FROM conf
+           WHERE actual <> predicted GROUP BY 1) w USING (level)"""
+    o["request_routing"] = with_(SUMMARY, MODE, AHEAD) + f"""SELECT 'historical' AS mode, city, day, {', '.join('cd.' + c for c in W)}, m.level, false AS is_prediction
+FROM req JOIN cd USING (city, day) JOIN mode_lvl m USING (city, day)
+UNION ALL
+SELECT 'forecast', city, day, {', '.join('fc.' + c for c in W)}, CAST(NULL AS INTEGER), true
+FROM req JOIN fc USING (city, day)
+WHERE NOT EXISTS (SELECT 1 FROM cd JOIN mode_lvl m USING (city, day) WHERE cd.city = req.city AND cd.day = req.day)"""
+    o["unanswered_requests"] = with_(SUMMARY, MODE, AHEAD) + """SELECT city, day FROM req
+WHERE NOT EXISTS (SELECT 1 FROM cd JOIN mode_lvl m USING (city, day) WHERE cd.city = req.city AND cd.day = req.day)
+  AND NOT EXISTS (SELECT 1 FROM fc WHERE fc.city = req.city AND fc.day = req.day)"""
     o["stream_city_day"] = with_(SUMMARY) + (
         "SELECT city, day, " + ", ".join(W) + f", n_hours, {rule_level_sql()} AS rule_level, "
         f"{reasons_sql()} AS reasons FROM cd")

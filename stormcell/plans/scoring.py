@@ -135,9 +135,9 @@ def score_serving_days(model: PipelineModel, rows: DataFrame) -> DataFrame:
                        labels.risk_label("predicted").alias("risk_level"))
 
 
-def scenario_feature_rows(grid: DataFrame, codes: DataFrame, hour: int = 12) -> DataFrame:
-    """Feature rows for what-if scenarios, each read as a one-hour day at
-    ``hour`` of its date: the head means are the values themselves, the lags
+def scenario_feature_rows(grid: DataFrame, codes: DataFrame) -> DataFrame:
+    """Feature rows for what-if scenarios, each read as a one-hour day at the
+    scenario's date and hour: the head means are the values themselves, the lags
     fall back to 0 rain and the scenario temperature, and no peak can fire."""
     from ..functions import bins
     from ..functions import calendar as cal
@@ -145,11 +145,11 @@ def scenario_feature_rows(grid: DataFrame, codes: DataFrame, hour: int = 12) ->
     from ..schema import FEATURES, ROLL_WINDOWS, LAGS
     from .features import encode_city
 
-    ts = F.make_timestamp_ntz(F.year("day"), F.month("day"), F.dayofmonth("day"),
-                              F.lit(hour), F.lit(0), F.lit(0))
+    ts = F.make_timestamp_ntz(F.year("s_day"), F.month("s_day"), F.dayofmonth("s_day"),
+                              F.col("s_hour"), F.lit(0), F.lit(0))
     rows = grid.select(
         "city", "day", "scenario", ts.alias("date"),
-        F.col("relativehumidity_2m"),
+        F.col("s_humidity").alias("relativehumidity_2m"),
         F.col("s_temperature").alias("temperature_2m"),
         F.col("s_precipitation").alias("precipitation"),
         F.col("s_apparent").alias("apparent_temperature"),

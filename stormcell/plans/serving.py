@@ -7,13 +7,16 @@ written result.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import calendar as cal
 from ..functions import labels
 from ..operators import aggregates as agg
 from ..operators import rules
-from ..operators.lookups import enrich_level
+from ..operators.lookups import enrich_city, enrich_level
 
 N_LEVEL_PROBS = 5
 
@@ -51,13 +54,27 @@ def decide(city_days: DataFrame, levels: DataFrame, model_col: str = "level") ->
     return enrich_level(out, levels, "final_level")
 
 
-def advisory_bulletin(obs: DataFrame, levels: DataFrame) -> DataFrame:
+def advisory_bulletin(obs: DataFrame, levels: DataFrame, cities: DataFrame,
+                      scores: DataFrame | None = None) -> DataFrame:
     """What the memo holds for each (city, day): final level and its reasons,
-    the day's extremes and alert tags.  Write with ``partitionBy('day')``."""
-    decided = decide(agg.city_day_full(obs), levels)
-    return decided.withColumn(
-        "alerts", labels.weather_alerts("max_wind", "total_precip", "max_temp",
-                                        "relativehumidity_2m"))
+    scope and recommendation, the day's extremes and alert tags, coordinates.
+
+    The level beside the rules is the recorded one, or with ``scores`` (city,
+    day, predicted_level, confidence, probabilities_5) the model's, which then
+    comes with its confidence and five probabilities; a day without a score
+    rests on the rules.  Write with ``partitionBy('day')``."""
+    days = agg.city_day_full(obs)
+    if scores is not None:
+        days = days.join(scores.select(
+            "city", "day", F.col("predicted_level").alias("model_level"), "confidence",
+            F.col("probabilities_5").alias("probabilities")), ["city", "day"], "left")
+    decided = decide(days, levels, "level" if scores is None else "model_level")
+    return enrich_city(decided, cities).withColumns({
+        "alerts": labels.weather_alerts("max_wind", "total_precip", "max_temp",
+                                        "relativehumidity_2m"),
+        "scope": labels.scope_text("final_level"),
+        "recommendation": labels.recommendation("final_level"),
+    }).drop("known")
 
 
 def write_bulletin(bulletin: DataFrame, path: str) -> None:
@@ -65,25 +82,43 @@ def write_bulletin(bulletin: DataFrame, path: str) -> None:
     bulletin.write.mode("overwrite").partitionBy("day").parquet(path)
 
 
+def scenario_combinations(temp_offsets, precip_offsets, wind_offsets, humidity_offsets=(0.0,),
+                          hours=(12,), day_shifts=(0,)) -> list[tuple]:
+    """(scenario, temp, precip, wind, humidity, hour, days) in a fixed order."""
+    return [(i, *c) for i, c in enumerate(product(
+        temp_offsets, precip_offsets, wind_offsets, humidity_offsets, hours, day_shifts))]
+
+
 def scenario_grid(base: DataFrame, temp_offsets, precip_offsets, wind_offsets,
-                  apparent_offset: float = -2.0) -> DataFrame:
-    """What-if batch: every base row under every combination of offsets.
-
-    Apparent temperature follows the scenario temperature (temp - 2).  The
-    combinations are a literal array exploded per row (no join)."""
-    combos = [(float(t), float(p), float(w)) for t in temp_offsets
-              for p in precip_offsets for w in wind_offsets]
-    arr = F.array(*[F.struct(F.lit(i).alias("scenario"), F.lit(t).alias("d_temp"),
-                             F.lit(p).alias("d_precip"), F.lit(w).alias("d_wind"))
-                    for i, (t, p, w) in enumerate(combos)])
+                  apparent_offset: float = -2.0, humidity_offsets=(0.0,), hours=(12,),
+                  day_shifts=(0,)) -> DataFrame:
+    """What-if batch: every base row under every combination of offsets, hours
+    of the day and shifts of the date (which carry weekday and month).
+
+    Apparent temperature follows the scenario temperature (temp - 2), humidity
+    stays within 0 to 100.  The combinations are a literal array exploded per
+    row (no join)."""
+    combos = scenario_combinations(temp_offsets, precip_offsets, wind_offsets, humidity_offsets,
+                                   hours, day_shifts)
+    arr = F.array(*[F.struct(
+        F.lit(i).alias("scenario"), F.lit(float(t)).alias("d_temp"),
+        F.lit(float(p)).alias("d_precip"), F.lit(float(w)).alias("d_wind"),
+        F.lit(float(h)).alias("d_humidity"), F.lit(int(hour)).alias("s_hour"),
+        F.lit(int(days)).alias("d_days")) for i, t, p, w, h, hour, days in combos])
     g = base.select("*", F.inline(arr))
+    humidity = F.col("relativehumidity_2m")
     g = g.withColumns({
+        "s_day": F.date_add("day", F.col("d_days")),
+        "s_humidity": F.when(humidity.isNotNull(), F.least(F.lit(100.0), F.greatest(
+            F.lit(0.0), humidity + F.col("d_humidity")))),
         "s_temperature": F.col("temperature_2m") + F.col("d_temp"),
         "s_precipitation": F.greatest(F.col("precipitation") + F.col("d_precip"), F.lit(0.0)),
         "s_windspeed": F.greatest(F.col("windspeed_10m") + F.col("d_wind"), F.lit(0.0)),
     })
     g = g.withColumn("s_apparent", F.col("s_temperature") + F.lit(apparent_offset))
     return g.withColumns({
+        "s_weekday": cal.day_of_week("s_day"),
+        "s_month": cal.month("s_day"),
         "rule_level": rules.rule_level("s_windspeed", "s_precipitation", "s_apparent"),
         "rule_reasons": rules.rule_reasons("s_windspeed", "s_precipitation", "s_apparent"),
     })
@@ -103,7 +138,7 @@ def answer_requests(requests: DataFrame, historical: DataFrame,
     """Batch form of the per-request lookup: every requested (city, day) is
     answered from history when the day is recorded, else from the forecast
     summary joined with its prediction on the same key (J3).  Requests with
-    neither are dropped, as failed lookups are."""
+    neither have no answer, as failed lookups; ``unanswered_requests`` lists them."""
     hist = historical.select("city", "day", *[c for c in historical.columns
                                               if c not in ("city", "day")])
     fc = forecast_days
@@ -115,3 +150,10 @@ def answer_requests(requests: DataFrame, historical: DataFrame,
     unrecorded = requests.join(hist.select("city", "day"), ["city", "day"], "left_anti")
     from_fc = unrecorded.join(fc, ["city", "day"], "inner")
     return from_hist.unionByName(from_fc, allowMissingColumns=True)
+
+
+def unanswered_requests(requests: DataFrame, historical: DataFrame,
+                        forecast_days: DataFrame) -> DataFrame:
+    """The requests that neither history nor forecast answers."""
+    known = historical.select("city", "day").union(forecast_days.select("city", "day"))
+    return requests.join(known, ["city", "day"], "left_anti")

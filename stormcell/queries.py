@@ -36,6 +36,9 @@ SCATTER_PAIR = ("temperature_2m", "precipitation")
 SCENARIO_TEMP = [0.0, 5.0, 10.0]
 SCENARIO_PRECIP = [0.0, 10.0, 25.0]
 SCENARIO_WIND = [0.0, 40.0, 100.0]
+SCENARIO_HUMIDITY = [0.0, 15.0]
+SCENARIO_HOURS = [8, 17]
+SCENARIO_DAYS = [0, 45]   # shifts of the date: weekday and month change with it
 FORECAST_DAYS = 7
 
 
@@ -491,6 +494,57 @@ def q_cv_accuracy(spark, sf_dir):
     return scores.with_fold_summary(folds)
 
 
+def q_training_features(spark, sf_dir):
+    """The assembled table, 28 features in their order."""
+    return feat.training_features(_obs(spark, sf_dir))
+
+
+def q_class_accuracy(spark, sf_dir):
+    """A19 on the rules' levels."""
+    return scores.per_class_accuracy(scores.confusion_counts(_rule_predictions(spark, sf_dir)))
+
+
+def q_fold_accuracy(spark, sf_dir):
+    """A21 on the rules: accuracy per fold, mean and population std over them."""
+    folds = sampling.cv_folds(_train(spark, sf_dir), "suspension", training.row_key_col(), 5)
+    hit = (F.col("suspension") == rules.rule_level()).cast("long")
+    per = folds.groupBy("fold").agg(
+        (F.sum(hit).cast("double") / F.count(F.lit(1)).cast("double")).alias("accuracy"))
+    out = scores.with_fold_summary(per)
+    return out.select("fold", "accuracy", F.round("accuracy_mean", 9).alias("accuracy_mean"),
+                      F.round("accuracy_std", 9).alias("accuracy_std"))
+
+
+def q_weighted_rows(spark, sf_dir):
+    """The class weights joined to the training rows, summed per class."""
+    train = _train(spark, sf_dir)
+    weights = sampling.class_weights(train, "suspension").select("suspension", "weight")
+    return (train.join(lookups.broadcast_checked(weights, materialize=True), "suspension")
+            .groupBy("suspension").agg(F.count(F.lit(1)).alias("n"),
+                                       F.round(F.sum("weight"), 6).alias("weight")))
+
+
+def q_sinks_roundtrip(spark, sf_dir):
+    """S7-S11 without the model: the rules' scores, confusion table and level
+    thresholds written through the sinks and read back."""
+    from .sources.sinks import write_metrics
+    conf = scores.confusion_counts(_rule_predictions(spark, sf_dir))
+    per = scores.per_class_scores(conf)
+    out = scratch_path(spark, "sinks")
+    write_metrics(out, aggregate=scores.aggregate_scores(per), per_class=per, confusion=conf,
+                  thresholds=agg.level_thresholds(_imputed(spark, sf_dir)))
+    read = spark.read
+    per = read.json(f"{out}/metrics_per_class").select(
+        F.col("level").cast("int"), "precision", "recall", "f1", "support")
+    limits = read.json(f"{out}/thresholds").select(
+        F.col("level").cast("int"), "precipitation_mean", "windspeed_max", "humidity_mean", "count")
+    wrong = (read.parquet(f"{out}/confusion_matrix").filter("actual <> predicted")
+             .groupBy(F.col("actual").alias("level")).agg(F.sum("n").alias("n_wrong")))
+    accuracy = read.json(f"{out}/metrics_aggregate").first()["accuracy"]
+    return (per.join(limits, "level", "left").join(wrong, "level", "left")
+            .withColumn("accuracy", F.lit(accuracy)))
+
+
 def q_score_serving_days(spark, sf_dir):
     """M10, the reference's path: one feature row per (city, day) built from
     the day's aggregates, scored by the hourly-trained model."""
@@ -537,53 +591,89 @@ def q_unified_city_day(spark, sf_dir):
                     "is_prediction", "confidence")
 
 
+def _requests(obs):
+    """Every recorded (city, day) and the same days two weeks later, within the
+    days a user may pick (P10): the first recorded day to "today" + 7, with
+    today = the last recorded day."""
+    days = obs.select("city", F.to_date("date").alias("day")).distinct()
+    wanted = days.union(days.select("city", F.date_add("day", 14).alias("day"))).distinct()
+    lo, hi = filters.data_bounds(obs)
+    return filters.request_bounds(wanted, lo, hi, FORECAST_DAYS, date_col="day")
+
+
 def q_request_answers(spark, sf_dir):
-    """E2 / J3 in batch: requested (city, day) pairs -- every recorded day and
-    the same days two weeks later -- answered from history, or from the
-    forecast summary joined with the model's prediction; unanswerable
-    requests drop out."""
+    """E2 / J3 in batch: requested (city, day) pairs answered from history, or
+    from the forecast summary joined with the model's prediction."""
     obs = _obs(spark, sf_dir)
     model, _, codes, medians = _model(spark, sf_dir)
     feed = _forecast_feed(spark, sf_dir, obs)
     fc_feats = feat.training_features(
-        feed.withColumn("suspension", F.lit(None).cast("int")),
-        medians=medians, codes=codes)
+        feed.withColumn("suspension", F.lit(None).cast("int")), medians=medians, codes=codes)
     preds = scoring.score_city_days(model, fc_feats)
-    days = obs.select("city", F.to_date("date").alias("day")).distinct()
-    requests = days.union(days.select("city", F.date_add("day", 14).alias("day"))).distinct()
-    # P10: only days a user may pick -- first recorded day to "today" + 7,
-    # with today = the last recorded day
-    lo, hi = filters.data_bounds(obs)
-    requests = filters.request_bounds(requests, lo, hi, FORECAST_DAYS, date_col="day")
-    ans = serving.answer_requests(requests, serving.historical_city_days(obs).drop("probabilities"),
+    ans = serving.answer_requests(_requests(obs),
+                                  serving.historical_city_days(obs).drop("probabilities"),
                                   serving.forecast_city_days(feed), preds)
     return ans.select("mode", "city", "day", *WEATHER_COLS, "level", "is_prediction",
                       "confidence", "risk_level")
 
 
+def q_request_routing(spark, sf_dir):
+    """P10 / J3 without the model's columns."""
+    obs = _obs(spark, sf_dir)
+    feed = _forecast_feed(spark, sf_dir, obs)
+    ans = serving.answer_requests(_requests(obs), serving.historical_city_days(obs),
+                                  serving.forecast_city_days(feed))
+    return ans.select("mode", "city", "day", *WEATHER_COLS, "level", "is_prediction")
+
+
+def q_unanswered_requests(spark, sf_dir):
+    obs = _obs(spark, sf_dir)
+    feed = _forecast_feed(spark, sf_dir, obs)
+    return serving.unanswered_requests(_requests(obs), serving.historical_city_days(obs),
+                                       serving.forecast_city_days(feed)).select("city", "day")
+
+
+BULLETIN = ["city", "day", "lat", "lon", "level", "rule_level", "final_level", "decision_source",
+            "level_name", "risk", "scope", "recommendation"]
+DAY_METRICS = ["min_temp", "max_temp", "avg_temp", "max_wind", "avg_wind", "total_precip",
+               "max_precip_hour", "relativehumidity_2m"]
+
+
 def q_advisory_bulletin(spark, sf_dir):
-    b = serving.advisory_bulletin(_obs(spark, sf_dir), dims.level_dim(spark))
-    return b.select("city", "day", "level", "rule_level", "final_level", "decision_source",
-                    "level_name", "risk", _reasons_text().alias("reasons"),
-                    F.array_join("alerts", ", ").alias("alerts"),
-                    "min_temp", "max_temp", "avg_temp", "max_wind", "avg_wind",
-                    "total_precip", "max_precip_hour", "relativehumidity_2m")
+    b = serving.advisory_bulletin(_obs(spark, sf_dir), dims.level_dim(spark), _cities(spark, sf_dir))
+    return b.select(*BULLETIN, _reasons_text().alias("reasons"),
+                    F.array_join("alerts", ", ").alias("alerts"), *DAY_METRICS)
+
+
+def q_model_bulletin(spark, sf_dir):
+    """S15 with the model: its level, confidence and five probabilities beside
+    the rules, for every city-day."""
+    model, split, *_ = _model(spark, sf_dir)
+    scores_ = scoring.score_city_days(model, split.drop("is_test"))
+    b = serving.advisory_bulletin(_obs(spark, sf_dir), dims.level_dim(spark),
+                                  _cities(spark, sf_dir), scores_)
+    return b.select(*BULLETIN, "model_level", "confidence", "probabilities",
+                    _reasons_text().alias("reasons"), F.array_join("alerts", ", ").alias("alerts"),
+                    *DAY_METRICS)
+
+
+def _scenarios(spark, sf_dir):
+    return serving.scenario_grid(
+        agg.city_day_summary(_obs(spark, sf_dir)), SCENARIO_TEMP, SCENARIO_PRECIP, SCENARIO_WIND,
+        humidity_offsets=SCENARIO_HUMIDITY, hours=SCENARIO_HOURS, day_shifts=SCENARIO_DAYS)
 
 
 def q_scenario_grid(spark, sf_dir):
-    base = agg.city_day_summary(_obs(spark, sf_dir))
-    g = serving.scenario_grid(base, SCENARIO_TEMP, SCENARIO_PRECIP, SCENARIO_WIND)
-    return g.select("city", "day", "scenario", "rule_level", _reasons_text().alias("reasons"))
+    return _scenarios(spark, sf_dir).select(
+        "city", "day", "scenario", "s_humidity", "s_hour", "s_weekday", "s_month", "rule_level",
+        _reasons_text().alias("reasons"))
 
 
 def q_scenario_scores(spark, sf_dir):
     """M11 scored: every scenario row through the model and the rules; the
     final level is the larger of the two."""
-    obs = _obs(spark, sf_dir)
     model, _, codes, _ = _model(spark, sf_dir)
-    grid = serving.scenario_grid(agg.city_day_summary(obs), SCENARIO_TEMP,
-                                 SCENARIO_PRECIP, SCENARIO_WIND)
-    rows = scoring.scenario_feature_rows(grid, codes)
+    rows = scoring.scenario_feature_rows(_scenarios(spark, sf_dir), codes)
     return scoring.score_scenarios(model, rows)
 
 
@@ -681,6 +771,14 @@ QUERIES = {
     "score_serving_days": q_score_serving_days,
     "cv_accuracy": q_cv_accuracy,
     "artifacts_roundtrip": q_artifacts_roundtrip,
+    "training_features": q_training_features,
+    "class_accuracy": q_class_accuracy,
+    "fold_accuracy": q_fold_accuracy,
+    "weighted_rows": q_weighted_rows,
+    "sinks_roundtrip": q_sinks_roundtrip,
+    "request_routing": q_request_routing,
+    "unanswered_requests": q_unanswered_requests,
+    "model_bulletin": q_model_bulletin,
     "unified_city_day": q_unified_city_day,
     "request_answers": q_request_answers,
     "advisory_bulletin": q_advisory_bulletin,

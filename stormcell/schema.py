@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The hourly readings, in the order of the data.
 WEATHER_COLS = [
     "relativehumidity_2m",
     "temperature_2m",

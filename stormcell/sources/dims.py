@@ -40,7 +40,7 @@ SUSPENSION_LEVELS = [
     (4, "All Levels + Work", "#991b1b", "🚨", "Critical"),
 ]
 
-# What each level means, and the recommendation shown with it.
+# What each level means.
 LEVEL_DESCRIPTIONS = [
     (0, "Normal school and work operations. Weather conditions are safe."),
     (1, "Only preschool classes are suspended due to weather conditions."),
@@ -49,6 +49,25 @@ LEVEL_DESCRIPTIONS = [
     (4, "All school levels and government work are suspended."),
 ]
 
+# Scope of the suspension, as the bulletin states it per level.
+SCOPE_TEXTS = [
+    (0, "School and work operations continue normally. No weather-related suspensions."),
+    (1, "Only preschool classes and outdoor activities are suspended due to hazardous weather conditions."),
+    (2, "Preschool and elementary classes are suspended. Higher education and offices remain open."),
+    (3, "All public school levels (preschool through senior high school) are suspended. Government offices may remain open."),
+    (4, "All school levels and all government offices remain closed. Private sector advised to cease outdoor activities."),
+]
+NO_SCOPE = "N/A"
+
+# The bulletin's recommendation for levels 0 to 3, and above.
+RECOMMENDATIONS = [
+    (0, "RECOMMENDATION: No suspension. Proceed with normal operations."),
+    (1, "RECOMMENDATION: Preschool suspension advised. All other institutions operate normally."),
+    (2, "RECOMMENDATION: Preschool and Elementary suspension advised."),
+    (3, "RECOMMENDATION: All public school levels suspended. Government offices operate with caution."),
+]
+RECOMMENDATION_ABOVE = "RECOMMENDATION: CRITICAL - All schools and government offices CLOSED."
+
 # Risk names indexed by min(level, 4).
 RISK_LEVELS = ["None", "Low", "Medium", "High", "Critical"]
 
