@@ -30,6 +30,7 @@ from .common import stage
 LEVEL = 1
 CHUNK = 1 << 20
 LEAST_BYTES = 100
+MAX_TASKS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -180,6 +181,11 @@ def revisits(written: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
             .select("archive", "place", F.col("first.page_id").alias("refers_to")))
 
 
+def _spread(archives: DataFrame) -> DataFrame:
+    """About a task per archive: the rows are few and small, the work is not."""
+    return archives.repartition(min(MAX_TASKS, max(1, 2 * archives.count())), "archive")
+
+
 def normalise(written: DataFrame, repeats: DataFrame, root: str) -> DataFrame:
     """Writes the archives again with a gzip member per record, and beside each
     an index with a line per record: offset, length, type, record id, digest.
@@ -189,8 +195,7 @@ def normalise(written: DataFrame, repeats: DataFrame, root: str) -> DataFrame:
     """
     per_file = repeats.groupBy("archive").agg(
         F.map_from_entries(F.collect_list(F.struct("place", F.struct("refers_to")))).alias("again"))
-    work = (written.select("archive").distinct().join(per_file, "archive", "left")
-            .repartition(F.col("archive")))
+    work = _spread(written.select("archive").distinct().join(per_file, "archive", "left"))
 
     def run(batches):
         fs, folder = open_fs(root)
@@ -276,7 +281,7 @@ def read_archives(archives: DataFrame, root: str, rows: int = 2_000) -> DataFram
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
-    return archives.repartition(F.col("archive")).mapInArrow(run, READ)
+    return _spread(archives).mapInArrow(run, READ)
 
 
 def archive_pages(pages: DataFrame, root: str | None = None,
