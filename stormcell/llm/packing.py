@@ -92,6 +92,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     path = path or default_path()
     cut = stage(pieces(docs, path, window, end_id), "pieces")
     loose = cut.where(F.col("length") < window).select(UID, "length")
+    cut = cut.withColumn("_row", F.monotonically_increasing_id())
     shards = max(1, -(-loose.count() // shard_rows))
 
     def place(batches):
@@ -106,11 +107,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     placed = (loose.withColumn("shard", F.pmod(F.xxhash64(UID), F.lit(shards)))
               .repartition(shards, "shard").sortWithinPartitions("shard")
               .mapInArrow(place, f"{UID} long, sequence_id long, offset long"))
-    rows = cut.join(placed.withColumn("length_under", F.lit(True)),
-                    UID, "left")
     alone = F.col("length") == window
-    return rows.select(
+    return cut.join(placed, UID, "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32",
-        F.when(alone, -1 - F.xxhash64(UID, "piece").bitwiseAND(F.lit(2**62 - 1)))
-        .otherwise(F.col("sequence_id")).alias("sequence_id"),
+        F.when(alone, -1 - F.col("_row")).otherwise(F.col("sequence_id")).alias("sequence_id"),
         F.when(alone, F.lit(0).cast("long")).otherwise(F.col("offset")).alias("offset"))
