@@ -29,6 +29,7 @@ from .common import SIMILARITY, UID, odd_numbers, shingle_list, shingles, with_u
 
 HASHES = 40
 BLOCK_ITEMS = 20_000
+PART = 1 << 18
 
 
 def size_class(n: int) -> int:
@@ -67,10 +68,18 @@ class ItemIndex:
             self.classes[c] = known, value, which, item
 
     def candidates(self, sequence: np.ndarray) -> set[int]:
-        """Items with a min-hash of one of the sequence's windows."""
-        found: set[int] = set()
+        """Items with a min-hash of one of the sequence's windows.
+
+        Very long sequences are read in parts that overlap by the largest window."""
         if not len(sequence) or not self.classes:
-            return found
+            return set()
+        overlap = 2 * 2**(max(self.classes) + 1)
+        step = max(PART, 2 * overlap)
+        return set().union(*(self._windows(sequence[i:i + step + overlap])
+                             for i in range(0, len(sequence), step)))
+
+    def _windows(self, sequence: np.ndarray) -> set[int]:
+        found: set[int] = set()
         first = min(self.classes)
         size = 2**(first + 1)
         half = sequence.astype(np.uint32)
