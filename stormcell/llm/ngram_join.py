@@ -35,6 +35,7 @@ RECALL = 0.999
 LEVELS = 5
 SMALL = 24
 BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
 DENSE_BLOCK = 2048
 SKETCH = 64  # min-hashes of 8 bits, held in 8 longs
 MEET_LEVEL = 2
@@ -256,13 +257,16 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float,
                 block: int = BLOCK) -> DataFrame:
     """All pairs inside each group, compared exactly.
 
-    ``members``: id, copies, root.  Groups over ``block`` sets are cut into
-    blocks, and every two blocks meet in a task of their own.  Returns per set
+    ``members``: id, copies, size, root.  Groups over ``block`` sets, or with more
+    than ``BLOCK_SHINGLES`` shingles, are cut into blocks, and every two blocks
+    meet in a task of their own.  Returns per set
     and task: id, blocks, links, top (a set of the same class).
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"),
+                                        F.sum(F.col("size").cast("long")).alias("total"))
     rows = (members.join(sizes, "root")
-            .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+            .withColumn("blocks", F.greatest(F.ceil(F.col("n") / block),
+                                             F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             .select("id", "copies", "root", "blocks", "block"))
     texts = (with_uid(docs).select(F.col(UID).alias("id"), "text").join(rows, "id")
@@ -300,7 +304,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     """
     sig = stage(signatures(docs, runs_for(recall), levels, similarity), "signatures")
     sets = stage(sig.where("size > 0").groupBy("digest").agg(
-        F.min(UID).alias("rep"), F.min("doc_id").alias("set_id"), F.count("*").alias("copies")),
+        F.min(UID).alias("rep"), F.min("doc_id").alias("set_id"), F.count("*").alias("copies"),
+        F.max("size").alias("size")),
         "sets")
     reps = sig.join(sets.select(F.col("rep").alias(UID), "copies"), UID)
     near, dense = candidates(reps, levels, small, similarity)
@@ -309,7 +314,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     if not more.isEmpty():
         groups = components(near.union(more), "a", "b")
     members = groups.join(sets, groups["node"] == sets["rep"]).select(
-        F.col("node").alias("id"), "copies", "root")
+        F.col("node").alias("id"), "copies", "size", "root")
     found = stage(exact_links(docs, members, similarity, block), "links")
     top = found.where("blocks = 1").select("id", "top")
     across = components(found.where("blocks > 1"), "id", "top")
