@@ -69,6 +69,29 @@ def _spaced(text: str | None) -> bytes:
     return " ".join(_WORD.findall(text)).encode("utf-8", "surrogatepass")
 
 
+def most_frequent(df: DataFrame, count: str, limit: int, kind: str | None = None) -> DataFrame:
+    """The rows of ``df`` with the largest ``count``, at most ``limit`` (for each
+    value of the integer column ``kind``).
+
+    The cut is found in a histogram of the counts' sizes (eighths of a power of
+    two), so nothing is sorted and no task gathers candidates; counts of the
+    size at which the limit would be passed are left out together."""
+    size = F.floor(F.log2(F.col(count)) * 8).cast("int")
+    group = F.lit(0) if kind is None else F.col(kind)
+    found = df.groupBy(group.alias("_kind"), size.alias("_size")).agg(F.count("*").alias("_n")).collect()
+    keep = F.lit(False)
+    for k in {r["_kind"] for r in found}:
+        total, least = 0, None
+        for s, n in sorted(((r["_size"], r["_n"]) for r in found if r["_kind"] == k), reverse=True):
+            total += n
+            if total > limit:
+                break
+            least = s
+        if least is not None:
+            keep = keep | ((group == k) & (size >= least))
+    return df.where(keep)
+
+
 def words(text: str | None) -> list[bytes]:
     return _spaced(text).split()
 

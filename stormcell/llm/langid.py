@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ROWS, stage
+from .common import CACHE_ROWS, most_frequent, stage
 
 MAX_GRAM = 5
 ENTRIES = 60_000
@@ -127,18 +127,15 @@ def train(docs: DataFrame, entries: int = ENTRIES) -> Model:
         F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0))
                                    .alias(f"n{k}") for k, lang in enumerate(langs)])
     by_lang = F.array([F.col(f"n{k}") for k in range(len(langs))]).alias("by")
-    tables: list[dict[str, int]] = []
+    by_gram = stage(by_gram.select("kind", "gram", "all", by_lang), "language-model")
+    tables: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
+    base = [[math.log(sum(total.get((lang, kind), (0, 0))) + 1) for lang in langs]
+            for kind in range(MAX_GRAM + 1)]
     rows = []
-    for kind in range(MAX_GRAM + 1):
-        t: dict[str, int] = {}
-        base = [math.log(total.get((lang, kind), (0, 0))[0] + total.get((lang, kind), (0, 0))[1] + 1)
-                for lang in langs]
-        for r in (by_gram.where(F.col("kind") == kind).orderBy(F.desc("all"), "gram")
-                  .limit(entries).select("gram", by_lang).collect()):
-            t[r["gram"]] = len(rows)
-            rows.append(np.array([math.log(n + 0.5) - b for n, b in zip(r["by"], base, strict=True)],
-                                 np.float32))
-        tables.append(t)
+    for r in most_frequent(by_gram, "all", entries, "kind").collect():
+        tables[r["kind"]][r["gram"]] = len(rows)
+        rows.append(np.array([math.log(n + 0.5) - b for n, b in
+                              zip(r["by"], base[r["kind"]], strict=True)], np.float32))
     return Model(langs, tables, np.array(rows, np.float32).reshape(len(rows), len(langs)))
 
 

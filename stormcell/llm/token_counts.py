@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ROWS, UID, stage, with_uid
+from .common import CACHE_ROWS, UID, most_frequent, stage, with_uid
 from .tokens import chunks, default_path, n_pieces, pretokens
 
 HEAD = 200_000
@@ -95,10 +95,9 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT,
     """
     path = path or default_path()
     pieces = stage(piece_table(pretoken_frequencies(docs, path), path), "pieces")
-    frequent = (pieces.where(F.octet_length("piece") <= head_bytes)
-                .orderBy(F.desc("freq"), "piece").limit(head).select("piece", "n"))
+    frequent = most_frequent(pieces.where(F.octet_length("piece") <= head_bytes), "freq", head)
     known = docs.sparkSession.sparkContext.broadcast(
-        {r["piece"]: r["n"] for r in frequent.toLocalIterator()})
+        dict(map(tuple, frequent.select("piece", "n").collect())))
 
     def join(batches):
         table = known.value

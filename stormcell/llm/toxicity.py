@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ROWS, stage
+from .common import CACHE_ROWS, most_frequent, stage
 
 SAMPLE = 20_000
 TRIGRAMS = 200_000
@@ -217,8 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     Without labels of both classes every score is the share of toxic labels.
     """
     spark = docs.sparkSession
-    tri = {r["gram"]: r["n"] for r in char_counts(docs).orderBy(F.desc("n"), "gram")
-           .limit(TRIGRAMS).collect()}
+    grams = stage(char_counts(docs), "trigrams")
+    tri = dict(map(tuple, most_frequent(grams, "n", TRIGRAMS).select("gram", "n").collect()))
     known = labels.where("doc_id is not null and toxic is not null")
     if fold:
         known = known.where(fold)
@@ -256,12 +256,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     if len(n) < 2:
         return Model(tri, {}, np.array([math.log((share + 1e-6) / (1 - share + 1e-6)), 0, 0, 0, 0, 0]))
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1.0)) - F.log((F.col("c") + 0.5) / (n[0] + 1.0))
-    weights = {r["f"]: r["w"] for r in
-               seen.where(first).select("toxic", F.explode("found").alias("f"))
-               .groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-               .where(F.col("t") + F.col("c") >= MIN_DOCS).withColumn("w", odds)
-               .where("abs(w) > 1").orderBy(F.desc(F.abs("w") * F.log(F.col("t") + F.col("c"))), "f")
-               .limit(FEATURES).select("f", "w").collect()}
+    weighed = stage(
+        seen.where(first).select("toxic", F.explode("found").alias("f"))
+        .groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+        .withColumn("n", F.col("t") + F.col("c")).where(F.col("n") >= MIN_DOCS)
+        .select("f", "n", odds.alias("w")).where("abs(w) > 1"), "weights")
+    weights = dict(map(tuple, most_frequent(weighed, "n", FEATURES).select("f", "w").collect()))
     held_w = spark.sparkContext.broadcast(weights)
 
     def weigh(batches):
