@@ -7,6 +7,7 @@ has a single shingle made of all of them, a text without words has none.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import unicodedata
@@ -27,7 +28,7 @@ LATIN = "".join(chr(i) for i in range(0x80, 0x250) if unicodedata.category(chr(i
 _NOT_LATIN = re.compile(f"[^\x00-\x7f{re.escape(LATIN)}]")
 _WORD = re.compile(r"[^\W_]+")
 _TO_SPACE = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
-CACHE_ROWS = 400_000
+CACHE_ROWS = 200_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -173,6 +174,31 @@ def shingles(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(shingle_list(text, n))
 
 
+def texts(batch: pa.RecordBatch, rows: int = 500):
+    """The batch's texts as strings, a few at a time."""
+    column = batch.column("text")
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
+def _release() -> None:
+    """Give freed memory back: workers live on, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A task over Arrow batches that gives its memory back when it ends."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+    return task
+
+
 def list_column(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """Arrow list column from one array per row."""
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, UID, odd_numbers, shingle_list, shingles, with_uid
+from .common import (SIMILARITY, UID, lean, odd_numbers, shingle_list, shingles, texts,
+                     with_uid)
 
 HASHES = 40
 BLOCK_ITEMS = 20_000
@@ -127,12 +128,13 @@ def contained(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
     block: list[tuple[int, str]] = []
 
     def search(held):
+        @lean
         def run(batches):
             index = ItemIndex(held.value, hashes)
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(),
-                                     batch.column("text").to_pylist(), strict=True):
+                                     texts(batch), strict=True):
                     sequence = shingle_list(text)
                     found = index.candidates(sequence)
                     if not found:

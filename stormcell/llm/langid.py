@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ROWS, most_frequent, stage
+from .common import CACHE_ROWS, lean, most_frequent, stage, texts
 
 MAX_GRAM = 5
 ENTRIES = 60_000
@@ -68,12 +68,13 @@ def _summed(counted: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, kind 0, gram, n): the words of each language."""
+    @lean
     def count(batches):
         words: dict[str, Counter] = {}
         size = 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(),
-                                  batch.column("text").to_pylist(), strict=True):
+                                  texts(batch), strict=True):
                 c = words.setdefault(lang, Counter())
                 before = len(c)
                 c.update(letters(text))
@@ -89,6 +90,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, kind k, gram, n): the k-grams of the counted words."""
+    @lean
     def count(batches):
         tables: dict[tuple[str, int], Counter] = {}
         size = 0
@@ -198,10 +200,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.rows))
 
+    @lean
     def run(batches):
         scorer = Scorer(Model(*held.value))
         for batch in batches:
-            got = [scorer.score(t) for t in batch.column("text").to_pylist()]
+            got = [scorer.score(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()),
                  pa.array([g[1] for g in got], pa.float64())],
@@ -221,10 +224,11 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     at least ``least``."""
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.rows))
 
+    @lean
     def run(batches):
         scorer = Scorer(Model(*held.value))
         for batch in batches:
-            got = [scorer.score(t) for t in batch.column("text").to_pylist()]
+            got = [scorer.score(t) for t in texts(batch)]
             yield batch.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

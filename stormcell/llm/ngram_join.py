@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (SIMILARITY, UID, list_column, mix, odd_numbers, runs, shingles, stage,
-                     with_uid)
+from .common import (SIMILARITY, UID, lean, list_column, mix, odd_numbers, runs, shingles, stage,
+                     texts, with_uid)
 from .components import components
 
 RECALL = 0.999
@@ -89,10 +89,11 @@ SIGNATURE = (f"{UID} long, doc_id long, digest string, size int, sketch array<lo
 
 
 def signatures(docs: DataFrame, n_runs: int, levels: int, similarity: float) -> DataFrame:
+    @lean
     def sign(batches):
         for batch in batches:
             digests, sizes, sk, sl, tk = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts(batch):
                 s = shingles(text)
                 sizes.append(len(s))
                 if len(s):
@@ -185,6 +186,7 @@ def _dense(rows: DataFrame, reps: DataFrame, groups: DataFrame, similarity: floa
                       F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
               .join(reps.select(F.col(UID).alias("id"), "sketch"), "id"))
 
+    @lean
     def compare(batches):
         for (_, i, j), t in runs(batches, ["key", "i", "j"]):
             ids, root = t.column("id").to_numpy(), t.column("root").to_numpy()
@@ -274,6 +276,7 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float,
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
              .drop("other"))
 
+    @lean
     def compare(batches):
         for (_, i, j), t in runs(batches, ["root", "i", "j"]):
             ids = t.column("id").to_numpy()

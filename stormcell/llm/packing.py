@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UID, runs, stage, with_uid
+from .common import UID, lean, runs, stage, texts, with_uid
 from .tokens import default_path, encode
 
 WINDOW = 1024
@@ -32,10 +32,12 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     """(_uid, doc_id, piece, start, length, ids_crc32) for each row of ``docs``."""
     end = np.array([end_id], "<u4").tobytes()
 
+    @lean
     def cut(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for uid, doc, text in zip(*(batch.column(c).to_pylist() for c in (UID, "doc_id", "text")),
+            for uid, doc, text in zip(batch.column(UID).to_pylist(),
+                                      batch.column("doc_id").to_pylist(), texts(batch),
                                       strict=True):
                 ids = memoryview(encode(text, path) + end)
                 n = len(ids) // 4
@@ -95,6 +97,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     cut = cut.withColumn("_row", F.monotonically_increasing_id())
     shards = max(1, -(-loose.count() // shard_rows))
 
+    @lean
     def place(batches):
         for (shard,), t in runs(batches, ["shard"]):
             uid, length = t.column(UID).to_numpy(), t.column("length").to_numpy()

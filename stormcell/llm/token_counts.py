@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ROWS, UID, most_frequent, stage, with_uid
+from .common import CACHE_ROWS, UID, lean, most_frequent, stage, texts, with_uid
 from .tokens import chunks, default_path, n_pieces, pretokens
 
 HEAD = 200_000
@@ -58,10 +58,11 @@ class _Known(dict):
 
 def pretoken_frequencies(docs: DataFrame, path: str) -> DataFrame:
     """(piece, freq) over all texts."""
+    @lean
     def count(batches):
         parts: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in texts(batch):
                 if text:
                     parts.update(chunks(text) or [text])
                     if len(parts) > CACHE_ROWS:
@@ -75,6 +76,7 @@ def pretoken_frequencies(docs: DataFrame, path: str) -> DataFrame:
 
 def piece_table(frequencies: DataFrame, path: str) -> DataFrame:
     """(piece, freq, n) with the number of tokens of each distinct pre-token."""
+    @lean
     def size(batches):
         for batch in batches:
             n = n_pieces(batch.column("piece").to_pylist(), path)
@@ -99,12 +101,13 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT,
     known = docs.sparkSession.sparkContext.broadcast(
         dict(map(tuple, frequent.select("piece", "n").collect())))
 
+    @lean
     def join(batches):
         table = known.value
         tokens_of = _Known(table, path)
         for batch in batches:
             sums, sizes, rest, freqs = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts(batch):
                 parts = (chunks(text) or [text]) if text else []
                 n = list(map(tokens_of.__getitem__, parts))
                 others: Counter = Counter()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UID, runs, stage, with_uid
+from .common import UID, lean, runs, stage, with_uid
 
 SCALE = 1024
 SHARD_ROWS = 16_384
@@ -115,6 +115,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, tasks: int) -> DataF
                            F.lit(None).cast("long").alias("bar"))
             .union(queries.select("dim", "shard", "block", F.lit(1), UID, "vec_id", "v", "bar")))
 
+    @lean
     def run(batches):
         for _, t in runs(batches, ["dim", "shard", "block"]):
             side = t.column("side").to_numpy()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ROWS, most_frequent, stage
+from .common import CACHE_ROWS, lean, most_frequent, stage, texts
 
 SAMPLE = 20_000
 TRIGRAMS = 200_000
@@ -136,6 +136,7 @@ def features(words) -> set[str]:
 
 def char_counts(docs: DataFrame) -> DataFrame:
     """(gram, n): trigrams of the letters of all words of all documents."""
+    @lean
     def count(batches):
         words: Counter = Counter()
 
@@ -150,7 +151,7 @@ def char_counts(docs: DataFrame) -> DataFrame:
                 names=["gram", "n"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in texts(batch):
                 if text:
                     words.update(w for t in text.lower().split() if t.isalpha() or not t.isalnum()
                                  for w in _CORE.findall(t))
@@ -231,13 +232,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
             picked[r["doc_id"]] = y
     held = spark.sparkContext.broadcast((picked, tri))
 
+    @lean
     def read(batches):
         y_of, grams = held.value
         restore = Restorer(CharModel(grams))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(),
-                                 batch.column("text").to_pylist(), strict=True):
+                                 texts(batch), strict=True):
                 if doc in y_of:
                     words = {w for t in set(tokens(text or "")) for w in restore[t]}
                     rows.append((doc, y_of[doc], sorted(features(words))))
@@ -264,6 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     weights = dict(map(tuple, most_frequent(weighed, "n", FEATURES).select("f", "w").collect()))
     held_w = spark.sparkContext.broadcast(weights)
 
+    @lean
     def weigh(batches):
         for batch in batches:
             x = [evidence([held_w.value[k] for k in f if k in held_w.value]) for f in batch.column("found").to_pylist()]
@@ -299,12 +302,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     texts get the score of a text without known words."""
     held = docs.sparkSession.sparkContext.broadcast((model.trigrams, model.weights, model.coef))
 
+    @lean
     def run(batches):
         one = _scorer(held.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"),
-                 pa.array([one(t) for t in batch.column("text").to_pylist()], pa.float64())],
+                 pa.array([one(t) for t in texts(batch)], pa.float64())],
                 names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(
@@ -315,10 +319,11 @@ def keep_clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, with a score under ``most``."""
     held = docs.sparkSession.sparkContext.broadcast((model.trigrams, model.weights, model.coef))
 
+    @lean
     def run(batches):
         one = _scorer(held.value)
         for batch in batches:
             yield batch.filter(pa.array(
-                [one(t) < most for t in batch.column("text").to_pylist()], pa.bool_()))
+                [one(t) < most for t in texts(batch)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import stage
+from .common import lean, stage
 
 LEVEL = 1
 CHUNK = 1 << 20
@@ -127,6 +127,7 @@ def write_archives(pages: DataFrame, root: str, date: str = DATE) -> DataFrame:
     and digest of the payload."""
     names = ["archive", "place", "page_id", "bytes", "digest"]
 
+    @lean
     def write(batches):
         out = stream = path = None
         place = 0
@@ -197,6 +198,7 @@ def normalise(written: DataFrame, repeats: DataFrame, root: str) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("place", F.struct("refers_to")))).alias("again"))
     work = _spread(written.select("archive").distinct().join(per_file, "archive", "left"))
 
+    @lean
     def run(batches):
         fs, folder = open_fs(root)
         for batch in batches:
@@ -245,6 +247,7 @@ def read_archives(archives: DataFrame, root: str, rows: int = 2_000) -> DataFram
     names = [c.split()[0] for c in READ.split(", ")]
     kinds = [pa.int64() if c.split()[1] == "long" else pa.string() for c in READ.split(", ")]
 
+    @lean
     def run(batches):
         fs, _ = open_fs(root)
         for batch in batches:
