@@ -39,6 +39,7 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SWAP_COST, SAME_SIGN_COST, STRETCH_COST, DOUBLE_COST = 1.0, 6.0, 0.5, 4.0
 STEMS = (4, 5, 6)
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ ._-]\S){2,}(?!\S)")
+MARKS = ".,;:?\"'"
 _EDGE = re.compile(r"^[^\w@$!|+(*#€£¡]+|[^\w@$!|+(*#€£¡]+$")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _CORE = re.compile(r"[^\W\d_]+")
@@ -53,9 +54,16 @@ class CharModel:
         for t, n in trigrams.items():
             self.bi[t[:2]] += n
         self.size = max(2, len({t[2] for t in trigrams}))
+        self.known: dict[str, float] = {}  # costs worked out so far, by trigram
 
     def cost(self, two: str, c: str) -> float:
-        return -math.log((self.tri.get(two + c, 0) + 0.5) / (self.bi.get(two, 0) + 0.5 * self.size))
+        out = self.known.get(two + c)
+        if out is None:
+            if len(self.known) >= CACHE_ROWS:
+                self.known.clear()
+            out = self.known[two + c] = -math.log(
+                (self.tri.get(two + c, 0) + 0.5) / (self.bi.get(two, 0) + 0.5 * self.size))
+        return out
 
 
 def _slots(token: str):
@@ -98,7 +106,7 @@ def tokens(text: str) -> list[str]:
     """Space-separated tokens in lower case, words spelled out sign by sign joined."""
     text = text.lower()
     found = text.split()
-    if sum(1 for t in found if len(t) == 1) >= 3 or "-" in text or "_" in text:
+    if list(map(len, found)).count(1) >= 3 or "-" in text or "_" in text:
         spelled = _SPELLED.findall(text)
         found += [re.sub(r"[ ._-]", "", s) for s in spelled]
     return found
@@ -118,6 +126,9 @@ class Restorer(dict):
         return out
 
     def words(self, token: str) -> tuple[str, ...]:
+        plain = token.strip(MARKS)
+        if plain.isalpha() and not _RUN.search(plain):  # most tokens
+            return (plain,)
         core = _EDGE.sub("", token)
         if len(core) <= 40 and disguised(core):
             words = (decode(core, self.model), *_CORE.findall(core.rstrip("!|")))
@@ -138,9 +149,16 @@ def char_counts(docs: DataFrame) -> DataFrame:
     """(gram, n): trigrams of the letters of all words of all documents."""
     @lean
     def count(batches):
-        words: Counter = Counter()
+        seen: Counter = Counter()  # tokens; what they hold is looked at once each
 
         def out():
+            words: Counter = Counter()
+            for t, n in seen.items():
+                if t.isalpha():
+                    words[t] += n
+                elif not t.isalnum():
+                    for w in _CORE.findall(t):
+                        words[w] += n
             tri: Counter = Counter()
             for w, n in words.items():
                 w = f"^^{w}$"
@@ -153,11 +171,10 @@ def char_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in texts(batch):
                 if text:
-                    words.update(w for t in text.lower().split() if t.isalpha() or not t.isalnum()
-                                 for w in _CORE.findall(t))
-                    if len(words) > CACHE_ROWS:
+                    seen.update(text.lower().split())
+                    if len(seen) > CACHE_ROWS:
                         yield out()
-                        words.clear()
+                        seen.clear()
         yield out()
 
     return (docs.select("text").mapInArrow(count, "gram string, n long")
@@ -179,8 +196,16 @@ class Hits(dict):
     def __missing__(self, token: str) -> dict[str, float]:
         if len(self) >= CACHE_ROWS:
             self.clear()
-        found = features(self.restore.words(token))
-        self[token] = out = {f: self.weights[f] for f in found if f in self.weights} or None
+        words, weights = self.restore.words(token), self.weights
+        out = {w: weights[w] for w in words if w in weights}
+        for w in words:
+            for n in STEMS:
+                if len(w) <= n:
+                    break
+                stem = w[:n] + "*"
+                if stem in weights:
+                    out[stem] = weights[stem]
+        self[token] = out = out or None
         return out
 
 
@@ -238,11 +263,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
         restore = Restorer(CharModel(grams))
         for batch in batches:
             rows = []
+            batch = batch.filter(pa.array(
+                [doc in y_of for doc in batch.column("doc_id").to_pylist()], pa.bool_()))
             for doc, text in zip(batch.column("doc_id").to_pylist(),
                                  texts(batch), strict=True):
-                if doc in y_of:
-                    words = {w for t in set(tokens(text or "")) for w in restore[t]}
-                    rows.append((doc, y_of[doc], sorted(features(words))))
+                words = {w for t in set(tokens(text or "")) for w in restore[t]}
+                rows.append((doc, y_of[doc], sorted(features(words))))
             if rows:
                 d, y, f = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -268,8 +294,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
 
     @lean
     def weigh(batches):
+        known = held_w.value
         for batch in batches:
-            x = [evidence([held_w.value[k] for k in f if k in held_w.value]) for f in batch.column("found").to_pylist()]
+            x = [evidence([known[k] for k in f if k in known])
+                 for f in batch.column("found").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array([v.tolist() for v in x], pa.list_(pa.float64()))],
                 names=["toxic", "x"])
@@ -288,9 +316,8 @@ def _scorer(model: tuple):
 
     def one(text: str | None) -> float:
         found: dict[str, float] = {}
-        for t in set(tokens(text or "")):
-            if hits[t]:
-                found.update(hits[t])
+        for hit in filter(None, map(hits.__getitem__, set(tokens(text or "")))):
+            found.update(hit)
         z = float(evidence(found.values()) @ coef)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
