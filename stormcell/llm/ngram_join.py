@@ -216,7 +216,7 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     often = count > 1
     keep = often[code]
     owner, code = owner[keep], (np.cumsum(often) - 1)[code[keep]]
-    total = np.zeros((len(left), len(right)), np.float32)
+    total = np.zeros((len(left), len(right)))
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
     width = 4096

@@ -95,3 +95,15 @@ def test_choices_meet_as_often_as_the_theory_says(similarity):
                 for s in (a, b))
         met += bool(x & y)
     assert met == 60
+
+
+@pytest.mark.parametrize("inter, n1, n2", [(12, 13, 14), (24, 27, 27), (4, 4, 5), (400, 450, 450)])
+def test_pairs_of_exactly_the_similarity_are_linked(inter, n1, n2):
+    both = np.arange(inter, dtype=np.uint64)
+    a = np.concatenate([both, np.arange(10_000, 10_000 + n1 - inter, dtype=np.uint64)])
+    b = np.concatenate([both, np.arange(20_000, 20_000 + n2 - inter, dtype=np.uint64)])
+    more = np.append(b, np.uint64(30_000))  # one shingle too many
+    ids, copies = np.array([1, 2, 3]), np.ones(3, np.int64)
+    at = np.arange(3)
+    links, top = ngram_join._compare_group(ids, [a, b, more], copies, at, at, True, 0.8)
+    assert links[0] == 1 and top[0] == top[1] == 1
