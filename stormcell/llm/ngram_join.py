@@ -1,9 +1,9 @@
 """N-gram Jaccard join by chosen paths.
 
-Every distinct shingle set walks down ``runs`` random trees.  At each level of
-a run it chooses those of its shingles whose hash lies below
-1 / (similarity * set size), and goes on to one bucket per chosen shingle: two
-sets of the wanted similarity share at least one choice on average, unrelated
+Every distinct shingle set walks down ``runs`` random trees.  In each bucket of
+its paths it chooses those of its shingles whose hash, keyed by the path, lies
+below 1 / (similarity * set size), and goes on to one bucket per chosen shingle:
+two sets of the wanted similarity share at least one choice on average, unrelated
 sets hardly ever.  Buckets of at most ``small`` sets are compared by brute
 force; larger ones link every member to a random pivot and are split again.
 What is still large at the last level is compared block by block.  The
@@ -12,9 +12,10 @@ inside every group all pairs are then compared exactly, so the links, their
 number per document and the classes are exact for the groups found.
 
 The number of runs follows from the target recall: a pair of the wanted
-similarity shares a bucket at level k of one run with probability s(k), where
-s(0) = 1 and s(k + 1) = 1 - exp(-s(k)).  Runs are made for pairs that meet at
-the second level, which is where buckets of shared passages have been split.
+similarity shares a bucket at level k of one run with probability s(k) at least,
+where s(0) = 1 and s(k + 1) = 1 - exp(-s(k)), as the choices of different buckets
+are independent.  Runs are made for pairs that meet at the last level only: all
+buckets before it may be large, if very many documents share all passages.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ BLOCK = 512
 BLOCK_SHINGLES = 1_000_000
 DENSE_BLOCK = 2048
 SKETCH = 64  # min-hashes of 8 bits, held in 8 longs
-MEET_LEVEL = 2
 
 
 def survival(level: int) -> float:
@@ -48,7 +48,7 @@ def survival(level: int) -> float:
     return s
 
 
-def runs_for(recall: float, level: int = MEET_LEVEL) -> int:
+def runs_for(recall: float, level: int = LEVELS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(level)))
 
 
@@ -69,48 +69,71 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def choices(s: np.ndarray, n_runs: int, levels: int, similarity: float):
-    """(slot, shingle) for each choice; slot = run * levels + level."""
-    odd = odd_numbers(n_runs * levels, 23).astype(np.uint32)
+    """(level, parent, token, key) of each bucket on the paths of a set, level by level.
+
+    ``parent`` is the place of the bucket before among those of its level (at
+    level 0 the run), ``token`` half of the chosen shingle; ``key`` stands for
+    the whole path and keys the choice of the next level, so that choices of
+    different buckets are independent."""
     below = np.uint32(min(2**32 - 1, int(2**32 / (similarity * max(1, len(s))))))
-    slots, tokens = [], []
-    for i in range(0, len(s), 4096):
-        part = s[i:i + 4096]
-        x = part.astype(np.uint32)[:, None] * odd
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        row, slot = np.nonzero(x <= below)
-        slots.append(slot)
-        tokens.append(part[row])
-    return np.concatenate(slots), np.concatenate(tokens)
+    keys = odd_numbers(n_runs, 23)
+    found = []
+    for level in range(levels):
+        odd = (keys.astype(np.uint32) | np.uint32(1))[:, None]
+        plus = (keys >> np.uint64(32)).astype(np.uint32)[:, None]
+        parents, tokens = [], []
+        for i in range(0, len(s), 4096):
+            part = s[i:i + 4096].astype(np.uint32)
+            x = part * odd
+            x += plus
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            parent, at = np.nonzero(x <= below)
+            parents.append(parent)
+            tokens.append(part[at])
+        parent, token = np.concatenate(parents), np.concatenate(tokens)
+        keys = mix(keys[parent] * np.uint64(0xC2B2AE3D27D4EB4F) + token.astype(np.uint64))
+        found.append((np.full(len(keys), level), parent, token, keys))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 SIGNATURE = (f"{UID} long, doc_id long, digest string, size int, sketch array<long>, "
-             "slots array<int>, tokens array<long>")
+             "parents array<array<int>>, tokens array<array<int>>")
+
+
+def _by_level(parts: list[np.ndarray], counts: list[np.ndarray], levels: int):
+    """Column with a list per level for each row."""
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(counts or [[]]))]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.empty(0)
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(len(counts) + 1) * levels, pa.int32()),
+        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
 
 
 def signatures(docs: DataFrame, n_runs: int, levels: int, similarity: float) -> DataFrame:
     @lean
     def sign(batches):
         for batch in batches:
-            digests, sizes, sk, sl, tk = [], [], [], [], []
+            digests, sizes, sk, counts, parents, tokens = [], [], [], [], [], []
             for text in texts(batch):
                 s = shingles(text)
                 sizes.append(len(s))
                 if len(s):
                     digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                     sk.append(sketch(s).view(np.int64))
-                    a, b = choices(s, n_runs, levels, similarity)
+                    level, parent, token, _ = choices(s, n_runs, levels, similarity)
+                    counts.append(np.bincount(level, minlength=levels))
+                    parents.append(parent.astype(np.int32))
+                    tokens.append(token.view(np.int32))
                 else:
                     digests.append(None)
                     sk.append(np.empty(0, np.int64))
-                    a, b = np.empty(0, np.int64), np.empty(0, np.uint64)
-                sl.append(a.astype(np.int32))
-                tk.append(b.astype(np.uint64).view(np.int64))
+                    counts.append(np.zeros(levels, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(UID), batch.column("doc_id"), pa.array(digests, pa.string()),
                  pa.array(sizes, pa.int32()), list_column(sk, pa.int64()),
-                 list_column(sl, pa.int32()), list_column(tk, pa.int64())],
-                names=[UID, "doc_id", "digest", "size", "sketch", "slots", "tokens"])
+                 _by_level(parents, counts, levels), _by_level(tokens, counts, levels)],
+                names=[UID, "doc_id", "digest", "size", "sketch", "parents", "tokens"])
 
     return (with_uid(docs).select(UID, F.col("doc_id").cast("long").alias("doc_id"), "text")
             .mapInArrow(sign, SIGNATURE))
@@ -128,26 +151,30 @@ def _agreement(x: str, y: str):
     return F.lit(SKETCH) - differ
 
 
-def _path_level(rows, chosen, level: int, levels: int):
-    """Rows of the next level: the buckets' members, once per chosen shingle."""
-    nxt = chosen.where(F.col("slot") % levels == level).select(
-        "id", (F.col("slot") / levels).cast("int").alias("run"), "token")
+def _path_level(rows, sig, sets, level: int):
+    """Rows (id, at, key) of the next level: the buckets that the members of
+    ``rows`` (id, at, key) go on to; all buckets of level 0 without ``rows``.
+    Only the choices of that level are shuffled."""
+    paths = sig.where("size > 0").select(F.col(UID).alias("id"), F.arrays_zip(
+        F.col("parents")[level].alias("parent"), F.col("tokens")[level].alias("token")).alias("paths"))
     if rows is None:
-        return nxt.select("id", "run", F.xxhash64("run", "token").alias("key"))
-    return rows.join(nxt, ["id", "run"]).select(
-        "id", "run", F.xxhash64("key", "token").alias("key"))
-
-
-def candidates(reps: DataFrame, levels: int, small: int, similarity: float):
+        return (paths.join(sets.select(F.col("rep").alias("id")), "id")
+                .select("id", F.posexplode("paths").alias("at", "c"))
+                .select("id", "at", F.xxhash64("c.parent", "c.token").alias("key")))
+    live = rows.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("at", "key"))).alias("live"))
+    return (paths.join(live, "id").select("id", "live", F.posexplode("paths").alias("at", "c"))
+            .select("id", "at", "c", F.try_element_at("live", F.col("c.parent")).alias("before"))
+            .where("before is not null")
+            .select("id", "at", F.xxhash64("before", "c.token").alias("key")))
+
+
+def candidates(sig: DataFrame, sets: DataFrame, levels: int, small: int, similarity: float):
     """Candidate pairs (a, b) that pass the sketch, and the rows of the buckets
     that are large at the last level."""
-    chosen = stage(reps.select(F.col(UID).alias("id"),
-                               F.explode(F.arrays_zip("slots", "tokens")).alias("c"))
-                   .select("id", F.col("c.slots").alias("slot"), F.col("c.tokens").alias("token")),
-                   "choices")
     pairs, rows = None, None
     for level in range(levels):
-        rows = _path_level(rows, chosen, level, levels)
+        rows = _path_level(rows, sig, sets, level)
         buckets = (rows.groupBy("key").agg(
             F.count("*").alias("n"),
             F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("pivot"))
@@ -160,8 +187,8 @@ def candidates(reps: DataFrame, levels: int, small: int, similarity: float):
                  .union(many.where("id <> pivot").select(F.least("id", "pivot"),
                                                          F.greatest("id", "pivot"))))
         pairs = found if pairs is None else pairs.union(found)
-        rows = many.select("id", "run", "key", "n")
-    side = reps.select(UID, "sketch")
+        rows = many.select("id", "at", "key", "n")
+    side = sig.select(UID, "sketch")
     near = (pairs.distinct()
             .join(side.select(F.col(UID).alias("a"), F.col("sketch").alias("sa")), "a")
             .join(side.select(F.col(UID).alias("b"), F.col("sketch").alias("sb")), "b")
@@ -305,13 +332,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     the row's id, as :func:`common.with_uid` gives it to ``docs``.  A text that
     is null or without a word has no links and is a class of its own.
     """
-    sig = stage(signatures(docs, runs_for(recall), levels, similarity), "signatures")
+    sig = stage(signatures(docs, runs_for(recall, levels), levels, similarity), "signatures")
     sets = stage(sig.where("size > 0").groupBy("digest").agg(
         F.min(UID).alias("rep"), F.min("doc_id").alias("set_id"), F.count("*").alias("copies"),
         F.max("size").alias("size")),
         "sets")
     reps = sig.join(sets.select(F.col("rep").alias(UID), "copies"), UID)
-    near, dense = candidates(reps, levels, small, similarity)
+    near, dense = candidates(sig, sets, levels, small, similarity)
     groups = components(near, "a", "b")
     more = stage(_dense(dense, reps, groups, similarity, dense_block), "dense")
     if not more.isEmpty():

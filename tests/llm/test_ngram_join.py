@@ -107,3 +107,31 @@ def test_pairs_of_exactly_the_similarity_are_linked(inter, n1, n2):
     at = np.arange(3)
     links, top = ngram_join._compare_group(ids, [a, b, more], copies, at, at, True, 0.8)
     assert links[0] == 1 and top[0] == top[1] == 1
+
+
+def test_a_set_inside_one_a_quarter_larger_is_met_at_every_level():
+    r = np.random.default_rng(4)
+    levels, pairs = ngram_join.LEVELS, 500
+    met = np.zeros(levels)
+    for _ in range(pairs):
+        b = np.sort(r.integers(0, 2**63, 150).astype(np.uint64))
+        a = b[np.sort(r.permutation(150)[:120])]
+        x, y = (ngram_join.choices(s, ngram_join.runs_for(ngram_join.RECALL), levels, 0.8)
+                for s in (a, b))
+        for level in range(levels):
+            met[level] += bool(np.isin(x[-1][x[0] == level], y[-1][y[0] == level]).any())
+    assert (met >= 0.994 * pairs).all()  # 0.999 expected at the last level
+
+
+def test_documents_of_many_shared_passages(spark):
+    passages = [prose(40 + i, 14) for i in range(16)]
+    r = np.random.default_rng(5)
+    rows, pairs = [], 60
+    for i in range(pairs):  # a document, and one with a quarter more behind it
+        text = " ".join(passages[k] for k in r.permutation(16)[:8])
+        rows += [(2 * i, text), (2 * i + 1, text + " " + prose(500 + i, 26))]
+    got = {x.doc_id: x for x in ngram_join.near_duplicates(
+        frame(spark, rows, "doc_id long, text string").repartition(1), small=2).collect()}
+    _, links, _ = brute(rows)
+    assert sum(len(x) for x in links.values()) >= 2 * pairs
+    assert [got[i].n_links for i, _ in rows] == [len(links[i]) for i in range(len(rows))]
