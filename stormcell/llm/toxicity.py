@@ -38,7 +38,7 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
               "*": "aeiou", "#": "h", "€": "e", "£": "l", "¡": "i"}
 SWAP_COST, SAME_SIGN_COST, STRETCH_COST, DOUBLE_COST = 1.0, 6.0, 0.5, 4.0
 STEMS = (4, 5, 6)
-_SPELLED = re.compile(r"(?<!\S)\S(?:[ ._-]\S){2,}(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)\S(?:[ ._-]\S){2,}(?=[.,;:?!\"')\]}]*(?!\S))")
 MARKS = ".,;:?\"'"
 _EDGE = re.compile(r"^[^\w@$!|+(*#€£¡]+|[^\w@$!|+(*#€£¡]+$")
 _RUN = re.compile(r"([^\W\d_])\1\1")
@@ -106,9 +106,7 @@ def tokens(text: str) -> list[str]:
     """Space-separated tokens in lower case, words spelled out sign by sign joined."""
     text = text.lower()
     found = text.split()
-    if list(map(len, found)).count(1) >= 3 or "-" in text or "_" in text:
-        spelled = _SPELLED.findall(text)
-        found += [re.sub(r"[ ._-]", "", s) for s in spelled]
+    found += [re.sub(r"[ ._-]", "", s) for s in _SPELLED.findall(text)]
     return found
 
 

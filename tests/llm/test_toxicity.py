@@ -85,3 +85,10 @@ def test_too_few_labels(spark, labels):
     got = toxicity.score(frame(spark, rows), m).collect()
     assert len(got) == 20 and len({r.score for r in got}) == 1
     assert toxicity.score(frame(spark, []), m).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "you i.d.i.o.t", "i.d.i.o.t.", "you i d i o t.", "i d i o t, you", "i_d_i_o_t!", "you i.d i.o t",
+    "(so i d i o t)", "i d i o t..."])
+def test_spelled_words_with_dots_and_before_punctuation(text):
+    assert "idiot" in [t.strip(toxicity.MARKS + "!") for t in toxicity.tokens(text)]
