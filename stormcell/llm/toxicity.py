@@ -78,21 +78,32 @@ def _slots(token: str):
                 (x * k, SWAP_COST) for x in LOOKS_LIKE.get(c, "") for k in sorted({1, min(n, 2)})]
 
 
+def _spell(path) -> str:
+    """The letters of a path: (path before, text) from its end, None at its start."""
+    out = []
+    while path is not None:
+        path, text = path
+        out.append(text)
+    return "".join(reversed(out))
+
+
 def decode(token: str, model: CharModel) -> str:
-    """The likeliest word behind a disguised token."""
-    best = {"^^": (0.0, "")}
+    """The likeliest word behind a disguised token, in time linear in its length."""
+    best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
     for slot in _slots(token):
-        nxt: dict[str, tuple[float, str]] = {}
-        for two, (cost, out) in best.items():
+        nxt: dict[str, tuple[float, tuple | None]] = {}
+        for two, (cost, path) in best.items():
             for text, price in slot:
                 state, total = two, cost + price
                 for c in text:
                     total += model.cost(state, c)
                     state = state[1] + c
-                if state not in nxt or (total, out + text) < nxt[state]:
-                    nxt[state] = (total, out + text)
+                old = nxt.get(state)
+                if (old is None or total < old[0]
+                        or total == old[0] and _spell((path, text)) < _spell(old[1])):
+                    nxt[state] = (total, (path, text))
         best = nxt
-    return min((cost + model.cost(two, "$"), out) for two, (cost, out) in best.items())[1]
+    return min((cost + model.cost(two, "$"), _spell(path)) for two, (cost, path) in best.items())[1]
 
 
 def disguised(token: str) -> bool:
@@ -128,7 +139,7 @@ class Restorer(dict):
         if plain.isalpha() and not _RUN.search(plain):  # most tokens
             return (plain,)
         core = _EDGE.sub("", token)
-        if len(core) <= 40 and disguised(core):
+        if disguised(core):
             words = (decode(core, self.model), *_CORE.findall(core.rstrip("!|")))
         else:
             words = tuple(_CORE.findall(token))

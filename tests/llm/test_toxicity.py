@@ -92,3 +92,10 @@ def test_too_few_labels(spark, labels):
     "(so i d i o t)", "i d i o t..."])
 def test_spelled_words_with_dots_and_before_punctuation(text):
     assert "idiot" in [t.strip(toxicity.MARKS + "!") for t in toxicity.tokens(text)]
+
+
+def test_long_disguised_tokens_are_decoded(model):
+    restore = toxicity.Restorer(toxicity.CharModel(model.trigrams))
+    for token in ("i" * 60 + "diot", "l" + "o" * 5000 + "ser", "1" + "d" * 50 + "10t"):
+        assert {"idiot", "loser"} & set(restore.words(token))
+    assert restore.words("1d10t" * 4000)  # time grows with the length only
