@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, decontamination, langid, ngram_join, packing, sharding, token_counts, topk,
-               toxicity, warc)
+from . import (chat, decontamination, langid, ngram_join, packing, secret_scan, sharding,
+               token_counts, topk, toxicity, warc)
 from .common import table
 
 
@@ -64,9 +64,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_ngram_join, op3_warc, op4_decontamination, op5_chat, op6_packing,
-    op7_sharding, op8_toxicity, op9_topk, op10_langid)}
+    op7_sharding, op8_toxicity, op9_topk, op10_langid, op11_secret_scan)}
 
 _SHINGLES = r"""
     SELECT {id}, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]

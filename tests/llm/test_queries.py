@@ -36,6 +36,7 @@ CONTRACT = {
     "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op10_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
 }
 
 
