@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stormcell.llm import hard_negatives as H
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, shard string, rank string"
-LABEL = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+LABEL = ("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
 
 
 def vectors():
@@ -46,7 +46,7 @@ def brute(rows):
 def test_matches_brute_force(spark, options, monkeypatch):
     monkeypatch.setattr(H, "SAMPLE_ROWS", 100 if options else H.SAMPLE_ROWS)
     df = spark.createDataFrame(vectors(), SCHEMA).repartition(3)
-    got = H.hard_negatives(df, F.expr("vec_id % 50 = 0"), LABEL, **options)
+    got = H.hard_negatives(df, F.expr("vec_id % 50 = 0"), F.expr(LABEL), **options)
     assert sorted(map(tuple, got.collect())) == brute(vectors())
 
 

@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from stormcell.llm.queries import ORACLE, QUERIES
 from tests.conftest import SF001
 
-TABLES = ["documents", "pages", "benchmark", "embeddings"]
+TABLES = ["documents", "pages", "benchmark", "embeddings", "conversations"]
 
 
 @pytest.fixture(scope="module")
