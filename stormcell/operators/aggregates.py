@@ -7,7 +7,7 @@ partial row per task across the network.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -23,16 +23,21 @@ CORR_VARS = ["temperature_2m", "relativehumidity_2m", "precipitation",
 BOX_VARS = ["precipitation", "windspeed_10m", "temperature_2m", "relativehumidity_2m"]
 
 
-def city_day_summary(obs: DataFrame) -> DataFrame:
-    """(city, day): mean temp/humidity/apparent/wind, total rain (0 when all null)."""
-    return obs.groupBy("city", cal.calendar_day("date").alias("day")).agg(
+def summary_aggregates() -> list[Column]:
+    """Mean temp/humidity/apparent/wind, total rain (0 when all null), hours."""
+    return [
         F.avg("temperature_2m").alias("temperature_2m"),
         F.avg("relativehumidity_2m").alias("relativehumidity_2m"),
         F.coalesce(F.sum("precipitation"), F.lit(0.0)).alias("precipitation"),
         F.avg("apparent_temperature").alias("apparent_temperature"),
         F.avg("windspeed_10m").alias("windspeed_10m"),
         F.count(F.lit(1)).alias("n_hours"),
-    )
+    ]
+
+
+def city_day_summary(obs: DataFrame) -> DataFrame:
+    """(city, day): mean temp/humidity/apparent/wind, total rain (0 when all null)."""
+    return obs.groupBy("city", cal.calendar_day("date").alias("day")).agg(*summary_aggregates())
 
 
 def day_level_mode(obs: DataFrame, label: str = "suspension") -> DataFrame:

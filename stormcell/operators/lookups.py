@@ -40,6 +40,14 @@ def enrich_city(requests: DataFrame, cities: DataFrame, city_col: str = "city")
             .drop("_known"))
 
 
+def unknown_cities(requests: DataFrame, cities: DataFrame, city_col: str = "city") -> DataFrame:
+    """The reject output of ``enrich_city``: requests whose city is null or has no
+    row in the dimension, with the reason."""
+    dim = cities.select(F.col("city").alias(city_col)).distinct()
+    return (requests.join(broadcast_checked(dim), city_col, "left_anti")
+            .withColumn("reason", F.when(F.col(city_col).isNull(), "no city").otherwise("unknown city")))
+
+
 def enrich_level(df: DataFrame, levels: DataFrame, level_col: str = "level") -> DataFrame:
     """level -> name/color/risk.  Level 5 has no row: it is kept as 'Unmapped'."""
     dim = levels.select(F.col("level").alias(level_col), "level_name", "color", "risk")

@@ -317,6 +317,35 @@ def build() -> dict[str, str]:
     all_cols = "city, date, " + ", ".join(W) + ", suspension"
     o["scan_obs"] = with_() + f"SELECT {all_cols} FROM obs"
     o["forecast_explode"] = with_() + "SELECT city, date, " + ", ".join(W) + " FROM obs"
+    clock = "strftime(date, '%Y-%m-%d %H:%M:%S')"
+    o["scan_obs_checked"] = with_() + f"""SELECT {all_cols} FROM obs
+  WHERE hour(date) NOT IN (3, 7, 11, 13, 17)"""
+    o["scan_obs_rejects"] = with_() + f"""SELECT CASE hour(date) WHEN 3 THEN city || ',' || {clock}
+    WHEN 7 THEN city || ',someday,1,2,3,4,5,0' WHEN 11 THEN ',' || {clock} || ',1,2,3,4,5,0'
+    WHEN 13 THEN city || ',' || {clock} || ',1,2,x,4,5,0'
+    ELSE city || ',' || {clock} || ',1,2,3,4,5,6,7,8' END AS line,
+  CASE hour(date) WHEN 7 THEN 'date: no time' WHEN 11 THEN 'no city' WHEN 13 THEN 'precipitation: no number'
+    ELSE 'wrong number of fields' END AS reason
+  FROM obs WHERE hour(date) IN (3, 7, 11, 13, 17)"""
+    o["forecast_checked"] = with_() + "SELECT city, date, " + ", ".join(W) + """ FROM obs
+  WHERE day(date) % 9 NOT IN (0, 2, 4, 6, 8)"""
+    o["forecast_rejects"] = with_("""docs AS (SELECT DISTINCT city, strftime(date, '%Y-%m-%d') AS d,
+  day(date) % 9 AS w, '{"city":"' || city || '","date":"' || strftime(date, '%Y-%m-%d') ||
+  '","hourly":{"time":[' AS head FROM obs)""") + """SELECT CASE w WHEN 2 THEN head
+  WHEN 4 THEN '{"date":"' || d || '"}'
+  WHEN 6 THEN head || '"' || d || 'T00:00"],"temperature_2m":[],"relativehumidity_2m":[],"precipitation":[],' ||
+    '"apparent_temperature":[],"windspeed_10m":[]}}'
+  WHEN 8 THEN head || '"' || d || 'T00:00"]}}'
+  ELSE head || '"soon"],"temperature_2m":[1],"relativehumidity_2m":[1],"precipitation":[1],' ||
+    '"apparent_temperature":[1],"windspeed_10m":[1]}}' END AS line,
+  CASE w WHEN 2 THEN 'not JSON of the schema' WHEN 4 THEN 'no city'
+  WHEN 6 THEN 'temperature_2m: other length than time' WHEN 8 THEN 'no temperature_2m'
+  ELSE 'time: no time' END AS reason FROM docs WHERE w IN (0, 2, 4, 6, 8)"""
+    o["city_rejects"] = f"""WITH {CITY_DIM_CTE.strip()}
+SELECT c_custkey, city, 'unknown city' AS reason FROM (
+  SELECT c_custkey, n_name || CASE WHEN c_custkey % 12 = 0 THEN '' ELSE '#' || (c_custkey % 12) END AS city
+  FROM customer JOIN nation ON n_nationkey = c_nationkey)
+WHERE city NOT IN (SELECT city FROM city_dim)"""
     o["dataset_profile"] = with_() + """SELECT count(*) AS n_rows, min(date) AS min_date,
   max(date) AS max_date, CAST(count(DISTINCT city) AS BIGINT) AS n_cities,
   array_to_string(list_sort(list_distinct(list(city))), ',') AS cities FROM obs"""
@@ -598,6 +627,10 @@ WHERE NOT EXISTS (SELECT 1 FROM cd JOIN mode_lvl m USING (city, day) WHERE cd.ci
     o["stream_city_day"] = with_(SUMMARY) + (
         "SELECT city, day, " + ", ".join(W) + f", n_hours, {rule_level_sql()} AS rule_level, "
         f"{reasons_sql()} AS reasons FROM cd")
+    o["stream_state_city_day"] = o["stream_city_day"]
+    o["stream_late_readings"] = with_() + f"""SELECT {all_cols} FROM obs
+  WHERE hour(date) IN (2, 8, 14, 20) AND date <= (
+    SELECT max(date) - INTERVAL 6 HOUR FROM obs WHERE hour(date) NOT IN (2, 8, 14, 20))"""
     return o
 
 

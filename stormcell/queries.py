@@ -19,11 +19,12 @@ from .operators import aggregates as agg
 from .operators import filters, impute, lookups, rules, sampling, scaling, scores, windows
 from .plans import features as feat
 from .plans import scoring, serving, training
-from .schema import SCALED_COLS, WEATHER_COLS
+from .schema import OBS_SCHEMA, SCALED_COLS, WEATHER_COLS
 from .session import checkpoint, land_once, landed_path, scratch_path, source_state
-from .sources import csv_source, dims, forecast
+from .sources import csv_source, dims, forecast, rejects
 from .sources.fixture import city_dim_from_sites, load_obs, read_table
 from .streaming import city_day_stream as stream
+from .streaming import stateful_city_day as stateful
 
 # Fixed query parameters (repeated in the oracle SQL).
 SLICE_DAY = "2024-01-15"
@@ -83,6 +84,88 @@ def q_forecast_explode(spark, sf_dir):
     return forecast.read_forecast(spark, path)
 
 
+def _broken_obs_csv(spark, sf_dir):
+    """The hourly table as CSV lines, of which some hours are broken in one of five
+    ways; landed once per data folder, split over files with a header each."""
+    def line(*parts):
+        return F.concat_ws(",", *[F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, F.Column)
+                                  else F.lit(p) for p in parts])
+
+    when, hour, city = F.date_format("date", csv_source.TS_FORMAT), F.hour("date"), F.col("city")
+    text = (F.when(hour == 3, line(city, when))
+            .when(hour == 7, line(city, "someday", "1,2,3,4,5,0"))
+            .when(hour == 11, line("", when, "1,2,3,4,5,0"))
+            .when(hour == 13, line(city, when, "1,2,x,4,5,0"))
+            .when(hour == 17, line(city, when, "1,2,3,4,5,6,7,8"))
+            .otherwise(line(city, when, *[F.col(c) for c in [*WEATHER_COLS, "suspension"]])))
+
+    def write(path):
+        header = ",".join(f.name for f in OBS_SCHEMA.fields)
+        rows = _obs(spark, sf_dir).select(text.alias("value"))
+        rows.unionAll(spark.createDataFrame([(header,)] * 3, "value string")).write.mode("overwrite").text(path)
+
+    return land_once(spark, landed_path(spark, "obs-csv-broken", sf_dir), write)
+
+
+def _checked_obs(spark, sf_dir):
+    """Good rows and rejects of the broken CSV, landed in one pass."""
+    source = _broken_obs_csv(spark, sf_dir)
+    checked = csv_source.checked_obs_csv(spark, source)
+    path = land_once(spark, landed_path(spark, "obs-checked", sf_dir), lambda p: rejects.land(checked, p))
+    return rejects.read_landed(spark, path, checked.schema)
+
+
+def q_scan_obs_checked(spark, sf_dir):
+    """S1 with broken lines in the files: the good rows."""
+    return _checked_obs(spark, sf_dir)[0]
+
+
+def q_scan_obs_rejects(spark, sf_dir):
+    """S1's quarantine: every broken line with its reason."""
+    return _checked_obs(spark, sf_dir)[1].select("line", "reason")
+
+
+def _checked_forecast(spark, sf_dir):
+    """Forecast documents of every recorded (city, day), some days broken in one of
+    five ways, checked and landed in one pass."""
+    city, day = F.col("city"), F.col("date")
+    which = F.dayofmonth(day.cast("date")) % 9
+
+    def text(*parts):
+        return F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in parts])
+
+    head = ('{"city":"', city, '","date":"', day, '","hourly":{"time":[')
+    empty = '"],"temperature_2m":[],"relativehumidity_2m":[],"precipitation":[],' \
+            '"apparent_temperature":[],"windspeed_10m":[]}}'
+    one = '"],"temperature_2m":[1],"relativehumidity_2m":[1],"precipitation":[1],' \
+          '"apparent_temperature":[1],"windspeed_10m":[1]}}'
+    line = (F.when(which == 2, text(*head))
+            .when(which == 4, text('{"date":"', day, '"}'))
+            .when(which == 6, text(*head, '"', day, "T00:00", empty))
+            .when(which == 8, text(*head, '"', day, 'T00:00"]}}'))
+            .when(which == 0, text(*head, '"soon', one))
+            .otherwise(F.to_json(F.struct("city", "date", "hourly"))))
+
+    def write(path):
+        (forecast.docs_from_hourly(_obs(spark, sf_dir)).select(line.alias("value"))
+         .write.mode("overwrite").text(path))
+
+    source = land_once(spark, landed_path(spark, "forecast-broken", sf_dir), write)
+    checked = forecast.checked_forecast(spark, source)
+    path = land_once(spark, landed_path(spark, "forecast-checked", sf_dir), lambda p: rejects.land(checked, p))
+    return rejects.read_landed(spark, path, checked.schema)
+
+
+def q_forecast_checked(spark, sf_dir):
+    """S2 / F25 with broken documents in the files: the hours of the sound ones."""
+    return forecast.hourly_rows(_checked_forecast(spark, sf_dir)[0])
+
+
+def q_forecast_rejects(spark, sf_dir):
+    """S2's quarantine: every broken document with its reason."""
+    return _checked_forecast(spark, sf_dir)[1].select("line", "reason")
+
+
 def q_dataset_profile(spark, sf_dir):
     return agg.dataset_profile(_obs(spark, sf_dir))
 
@@ -133,6 +216,17 @@ def q_enrich_city(spark, sf_dir):
     return lookups.enrich_city(req, _cities(spark, sf_dir))
 
 
+def q_city_rejects(spark, sf_dir):
+    """J1's reject output: requests for a site of each customer's nation that the
+    dimension does not hold."""
+    names = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    site = F.col("c_custkey") % 12
+    req = (read_table(spark, sf_dir, "customer").join(names, "c_nationkey")
+           .select("c_custkey", F.when(site == 0, F.col("n_name")).otherwise(
+               F.concat("n_name", F.lit("#"), site.cast("string"))).alias("city")))
+    return lookups.unknown_cities(req, _cities(spark, sf_dir))
+
+
 def q_enrich_level(spark, sf_dir):
     days = agg.day_level_mode(_obs(spark, sf_dir))
     return lookups.enrich_level(days, dims.level_dim(spark)).select(
@@ -706,15 +800,56 @@ def q_stream_city_day(spark, sf_dir):
                       _reasons_text().alias("reasons"))
 
 
+LATE_HOURS = (2, 8, 14, 20)
+
+
+def _stateful_sink(spark, sf_dir):
+    """Two drops: every hour but ``LATE_HOURS``, then those and the first drop's first
+    five days again.  Drained one after the other, then repaired."""
+    obs = _obs(spark, sf_dir)
+    src = landed_path(spark, "stream-late", sf_dir)
+    late = F.hour("date").isin(*LATE_HOURS)
+
+    def land(path):
+        lo, _ = filters.data_bounds(obs)
+        again = F.col("date") < _ntz(dt.datetime.combine(lo + dt.timedelta(days=5), dt.time()))
+        obs.where(~late).write.mode("overwrite").parquet(os.path.join(path, "drop=0"))
+        obs.where(late | again).write.mode("overwrite").parquet(os.path.join(path, "drop=1"))
+
+    land_once(spark, src, land, marker="drop=1/_SUCCESS")
+    sink, ckpt = scratch_path(spark, "stateful-sink"), scratch_path(spark, "stateful-ckpt")
+    for drop in ("drop=0", "drop=[01]"):
+        stateful.start(stream.city_day_stream(spark, os.path.join(src, drop)), sink, ckpt).awaitTermination()
+    stateful.repair(spark, sink)
+    return sink
+
+
+def q_stream_state_city_day(spark, sf_dir):
+    """T1 with operator state: closed days, repaired by what came late, and open ones."""
+    return stateful.city_days(spark, _stateful_sink(spark, sf_dir)).select(
+        "city", "day", *WEATHER_COLS, "n_hours", "rule_level", _reasons_text().alias("reasons"))
+
+
+def q_stream_late_readings(spark, sf_dir):
+    """T1's late table: the readings that came behind the watermark."""
+    return stateful.late_readings(spark, _stateful_sink(spark, sf_dir)).select(
+        "city", "date", *WEATHER_COLS, "suspension")
+
+
 QUERIES = {
     "scan_obs": q_scan_obs,
     "forecast_explode": q_forecast_explode,
+    "scan_obs_checked": q_scan_obs_checked,
+    "scan_obs_rejects": q_scan_obs_rejects,
+    "forecast_checked": q_forecast_checked,
+    "forecast_rejects": q_forecast_rejects,
     "dataset_profile": q_dataset_profile,
     "city_day_slice": q_city_day_slice,
     "range_city_filter": q_range_city_filter,
     "impute_obs": q_impute_obs,
     "route_mode": q_route_mode,
     "enrich_city": q_enrich_city,
+    "city_rejects": q_city_rejects,
     "enrich_level": q_enrich_level,
     "suspension_map": q_suspension_map,
     "rule_wind": q_rule_wind,
@@ -785,4 +920,6 @@ QUERIES = {
     "scenario_grid": q_scenario_grid,
     "scenario_scores": q_scenario_scores,
     "stream_city_day": q_stream_city_day,
+    "stream_state_city_day": q_stream_state_city_day,
+    "stream_late_readings": q_stream_late_readings,
 }

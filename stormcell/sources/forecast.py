@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import FORECAST_SCHEMA, WEATHER_COLS
+from . import rejects
 
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm"
 
@@ -33,6 +35,41 @@ def read_forecast(spark: SparkSession, path: str) -> DataFrame:
     return hourly_rows(read_forecast_docs(spark, path))
 
 
+_WHEN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$"
+_CORRUPT = "_corrupt"
+
+
+def check_documents(lines: DataFrame) -> DataFrame:
+    """(line, source, city, date, hourly, reason) of JSON lines, one document each.
+
+    A document is rejected as a whole when it is no JSON object of the schema's
+    types, has no city, lacks one of the hourly arrays, has arrays of different
+    lengths, or a time that is null or no wall clock.  Missing readings inside the
+    arrays are nulls.  Blank lines are no documents."""
+    schema = T.StructType([*FORECAST_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+    doc = F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    rows = lines.where(F.trim("line") != "").withColumn("_d", doc)
+    arrays = FORECAST_SCHEMA["hourly"].dataType.names
+    n = F.size("_d.hourly.time")
+    reason = (F.when(F.col("_d").isNull() | F.col(f"_d.{_CORRUPT}").isNotNull(), "not JSON of the schema")
+              .when(F.coalesce("_d.city", F.lit("")) == "", "no city"))
+    for name in arrays:
+        reason = reason.when(F.col(f"_d.hourly.{name}").isNull(), f"no {name}")
+    for name in arrays:
+        reason = reason.when(F.size(f"_d.hourly.{name}") != n, f"{name}: other length than time")
+    reason = reason.when(F.exists("_d.hourly.time", lambda t: t.isNull() | ~t.rlike(_WHEN)
+                                  | t.try_cast("timestamp_ntz").isNull()), "time: no time")
+    return (rows.withColumn("reason", reason)
+            .select("line", "source", *[F.when(F.col("reason").isNull(), F.col(f"_d.{f.name}")).alias(f.name)
+                                        for f in FORECAST_SCHEMA.fields], "reason"))
+
+
+def checked_forecast(spark: SparkSession, path: str) -> DataFrame:
+    """Landed documents with a reason for each that can't be used; the hours of the
+    others are ``hourly_rows(rejects.good(...))``."""
+    return check_documents(rejects.read_lines(spark, path))
+
+
 def parse_forecast_text(text_df: DataFrame, col: str = "value") -> DataFrame:
     """Documents held as JSON text in a column (e.g. a message payload)."""
     docs = text_df.select(F.from_json(F.col(col), FORECAST_SCHEMA).alias("d")).select("d.*")

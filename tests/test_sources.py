@@ -86,3 +86,82 @@ def test_every_site_has_coordinates_and_no_city_day_is_lost(spark):
     none = lookups.suspension_map(days, spark.createDataFrame([], dims.CITY_SCHEMA),
                                   dims.level_dim(spark))
     assert none.count() == 5010
+
+
+OBS_LINES = [
+    ("Pasig,2024-01-01 05:00:00,80,25.5,0,27.25,12.0,2", None),
+    ("Pasig,2024-01-01 06:00:00,,,,,,0", None),
+    ('"Las Piñas, north",2024-01-01 06:00:00,1e1,-2.,.5,+3,4,0', None),
+    ("Pasig,2024-01-01 07:00:00,80", "wrong number of fields"),
+    ("Pasig,2024-01-01 07:00:00,1,2,3,4,5,0,9", "wrong number of fields"),
+    (",2024-01-01 07:00:00,1,2,3,4,5,0", "no city"),
+    ("Pasig,,1,2,3,4,5,0", "no date"),
+    ("Pasig,2024-02-30 07:00:00,1,2,3,4,5,0", "date: no time"),
+    ("Pasig,2024-01-01,1,2,3,4,5,0", "date: no time"),
+    ("Pasig,2024-01-01 07:00:00,1,2,NaN,4,5,0", "precipitation: no number"),
+    ("Pasig,2024-01-01 07:00:00,1,2,3,4,5d,0", "windspeed_10m: no number"),
+    ("Pasig,2024-01-01 07:00:00,1,2,3,4,5,1.5", "suspension: no number"),
+    ("<html>", "wrong number of fields"),
+]
+
+
+def test_every_csv_line_is_good_or_in_quarantine(spark, tmp_path):
+    from stormcell.sources import rejects
+    src = tmp_path / "csv"
+    src.mkdir()
+    header = ",".join(f.name for f in OBS_SCHEMA.fields)
+    for i in (0, 1):
+        (src / f"{i}.csv").write_text("\n".join([header, "", *[x for x, _ in OBS_LINES[i::2]], ""]))
+    checked = csv_source.checked_obs_csv(spark, str(src))
+    path = str(tmp_path / "landed")
+    rejects.land(checked, path)
+    good, bad = rejects.read_landed(spark, path, checked.schema)
+    assert good.count() + bad.count() == len(OBS_LINES)
+    assert sorted((r["line"], r["reason"]) for r in bad.collect()) == sorted(x for x in OBS_LINES if x[1])
+    assert all(r["source"].endswith(".csv") for r in bad.collect())
+    assert {f.name: f.dataType for f in good.schema} == {f.name: f.dataType for f in OBS_SCHEMA}
+    rows = {(r["city"], r["date"].hour): r for r in good.collect()}
+    assert rows["Pasig", 5]["windspeed_10m"] == 12.0 and rows["Pasig", 6]["precipitation"] is None
+    assert rows["Las Piñas, north", 6]["relativehumidity_2m"] == 10.0
+    n = {r["reason"]: r["n"] for r in rejects.tally(checked).collect()}
+    assert n["ok"] == 3 and sum(n.values()) == len(OBS_LINES)
+
+
+def test_every_forecast_document_is_good_or_in_quarantine(spark, tmp_path):
+    from stormcell.sources import rejects
+    sound = {"city": "Pasig", "date": "2025-01-01", "hourly": {
+        "time": ["2025-01-01T00:00", "2025-01-01T01:00"], "temperature_2m": [27.1, None],
+        "relativehumidity_2m": [80.0, 82.0], "precipitation": [0.0, 1.5],
+        "apparent_temperature": [30.0, 29.5], "windspeed_10m": [10.0, 12.0]}}
+
+    def but(**hourly):
+        return {**sound, "hourly": {k: v for k, v in {**sound["hourly"], **hourly}.items() if v != "gone"}}
+
+    docs = [
+        (json.dumps(sound), None),
+        (json.dumps({**sound, "extra": {"a": [1]}, "date": None}), None),
+        (json.dumps(sound)[:60], "not JSON of the schema"),
+        ("[1, 2", "not JSON of the schema"),
+        (json.dumps(but(precipitation=["wet", "dry"])), "not JSON of the schema"),
+        (json.dumps({**sound, "city": None}), "no city"),
+        (json.dumps({"city": "Pasig"}), "no time"),
+        (json.dumps(but(windspeed_10m="gone")), "no windspeed_10m"),
+        (json.dumps(but(windspeed_10m=[1.0])), "windspeed_10m: other length than time"),
+        (json.dumps(but(time=["2025-01-01T00:00", None])), "time: no time"),
+        (json.dumps(but(time=["2025-01-01T00:00", "2025-13-01T00:00"])), "time: no time"),
+    ]
+    src = tmp_path / "fc"
+    src.mkdir()
+    (src / "docs.json").write_text("\n".join(x for x, _ in docs) + "\n\n")
+    checked = forecast.checked_forecast(spark, str(src))
+    assert sorted((r["line"], r["reason"]) for r in rejects.rejected(checked).collect()) == sorted(
+        x for x in docs if x[1])
+    assert forecast.hourly_rows(rejects.good(checked)).count() == 4
+
+
+def test_unknown_cities_are_the_reject_output(spark):
+    from stormcell.operators import lookups
+    req = spark.createDataFrame([(1, "A"), (2, "B"), (3, None), (4, "A")], "id int, city string")
+    dim = spark.createDataFrame([("A", 1.0, 2.0), ("A", 1.0, 2.0)], "city string, lat double, lon double")
+    got = {r["id"]: r["reason"] for r in lookups.unknown_cities(req, dim).collect()}
+    assert got == {2: "unknown city", 3: "no city"}

@@ -8,7 +8,7 @@ from stormcell.plans import features as feat
 from stormcell.plans import serving, training
 from stormcell.schema import FEATURES
 from stormcell.sources import dims
-from stormcell.sources.fixture import load_obs
+from stormcell.sources.fixture import city_dim_from_sites, load_obs, read_table
 from tests.conftest import SF001
 
 
@@ -49,7 +49,8 @@ def test_parity_config_turns_on_both_corrections():
 
 
 def test_bulletin_written_by_day(spark, obs, tmp_path):
-    b = serving.advisory_bulletin(obs, dims.level_dim(spark))
+    cities = city_dim_from_sites(read_table(spark, SF001, "events"), read_table(spark, SF001, "nation"))
+    b = serving.advisory_bulletin(obs, dims.level_dim(spark), cities)
     path = str(tmp_path / "bulletin")
     serving.write_bulletin(b, path)
     back = spark.read.parquet(path)
@@ -57,6 +58,7 @@ def test_bulletin_written_by_day(spark, obs, tmp_path):
     plan = one_day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
     assert back.count() == b.count()
+    assert back.filter("lat IS NULL OR lon IS NULL").count() == 0
 
 
 def test_request_answers_routes_history_and_forecast(spark, obs):
@@ -111,7 +113,10 @@ def test_leak_free_features_use_train_medians(spark, obs):
 def test_scenario_scores(spark, obs):
     out = Q.q_scenario_scores(spark, SF001)
     n_days = obs.select("city", F.to_date("date")).distinct().count()
-    assert out.count() == 27 * n_days
+    n = len(serving.scenario_combinations(
+        Q.SCENARIO_TEMP, Q.SCENARIO_PRECIP, Q.SCENARIO_WIND, Q.SCENARIO_HUMIDITY,
+        Q.SCENARIO_HOURS, Q.SCENARIO_DAYS))
+    assert out.count() == n * n_days
     bad = out.filter((F.col("final_level") < F.col("rule_level")) |
                      (F.col("final_level") < F.col("model_level")))
     assert bad.count() == 0
@@ -165,7 +170,7 @@ def test_a_new_city_shifts_no_code_and_loses_no_row(spark):
 def test_saved_model_carries_codes_and_medians(spark):
     from stormcell.plans import scoring, training
     from stormcell.session import scratch_path
-    from stormcell.sources.fixture import load_obs
+    from stormcell.sources.fixture import city_dim_from_sites, load_obs, read_table
     obs = load_obs(spark, "/root/testdata/sf0.001")
     small = training.TrainConfig(num_trees=2, max_depth=2)
     tag = scratch_path(spark, "tag")
