@@ -631,6 +631,11 @@ WHERE NOT EXISTS (SELECT 1 FROM cd JOIN mode_lvl m USING (city, day) WHERE cd.ci
     o["stream_late_readings"] = with_() + f"""SELECT {all_cols} FROM obs
   WHERE hour(date) IN (2, 8, 14, 20) AND date <= (
     SELECT max(date) - INTERVAL 6 HOUR FROM obs WHERE hour(date) NOT IN (2, 8, 14, 20))"""
+    o["stream_forecast_latest"] = with_() + "SELECT city, date, " + ", ".join(
+        f"{c} + k AS {c}" for c in W) + """,
+  date_trunc('day', date) - k * INTERVAL 1 DAY AS issued_at
+FROM (SELECT *, unnest([0, 1, 2]) AS k FROM obs) WHERE hour(date) % 3 <> k
+QUALIFY row_number() OVER (PARTITION BY city, date ORDER BY k) = 1"""
     return o
 
 

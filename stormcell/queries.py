@@ -24,6 +24,7 @@ from .session import checkpoint, land_once, landed_path, scratch_path, source_st
 from .sources import csv_source, dims, forecast, rejects
 from .sources.fixture import city_dim_from_sites, load_obs, read_table
 from .streaming import city_day_stream as stream
+from .streaming import forecast_stream
 from .streaming import stateful_city_day as stateful
 
 # Fixed query parameters (repeated in the oracle SQL).
@@ -836,6 +837,25 @@ def q_stream_late_readings(spark, sf_dir):
         "city", "date", *WEATHER_COLS, "suspension")
 
 
+def q_stream_forecast_latest(spark, sf_dir):
+    """Every hour is forecast up to three times, at midnight 0, 1 and 2 days
+    before; the stream keeps the latest issue.  Files hold a few cities each, so issue
+    times start anew with every file and many revisions come late."""
+    obs = _obs(spark, sf_dir)
+    src = landed_path(spark, "forecast-issues", sf_dir)
+    ahead = F.col("ahead")
+    issues = obs.select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("ahead")).where(
+        F.hour("date") % 3 != ahead).select(
+        "city", "date", (F.date_trunc("day", F.col("date")).cast("timestamp_ntz")
+                         - F.make_dt_interval(ahead)).alias("issued_at"),
+        *[(F.col(c) + ahead).alias(c) for c in WEATHER_COLS])
+    land_once(spark, src, lambda p: issues.repartition(3, "city").write.mode("overwrite").parquet(p))
+    sink, ckpt = scratch_path(spark, "forecast-sink"), scratch_path(spark, "forecast-ckpt")
+    forecast_stream.start(forecast_stream.forecast_stream(spark, src, max_files_per_trigger=1),
+                          sink, ckpt).awaitTermination()
+    return forecast_stream.latest(spark, sink, ckpt)
+
+
 QUERIES = {
     "scan_obs": q_scan_obs,
     "forecast_explode": q_forecast_explode,
@@ -922,4 +942,5 @@ QUERIES = {
     "stream_city_day": q_stream_city_day,
     "stream_state_city_day": q_stream_state_city_day,
     "stream_late_readings": q_stream_late_readings,
+    "stream_forecast_latest": q_stream_forecast_latest,
 }
