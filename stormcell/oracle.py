@@ -627,6 +627,10 @@ WHERE NOT EXISTS (SELECT 1 FROM cd JOIN mode_lvl m USING (city, day) WHERE cd.ci
     o["stream_city_day"] = with_(SUMMARY) + (
         "SELECT city, day, " + ", ".join(W) + f", n_hours, {rule_level_sql()} AS rule_level, "
         f"{reasons_sql()} AS reasons FROM cd")
+    o["published_bulletin"] = o["advisory_bulletin"]
+    o["published_days"] = with_() + """SELECT CAST(date AS DATE) AS day,
+  CASE WHEN bool_or(day(date) % 5 = 0 AND hour(date) >= 12) THEN 2 ELSE 1 END AS version,
+  count(DISTINCT city) AS n FROM obs GROUP BY 1"""
     o["stream_state_city_day"] = o["stream_city_day"]
     o["stream_late_readings"] = with_() + f"""SELECT {all_cols} FROM obs
   WHERE hour(date) IN (2, 8, 14, 20) AND date <= (

@@ -17,6 +17,7 @@ from ..functions import labels
 from ..operators import aggregates as agg
 from ..operators import rules
 from ..operators.lookups import enrich_city, enrich_level
+from ..sources import publish
 
 N_LEVEL_PROBS = 5
 
@@ -82,6 +83,12 @@ def write_bulletin(bulletin: DataFrame, path: str) -> None:
     bulletin.write.mode("overwrite").partitionBy("day").parquet(path)
 
 
+def publish_bulletin(bulletin: DataFrame, path: str) -> int | None:
+    """Publish the days whose content has changed, all at once (``sources.publish``);
+    read them with ``publish.read``."""
+    return publish.publish(bulletin, path)
+
+
 def scenario_combinations(temp_offsets, precip_offsets, wind_offsets, humidity_offsets=(0.0,),
                           hours=(12,), day_shifts=(0,)) -> list[tuple]:
     """(scenario, temp, precip, wind, humidity, hour, days) in a fixed order."""

@@ -21,7 +21,7 @@ from .plans import features as feat
 from .plans import scoring, serving, training
 from .schema import OBS_SCHEMA, SCALED_COLS, WEATHER_COLS
 from .session import checkpoint, land_once, landed_path, scratch_path, source_state
-from .sources import csv_source, dims, forecast, rejects
+from .sources import csv_source, dims, forecast, publish, rejects
 from .sources.fixture import city_dim_from_sites, load_obs, read_table
 from .streaming import city_day_stream as stream
 from .streaming import forecast_stream
@@ -740,6 +740,30 @@ def q_advisory_bulletin(spark, sf_dir):
                     F.array_join("alerts", ", ").alias("alerts"), *DAY_METRICS)
 
 
+def _published(spark, sf_dir):
+    """The bulletin published twice: without the afternoons of every fifth day, then
+    whole."""
+    obs, path = _obs(spark, sf_dir), scratch_path(spark, "bulletin")
+    missing = (F.dayofmonth("date") % 5 == 0) & (F.hour("date") >= 12)
+    for part in (obs.where(~missing), obs):
+        b = serving.advisory_bulletin(part, dims.level_dim(spark), _cities(spark, sf_dir))
+        serving.publish_bulletin(b.select(
+            *BULLETIN, _reasons_text().alias("reasons"), F.array_join("alerts", ", ").alias("alerts"),
+            *DAY_METRICS), path)
+    return path
+
+
+def q_published_bulletin(spark, sf_dir):
+    """The published table after both runs."""
+    return publish.read(spark, _published(spark, sf_dir))
+
+
+def q_published_days(spark, sf_dir):
+    """Which run wrote each day; the second one only those that had changed."""
+    days = publish.manifest(spark, _published(spark, sf_dir)).where("day IS NOT NULL")
+    return days.select("day", F.split("run", "-")[0].cast("int").alias("version"), "n")
+
+
 def q_model_bulletin(spark, sf_dir):
     """S15 with the model: its level, confidence and five probabilities beside
     the rules, for every city-day."""
@@ -937,6 +961,8 @@ QUERIES = {
     "unified_city_day": q_unified_city_day,
     "request_answers": q_request_answers,
     "advisory_bulletin": q_advisory_bulletin,
+    "published_bulletin": q_published_bulletin,
+    "published_days": q_published_days,
     "scenario_grid": q_scenario_grid,
     "scenario_scores": q_scenario_scores,
     "stream_city_day": q_stream_city_day,
