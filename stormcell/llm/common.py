@@ -45,12 +45,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (cuts the lineage)."""
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back (cuts the lineage); its path."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    return staged(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Delete a staged table that nothing will read any more."""
+    if path is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def with_uid(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,11 @@ def components(edges: DataFrame, a: str, b: str, max_steps: int = 50) -> DataFra
     """
     e = (edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
          .where("u <> v").distinct())
-    seen = None
+    seen, before = None, None
     for _ in range(max_steps):
-        e = stage(_small_star(_large_star(e)).where("u <> v").distinct(), "components")
+        e, path = staged(_small_star(_large_star(e)).where("u <> v").distinct(), "components")
+        discard(e.sparkSession, before)
+        before = path
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

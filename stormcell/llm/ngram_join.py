@@ -4,12 +4,14 @@ Every distinct shingle set walks down ``runs`` random trees.  In each bucket of
 its paths it chooses those of its shingles whose hash, keyed by the path, lies
 below 1 / (similarity * set size), and goes on to one bucket per chosen shingle:
 two sets of the wanted similarity share at least one choice on average, unrelated
-sets hardly ever.  Buckets of at most ``small`` sets are compared by brute
-force; larger ones link every member to a random pivot and are split again.
-What is still large at the last level is compared block by block.  The
-candidate links that pass a sketch only connect sets into candidate groups;
-inside every group all pairs are then compared exactly, so the links, their
-number per document and the classes are exact for the groups found.
+sets hardly ever.  Every bucket links its members to a pivot.  Links that pass a
+sketch are contracted to groups, level by level: a bucket inside one group is
+finished, however many sets it has.  Of the others, buckets of at most ``small``
+sets are compared by brute force, larger ones are split again.  What is still
+large at the last level is compared block by block.  The candidate links only
+connect sets into candidate groups; inside every group all pairs are then compared
+exactly, so the links, their number per document and the classes are exact for the
+groups found.
 
 The number of runs follows from the target recall: a pair of the wanted
 similarity shares a bucket at level k of one run with probability s(k) at least,
@@ -28,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (SIMILARITY, UID, lean, list_column, mix, odd_numbers, runs, shingles, stage,
-                     texts, with_uid)
+from .common import (SIMILARITY, UID, discard, lean, list_column, mix, odd_numbers, runs, shingles,
+                     stage, staged, texts, with_uid)
 from .components import components
 
 RECALL = 0.999
@@ -152,48 +154,76 @@ def _agreement(x: str, y: str):
 
 
 def _path_level(rows, sig, sets, level: int):
-    """Rows (id, at, key) of the next level: the buckets that the members of
-    ``rows`` (id, at, key) go on to; all buckets of level 0 without ``rows``.
-    Only the choices of that level are shuffled."""
+    """Rows (id, at, key, root) of the next level: the buckets that the members of
+    ``rows`` go on to; all buckets of level 0 without ``rows``.  Only the choices of
+    that level are shuffled."""
     paths = sig.where("size > 0").select(F.col(UID).alias("id"), F.arrays_zip(
         F.col("parents")[level].alias("parent"), F.col("tokens")[level].alias("token")).alias("paths"))
     if rows is None:
         return (paths.join(sets.select(F.col("rep").alias("id")), "id")
                 .select("id", F.posexplode("paths").alias("at", "c"))
-                .select("id", "at", F.xxhash64("c.parent", "c.token").alias("key")))
-    live = rows.groupBy("id").agg(
+                .select("id", "at", F.xxhash64("c.parent", "c.token").alias("key"), F.col("id").alias("root")))
+    live = rows.groupBy("id", "root").agg(
         F.map_from_entries(F.collect_list(F.struct("at", "key"))).alias("live"))
-    return (paths.join(live, "id").select("id", "live", F.posexplode("paths").alias("at", "c"))
-            .select("id", "at", "c", F.try_element_at("live", F.col("c.parent")).alias("before"))
+    return (paths.join(live, "id").select("id", "root", "live", F.posexplode("paths").alias("at", "c"))
+            .select("id", "root", "at", "c", F.try_element_at("live", F.col("c.parent")).alias("before"))
             .where("before is not null")
-            .select("id", "at", F.xxhash64("before", "c.token").alias("key")))
+            .select("id", "at", F.xxhash64("before", "c.token").alias("key"), "root"))
 
 
-def candidates(sig: DataFrame, sets: DataFrame, levels: int, small: int, similarity: float):
-    """Candidate pairs (a, b) that pass the sketch, and the rows of the buckets
-    that are large at the last level."""
-    pairs, rows = None, None
-    for level in range(levels):
-        rows = _path_level(rows, sig, sets, level)
-        buckets = (rows.groupBy("key").agg(
-            F.count("*").alias("n"),
-            F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("pivot"))
-            .where("n > 1"))
-        rows = stage(rows.join(buckets, "key"), "paths")
-        few = rows.where(F.col("n") <= small).select("key", "id")
-        many = rows.where(F.col("n") > small)
-        found = (few.alias("x").join(few.alias("y"), "key").where("x.id < y.id")
-                 .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-                 .union(many.where("id <> pivot").select(F.least("id", "pivot"),
-                                                         F.greatest("id", "pivot"))))
-        pairs = found if pairs is None else pairs.union(found)
-        rows = many.select("id", "at", "key", "n")
+def _near(pairs: DataFrame, sig: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree well enough."""
     side = sig.select(UID, "sketch")
-    near = (pairs.distinct()
-            .join(side.select(F.col(UID).alias("a"), F.col("sketch").alias("sa")), "a")
+    return (pairs.join(side.select(F.col(UID).alias("a"), F.col("sketch").alias("sa")), "a")
             .join(side.select(F.col(UID).alias("b"), F.col("sketch").alias("sb")), "b")
             .where(_agreement("sa", "sb") >= least_agreement(similarity)).select("a", "b"))
-    return stage(near, "near"), rows
+
+
+def _ordered(a, b) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def candidates(sig: DataFrame, sets: DataFrame, levels: int, small: int, similarity: float):
+    """Candidate links (a, b) that pass the sketch, and the rows of the buckets that
+    are large and undecided at the last level.
+
+    At each level every bucket links its members to a pivot, the one with the least
+    hash of its id, so that the buckets of one group mostly have the same; these
+    links are contracted to roots.  A bucket whose members all have one root is
+    finished.  Of the others, small ones are compared in pairs of different roots,
+    large ones split."""
+    spark = sig.sparkSession
+    links, rows, last = None, None, None
+
+    def add(links, pairs, name):
+        found = stage(_near(pairs, sig, similarity), name)
+        return found if links is None else links.union(found)
+
+    for level in range(levels):
+        rows = _path_level(rows, sig, sets, level)
+        pivot = F.min_by(F.struct("id", "root"), F.xxhash64("id")).alias("pivot")
+        buckets = rows.groupBy("key").agg(F.count("*").alias("n"), pivot).where("n > 1")
+        rows, path = staged(rows.join(buckets, "key").select(
+            "id", "at", "key", "root", "n", F.col("pivot.id").alias("pivot"),
+            F.col("pivot.root").alias("above")), "paths")
+        discard(spark, last)
+        links = add(links, rows.where("root <> above").select(*_ordered("id", "pivot")).distinct(), "near")
+        groups = components(links, "a", "b")
+        links = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        rows = (rows.select("id", "at", "key", "n").join(groups, F.col("id") == F.col("node"), "left")
+                .select("id", "at", "key", "n", F.coalesce("root", "id").alias("root")))
+        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(
+            "lo <> hi").select("key")
+        rows, last = staged(rows.join(mixed, "key"), "undecided")
+        discard(spark, path)
+        few = rows.where(F.col("n") <= small).select("key", "id", "root")
+        pairs = (few.alias("x").join(few.alias("y"), "key").where("x.id < y.id AND x.root <> y.root")
+                 .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        links = add(links, pairs, "near")
+        rows = rows.where(F.col("n") > small)
+        if rows.isEmpty():
+            break
+    return links, rows.select("id", "at", "key", "n")
 
 
 def _dense(rows: DataFrame, reps: DataFrame, groups: DataFrame, similarity: float,

@@ -135,3 +135,16 @@ def test_documents_of_many_shared_passages(spark):
     _, links, _ = brute(rows)
     assert sum(len(x) for x in links.values()) >= 2 * pairs
     assert [got[i].n_links for i, _ in rows] == [len(links[i]) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("n", [100, 400])
+def test_candidate_links_of_a_group_do_not_grow_with_its_square(spark, n):
+    base = prose(60, 300)
+    docs = frame(spark, [(i, changed(base, 1 + i % 3, seed=i)) for i in range(n)],
+                 "doc_id long, text string").repartition(1)
+    sig = ngram_join.stage(ngram_join.signatures(docs, ngram_join.runs_for(0.999), 5, 0.8), "s")
+    sets = sig.select(ngram_join.F.col("_uid").alias("rep"))
+    links, dense = ngram_join.candidates(sig, sets, 5, 24, 0.8)
+    assert n - 1 <= links.count() <= 3 * n
+    assert links.select("a").union(links.select("b")).distinct().count() == n
+    assert dense.isEmpty()  # the group is decided before the last level
