@@ -153,6 +153,24 @@ def _agreement(x: str, y: str):
     return F.lit(SKETCH) - differ
 
 
+def _sieve(ids: DataFrame, id: str) -> DataFrame:
+    """(_word, _bits) of a bit set over hashes of ids: at most 2**18 rows of 16 bytes,
+    so that it can be broadcast whatever their number."""
+    h = F.pmod(F.xxhash64(id), F.lit(1 << 24))
+    return (ids.select(h.alias("_h")).groupBy(F.expr("_h div 64").alias("_word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(_h % 64 AS int))")).alias("_bits")))
+
+
+def _sifted(df: DataFrame, id: str, ids: DataFrame, of: str) -> DataFrame:
+    """``df`` without most of the rows whose ``id`` is not among ``ids``, none of the
+    others: what a join with them need not shuffle."""
+    h = F.pmod(F.xxhash64(id), F.lit(1 << 24))
+    return (df.withColumn("_h", h).withColumn("_word", F.expr("_h div 64"))
+            .join(F.broadcast(_sieve(ids, of)), "_word")
+            .where(F.expr("shiftrightunsigned(_bits, cast(_h % 64 AS int)) & 1 = 1"))
+            .drop("_h", "_word", "_bits"))
+
+
 def _path_level(rows, sig, sets, level: int):
     """Rows (id, at, key, root) of the next level: the buckets that the members of
     ``rows`` go on to; all buckets of level 0 without ``rows``.  Only the choices of
@@ -165,7 +183,8 @@ def _path_level(rows, sig, sets, level: int):
                 .select("id", "at", F.xxhash64("c.parent", "c.token").alias("key"), F.col("id").alias("root")))
     live = rows.groupBy("id", "root").agg(
         F.map_from_entries(F.collect_list(F.struct("at", "key"))).alias("live"))
-    return (paths.join(live, "id").select("id", "root", "live", F.posexplode("paths").alias("at", "c"))
+    return (_sifted(paths, "id", rows, "id").join(live, "id")
+            .select("id", "root", "live", F.posexplode("paths").alias("at", "c"))
             .select("id", "root", "at", "c", F.try_element_at("live", F.col("c.parent")).alias("before"))
             .where("before is not null")
             .select("id", "at", F.xxhash64("before", "c.token").alias("key"), "root"))
@@ -328,7 +347,8 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float,
                                              F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             .select("id", "copies", "root", "blocks", "block"))
-    texts = (with_uid(docs).select(F.col(UID).alias("id"), "text").join(rows, "id")
+    texts = (_sifted(with_uid(docs).select(F.col(UID).alias("id"), "text"), "id", members, "id")
+             .join(rows, "id")
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
              .drop("other"))
