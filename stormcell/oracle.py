@@ -627,6 +627,11 @@ WHERE NOT EXISTS (SELECT 1 FROM cd JOIN mode_lvl m USING (city, day) WHERE cd.ci
     o["stream_city_day"] = with_(SUMMARY) + (
         "SELECT city, day, " + ", ".join(W) + f", n_hours, {rule_level_sql()} AS rule_level, "
         f"{reasons_sql()} AS reasons FROM cd")
+    for name, same in (("kpis", "range_kpis"), ("ranking", "city_ranking"), ("trend", "daily_trend"),
+                       ("hour_weekday", "hour_weekday_pivot"), ("extremes", "day_extremes"),
+                       ("days_per_level", "days_per_level")):
+        o[f"rollup_{name}"] = o[same]
+    o["rollup_correlations"] = o["corr_matrix"] + " WHERE var_x <> var_y"
     o["published_bulletin"] = o["advisory_bulletin"]
     o["published_days"] = with_() + """SELECT CAST(date AS DATE) AS day,
   CASE WHEN bool_or(day(date) % 5 = 0 AND hour(date) >= 12) THEN 2 ELSE 1 END AS version,

@@ -18,7 +18,7 @@ from .functions import calendar as cal
 from .operators import aggregates as agg
 from .operators import filters, impute, lookups, rules, sampling, scaling, scores, windows
 from .plans import features as feat
-from .plans import scoring, serving, training
+from .plans import rollup, scoring, serving, training
 from .schema import OBS_SCHEMA, SCALED_COLS, WEATHER_COLS
 from .session import checkpoint, land_once, landed_path, scratch_path, source_state
 from .sources import csv_source, dims, forecast, publish, rejects
@@ -351,6 +351,45 @@ def q_corr_label(spark, sf_dir):
                     sentence.alias("sentence"))
 
 
+def _rollup(spark, sf_dir):
+    """The stored partials of the hourly table, landed once per state of the data."""
+    path = land_once(spark, landed_path(spark, "rollup", sf_dir),
+                     lambda p: rollup.store(_obs(spark, sf_dir), p), marker=f"{rollup.BITMAPS}/_SUCCESS")
+    return rollup.Rollup(spark, path)
+
+
+def q_rollup_kpis(spark, sf_dir):
+    """A4 from the partials."""
+    return _rollup(spark, sf_dir).kpis()
+
+
+def q_rollup_ranking(spark, sf_dir):
+    return _rollup(spark, sf_dir).city_ranking()
+
+
+def q_rollup_trend(spark, sf_dir):
+    return _rollup(spark, sf_dir).daily_trend()
+
+
+def q_rollup_hour_weekday(spark, sf_dir):
+    return _rollup(spark, sf_dir).hour_weekday(PIVOT_VARIABLE)
+
+
+def q_rollup_extremes(spark, sf_dir):
+    return _rollup(spark, sf_dir).day_extremes()
+
+
+def q_rollup_correlations(spark, sf_dir):
+    """A9 from sums of products; without the diagonal, which is 1."""
+    m = _rollup(spark, sf_dir).correlations().where("var_x <> var_y")
+    return m.select("var_x", "var_y", F.round("r", 9).alias("r"))
+
+
+def q_rollup_days_per_level(spark, sf_dir):
+    """A5 from the bitmaps."""
+    return _rollup(spark, sf_dir).days_per_level()
+
+
 def q_day_extremes(spark, sf_dir):
     return agg.day_extremes(_obs(spark, sf_dir))
 
@@ -915,6 +954,13 @@ QUERIES = {
     "corr_matrix": q_corr_matrix,
     "corr_label": q_corr_label,
     "day_extremes": q_day_extremes,
+    "rollup_kpis": q_rollup_kpis,
+    "rollup_ranking": q_rollup_ranking,
+    "rollup_trend": q_rollup_trend,
+    "rollup_hour_weekday": q_rollup_hour_weekday,
+    "rollup_extremes": q_rollup_extremes,
+    "rollup_correlations": q_rollup_correlations,
+    "rollup_days_per_level": q_rollup_days_per_level,
     "box_stats": q_box_stats,
     "box_stats_approx": q_box_stats_approx,
     "class_distribution": q_class_distribution,
