@@ -18,8 +18,8 @@ from .functions import calendar as cal
 from .operators import aggregates as agg
 from .operators import filters, impute, lookups, rules, sampling, scaling, scores, windows
 from .plans import features as feat
-from .plans import rollup, scoring, serving, training
-from .schema import OBS_SCHEMA, SCALED_COLS, WEATHER_COLS
+from .plans import rollup, scoring, serving, training, trees
+from .schema import FEATURES, OBS_SCHEMA, SCALED_COLS, WEATHER_COLS
 from .session import checkpoint, land_once, landed_path, scratch_path, source_state
 from .sources import csv_source, dims, forecast, publish, rejects
 from .sources.fixture import city_dim_from_sites, load_obs, read_table
@@ -614,6 +614,12 @@ def q_top_features(spark, sf_dir):
             .orderBy(F.desc("importance"), "feature").limit(10))
 
 
+def q_split_importances(spark, sf_dir):
+    """M9 as the reference counts it: splits per feature over all trees."""
+    model = _model(spark, sf_dir).model
+    return trees.split_counts(trees.node_table(spark, model), FEATURES)
+
+
 def q_score_city_days(spark, sf_dir):
     model, split, *_ = _model(spark, sf_dir)
     return scoring.score_city_days(model, split.drop("is_test"))
@@ -992,6 +998,7 @@ QUERIES = {
     "cv_folds": q_cv_folds,
     "train_eval": q_train_eval,
     "top_features": q_top_features,
+    "split_importances": q_split_importances,
     "score_city_days": q_score_city_days,
     "score_serving_days": q_score_serving_days,
     "cv_accuracy": q_cv_accuracy,

@@ -13,7 +13,7 @@ from stormcell.oracle import ORACLE
 from stormcell.queries import QUERIES
 from tests.conftest import SF001
 
-SLOW = {"train_eval", "top_features", "score_city_days", "score_serving_days",
+SLOW = {"train_eval", "top_features", "split_importances", "score_city_days", "score_serving_days",
         "cv_accuracy", "artifacts_roundtrip", "request_answers", "scenario_scores",
         "model_bulletin"}
 TABLES = ["events", "nation", "orders", "customer"]
