@@ -57,8 +57,13 @@ def pretokens(text: str | None, path: str) -> list[str]:
     return _plain(text, tok)
 
 
+#: White space for Python's pattern but not for the library's.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
 def _plain(text: str, tok) -> list[str]:
-    if text.isascii() or not _NOT_LATIN.search(text):
+    if ((text.isascii() or not _NOT_LATIN.search(text))
+            and not any(c in text for c in _SEPARATORS)):
         return _PRE.findall(text)
     return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -22,6 +23,10 @@ def library():
 def test_ids_are_the_librarys(library):
     texts = ODD + [t for _, t, *_ in documents()]
     texts += ["a" + chr(c) + "b " + chr(c) + " 1" + chr(c) + chr(c) for c in range(0x250)]
+    r = random.Random(4)
+    signs = [chr(c) for c in [*range(0x21), 0x7f, *range(0x80, 0xa1), 0x1680, 0x2028, 0x200b, 0x3000]]
+    texts += ["".join(r.choice([*signs, "'s", "'ll", "a", "1", "_", " "]) for _ in range(r.randint(1, 8)))
+              for _ in range(20_000)]
     for t in texts:
         assert np.frombuffer(tokens.encode(t, PATH), "<u4").tolist() == library(t), repr(t)[:60]
         assert sum(tokens.n_pieces(tokens.pretokens(t, PATH), PATH)) == len(library(t))
