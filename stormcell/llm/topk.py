@@ -46,9 +46,9 @@ def _number(v: np.ndarray) -> np.ndarray:
 
 
 class BallTree:
-    def __init__(self, v: np.ndarray, ids: np.ndarray):
+    def __init__(self, v: np.ndarray, ids: np.ndarray, uids: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.v, self.ids = v[order], ids[order]
+        self.v, self.ids, self.uids = v[order], ids[order], uids[order]
         self.low = self.v.astype(np.float64)
         self.rows: list[np.ndarray] = []
         self.kids: list[tuple[int, int] | None] = []
@@ -78,7 +78,8 @@ class BallTree:
         self.first = np.array([self.ids[r[0]] if len(r) else 0 for r in self.rows])
 
     def search(self, q: np.ndarray, own: int, k: int, bar: int | None):
-        """The best (score, id) of the shard, at least as good as ``bar``."""
+        """The best (score, id) of the shard but the row ``own``, at least as good as
+        ``bar``."""
         f = q.astype(np.float64)
         bound = self.center @ f + np.sqrt(f @ f) * self.radius
         bound += 1e-9 * (np.abs(bound) + np.sqrt(f @ f) * (1 + np.abs(self.center).max(initial=0)))
@@ -98,9 +99,10 @@ class BallTree:
                 continue
             rows = self.rows[node]
             score = self.v[rows] @ q
-            for s, i in zip(score.tolist(), self.ids[rows].tolist(), strict=True):
+            for s, i, u in zip(score.tolist(), self.ids[rows].tolist(), self.uids[rows].tolist(),
+                               strict=True):
                 s = int(s)
-                if i == own or (bar is not None and s < bar):
+                if u == own or (bar is not None and s < bar):
                     continue
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
@@ -123,11 +125,12 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, tasks: int) -> DataF
             v = np.array(t.column("v").to_pylist(), dtype=np.int64).reshape(len(side), -1)
             ids = t.column("vec_id").to_numpy()
             v = _number(v)
-            tree = BallTree(v[:n], ids[:n])
+            uids = t.column(UID).to_numpy()
+            tree = BallTree(v[:n], ids[:n], uids[:n])
             out: list[list] = [[], [], [], []]
             for j in range(n, len(side)):
                 bar = t.column("bar")[j].as_py()
-                for s, i in tree.search(v[j], int(ids[j]), k, bar):
+                for s, i in tree.search(v[j], int(uids[j]), k, bar):
                     for col, x in zip(out, (t.column(UID)[j].as_py(), int(ids[j]), i,
                                             max(-2**63, min(2**63 - 1, s))), strict=True):
                         col.append(x)
@@ -142,7 +145,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, tasks: int) -> DataF
 def top_k(embeddings: DataFrame, is_query, k: int = 10, shard_rows: int = SHARD_ROWS,
           query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``is_query`` (a condition
-    on vec_id) holds, against all rows with another vec_id.
+    on vec_id) holds, against all rows but the query's own.
 
     Vectors that are null or hold nulls or non-finite numbers, and rows without
     vec_id, take no part; vectors of different lengths are not compared; a row

@@ -26,11 +26,11 @@ def brute(k=10):
     for i, e, *_ in vectors():
         if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
             good.append((i, [math.floor(1024 * float(np.float32(x))) for x in e]))
-    for i, q in good:
+    for a, (i, q) in enumerate(good):
         if i % 100:
             continue
-        s = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in good
-                   if j != i and len(c) == len(q))[:k]
+        s = sorted((-sum(x * y for x, y in zip(q, c, strict=True)), j) for b, (j, c) in enumerate(good)
+                   if a != b and len(c) == len(q))[:k]
         out += [(i, n + 1, j, -x) for n, (x, j) in enumerate(s)]
     return sorted(out)
 
