@@ -36,7 +36,10 @@ UNKNOWN = "und"
 
 
 def letters(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """The words of a text; none if it has numerals that are no digits (fractions,
+    powers) but no letter."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    return found if any(c.isalpha() for w in found for c in w) else []
 
 
 def grams(word: str):

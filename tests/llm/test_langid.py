@@ -71,3 +71,8 @@ def test_a_small_cache_changes_nothing(spark, model, monkeypatch):
     few = langid.Scorer(model)
     few.room = 20
     assert few.score(text) == pytest.approx(want) or few.score(text)[0] == want[0]
+
+
+def test_numerals_are_no_letters():
+    assert langid.letters("\u00bd \u00b2 \u2167 12") == []
+    assert langid.letters("\u00bd liter") == ["\u00bd", "liter"]
