@@ -71,6 +71,12 @@ def with_uid(df: DataFrame) -> DataFrame:
     return df.withColumn(UID, F.monotonically_increasing_id())
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(_uid, _row): the ids that ``with_uid`` gives, and all columns in a struct, so
+    that no name of theirs can clash."""
+    return with_uid(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
+
+
 def _spaced(text: str | None) -> bytes:
     """The words of a text, with spaces between them."""
     if not text:

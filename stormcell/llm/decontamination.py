@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (SIMILARITY, UID, lean, odd_numbers, shingle_list, shingles, texts,
-                     with_uid)
+                     packed)
 
 HASHES = 40
 BLOCK_ITEMS = 20_000
@@ -167,7 +167,8 @@ def contained(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs``, all columns, without the rows that contain an item."""
-    rows = with_uid(docs)
-    leaks = contained(rows.select(F.col(UID).alias("doc_id"), "text"), items, **options)
+    rows = packed(docs)
+    leaks = contained(rows.select(F.col(UID).alias("doc_id"), F.col("_row.text").alias("text")),
+                      items, **options)
     gone = leaks.select(F.col("doc_id").alias(UID)).distinct()
-    return rows.join(gone, UID, "left_anti").select(docs.columns)
+    return rows.join(gone, UID, "left_anti").select("_row.*")

@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (SIMILARITY, UID, discard, lean, list_column, mix, odd_numbers, runs, shingles,
-                     stage, staged, texts, with_uid)
+from .common import (SIMILARITY, UID, discard, lean, list_column, mix, odd_numbers, packed, runs,
+                     shingles, stage, staged, texts, with_uid)
 from .components import components
 
 RECALL = 0.999
@@ -420,4 +420,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs``, all columns, with one row of each class: that with the smallest doc_id."""
     gone = near_duplicates(docs, **options).where("not keep").select(UID)
-    return with_uid(docs).join(gone, UID, "left_anti").select(docs.columns)
+    return packed(docs).join(gone, UID, "left_anti").select("_row.*")

@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from stormcell.llm import ngram_join
+from stormcell.llm import decontamination, ngram_join
 from stormcell.llm.common import shingles
 
 from .samples import changed, clash, documents, frame, prose
@@ -74,6 +74,17 @@ def test_keep_one_keeps_columns_and_one_row_of_each_group(spark):
     assert ids.count(18) == 1 and 6 in ids and 7 in ids
 
 
+def test_a_column_named_like_the_row_id_is_kept(spark):
+    rows = [(7 * i, r[0], r[1]) for i, r in enumerate(documents())]
+    docs = frame(spark, rows, "_uid long, doc_id long, text string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {(r["_uid"], r["doc_id"]) for r in kept.collect()} <= {(a, b) for a, b, _ in rows}
+    clean = decontamination.decontaminate(docs, frame(spark, [(1, "nothing of this kind at all")],
+                                                      "item_id long, text string"))
+    assert sorted((r["_uid"] for r in clean.collect())) == [a for a, *_ in rows]
+
+
 def test_sketch_agrees_with_similarity():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**63, 1000).astype(np.uint64)
