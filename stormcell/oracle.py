@@ -632,6 +632,19 @@ WHERE NOT EXISTS (SELECT 1 FROM cd JOIN mode_lvl m USING (city, day) WHERE cd.ci
                        ("days_per_level", "days_per_level")):
         o[f"rollup_{name}"] = o[same]
     o["rollup_correlations"] = o["corr_matrix"] + " WHERE var_x <> var_y"
+    o["rule_bands"] = o["rule_engine"]
+    later = "day >= DATE '2024-01-15'"
+    rain1 = f"""CASE WHEN {later} THEN CASE WHEN precipitation >= 2.5 THEN 'Rain from 2.5 mm' END
+    WHEN precipitation >= {CRITERIA_RAIN[0][1]} THEN {_q(CRITERIA_RAIN[0][3])} END"""
+    items = _reason_items("windspeed_10m", "precipitation", "apparent_temperature")
+    items[1] = rain1
+    o["rule_bands_changed"] = with_(SUMMARY) + f"""SELECT city, day,
+  greatest({wind_level_sql("windspeed_10m")}, CASE WHEN {later} AND precipitation >= 2.5 THEN 2
+    WHEN NOT {later} AND precipitation >= {CRITERIA_RAIN[0][1]} THEN {CRITERIA_RAIN[0][2]} ELSE 0 END,
+    {threshold_level_sql("precipitation", CRITERIA_RAIN[1:])},
+    {threshold_level_sql("apparent_temperature", CRITERIA_HEAT)}) AS rule_level,
+  {" + ".join(f"CAST(({i}) IS NOT NULL AS INTEGER)" for i in items)} AS n_reasons,
+  concat_ws('; ', {", ".join(items)}) AS reasons FROM cd"""
     o["published_bulletin"] = o["advisory_bulletin"]
     o["published_days"] = with_() + """SELECT CAST(date AS DATE) AS day,
   CASE WHEN bool_or(day(date) % 5 = 0 AND hour(date) >= 12) THEN 2 ELSE 1 END AS version,

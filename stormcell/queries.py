@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import bins, labels
 from .functions import calendar as cal
 from .operators import aggregates as agg
-from .operators import filters, impute, lookups, rules, sampling, scaling, scores, windows
+from .operators import band_rules, filters, impute, lookups, rules, sampling, scaling, scores, windows
 from .plans import features as feat
 from .plans import rollup, scoring, serving, training, trees
 from .schema import FEATURES, OBS_SCHEMA, SCALED_COLS, WEATHER_COLS
@@ -48,8 +48,21 @@ def _obs(spark, sf_dir) -> DataFrame:
     return load_obs(spark, sf_dir)
 
 
+def _medians(spark, sf_dir) -> dict[str, float | None]:
+    """The fitted medians, landed once per state of the data."""
+    schema = ", ".join(f"{c} double" for c in impute.MEDIAN_COLS)
+
+    def write(path):
+        found = impute.fit_medians(_obs(spark, sf_dir))
+        (spark.createDataFrame([tuple(found[c] for c in impute.MEDIAN_COLS)], schema).coalesce(1)
+         .write.mode("overwrite").parquet(path))
+
+    path = land_once(spark, landed_path(spark, "medians", sf_dir), write)
+    return spark.read.schema(schema).parquet(path).first().asDict()
+
+
 def _imputed(spark, sf_dir) -> DataFrame:
-    return impute.impute_obs(_obs(spark, sf_dir))
+    return impute.impute(_obs(spark, sf_dir), _medians(spark, sf_dir))
 
 
 def _filtered(spark, sf_dir) -> DataFrame:
@@ -203,8 +216,12 @@ def q_route_mode(spark, sf_dir):
 # ---- lookups --------------------------------------------------------------
 
 def _cities(spark, sf_dir) -> DataFrame:
-    return city_dim_from_sites(read_table(spark, sf_dir, "events"),
-                               read_table(spark, sf_dir, "nation"))
+    """The city dimension, landed once per state of the data: making it scans the
+    events, looking it up does not."""
+    path = land_once(spark, landed_path(spark, "city-dim", sf_dir), lambda p: city_dim_from_sites(
+        read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "nation"))
+        .write.mode("overwrite").parquet(p))
+    return spark.read.schema(dims.CITY_SCHEMA).parquet(path)
 
 
 def q_enrich_city(spark, sf_dir):
@@ -269,6 +286,32 @@ def q_rule_engine(spark, sf_dir):
                        _reasons_text().alias("reasons"))
 
 
+BANDS_CHANGE = "2024-01-15"
+
+
+def _band_rules(spark, sf_dir, bands):
+    days = band_rules.apply_bands(agg.city_day_summary(_obs(spark, sf_dir)), bands)
+    return days.select("city", "day", "rule_level", F.size("rule_reasons").alias("n_reasons"),
+                       _reasons_text().alias("reasons"))
+
+
+def q_rule_bands(spark, sf_dir):
+    """S5 / R1 from the band table: the rows of ``rule_engine``."""
+    return _band_rules(spark, sf_dir, band_rules.standard_bands(spark))
+
+
+def q_rule_bands_changed(spark, sf_dir):
+    """The first rain band has another threshold and level from a day on."""
+    bands = band_rules.standard_bands(spark)
+    changed = F.to_date(F.lit(BANDS_CHANGE))
+    first = (F.col("rule") == "rain") & (F.col("position") == 0)
+    old = bands.where(first).withColumn("valid_to", changed)
+    new = bands.where(first).withColumns({
+        "low": F.lit(2.5), "suspension": F.lit(2), "description": F.lit("Rain from 2.5 mm"),
+        "valid_from": changed})
+    return _band_rules(spark, sf_dir, bands.where(~first).unionByName(old).unionByName(new))
+
+
 def q_rule_reasons(spark, sf_dir):
     """F13 on hourly rows."""
     hours = rules.apply_rules(_obs(spark, sf_dir))
@@ -440,7 +483,7 @@ def q_confusion_rates(spark, sf_dir):
 
 def _series(spark, sf_dir, **layout):
     obs = _obs(spark, sf_dir)
-    med = impute.fit_medians(obs)
+    med = _medians(spark, sf_dir)
     filled = impute.impute(obs, med)
     return windows.series_features(filled, temp_fill=F.lit(med["temperature_2m"]), **layout)
 
@@ -945,6 +988,8 @@ QUERIES = {
     "rule_rain": q_rule_rain,
     "rule_heat": q_rule_heat,
     "rule_engine": q_rule_engine,
+    "rule_bands": q_rule_bands,
+    "rule_bands_changed": q_rule_bands_changed,
     "rule_reasons": q_rule_reasons,
     "rule_agreement": q_rule_agreement,
     "final_decision": q_final_decision,
