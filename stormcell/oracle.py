@@ -645,6 +645,11 @@ WHERE NOT EXISTS (SELECT 1 FROM cd JOIN mode_lvl m USING (city, day) WHERE cd.ci
     {threshold_level_sql("apparent_temperature", CRITERIA_HEAT)}) AS rule_level,
   {" + ".join(f"CAST(({i}) IS NOT NULL AS INTEGER)" for i in items)} AS n_reasons,
   concat_ws('; ', {", ".join(items)}) AS reasons FROM cd"""
+    o["scenario_table"] = o["scenario_grid"]
+    values = " UNION ALL ".join(
+        f"SELECT suspension AS level, '{v}' AS variable, {v} AS value FROM obs" for v in BOX_VARS)
+    o["sketch_quartiles"] = with_() + f"""SELECT level, variable, count(*) AS n, min(value) AS min,
+  max(value) AS max, true AS within FROM ({values}) WHERE level IS NOT NULL AND value IS NOT NULL GROUP BY ALL"""
     o["published_bulletin"] = o["advisory_bulletin"]
     o["published_days"] = with_() + """SELECT CAST(date AS DATE) AS day,
   CASE WHEN bool_or(day(date) % 5 = 0 AND hour(date) >= 12) THEN 2 ELSE 1 END AS version,

@@ -16,7 +16,7 @@ from ..functions import calendar as cal
 from ..functions import labels
 from ..operators import aggregates as agg
 from ..operators import rules
-from ..operators.lookups import enrich_city, enrich_level
+from ..operators.lookups import broadcast_checked, enrich_city, enrich_level
 from ..sources import publish
 
 N_LEVEL_PROBS = 5
@@ -112,7 +112,29 @@ def scenario_grid(base: DataFrame, temp_offsets, precip_offsets, wind_offsets,
         F.lit(float(p)).alias("d_precip"), F.lit(float(w)).alias("d_wind"),
         F.lit(float(h)).alias("d_humidity"), F.lit(int(hour)).alias("s_hour"),
         F.lit(int(days)).alias("d_days")) for i, t, p, w, h, hour, days in combos])
-    g = base.select("*", F.inline(arr))
+    return _scenario_days(base.select("*", F.inline(arr)), apparent_offset)
+
+
+def scenario_table(base: DataFrame, sets: DataFrame, apparent_offset: float = -2.0,
+                   block: int = 1024) -> DataFrame:
+    """``scenario_grid`` with the combinations in a table: (scenario, d_temp, d_precip,
+    d_wind, d_humidity, s_hour, d_days).
+
+    The sets are dealt into blocks of about ``block``, an array each; every base row
+    meets every block by an equi-join and unfolds its array.  The plan is the same for
+    any number of sets; the side with the blocks is broadcast if it is small."""
+    columns = ["scenario", "d_temp", "d_precip", "d_wind", "d_humidity", "s_hour", "d_days"]
+    blocks = max(1, -(-sets.count() // block))
+    dealt = (sets.select(F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int").alias("_block"),
+                         F.struct(*columns).alias("s"))
+             .groupBy("_block").agg(F.collect_list("s").alias("_sets")))
+    rows = base.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = rows.join(broadcast_checked(dealt, materialize=True), "_block")
+    return _scenario_days(met.select(*base.columns, F.inline("_sets")), apparent_offset)
+
+
+def _scenario_days(g: DataFrame, apparent_offset: float) -> DataFrame:
+    """Base rows with their offsets: the scenario's readings, date and rule level."""
     humidity = F.col("relativehumidity_2m")
     g = g.withColumns({
         "s_day": F.date_add("day", F.col("d_days")),

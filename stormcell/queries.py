@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .functions import bins, labels
 from .functions import calendar as cal
 from .operators import aggregates as agg
-from .operators import band_rules, filters, impute, lookups, rules, sampling, scaling, scores, windows
+from .operators import (band_rules, filters, impute, lookups, rules, sampling, scaling, scores,
+                        sketches, windows)
 from .plans import features as feat
 from .plans import rollup, scoring, serving, training, trees
 from .schema import FEATURES, OBS_SCHEMA, SCALED_COLS, WEATHER_COLS
@@ -447,6 +448,18 @@ def q_box_stats_approx(spark, sf_dir):
     return agg.box_stats(_obs(spark, sf_dir), approx_accuracy=10_000)
 
 
+def q_sketch_quartiles(spark, sf_dir):
+    """A12 from merged day sketches: per (level, variable) the exact ends, and whether
+    the quartiles' rank error is within twice the sketch's stated bound."""
+    obs = _obs(spark, sf_dir)
+    found = sketches.box_stats(sketches.day_sketches(obs))
+    rows = sketches.long_rows(obs).where("level IS NOT NULL")
+    errors = sketches.rank_errors(rows, found, ["level", "variable"])
+    return errors.join(found.select("level", "variable", "min", "max"), ["level", "variable"]).select(
+        "level", "variable", "n", "min", "max",
+        (F.col("error") <= 2 * sketches.rank_error()).alias("within"))
+
+
 def q_class_distribution(spark, sf_dir):
     return agg.class_distribution(_obs(spark, sf_dir))
 
@@ -876,6 +889,18 @@ def q_scenario_grid(spark, sf_dir):
         _reasons_text().alias("reasons"))
 
 
+def q_scenario_table(spark, sf_dir):
+    """M11 with the combinations in a table."""
+    combos = serving.scenario_combinations(
+        SCENARIO_TEMP, SCENARIO_PRECIP, SCENARIO_WIND, SCENARIO_HUMIDITY, SCENARIO_HOURS, SCENARIO_DAYS)
+    sets = spark.createDataFrame(
+        [(i, float(t), float(p), float(w), float(h), hour, days) for i, t, p, w, h, hour, days in combos],
+        "scenario int, d_temp double, d_precip double, d_wind double, d_humidity double, s_hour int, d_days int")
+    rows = serving.scenario_table(agg.city_day_summary(_obs(spark, sf_dir)), sets)
+    return rows.select("city", "day", "scenario", "s_humidity", "s_hour", "s_weekday", "s_month",
+                       "rule_level", _reasons_text().alias("reasons"))
+
+
 def q_scenario_scores(spark, sf_dir):
     """M11 scored: every scenario row through the model and the rules; the
     final level is the larger of the two."""
@@ -1014,6 +1039,7 @@ QUERIES = {
     "rollup_days_per_level": q_rollup_days_per_level,
     "box_stats": q_box_stats,
     "box_stats_approx": q_box_stats_approx,
+    "sketch_quartiles": q_sketch_quartiles,
     "class_distribution": q_class_distribution,
     "sample_pair": q_sample_pair,
     "confusion_matrix": q_confusion_matrix,
@@ -1062,6 +1088,7 @@ QUERIES = {
     "published_bulletin": q_published_bulletin,
     "published_days": q_published_days,
     "scenario_grid": q_scenario_grid,
+    "scenario_table": q_scenario_table,
     "scenario_scores": q_scenario_scores,
     "stream_city_day": q_stream_city_day,
     "stream_state_city_day": q_stream_state_city_day,
