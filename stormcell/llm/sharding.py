@@ -1,7 +1,7 @@
 """Shards along a Hilbert curve, for file pruning in several dimensions.
 
-Each dimension is cut at its quantiles into 2^bits cells, a document's cells
-give its place on the curve, and the sorted documents are cut into runs of
+Each dimension is cut at its quantiles into 2^bits cells, strings by their rank
+among the distinct values, a document's cells give its place on the curve, and the sorted documents are cut into runs of
 equal numbers of rows.  Documents alike in all dimensions lie together, so each
 shard covers small ranges of every dimension.  Ties on the curve are ordered by
 a hash of the row, so that a cell with very many rows is sorted by many tasks.
@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_total
 from .common import UID, stage, with_uid
 
 BITS = 5
@@ -47,24 +48,36 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def string_order(c: Column) -> Column:
-    """A number that orders strings by their first seven bytes."""
-    digits = F.rpad(F.substring(F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), 1, 14), 14, "0")
-    return F.conv(digits, 16, 10).cast("long")
+def string_edges(rows: DataFrame, name: str, bits: int = BITS) -> list[str]:
+    """The first string of every quantile cell but the lowest, at most 2^bits - 1 of them.
 
+    The distinct values are ranked whole, each with its number of rows, by a running
+    total in range partitions; a value with very many rows is one row of that table."""
+    values = rows.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    ranked = running_total(values, ["value"], F.col("n"), "upto")
+    total = max(1, rows.count())
+    cell = F.expr(f"((upto - n) * {2**bits}) div {total}")
+    return sorted(r["edge"] for r in ranked.groupBy(cell.alias("cell")).agg(
+        F.min("value").alias("edge")).collect())[1:]
 
-def curve(rows: DataFrame, dims: dict[str, Column], bits: int = BITS) -> DataFrame:
-    """``rows`` with ``_curve``, the place of their cells on the curve."""
-    names = list(dims)
+
+def number_edges(rows: DataFrame, name: str, bits: int = BITS) -> list[int]:
+    """The numbers that begin the quantile cells but the lowest."""
     steps = [k / 2**bits for k in range(1, 2**bits)]
-    cuts = rows.agg(*[F.percentile_approx(d, steps, 10_000).alias(n) for n, d in dims.items()]).first()
+    cuts = rows.agg(F.percentile_approx(name, steps, 10_000).alias("cuts")).first()["cuts"]
+    return [c + 1 for c in sorted(set(cuts or []))]
+
+
+def curve(rows: DataFrame, edges: dict[str, list], bits: int = BITS) -> DataFrame:
+    """``rows`` with ``_curve``, the place of their cells on the curve; ``edges`` has
+    the first value of each cell but the lowest for every dimension."""
     cell = F.lit(0)
-    for n in names:
+    for name, firsts in edges.items():
         part = F.lit(0)
-        for edge in sorted(set(cuts[n] or [])):
-            part = part + F.when(dims[n] > F.lit(edge), 1).otherwise(0)
+        for first in firsts:
+            part = part + F.when(F.col(name) >= F.lit(first), 1).otherwise(0)
         cell = cell * 2**bits + part
-    grid = np.stack(np.unravel_index(np.arange(2 ** (bits * len(names))), (2**bits,) * len(names)), 1)
+    grid = np.stack(np.unravel_index(np.arange(2 ** (bits * len(edges))), (2**bits,) * len(edges)), 1)
     places = rows.sparkSession.createDataFrame(pd.DataFrame(
         {"_cell": np.arange(len(grid), dtype=np.int32),
          "_curve": hilbert_index(grid, bits).astype(np.int32)}))
@@ -77,17 +90,18 @@ def shard(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFrame:
     (doc_id, text, lang, source).
 
     Size is the text's UTF-8 bytes plus one; a null text has none, a null lang or
-    source sorts first.  The law is ``rows``: the shards' numbers of rows differ
+    source sorts first, with empty ones; other columns are ignored.  The law is ``rows``: the shards' numbers of rows differ
     by one at most, whatever the copies; repeated rows have slots of their own.
     """
     text = F.coalesce("text", F.lit(""))
     rows = stage(with_uid(docs).select(
         UID, F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), string_order(F.col("lang")).alias("lang"),
-        string_order(F.col("source")).alias("source")), "metadata")
-    placed = curve(rows, {"lang": F.col("lang"), "source": F.col("source"), "size": F.col("size")},
-                   bits)
+        F.crc32(text).alias("text_crc32"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]), "metadata")
+    placed = curve(rows, {"lang": string_edges(rows, "lang", bits),
+                          "source": string_edges(rows, "source", bits),
+                          "size": number_edges(rows, "size", bits)}, bits)
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["_curve", "_tie", UID]
     line = stage(placed.withColumn("_tie", F.xxhash64(UID)).repartitionByRange(n, *order)

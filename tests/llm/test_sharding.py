@@ -48,3 +48,30 @@ def test_shards_prune_in_every_dimension(spark):
         for r in rows:
             spans.setdefault(got[r[0]], set()).add(r[dim])
         assert np.mean([len(s) for s in spans.values()]) <= 8  # of 16
+
+
+def test_strings_with_a_long_common_prefix_prune_too(spark):
+    far = "https://example.org/" + "a" * 3000 + "/"
+    rows = [(i, "x" * (1 + i * 7919 % 4096), f"{far}{i % 16:02d}", f"{far}{i // 16 % 16:02d}", 1)
+            for i in range(4096)]
+    got = {r.doc_id: r.shard for r in sharding.shard(frame(spark, rows), shards=64).collect()}
+    for dim in (2, 3):
+        spans = {}
+        for r in rows:
+            spans.setdefault(got[r[0]], set()).add(r[dim])
+        assert np.mean([len(s) for s in spans.values()]) <= 8  # of 16
+
+
+def test_string_edges_are_quantiles_of_the_ranked_values(spark):
+    values = [f"v{i:03d}" for i in range(100)] + ["v050"] * 60 + [None] * 40
+    rows = spark.createDataFrame([(v or "",) for v in values], "s string")
+    line = sorted(v or "" for v in values)
+    cell = {}
+    for at, v in enumerate(line):
+        cell.setdefault(v, at * 8 // len(line))
+    want = {}
+    for v in line:
+        want.setdefault(cell[v], v)
+    assert sharding.string_edges(rows, "s", 3) == sorted(want.values())[1:]
+    assert sharding.string_edges(rows.limit(0), "s", 3) == []
+    assert sharding.number_edges(rows.limit(0).selectExpr("length(s) AS n"), "n", 3) == []
