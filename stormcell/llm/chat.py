@@ -44,19 +44,39 @@ def unescape(c: Column, pairs=ESCAPES) -> Column:
     return c
 
 
-def about_tokens(text: Column) -> Column:
-    """Upper-end estimate: a token for every three bytes, and four for the marks."""
+def _turn(role: Column, text: Column) -> Column:
+    return F.concat(F.lit("<|"), escape(role, ROLE_ESCAPES), F.lit("|>\n"), escape(text), F.lit(END))
+
+
+def _render(t: Column) -> Column:
+    return _turn(t["role"], t["text"])
+
+
+def about_tokens(text: Column, role: Column | None = None) -> Column:
+    """An estimate for Latin script: a token for every three bytes, and four for the
+    marks.  Texts of other scripts can have more."""
     return F.ceil(F.octet_length(text) / F.lit(3)).cast("long") + 4
 
 
-def numbered(turns: DataFrame, tokens=about_tokens) -> DataFrame:
+def most_tokens(text: Column, role: Column) -> Column:
+    """A bound: the bytes of the turn as it is written, as no token of a byte-level
+    vocabulary has less than one."""
+    return F.octet_length(_turn(role, text)).cast("long")
+
+
+def numbered(turns: DataFrame, tokens=most_tokens) -> DataFrame:
     """(conv_id, idx, start, n, role, text): the turn's place, the tokens before
-    it and its own.  Order: turn (nulls last), role, text."""
+    it and its own.  Order: turn (nulls last), role, text.
+
+    ``tokens`` gives a turn's tokens from its text and role, or is the name of a
+    column of ``turns`` that has them (null: the bound of ``most_tokens``)."""
+    count = F.col(f"`{tokens}`").cast("long") if isinstance(tokens, str) else F.lit(None).cast("long")
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = (rows.withColumn("n", tokens(F.col("text")))
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), count.alias("n"))
+    of = most_tokens if isinstance(tokens, str) else tokens
+    rows = (rows.withColumn("n", F.coalesce("n", of(F.col("text"), F.col("role"))))
             .withColumn("block", F.coalesce(F.expr(f"turn div {BLOCK}"), F.lit(2**62))))
     inside = Window.partitionBy("conv_id", "block").orderBy(
         F.asc_nulls_last("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,18 +93,18 @@ def numbered(turns: DataFrame, tokens=about_tokens) -> DataFrame:
                     (F.col("start") + F.col("_s")).alias("start"), "n", "role", "text"))
 
 
-def _render(t: Column) -> Column:
-    return F.concat(F.lit("<|"), escape(t["role"], ROLE_ESCAPES), F.lit("|>\n"), escape(t["text"]), F.lit(END))
-
-
 def windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS,
-            history_share: float = HISTORY_SHARE, tokens=about_tokens) -> DataFrame:
+            history_share: float = HISTORY_SHARE, tokens=most_tokens) -> DataFrame:
     """(conv_id, window, formatted, repeated, loss): a row per window.
 
     ``window`` is the place of its first new turn, ``repeated`` the number of
     leading turns that earlier windows have already had, ``loss`` an array of
     (start, length) in code points of ``formatted``.  Null texts and roles are
     empty; turns without conv_id are one conversation; repeated rows are turns.
+
+    ``tokens`` as in :func:`numbered`.  With counts that bound the written turns, as
+    by default, a window of several new turns, or of one that fits, has at most
+    ``budget`` tokens.
     """
     history = int(budget * history_share)
     rows = numbered(turns, tokens)
@@ -151,7 +171,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, window, turns, targets): new turns (role, text) and loss texts
-    of each window, parsed from its text, mark by mark."""
+    of each window, parsed from its text, mark by mark; a row per row of
+    ``formatted``, whose other columns are left out."""
     parts = F.split("formatted", r"<\|end\|>\n")
     new = F.slice(parts, F.col("repeated") + 1, F.size(parts) - 1 - F.col("repeated"))
 
@@ -168,7 +189,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def digests(read: DataFrame) -> DataFrame:
-    """A row per conversation: its turns and targets, hashed in order."""
+    """A row per conversation (null conv_id is one): its turns and targets, hashed in
+    order of the windows.  A conversation's text is gathered in one row."""
     rows = read.select(
         "conv_id", "window", "chars", F.size("turns").alias("n"),
         F.array_join(F.transform("turns", lambda t: F.concat(

@@ -56,7 +56,8 @@ def test_read_back(spark, options):
 
 def test_windows_keep_budget_system_and_history(spark):
     budget = 120
-    rows = chat.windows(spark.createDataFrame(turns(), SCHEMA), budget=budget).orderBy("window").collect()
+    rows = chat.windows(spark.createDataFrame(turns(), SCHEMA), budget=budget,
+                        tokens=chat.about_tokens).orderBy("window").collect()
     by = {}
     for r in rows:
         by.setdefault(r.conv_id, []).append(r)
@@ -94,3 +95,45 @@ def test_plan_has_no_python(spark):
     plan = chat.digests(chat.read_back(chat.windows(spark.createDataFrame(turns(), SCHEMA))))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+
+
+MIXED = ["日本語のテキスト😀😀と絵文字", "Ünïcödé ½ ² ﬁ", "नमस्ते दुनिया", "𝔘𝔫𝔦𝔠𝔬𝔡𝔢 🧪🧫", "plain words here",
+         "<|end|>&&[[<<", "שלום עולם", "\x1e's \u200d\u200d"]
+
+
+def mixed_turns():
+    return [(c, k, ("system" if c % 2 and not k else ("user", "assistant")[k % 2]), MIXED[(c + k) % 8] * (1 + k % 7))
+            for c in range(6) for k in range(60)]
+
+
+def real_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("budget", [200, 700, 2048])
+def test_windows_of_any_script_keep_the_budget_in_real_tokens(spark, budget):
+    n = real_tokens()
+    rows = chat.windows(spark.createDataFrame(
+        mixed_turns(), "conv_id long, turn long, role string, text string"), budget=budget).collect()
+    assert len(rows) > 6
+    for r in rows:
+        new = r.formatted.count(chat.END) - r.repeated
+        assert new >= 1 and (n(r.formatted) <= budget or new == 1)
+    if budget == 2048:
+        assert all(n(r.formatted) <= budget for r in rows)
+
+
+def test_windows_take_a_column_of_counts(spark):
+    n = real_tokens()
+    rows = [(*t, n(f"<|{t[2]}|>\n{t[3]}{chat.END}") + 8 if i % 5 else None)
+            for i, t in enumerate(mixed_turns())]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long")
+    got = chat.windows(turns, budget=700, tokens="n").collect()
+    assert len(got) < chat.windows(turns, budget=700).count()
+    assert all(n(r.formatted) <= 700 for r in got)
+    back = chat.digests(chat.read_back(chat.windows(turns, budget=700, tokens="n"))).collect()
+    assert {r.conv_id: r.n_turns for r in back} == {c: 60 for c in range(6)}
