@@ -173,7 +173,11 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def shingle_list(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     """Shingle hashes in text order, repeats included."""
-    h = word_hashes(text)
+    return word_shingles(word_hashes(text), n)
+
+
+def word_shingles(h: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of ``n`` consecutive words, from those of the words."""
     if not len(h):
         return np.empty(0, np.uint64)
     if len(h) < n:

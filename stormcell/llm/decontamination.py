@@ -12,8 +12,13 @@ min-hashes of all window sizes come from the same block minima.  Every candidate
 verified: the share of the item's distinct shingles that occur anywhere in the
 document, counted exactly.
 
-Items go to the tasks in blocks of ``block_items``, so what is broadcast is
-bounded by a parameter and a larger benchmark means more passes.
+An item of one to four words has one shingle, of all its words.  Its class is its
+number of words: the document's n-grams of that length are looked up, which is
+exact, so a short item is found inside a long document too.
+
+Items go to the tasks in blocks of at most ``block_items`` and ``block_bytes``
+(a longer item is a block alone), so what is broadcast is bounded by parameters
+and a larger benchmark means more passes.
 """
 
 from __future__ import annotations
@@ -25,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (SIMILARITY, UID, lean, odd_numbers, shingle_list, shingles, texts,
-                     packed)
+from .common import (SHINGLE_WORDS, SIMILARITY, UID, lean, odd_numbers, packed, texts, word_hashes,
+                     word_shingles)
 
 HASHES = 40
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 64 << 20
 PART = 1 << 18
 
 
@@ -50,15 +56,24 @@ class ItemIndex:
         self.odd = odd_numbers(hashes, 41).astype(np.uint32)
         self.sets: list[np.ndarray] = []
         self.ids: list[int] = []
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         keys: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item, text in items:
-            s = shingles(text)
-            if not len(s):
+            h = word_hashes(text)
+            if not len(h):
+                continue
+            if len(h) < SHINGLE_WORDS:
+                s = word_shingles(h, len(h))
+                self.short[len(h)][int(s[0])].append(len(self.ids))
+                self.ids.append(item)
+                self.sets.append(s)
                 continue
+            s = np.unique(word_shingles(h))
             low = (s.astype(np.uint32)[:, None] * self.odd).min(axis=0)
             keys[size_class(len(s))] += [(int(v), h, len(self.ids)) for h, v in enumerate(low)]
             self.ids.append(item)
             self.sets.append(s)
+        self.grams = {n: np.array(sorted(found), np.uint64) for n, found in self.short.items()}
         self.classes = {}
         for c, rows in keys.items():
             rows.sort()
@@ -68,6 +83,15 @@ class ItemIndex:
             known[_bits(value)] = True
             self.classes[c] = known, value, which, item
 
+    def few_words(self, h: np.ndarray) -> set[int]:
+        """Items of one to four words that follow one another among the words ``h``."""
+        out: set[int] = set()
+        for n, grams in self.grams.items():
+            if len(h) >= n:
+                for g in np.intersect1d(word_shingles(h, n), grams):
+                    out.update(self.short[n][int(g)])
+        return out
+
     def candidates(self, sequence: np.ndarray) -> set[int]:
         """Items with a min-hash of one of the sequence's windows.
 
@@ -112,20 +136,23 @@ class ItemIndex:
 
 
 def contained(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
-              hashes: int = HASHES, block_items: int = BLOCK_ITEMS) -> DataFrame:
+              hashes: int = HASHES, block_items: int = BLOCK_ITEMS,
+              block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) for every row of
     ``docs`` and of ``items`` of which at least ``similarity`` of the item's
     shingles are in the document.
 
     Null or empty texts match nothing, nor do items without a word; an item of
-    one to four words matches only a document of just these words.  Repeated
-    rows give repeated results.
+    one to four words matches every document that has just these words in a row
+    (so does an everyday word, if it is an item).  Repeated rows give repeated
+    results; other columns are ignored; empty tables give none.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, shared int, item_shingles int, containment double"
     out = spark.createDataFrame([], schema)
     block: list[tuple[int, str]] = []
+    held_bytes = 0
 
     def search(held):
         @lean
@@ -135,7 +162,9 @@ def contained(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(),
                                      texts(batch), strict=True):
-                    sequence = shingle_list(text)
+                    h = word_hashes(text)
+                    sequence = word_shingles(h)
+                    rows += [(doc, index.ids[k], 1, 1, 1.0) for k in sorted(index.few_words(h))]
                     found = index.candidates(sequence)
                     if not found:
                         continue
@@ -155,18 +184,22 @@ def contained(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
                         names=["doc_id", "item_id", "shared", "item_shingles", "containment"])
         return slim.mapInArrow(run, schema)
 
-    for row in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == block_items:
+    for item, text, size in items.select(F.col("item_id").cast("long"), "text", F.coalesce(
+            F.octet_length("text"), F.lit(0))).toLocalIterator():
+        if block and (len(block) == block_items or held_bytes + size > block_bytes):
             out = out.union(search(spark.sparkContext.broadcast(block)))
-            block = []
+            block, held_bytes = [], 0
+        block.append((item, text))
+        held_bytes += size
     if block:
         out = out.union(search(spark.sparkContext.broadcast(block)))
     return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, without the rows that contain an item."""
+    """``docs``, all columns, without the rows that contain an item.
+
+    Rows with a null or empty text stay, as do all rows under an empty ``items``."""
     rows = packed(docs)
     leaks = contained(rows.select(F.col(UID).alias("doc_id"), F.col("_row.text").alias("text")),
                       items, **options)

@@ -115,7 +115,12 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
     "op4_decontamination": f"""
 WITH d AS ({_SHINGLES.format(id="doc_id", t="documents")}),
 b AS ({_SHINGLES.format(id="item_id", t="benchmark")}),
-x AS (SELECT doc_id, unnest(s) AS g FROM d), y AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b)
+y AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b),
+m AS (SELECT DISTINCT len(string_split(g, ' ')) AS m FROM y WHERE len(string_split(g, ' ')) < 5),
+x AS (SELECT doc_id, unnest(s) AS g FROM d UNION
+      SELECT doc_id, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS g
+      FROM m, (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents)
+      WHERE len(w) >= m)
 SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS shared, CAST(n AS INTEGER) AS item_shingles,
        count(*) / CAST(n AS DOUBLE) AS containment
 FROM x JOIN y USING (g) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n""",

@@ -1,7 +1,7 @@
 import numpy as np
 
 from stormcell.llm import decontamination
-from stormcell.llm.common import shingles
+from stormcell.llm.common import shingles, words
 
 from .samples import changed, clash, documents, frame, prose
 
@@ -9,8 +9,13 @@ from .samples import changed, clash, documents, frame, prose
 def brute(docs, items):
     out = []
     for d, t in docs:
-        whole = set(shingles(t).tolist())
+        whole, w = set(shingles(t).tolist()), words(t)
         for i, x in items:
+            v = words(x)
+            if 0 < len(v) < 5:  # found in a row, anywhere
+                if any(w[k:k + len(v)] == v for k in range(len(w) - len(v) + 1)):
+                    out.append((d, i, 1, 1))
+                continue
             s = set(shingles(x).tolist())
             if s and len(s & whole) >= 0.8 * len(s) - 1e-9:
                 out.append((d, i, len(s & whole), len(s)))
@@ -59,3 +64,34 @@ def test_size_classes_bound_the_window():
     index = decontamination.ItemIndex([(1, prose(1, 64))], 40)
     s = shingles(prose(1, 64))
     assert index.candidates(s) == {0} and index.candidates(np.empty(0, np.uint64)) == set()
+
+
+def test_short_items_are_found_inside_long_documents(spark):
+    items = [(1, "the capital of France"), (2, "zebra"), (3, "ab cd"), (4, "Blue, whale song"), (4, "zebra"),
+             (5, "capital the of France"), (6, None), (7, "...")]
+    docs = [(10, "They said that The capital, of FRANCE is a city by a wide river."), (11, "ab cd"),
+            (12, "ab x cd zebras"), (13, prose(950, 9000) + " blue whale song " + prose(951, 9000)),
+            (14, "zebra zebra zebra"), (15, "capital of France"), (16, ""), (17, None)]
+    want = [(10, 1), (11, 3), (13, 4), (14, 2), (14, 4)]
+    for options in ({}, {"block_bytes": 25}, {"block_bytes": 0}):
+        got = decontamination.contained(frame(spark, docs, "doc_id long, text string"),
+                                        frame(spark, items, "item_id long, text string"), **options)
+        assert sorted((r.doc_id, r.item_id) for r in got.collect()) == want
+        assert {(r.shared, r.item_shingles, r.containment) for r in got.collect()} == {(1, 1, 1.0)}
+
+
+def test_sql_finds_short_items_too(spark):
+    import duckdb
+    from stormcell.llm.queries import ORACLE
+
+    items = [(1, "the capital of France"), (2, "zebra"), (3, "ab cd"), (8, prose(960, 40))]
+    docs = [(10, "The capital of France is far"), (11, "ab cd"), (12, "a zebra, ab cd"),
+            (13, prose(961, 50) + " " + prose(960, 40)), (14, ""), (15, None)]
+    con = duckdb.connect()
+    for name, cols, rows in (("documents", "doc_id BIGINT, text VARCHAR", docs),
+                             ("benchmark", "item_id BIGINT, text VARCHAR", items)):
+        con.execute(f"CREATE TABLE {name} ({cols})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    got = decontamination.contained(frame(spark, docs, "doc_id long, text string"),
+                                    frame(spark, items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLE["op4_decontamination"]).fetchall())
