@@ -9,7 +9,7 @@ its words; the answer is the best language, with its share after a softmax of
 the mean per word times the square root of their number.
 
 The model keeps the ``entries`` most frequent words and as many n-grams of each
-length, and at most ``MODEL_CELLS`` floats, so the broadcast is bounded whatever
+length, by their share of the language that uses them most, and at most ``MODEL_CELLS`` floats, so the broadcast is bounded whatever
 the corpus; rarer words are unseen words.
 """
 
@@ -127,17 +127,27 @@ def train(docs: DataFrame, entries: int = ENTRIES) -> Model:
     langs = sorted({k for k, _ in total})
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages: the model would not be bounded")
-    entries = min(entries, MODEL_CELLS // max(1, len(langs) * (MAX_GRAM + 1)))
-    by_gram = table.groupBy("kind", "gram").agg(
-        F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0))
-                                   .alias(f"n{k}") for k, lang in enumerate(langs)])
+    if not langs:
+        return Model([], [{} for _ in range(MAX_GRAM + 1)], np.empty((0, 0), np.float32))
+    entries = min(entries, MODEL_CELLS // (len(langs) * (MAX_GRAM + 1)))
+    by_gram = table.groupBy("kind", "gram").agg(*[
+        F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}")
+        for k, lang in enumerate(langs)])
     by_lang = F.array([F.col(f"n{k}") for k in range(len(langs))]).alias("by")
-    by_gram = stage(by_gram.select("kind", "gram", "all", by_lang), "language-model")
+    # an entry ranks by its share of the language that uses it most, so that a language
+    # with few documents keeps its words beside one with very many
+    weight = F.lit(0.0)
+    for kind in range(MAX_GRAM + 1):
+        shares = [F.col(f"n{k}") / F.lit(float(total.get((lang, kind), (1, 0))[0]))
+                  for k, lang in enumerate(langs)]
+        weight = F.when(F.col("kind") == kind, F.array_max(F.array(*shares))).otherwise(weight)
+    by_gram = stage(by_gram.select("kind", "gram", (weight * 2.0**40).alias("weight"), by_lang),
+                    "language-model")
     tables: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
     base = [[math.log(sum(total.get((lang, kind), (0, 0))) + 1) for lang in langs]
             for kind in range(MAX_GRAM + 1)]
     rows = []
-    for r in most_frequent(by_gram, "all", entries, "kind").collect():
+    for r in most_frequent(by_gram, "weight", entries, "kind").collect():
         tables[r["kind"]][r["gram"]] = len(rows)
         rows.append(np.array([math.log(n + 0.5) - b for n, b in
                               zip(r["by"], base[r["kind"]], strict=True)], np.float32))

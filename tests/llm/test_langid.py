@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -10,7 +11,6 @@ TONGUES = {"aa": ["ba", "lo", "mi", "ka"], "bb": ["str", "ung", "sch", "ter"], "
 
 
 def corpus(n=240):
-    import random
     r = random.Random(6)
     rows = []
     for i in range(n):
@@ -76,3 +76,15 @@ def test_a_small_cache_changes_nothing(spark, model, monkeypatch):
 def test_numerals_are_no_letters():
     assert langid.letters("\u00bd \u00b2 \u2167 12") == []
     assert langid.letters("\u00bd liter") == ["\u00bd", "liter"]
+
+
+def test_a_small_language_keeps_its_words_beside_a_large_one(spark):
+    r = random.Random(5)
+    large, small = vocabulary(71, 3000), vocabulary(72, 60)
+    rows = [(i, " ".join(r.choice(large) for _ in range(60)), "aa", "s", 1) for i in range(400)]
+    rows += [(1000 + i, " ".join(r.choice(small) for _ in range(30)), "bb", "s", 1) for i in range(4)]
+    model = langid.train(frame(spark, rows), entries=500)
+    used = {w for _, t, lang, *_ in rows if lang == "bb" for w in t.split()}
+    assert len(model.tables[0]) <= 500 and used <= set(model.tables[0])
+    tests = [(i, " ".join(r.choice(sorted(used)) for _ in range(8)), None, None, 1) for i in range(20)]
+    assert {x.lang_pred for x in langid.identify(frame(spark, tests), model).collect()} == {"bb"}
