@@ -472,6 +472,16 @@ FROM conf"""
     o["peak_flags"] = series + "SELECT city, date, " + ", ".join(
         f"coalesce(CAST({x} > {mean} * CAST({factor} AS DOUBLE) AS INTEGER), 0) AS {flag}"
         for flag, x, mean, factor in PEAKS) + " FROM series"
+    o["series_upkeep"] = series + "SELECT city, date, " + ", ".join(
+        [f"{v}_roll_{n}h" for v in ("precip", "wind") for n in (3, 6, 12)]
+        + [f"{v}_lag_{k}h" for v in ("precip", "temp") for k in (1, 2, 3)]
+        + [f"coalesce(CAST({x} > {mean} * CAST({factor} AS DOUBLE) AS INTEGER), 0) AS {flag}"
+           for flag, x, mean, factor in PEAKS]) + " FROM series"
+    o["rolling_means_clustered"] = o["rolling_means"]
+    o["city_day_clustered"] = with_(IMPUTED) + """SELECT city, CAST(date AS DATE) AS day, count(*) AS n_hours,
+  min(date) AS first_ts, avg(temperature_2m) AS temperature_2m, sum(precipitation) AS precipitation,
+  max(windspeed_10m) AS windspeed_10m
+FROM imputed GROUP BY ALL"""
     o["serving_head_means"] = with_(SERVING) + "SELECT city, day, first_ts, n_hours, " + ", ".join(
         f"{v}_roll_{n}h" for v in ("precip", "wind") for n in (3, 6, 12)) + " FROM sday"
     o["serving_tail_values"] = with_(SERVING) + "SELECT city, day, " + ", ".join(

@@ -19,10 +19,10 @@ from .operators import aggregates as agg
 from .operators import (band_rules, filters, impute, lookups, rules, sampling, scaling, scores,
                         sketches, windows)
 from .plans import features as feat
-from .plans import rollup, scoring, serving, training, trees
+from .plans import rollup, scoring, serving, training, trees, window_store
 from .schema import FEATURES, OBS_SCHEMA, SCALED_COLS, WEATHER_COLS
 from .session import checkpoint, land_once, landed_path, scratch_path, source_state
-from .sources import csv_source, dims, forecast, publish, rejects
+from .sources import clustered, csv_source, dims, forecast, publish, rejects
 from .sources.fixture import city_dim_from_sites, load_obs, read_table
 from .streaming import city_day_stream as stream
 from .streaming import forecast_stream
@@ -525,6 +525,44 @@ def q_peak_flags(spark, sf_dir):
     return _series(spark, sf_dir).select("city", "date", "is_precip_peak", "is_wind_peak")
 
 
+def q_series_upkeep(spark, sf_dir):
+    """W1 - W3 from the table that is kept up to date: built without the last day, without
+    an hour of some cities and with another hour read wrongly; the late hour, then the
+    corrected one with the last day come as change sets."""
+    obs, med = _imputed(spark, sf_dir), _medians(spark, sf_dir)
+    day = F.to_date("date")
+    last = obs.agg(F.max(day)).first()[0]
+    at = (day == F.lit(SLICE_DAY).cast("date"))
+    late = at & (F.hour("date") == 5) & (F.pmod(F.crc32("city"), F.lit(3)) == 0)
+    wrong = at & (F.hour("date") == 7)
+    path = scratch_path(spark, "series")
+    window_store.build(obs.where(~late & (day < F.lit(last))).withColumn(
+        "precipitation", F.when(wrong, F.col("precipitation") + 1).otherwise(F.col("precipitation"))), path)
+    window_store.apply(obs.where(late), path)
+    window_store.apply(obs.where(wrong | (day == F.lit(last))), path)
+    s = window_store.read(spark, path)
+    lags = {f"temp_lag_{k}h": F.coalesce(f"temp_lag_{k}h", F.lit(med["temperature_2m"])) for k in (1, 2, 3)}
+    return s.withColumns(lags).select(
+        "city", "date", *[f"{v}_roll_{n}h" for v in ("precip", "wind") for n in (3, 6, 12)],
+        *[f"{v}_lag_{k}h" for v in ("precip", "temp") for k in (1, 2, 3)],
+        "is_precip_peak", "is_wind_peak")
+
+
+def q_rolling_means_clustered(spark, sf_dir):
+    """W1 from the copy that is bucketed and sorted by series: no exchange."""
+    path = landed_path(spark, "series-clustered", sf_dir)
+    name = clustered.land(spark, path, lambda: _imputed(spark, sf_dir))
+    return clustered.series_features(spark, name).select(
+        "city", "date", *[f"{v}_roll_{n}h" for v in ("precip", "wind") for n in (3, 6, 12)])
+
+
+def q_city_day_clustered(spark, sf_dir):
+    """A1 from the same copy: days are inside the buckets."""
+    path = landed_path(spark, "series-clustered", sf_dir)
+    name = clustered.land(spark, path, lambda: _imputed(spark, sf_dir))
+    return clustered.city_days(spark, name)
+
+
 def q_serving_head_means(spark, sf_dir):
     s = windows.serving_day_features(_obs(spark, sf_dir))
     return s.select("city", "day", "first_ts", "n_hours",
@@ -1050,6 +1088,9 @@ QUERIES = {
     "rolling_means_halo": q_rolling_means_halo,
     "lag_features": q_lag_features,
     "peak_flags": q_peak_flags,
+    "series_upkeep": q_series_upkeep,
+    "rolling_means_clustered": q_rolling_means_clustered,
+    "city_day_clustered": q_city_day_clustered,
     "serving_head_means": q_serving_head_means,
     "serving_tail_values": q_serving_tail_values,
     "temporal_features": q_temporal_features,

@@ -85,18 +85,23 @@ def digests(df: DataFrame) -> DataFrame:
                     F.sum(F.xxhash64(F.lit("again"), h).cast("decimal(20,0)")).cast("string")).alias("digest"))
 
 
-def publish(df: DataFrame, path: str, cluster: tuple[str, ...] = ("city",), whole: bool = True) -> int | None:
+def publish(df: DataFrame, path: str, cluster: tuple[str, ...] = ("city",), whole: bool = True,
+            expect: int | None = None) -> int | None:
     """Publish ``df`` (with a date column ``day``); the new version, or None if no
     day has changed.  With ``whole``, published days that ``df`` lacks go; otherwise
-    they stay as they are."""
+    they stay as they are.  ``expect`` is the version that ``df`` was worked out from:
+    if a newer one is there, nothing is written and ``Conflict`` is raised."""
     spark = df.sparkSession
     df = checkpoint(df.select(*[c for c in df.columns if c != "day"], F.col("day").cast("date").alias("day")))
     if df.where("day IS NULL").limit(1).count():
         raise ValueError("rows without a day can't be published")
     base = max(versions(spark, path), default=0)
+    if expect is not None and base != expect:
+        raise Conflict(f"version {expect} of {path} is no longer the newest, {base} is")
     run = f"{base + 1}-{uuid.uuid4().hex[:8]}"
     old = checkpoint(manifest(spark, path, base))
-    schema = df.schema.json()
+    # as the files are read back: any column may hold nulls
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields]).json()
     same_schema = old.where(F.col("day").isNull() & (F.col("schema") == schema)).count() == 1
     new = checkpoint(digests(df))
     if same_schema:
@@ -127,9 +132,10 @@ def publish(df: DataFrame, path: str, cluster: tuple[str, ...] = ("city",), whol
     return base + 1
 
 
-def read(spark: SparkSession, path: str, start=None, end=None, version: int | None = None) -> DataFrame:
-    """The published rows (between two days, both included): only the folders that
-    the commit names for these days are listed and opened."""
+def read(spark: SparkSession, path: str, start=None, end=None, version: int | None = None,
+         only: set | None = None) -> DataFrame:
+    """The published rows (between two days, both included, or of the dates ``only``):
+    only the folders that the commit names for these days are listed and opened."""
     rows = checkpoint(manifest(spark, path, version))
     schema = T.StructType.fromJson(json.loads(rows.where("day IS NULL").first()["schema"]))
     days = rows.where("day IS NOT NULL")
@@ -139,7 +145,7 @@ def read(spark: SparkSession, path: str, start=None, end=None, version: int | No
         days = days.where(F.col("day") <= F.lit(str(end)).cast("date"))
     data = os.path.join(path, DATA)
     folders = [os.path.join(data, f"day={r['day']}", f"run={r['run']}")  # one per day
-               for r in days.select("day", "run").toLocalIterator()]
+               for r in days.select("day", "run").toLocalIterator() if only is None or r["day"] in only]
     if not folders:
         return spark.createDataFrame([], schema)
     return spark.read.option("basePath", data).schema(schema).parquet(*folders).select(*schema.names)
