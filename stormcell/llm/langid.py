@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +42,7 @@ def letters(text: str | None) -> list[str]:
     return found if any(c.isalpha() for w in found for c in w) else []
 
 
-def grams(word: str):
-    """All n-grams of a word with edge marks."""
-    w = f"<{word}>"
-    for n in range(1, MAX_GRAM + 1):
-        for i in range(len(w) - n + 1):
-            yield n, w[i:i + n]
-
-
-def _table(tables: list[tuple[str, int, Counter]]) -> pa.RecordBatch:
+def _table(tables: list[tuple[str, int, dict]]) -> pa.RecordBatch:
     langs, kinds, keys, ns = [], [], [], []
     for lang, kind, t in tables:
         langs += [lang] * len(t)
@@ -95,19 +87,24 @@ def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, kind k, gram, n): the k-grams of the counted words."""
     @lean
     def count(batches):
-        tables: dict[tuple[str, int], Counter] = {}
+        tables: dict[str, list[defaultdict]] = {}
         size = 0
         for batch in batches:
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "gram", "n")),
                                      strict=True):
-                for k, g in grams(word):
-                    t = tables.setdefault((lang, k), Counter())
-                    size += g not in t
-                    t[g] += n
+                by_length = tables.get(lang)
+                if by_length is None:
+                    by_length = tables[lang] = [defaultdict(int) for _ in range(MAX_GRAM)]
+                w = f"<{word}>"
+                for k, t in enumerate(by_length, 1):
+                    before = len(t)
+                    for i in range(len(w) - k + 1):
+                        t[w[i:i + k]] += n
+                    size += len(t) - before
                 if size > CACHE_ROWS:
-                    yield _table([(*key, t) for key, t in tables.items()])
+                    yield _table([(lang, k, t) for lang, ts in tables.items() for k, t in enumerate(ts, 1)])
                     tables, size = {}, 0
-        yield _table([(*key, t) for key, t in tables.items()])
+        yield _table([(lang, k, t) for lang, ts in tables.items() for k, t in enumerate(ts, 1)])
 
     return _summed(words.mapInArrow(count, COUNTS))
 
