@@ -34,6 +34,7 @@ from .common import (CACHE_ROWS, UID, lean, list_column, most_frequent, packed,
 MAX_GRAM = 5
 ENTRIES = 60_000
 FLUSH = 50_000  # words or n-grams in a batch that a task hands on
+ROWS = 500  # words whose n-grams a task holds as Python lists
 MODEL_CELLS = 20_000_000  # floats of the model and of a task's cache of unseen words
 _LETTERS = re.compile(r"[^\W\d_]+")
 TRAIN = "pmod(crc32(cast(doc_id as string)), 4) <> 2"
@@ -125,9 +126,9 @@ class Model:
 
 
 def scores(by, base: np.ndarray) -> np.ndarray:
-    """The log frequency of an entry in each language, from its (code, n) pairs."""
+    """The log frequency of an entry in each language, from its codes and counts in turn."""
     row = math.log(0.5) - base
-    for code, n in by:
+    for code, n in zip(by[::2], by[1::2], strict=True):
         row[code] = math.log(n + 0.5) - base[code]
     return row.astype(np.float32)
 
@@ -150,14 +151,16 @@ def train(docs: DataFrame, entries: int = ENTRIES) -> Model:
     # with few documents keeps its words beside one with very many
     by_gram = stage(table.join(totals, ["lang", "kind"]).groupBy("kind", "gram").agg(
         (F.max(F.col("n") / F.col("t")) * 2.0**40).alias("weight"),
-        F.collect_list(F.struct("code", "n")).alias("by")), "language-model")
+        F.flatten(F.collect_list(F.array(F.col("code").cast("long"), "n"))).alias("by")), "language-model")
     tables: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
     base = np.array([[math.log(sum(total.get((lang, kind), (0, 0))) + 1) for lang in langs]
                      for kind in range(MAX_GRAM + 1)])
     rows = []
-    for r in most_frequent(by_gram, "weight", entries, "kind").collect():
-        tables[r["kind"]][r["gram"]] = len(rows)
-        rows.append(scores(r["by"], base[r["kind"]]))
+    head = most_frequent(by_gram, "weight", entries, "kind").select("kind", "gram", "by").toArrow()
+    for batch in head.to_batches(max_chunksize=FLUSH):
+        for kind, gram, by in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            tables[kind][gram] = len(rows)
+            rows.append(scores(by, base[kind]))
     whole = by_gram.select("kind", "gram", "by") if by_gram.count() > len(rows) else None
     return Model(langs, tables, np.array(rows, np.float32).reshape(len(rows), len(langs)), base, whole)
 
@@ -320,7 +323,7 @@ def _looked_up(words: DataFrame, model: Model) -> DataFrame:
                              "word", "left"), "language-tail")
     pieces = (_pieces(found.where("by is null"), model)
               .join(table.where("kind > 0").select("gram", "by"), "gram")
-              .groupBy("word").agg(F.collect_list(F.struct("gram", "by")).alias("pieces")))
+              .groupBy("word").agg(F.collect_list("gram").alias("grams"), F.collect_list("by").alias("counts")))
     held = words.sparkSession.sparkContext.broadcast((model.langs, model.tables, model.rows, model.base))
 
     @lean
@@ -328,19 +331,20 @@ def _looked_up(words: DataFrame, model: Model) -> DataFrame:
         langs, tables, rows, base = held.value
         for batch in batches:
             words, vectors = batch.column("word").to_pylist(), []
-            for i, word in enumerate(words):
-                by, pieces = batch.column("by")[i].as_py(), batch.column("pieces")[i].as_py()
-                if by is not None:
-                    vectors.append(scores([(x["code"], x["n"]) for x in by], base[0]))
-                    continue
-                own = {p["gram"]: scores([(x["code"], x["n"]) for x in p["by"]], base[len(p["gram"])])
-                       for p in pieces or ()}
-
-                def find(k, piece, own=own):
-                    at = tables[k].get(piece)
-                    return own.get(piece) if at is None else rows[at]
-
-                vectors.append(backoff(word, find, len(langs)))
+            for a in range(0, len(words), ROWS):
+                part = batch.slice(a, ROWS)
+                for word, by, grams, counts in zip(*(part.column(c).to_pylist() for c in
+                                                     ("word", "by", "grams", "counts")), strict=True):
+                    if by is not None:
+                        vectors.append(scores(by, base[0]))
+                        continue
+                    own = {g: scores(c, base[len(g)]) for g, c in zip(grams or (), counts or (), strict=True)}
+
+                    def find(k, piece, own=own):
+                        at = tables[k].get(piece)
+                        return own.get(piece) if at is None else rows[at]
+
+                    vectors.append(backoff(word, find, len(langs)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.string()),
                  list_column([v.astype(np.float64) for v in vectors], pa.float64())], names=["word", "v"])
