@@ -61,9 +61,19 @@ def pretokens(text: str | None, path: str) -> list[str]:
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+#: Characters of a text that is encoded in one call: a pattern's steps back are
+#: bounded, and a longer run of white space would pass the bound.
+WHOLE = 1 << 18
+
+
+def _latin(text: str) -> bool:
+    """Whether ``_PRE`` cuts the text as the library does."""
+    return ((text.isascii() or not _NOT_LATIN.search(text))
+            and not any(c in text for c in _SEPARATORS))
+
+
 def _plain(text: str, tok) -> list[str]:
-    if ((text.isascii() or not _NOT_LATIN.search(text))
-            and not any(c in text for c in _SEPARATORS)):
+    if _latin(text):
         return _PRE.findall(text)
     return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -76,12 +86,13 @@ def _bytes_of_symbols() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """Function from a pre-token to its ids.
+def encoders(path: str):
+    """Functions from a pre-token to its ids, and from a whole Latin text without
+    special strings to an array of them.
 
     Merges that come in the order of their ids are ranks, and the tiktoken
     library applies those several times faster; any other file is left to the
-    tokenizers library.
+    tokenizers library, and has no second function.
     """
     import json
 
@@ -92,13 +103,15 @@ def encoder(path: str):
     made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     ids = [model["vocab"][m] for m in made]
     if ids != sorted(set(ids)):
-        return lambda piece: tok.encode(piece, add_special_tokens=False).ids
+        return lambda piece: tok.encode(piece, add_special_tokens=False).ids, None
     import tiktoken
     byte = _bytes_of_symbols()
     ranks = {bytes(byte[c] for c in k): i for k, i in model["vocab"].items() if k not in special}
     fast = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
     known = {s: [model["vocab"].get(s, tok.token_to_id(s))] for s in special}
-    return lambda piece: known.get(piece) or fast.encode_ordinary(piece)
+    latin = tiktoken.Encoding("latin", pat_str=_PRE.pattern, mergeable_ranks=ranks, special_tokens={})
+    return (lambda piece: known.get(piece) or fast.encode_ordinary(piece),
+            lambda text: latin.encode_to_numpy(text, disallowed_special=()))
 
 
 _OTHER_SPACE = ("  ", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
@@ -119,7 +132,7 @@ class Ids(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.path, self.encode = path, encoder(path)
+        self.path, self.encode = path, encoders(path)[0]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_ROWS:
@@ -138,6 +151,11 @@ def encode(text: str | None, path: str) -> bytes:
     """All ids of a text, four bytes each."""
     if not text:
         return b""
+    whole = encoders(path)[1]
+    if whole and len(text) <= WHOLE and _latin(text):
+        cut = load(path)[1]
+        if not (cut and cut.search(text)):
+            return whole(text).astype("<u4", copy=False).tobytes()
     return b"".join(map(_ids(path).__getitem__, chunks(text) or pretokens(text, path)))
 
 

@@ -32,6 +32,16 @@ def test_ids_are_the_librarys(library):
         assert sum(tokens.n_pieces(tokens.pretokens(t, PATH), PATH)) == len(library(t))
 
 
+def test_a_latin_text_is_encoded_in_one_call(library):
+    held = tokens._ids(PATH)
+    before = dict(held)
+    for text in [" ".join(f"word{i}é," for i in range(5000)), "a \n\n\t b", "\n" * tokens.WHOLE]:
+        assert np.frombuffer(tokens.encode(text, PATH), "<u4").tolist() == library(text)
+    assert held == before  # no look-up, and no call, for each word
+    text = "a <|endoftext|> b" + "\n" * tokens.WHOLE + "c"  # longer, or with a special string: in pieces
+    assert np.frombuffer(tokens.encode(text, PATH), "<u4").tolist() == library(text)
+
+
 @pytest.mark.parametrize("head", [200_000, 5])
 def test_token_counts(spark, library, head):
     rows = documents() + [(100 + i, t, None, None, None) for i, t in enumerate(ODD)]
