@@ -269,13 +269,16 @@ def _dense(rows: DataFrame, reps: DataFrame, groups: DataFrame, similarity: floa
             block = t.column("block").to_numpy()
             sk = np.stack(t.column("sketch").to_numpy()).view(np.uint8)
             right = np.nonzero(block == j)[0]
-            out = set()
+            # only links that join two groups which no earlier link has joined: fewer
+            # than there are groups, and they connect all that any link would
+            names, group = np.unique(root, return_inverse=True)
+            above, out = np.arange(len(names)), []
             for x in np.nonzero(block == i)[0]:
-                hit = right[(root[right] != root[x])
+                hit = right[(above[group[right]] != above[group[x]])
                             & ((sk[right] == sk[x]).sum(axis=1) >= least)]
-                # one link for each group that is met
-                for r in np.unique(root[hit]):
-                    out.add((int(ids[x]), int(ids[hit[root[hit] == r][0]])))
+                met, first = np.unique(above[group[hit]], return_index=True)
+                out += [(int(ids[x]), int(ids[y])) for y in hit[first]]
+                above[np.isin(above, met)] = above[group[x]]
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(

@@ -159,3 +159,20 @@ def test_candidate_links_of_a_group_do_not_grow_with_its_square(spark, n):
     assert n - 1 <= links.count() <= 3 * n
     assert links.select("a").union(links.select("b")).distinct().count() == n
     assert dense.isEmpty()  # the group is decided before the last level
+
+
+def test_links_of_a_large_bucket_do_not_grow_with_its_square(spark):
+    n = 200
+    docs = frame(spark, [(i, changed(prose(60, 300), 1 + i % 3, seed=i)) for i in range(n)],
+                 "doc_id long, text string").repartition(1)
+    sig = ngram_join.stage(ngram_join.signatures(docs, 1, 1, 0.8), "s")
+    ids = sorted(r[0] for r in sig.select("_uid").collect())
+    rows = frame(spark, [(x, 7, n) for x in ids], "id long, key long, n long")
+    groups = frame(spark, [], "node long, root long")  # every set is a group of its own
+    links = [tuple(r) for r in ngram_join._dense(rows, sig, groups, 0.8, 128).collect()]
+    assert len(links) <= 3 * n  # two blocks: each within itself, and both together
+    root = {x: x for x in ids}
+    for a, b in links:
+        p, q = root[a], root[b]
+        root = {k: p if v == q else v for k, v in root.items()}
+    assert len(set(root.values())) == 1
