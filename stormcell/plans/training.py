@@ -28,6 +28,7 @@ from ..session import checkpoint
 
 
 PARALLEL_FITS = 3
+TASK_ROWS = 500_000  # training rows of a task in the passes of a fit
 
 
 @dataclass
@@ -106,11 +107,34 @@ def training_rows(train: DataFrame, params, cfg: TrainConfig) -> DataFrame:
     return rows
 
 
+def training_size(train: DataFrame, cfg: TrainConfig) -> int:
+    """Rows that ``training_rows`` makes of ``train``."""
+    label = "suspension"
+    sizes = (sampling.oversample_plan(train, label, cfg.oversample_ratio) if cfg.use_oversampling
+             else sampling.class_sizes(train, label).select(
+                 F.col("_n_class").alias("n"), F.lit(0).alias("extra")))
+    return sizes.agg(F.sum(F.col("n") + F.col("extra"))).first()[0] or 0
+
+
+def dealt(rows: DataFrame, size: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``rows`` in equal parts of at most about ``task_rows``.
+
+    The partitions that the shuffles before leave are few and uneven: they are
+    measured in compressed bytes and before rows are copied, and a fit holds a row
+    in many times those.  Inside a part like rows lie together, as they take the same
+    ways down the trees.  Rows for a single task stay as they are."""
+    if size <= task_rows:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return (rows.repartition(max(cores, -(-size // task_rows)))
+            .sortWithinPartitions("suspension", *SCALED_COLS))
+
+
 def fit(train: DataFrame, cfg: TrainConfig = TrainConfig()) -> PipelineModel:
     params = scaling.fit_scaler(train, SCALED_COLS)
     # the forest makes several passes over its input: materialise it once in
     # the shared checkpoint folder (also cuts the lineage for task retries)
-    rows = checkpoint(training_rows(train, params, cfg))
+    rows = checkpoint(dealt(training_rows(train, params, cfg), training_size(train, cfg)))
     if cfg.model == "boosted":
         gbt = GBTClassifier(maxIter=cfg.boost_iters, maxDepth=min(cfg.max_depth, 6),
                             stepSize=cfg.learning_rate, seed=cfg.seed,

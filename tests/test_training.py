@@ -195,3 +195,23 @@ def test_running_total_and_rank(spark):
     assert [r["t"] for r in got] == [k * (k + 1) // 2 for k in range(1000)]
     assert {(r["k"], r["rank"]) for r in rank(df, [F.desc("k")]).collect()} == {
         (k, 1000 - k) for k in range(1000)}
+
+
+def test_training_rows_are_dealt_evenly(spark, obs):
+    cfg = training.TrainConfig()
+    train = training.split(feat.training_features(obs), cfg).filter(~F.col("is_test")).coalesce(1)
+    params = training.scaling.fit_scaler(train, training.SCALED_COLS)
+    rows = training.training_rows(train, params, cfg)
+    n = rows.count()
+    assert training.training_size(train, cfg) == n
+    cores = spark.sparkContext.defaultParallelism
+    task_rows = n // (3 * cores)
+    out = training.dealt(rows, n, task_rows)
+    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per_task) <= 1.2 * task_rows + 20
+    columns = [F.xxhash64(*rows.columns)]
+    total = F.bit_xor(*columns), F.count("*")
+    assert out.agg(*total).first() == rows.agg(*total).first()
+    assert training.dealt(rows, n) is rows
+    even = training.TrainConfig(use_oversampling=False)
+    assert training.training_size(train, even) == train.count()
