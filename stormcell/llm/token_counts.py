@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_ROWS, UID, lean, most_frequent, stage, texts, with_uid
-from .tokens import chunks, default_path, n_pieces, pretokens
+from .tokens import default_path, n_pieces, parted, spaced, words_stay
 
 HEAD = 200_000
 HEAD_BYTES = 48
@@ -32,43 +32,78 @@ def _batch(counts: Counter) -> pa.RecordBatch:
         names=["piece", "freq"])
 
 
-def _cut(parts: Counter, path: str) -> Counter:
-    """Pre-tokens of counted chunks."""
-    counts: Counter = Counter()
+def _cut(pieces: Counter, parts: Counter, path: str) -> Counter:
+    """Counted pre-tokens, and those of counted chunks."""
     for part, n in parts.items():
-        for piece in pretokens(part, path):
-            counts[piece] += n
-    return counts
+        for piece in spaced(part, path):
+            pieces[piece] = pieces.get(piece, 0) + n
+    return pieces
+
+
+#: Taken from the tokens of a chunk with pre-tokens that are not in the table.
+_MORE = 1 << 40
 
 
 class _Known(dict):
-    """Tokens of a chunk by the broadcast table; -1 if a pre-token is not in it."""
+    """Tokens of a chunk by the broadcast table, less ``_MORE`` if pre-tokens of it are
+    not there: ``others`` has these.  Words that are not there are rare, and not kept."""
 
     def __init__(self, table: dict[str, int], path: str):
         super().__init__()
-        self.table, self.path = table, path
+        self.table, self.path, self.others = table, path, {}
+        self.words_stay = words_stay(path)
 
     def __missing__(self, part: str) -> int:
+        if part.isalpha() and self.words_stay:
+            n = self.table.get(" " + part)
+            if n is None:
+                return -_MORE
+        else:
+            n, others = self.of(spaced(part, self.path))
+            if others:
+                self.others[part] = others
+                n -= _MORE
+        self[part] = n
+        return n
+
+    def of(self, pieces: list[str]) -> tuple[int, list[str]]:
+        """Tokens of the pre-tokens in the table, and the pre-tokens that are not."""
+        n = list(map(self.table.get, pieces))
+        if None not in n:
+            return sum(n), []
+        return (sum(k for k in n if k is not None),
+                [p for p, k in zip(pieces, n, strict=True) if k is None])
+
+    def count(self, text: str | None) -> tuple[int, Counter]:
+        """Tokens of a text as far as the table knows, and its other pre-tokens."""
+        pieces, parts = parted(text, self.path)
+        total, others = self.of(pieces)
+        n = list(map(self.__getitem__, parts))
+        here = sum(n)
+        if here < 0:
+            for part in [p for p, k in zip(parts, n, strict=True) if k < 0]:
+                here += _MORE
+                others += self.others.get(part) or [" " + part]
         if len(self) >= CACHE_ROWS:
             self.clear()
-        n = [self.table.get(p, -1) for p in pretokens(part, self.path)]
-        self[part] = out = -1 if -1 in n else sum(n)
-        return out
+            self.others.clear()
+        return total + here, Counter(others)
 
 
 def pretoken_frequencies(docs: DataFrame, path: str) -> DataFrame:
     """(piece, freq) over all texts."""
     @lean
     def count(batches):
-        parts: Counter = Counter()
+        pieces, parts = Counter(), Counter()
         for batch in batches:
             for text in texts(batch):
-                if text:
-                    parts.update(chunks(text) or [text])
-                    if len(parts) > CACHE_ROWS:
-                        yield _batch(_cut(parts, path))
-                        parts = Counter()
-        yield _batch(_cut(parts, path))
+                first, rest = parted(text, path)
+                pieces.update(first)
+                parts.update(rest)
+                if len(pieces) + len(parts) > CACHE_ROWS:
+                    yield _batch(_cut(pieces, parts, path))
+                    pieces, parts = Counter(), Counter()
+        yield _batch(_cut(pieces, parts, path))
 
     return (docs.select("text").mapInArrow(count, "piece string, freq long")
             .groupBy("piece").agg(F.sum("freq").alias("freq")))
@@ -103,23 +138,12 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT,
 
     @lean
     def join(batches):
-        table = known.value
-        tokens_of = _Known(table, path)
+        table = _Known(known.value, path)
         for batch in batches:
             sums, sizes, rest, freqs = [], [], [], []
             for text in texts(batch):
-                parts = (chunks(text) or [text]) if text else []
-                n = list(map(tokens_of.__getitem__, parts))
-                others: Counter = Counter()
-                if -1 in n:
-                    for k in [k for k, v in enumerate(n) if v < 0]:
-                        n[k] = 0
-                        for p in pretokens(parts[k], path):
-                            if p in table:
-                                n[k] += table[p]
-                            else:
-                                others[p] += 1
-                sums.append(sum(n))
+                n, others = table.count(text)
+                sums.append(n)
                 sizes.append(len(text.encode("utf-8", "surrogatepass")) if text else 0)
                 rest.append(list(others))
                 freqs.append(list(others.values()))

@@ -114,14 +114,48 @@ def encoders(path: str):
             lambda text: latin.encode_to_numpy(text, disallowed_special=()))
 
 
+@lru_cache(maxsize=2)
+def words_stay(path: str) -> bool:
+    """Whether no special string could be found inside a word."""
+    special = load(path)[0].get_added_tokens_decoder().values()
+    return not any(t.content.replace(" ", "").isalpha() for t in special)
+
+
+def spaced(chunk: str, path: str) -> list[str]:
+    """Pre-tokens of a chunk that :func:`parted` gave, and of the space before it."""
+    text = " " + chunk
+    if chunk.isalpha() and words_stay(path):
+        return [text]
+    cut = load(path)[1]
+    return pretokens(text, path) if cut and cut.search(text) else _PRE.findall(text)
+
+
+def parted(text: str | None, path: str) -> tuple[list[str], list[str]]:
+    """Pre-tokens of the text as far as its first space, and the chunks after it,
+    each without the space before it; all pre-tokens of a text without chunks."""
+    if not text:
+        return [], []
+    if not _spaces_cut(text):
+        return pretokens(text, path), []
+    first, *rest = text.split(" ")
+    return pretokens(first, path), rest
+
+
 _OTHER_SPACE = ("  ", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 
 
+def _spaces_cut(text: str) -> bool:
+    """Whether the pre-tokens of a text are those of its chunks, cut before each
+    space: not where that could cut a run of white space.  A single space between
+    other characters always begins a pre-token."""
+    return ((text.isascii() or not _NOT_LATIN.search(text))
+            and not any(x in text for x in _OTHER_SPACE))
+
+
 def chunks(text: str) -> list[str] | None:
     """The text cut before each space, or None where that could cut a run of
-    white space.  A single space between other characters always begins a
-    pre-token, so the pre-tokens are those of the chunks."""
-    if not (text.isascii() or not _NOT_LATIN.search(text)) or any(x in text for x in _OTHER_SPACE):
+    white space."""
+    if not _spaces_cut(text):
         return None
     first, *rest = text.split(" ")
     return [first, *[" " + c for c in rest]]
@@ -160,6 +194,10 @@ def encode(text: str | None, path: str) -> bytes:
 
 
 def n_pieces(pieces: list[str], path: str) -> list[int]:
+    """Number of ids of each pre-token."""
+    encode_one, whole = encoders(path)
+    if whole:
+        return [len(encode_one(p)) for p in pieces]
     tok = load(path)[0]
     return [len(e.ids) for e in tok.encode_batch(pieces, add_special_tokens=False)]
 

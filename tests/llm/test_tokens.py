@@ -42,6 +42,31 @@ def test_a_latin_text_is_encoded_in_one_call(library):
     assert np.frombuffer(tokens.encode(text, PATH), "<u4").tolist() == library(text)
 
 
+def test_parts_have_the_pretokens_of_the_text():
+    texts = ODD + [t for _, t, *_ in documents()]
+    texts += [" lead and trail ", "éa ª1 don't ɏ_ <|endoftext|>x a<|endoftext|> b", "x\ny z\nw", "a \x1c b"]
+    for t in texts:
+        first, rest = tokens.parted(t, PATH)
+        assert first + [p for c in rest for p in tokens.spaced(c, PATH)] == tokens.pretokens(t, PATH), t
+
+
+def test_words_need_no_pattern_and_odd_texts_are_not_kept(monkeypatch):
+    text = prose(7, 2000)
+    whole = tokens.pretokens(text, PATH)
+    calls = []
+    cut = tokens.pretokens
+    monkeypatch.setattr(tokens, "pretokens", lambda t, path: calls.append(t) or cut(t, path))
+    half = dict.fromkeys(whole[::2], 2)
+    known = token_counts._Known(half, PATH)
+    n, others = known.count(text)
+    assert calls == [text.split(" ")[0]]
+    assert n == sum(half.get(p, 0) for p in whole)
+    assert sorted(others.elements()) == sorted(p for p in whole if p not in half)
+    odd = "tab\tand  spaces\n\n" * 50
+    assert known.count(odd)[1].total() == len(cut(odd, PATH))
+    assert odd not in known and known.keys() <= set(text.split(" "))
+
+
 @pytest.mark.parametrize("head", [200_000, 5])
 def test_token_counts(spark, library, head):
     rows = documents() + [(100 + i, t, None, None, None) for i, t in enumerate(ODD)]
