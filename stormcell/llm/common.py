@@ -50,6 +50,7 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _release()  # of the driver's Python: what training or a broadcast has left
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from .common import discard, staged
 
 
+def _two(df: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """Two edges (u, v) from each row.  A union would put the plan of ``df`` into
+    that of the step twice, and a step's plan is planned on the driver."""
+    pair = [F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in (a, b)]
+    return df.select(F.explode(F.array(*pair)).alias("e")).select("e.u", "e.v")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _two(edges, ("u", "v"), ("v", "u"))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -17,8 +24,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    return (down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v"))))
+    return _two(down.join(low, "u"), ("v", "m"), ("u", "m"))
 
 
 def components(edges: DataFrame, a: str, b: str, max_steps: int = 50) -> DataFrame:
@@ -35,7 +41,7 @@ def components(edges: DataFrame, a: str, b: str, max_steps: int = 50) -> DataFra
         discard(e.sparkSession, before)
         before = path
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == seen:
+        if now == seen or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 e.select("v", "v").distinct())
         seen = now

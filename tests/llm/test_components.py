@@ -1,6 +1,6 @@
 import random
 
-from stormcell.llm.components import components
+from stormcell.llm.components import _large_star, _small_star, components
 
 
 def test_paths_stars_and_cycles(spark):
@@ -16,3 +16,12 @@ def test_paths_stars_and_cycles(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_a_step_has_few_copies_of_its_edges(spark):
+    edges = spark.range(9).selectExpr("id AS u", "id + 1 AS v")
+    step = _small_star(_large_star(edges))
+    plan = step._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("Range (") <= 4, plan
+    assert {tuple(r) for r in step.where("u <> v").distinct().collect()} == {
+        (i, max(0, i - 2)) for i in range(1, 10)}
