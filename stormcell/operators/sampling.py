@@ -91,10 +91,19 @@ def time_split(df: DataFrame, date_col: str = "date", test_fraction: float = 0.2
     return df.withColumn("is_test", F.coalesce(F.col(date_col) >= lit, F.lit(False)))
 
 
-def cv_folds(df: DataFrame, label: str, key: Column | str, k: int = 5) -> DataFrame:
-    """Adds ``fold`` in 0..k-1, stratified: (class rank - 1) mod k."""
+def cv_folds(df: DataFrame, label: str, key: Column | str, k: int = 5,
+             rank_col: str | None = None) -> DataFrame:
+    """Adds ``fold`` in 0..k-1, stratified: (class rank - 1) mod k.  With
+    ``rank_col`` the class rank stays, under that name."""
     ranked = hash_rank(df, label, key, "_rank")
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+    out = ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int"))
+    return out.withColumnRenamed("_rank", rank_col) if rank_col else out.drop("_rank")
+
+
+def rank_without_fold(rank_col: str, k: int, fold: int) -> Column:
+    """Class rank among the rows outside ``fold``, from the rank among all: of the
+    ranks before a row every k-th is gone, so no row is ranked again."""
+    return F.col(rank_col) - F.floor((F.col(rank_col) - 2 - fold + k) / F.lit(k)).cast("long")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -153,7 +162,8 @@ def _draw_copies(small: DataFrame, label: str, seed: int, chunk: int) -> DataFra
 
 def oversample(df: DataFrame, label: str, key: Column | str, ratio: float = 0.8,
                noise_cols=(), noise_sd: float | dict = 0.02, mode: str = "even",
-               seed: int = 42, chunk: int = 1_000_000) -> DataFrame:
+               seed: int = 42, chunk: int = 1_000_000,
+               rank: Column | None = None) -> DataFrame:
     """Grow every class smaller than floor(ratio * largest class) to exactly that
     size; larger classes are untouched.
 
@@ -161,7 +171,9 @@ def oversample(df: DataFrame, label: str, key: Column | str, ratio: float = 0.8,
     floor(extra / n) + (r <= extra mod n) copies.  ``mode="random"`` draws the
     copied rows uniformly with replacement (seeded, see ``_draw_copies``).
     Copies carry ``is_synthetic = true`` and Gaussian noise on ``noise_cols``
-    (``noise_sd`` is one deviation for all, or a dict per column).
+    (``noise_sd`` is one deviation for all, or a dict per column).  ``rank`` is
+    the rows' class rank in the order of ``key`` where it is known; then even
+    copies are made where their row lies, without a shuffle.
     """
     plan = oversample_plan(df, label, ratio)
     small = plan.filter(F.col("extra") > 0).select(label, "n", "extra")
@@ -171,7 +183,8 @@ def oversample(df: DataFrame, label: str, key: Column | str, ratio: float = 0.8,
     small = broadcast_checked(small, materialize=True)
     # only minority rows are ranked; the (large) majority classes pass through
     minority = df.join(small.select(label), label, "left_semi")
-    ranked = hash_rank(minority, label, key, "_rank")
+    ranked = (hash_rank(minority, label, key, "_rank") if rank is None
+              else minority.withColumn("_rank", rank))
     k = F.col(key) if isinstance(key, str) else key
     if mode == "even":
         ranked = ranked.join(small, label)

@@ -14,11 +14,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sampling, scaling, scores
@@ -28,6 +28,7 @@ from ..session import checkpoint
 
 
 PARALLEL_FITS = 3
+FIT_WAVES = 2  # waves of tasks in a pass that keep the cores busy without another fit
 TASK_ROWS = 500_000  # training rows of a task in the passes of a fit
 
 
@@ -91,7 +92,8 @@ def assembled_inputs(params) -> list[str]:
     return [f"{c}__z" if c in params else c for c in FEATURES]
 
 
-def training_rows(train: DataFrame, params, cfg: TrainConfig) -> DataFrame:
+def training_rows(train: DataFrame, params, cfg: TrainConfig,
+                  rank: Column | None = None) -> DataFrame:
     rows = train.withColumn("label", F.col("suspension").cast("double"))
     if cfg.use_class_weights:
         w = sampling.class_weights(rows, "suspension").select("suspension", "weight")
@@ -103,7 +105,7 @@ def training_rows(train: DataFrame, params, cfg: TrainConfig) -> DataFrame:
         sd = {c: cfg.noise_sd * params[c][1] for c in SCALED_COLS}
         rows = sampling.oversample(rows, "suspension", row_key_col(), cfg.oversample_ratio,
                                    noise_cols=SCALED_COLS, noise_sd=sd,
-                                   mode=cfg.oversample_mode, seed=cfg.seed)
+                                   mode=cfg.oversample_mode, seed=cfg.seed, rank=rank)
     return rows
 
 
@@ -130,11 +132,43 @@ def dealt(rows: DataFrame, size: int, task_rows: int = TASK_ROWS) -> DataFrame:
             .sortWithinPartitions("suspension", *SCALED_COLS))
 
 
-def fit(train: DataFrame, cfg: TrainConfig = TrainConfig()) -> PipelineModel:
+def dealt_by_rank(ranked: DataFrame, size: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows with their ``class_rank``, in so many parts that the ``size`` training rows
+    made of them where they lie come in equal parts of at most about ``task_rows``:
+    every class is spread over all parts."""
+    if size <= task_rows:
+        return ranked
+    cores = ranked.sparkSession.sparkContext.defaultParallelism
+    return (ranked.repartition(max(cores, -(-size // task_rows)), "suspension", "class_rank")
+            .sortWithinPartitions("suspension", "class_rank"))
+
+
+def copies_stay_even(train: DataFrame, cfg: TrainConfig, task_rows: int = TASK_ROWS) -> bool:
+    """Whether the training rows of parts from ``dealt_by_rank`` stay even: copies are
+    made where their row lies, and of no row so many that it weighs in its part."""
+    if not cfg.use_oversampling:
+        return True
+    if cfg.oversample_mode != "even":
+        return False
+    most = sampling.oversample_plan(train, "suspension", cfg.oversample_ratio).agg(
+        F.max(F.col("extra") / F.col("n"))).first()[0] or 0
+    return most <= task_rows / 100
+
+
+def fit(train: DataFrame, cfg: TrainConfig = TrainConfig(), rank: Column | None = None,
+        laid: bool = False) -> PipelineModel:
+    """``rank``: the rows' class rank where it is known.  ``laid``: the training rows
+    made of ``train`` are in even parts already."""
     params = scaling.fit_scaler(train, SCALED_COLS)
-    # the forest makes several passes over its input: materialise it once in
-    # the shared checkpoint folder (also cuts the lineage for task retries)
-    rows = checkpoint(dealt(training_rows(train, params, cfg), training_size(train, cfg)))
+    rows = training_rows(train, params, cfg, rank)
+    if not laid:
+        rows = dealt(rows, training_size(train, cfg))
+    inputs = [scaler_stage(params),
+              VectorAssembler(inputCols=assembled_inputs(params), outputCol="features",
+                              handleInvalid="keep")]
+    # the forest makes several passes over its input: assemble and materialise it
+    # once in the shared checkpoint folder (also cuts the lineage for task retries)
+    rows = checkpoint(PipelineModel(inputs).transform(rows).select("label", "weight", "features"))
     if cfg.model == "boosted":
         gbt = GBTClassifier(maxIter=cfg.boost_iters, maxDepth=min(cfg.max_depth, 6),
                             stepSize=cfg.learning_rate, seed=cfg.seed,
@@ -148,11 +182,7 @@ def fit(train: DataFrame, cfg: TrainConfig = TrainConfig()) -> PipelineModel:
                                     maxMemoryInMB=cfg.max_memory_mb)
     else:
         raise ValueError(f"unknown model {cfg.model!r}")
-    pipe = Pipeline(stages=[scaler_stage(params),
-                            VectorAssembler(inputCols=assembled_inputs(params),
-                                            outputCol="features", handleInvalid="keep"),
-                            rf])
-    return pipe.fit(rows)
+    return PipelineModel([*inputs, rf.fit(rows)])
 
 
 def _softmax(margins: F.Column) -> F.Column:
@@ -195,19 +225,33 @@ def feature_importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
 
 
+def fits_at_once(k: int, size: int, cores: int, task_rows: int = TASK_ROWS) -> int:
+    """How many of ``k`` fits over ``size`` rows run at a time.  They are independent
+    jobs, and a few small ones fill the cluster; one with several waves of tasks fills
+    it alone, and the rows that several keep for their passes would not fit in memory."""
+    parts = -(-size // task_rows)
+    return max(1, min(k, PARALLEL_FITS, FIT_WAVES * cores // max(1, parts)))
+
+
 def cross_validate(train: DataFrame, k: int = 5, cfg: TrainConfig = TrainConfig()) -> DataFrame:
     """k-fold accuracy with folds assigned before oversampling (no copies of a
-    validation row leak into its training folds).  One fit per fold."""
+    validation row leak into its training folds).  One fit per fold.
+
+    The rows are ranked and dealt once; each fold makes its training rows of them
+    where they lie."""
     spark = train.sparkSession
-    folded = checkpoint(sampling.cv_folds(train, "suspension", row_key_col(), k))
+    size, laid = training_size(train, cfg), copies_stay_even(train, cfg)
+    folded = checkpoint(dealt_by_rank(
+        sampling.cv_folds(train, "suspension", row_key_col(), k, rank_col="class_rank"), size))
 
     def one(f: int) -> tuple[int, float]:
-        model = fit(folded.filter(F.col("fold") != f), cfg)
+        model = fit(folded.filter(F.col("fold") != f), cfg,
+                    sampling.rank_without_fold("class_rank", k, f), laid)
         conf = evaluate(model, folded.filter(F.col("fold") == f))
         return f, float(conf["aggregate"].first()["accuracy"])
 
-    # the fits are independent jobs: a few at a time fill the cluster
-    with ThreadPoolExecutor(max_workers=min(k, PARALLEL_FITS)) as pool:
+    cores = spark.sparkContext.defaultParallelism
+    with ThreadPoolExecutor(max_workers=fits_at_once(k, size, cores)) as pool:
         results = list(pool.map(one, range(k)))
     return spark.createDataFrame(results, "fold INT, accuracy DOUBLE")
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stormcell import queries as Q
+from stormcell.operators import sampling
 from stormcell.plans import features as feat
 from stormcell.plans import serving, training
 from stormcell.schema import FEATURES
@@ -215,3 +216,64 @@ def test_training_rows_are_dealt_evenly(spark, obs):
     assert training.dealt(rows, n) is rows
     even = training.TrainConfig(use_oversampling=False)
     assert training.training_size(train, even) == train.count()
+
+
+def test_folds_make_their_training_rows_without_ranking_them_again(spark, obs, monkeypatch):
+    cfg = training.TrainConfig(num_trees=2, max_depth=2)
+    train = training.split(feat.training_features(obs), cfg).filter(~F.col("is_test")).drop("is_test")
+    key, k = training.row_key_col(), 3
+    # rows that come twice share a key and a place in the order
+    folded = training.checkpoint(sampling.cv_folds(train.union(train.limit(50)), "suspension", key, k,
+                                                   rank_col="class_rank"))
+    params = training.scaling.fit_scaler(train, training.SCALED_COLS)
+    total = F.bit_xor(F.xxhash64("suspension", "weight", "is_synthetic", "city", "date", *FEATURES)), F.count("*")
+    for f in range(k):
+        rest = folded.filter(F.col("fold") != f)
+        again = sampling.hash_rank(rest.drop("class_rank"), "suspension", key, "want")
+        got = rest.withColumn("want", sampling.rank_without_fold("class_rank", k, f))
+        cols = ["suspension", "want", "city", "date"]
+        assert sorted(got.select(cols).collect()) == sorted(again.select(cols).collect())
+        rows = training.training_rows(rest, params, cfg, sampling.rank_without_fold("class_rank", k, f))
+        assert rows.agg(*total).first() == training.training_rows(rest, params, cfg).agg(*total).first()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    calls, plain = [], sampling.hash_rank
+    monkeypatch.setattr(sampling, "hash_rank", lambda *a, **kw: calls.append(1) or plain(*a, **kw))
+    got = {r["fold"]: r["accuracy"] for r in training.cross_validate(train, k, cfg).collect()}
+    assert len(calls) == 1 and sorted(got) == [0, 1, 2]
+    parted = sampling.cv_folds(train, "suspension", key, k)
+    for f in range(k):
+        model = training.fit(parted.filter(F.col("fold") != f), cfg)
+        conf = training.evaluate(model, parted.filter(F.col("fold") == f))
+        assert got[f] == conf["aggregate"].first()["accuracy"]
+
+
+def test_rows_dealt_by_rank_give_even_training_rows(spark):
+    cfg = training.TrainConfig()
+    train = spark.range(18000).select(
+        F.concat(F.lit("c"), F.col("id") % 7).alias("city"),
+        F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, int(id))").alias("date"),
+        F.expr("CASE WHEN id < 9000 THEN 0 WHEN id < 15000 THEN 1 ELSE 2 END").alias("suspension"),
+        *[(F.col("id") % 97).cast("double").alias(c) for c in FEATURES])
+    ranked = sampling.cv_folds(train, "suspension", training.row_key_col(), rank_col="class_rank")
+    size, task_rows = training.training_size(train, cfg), 2000
+    assert size == 9000 + 2 * 7200 and training.copies_stay_even(train, cfg, task_rows)
+    out = training.checkpoint(training.dealt_by_rank(ranked, size, task_rows))
+    parts = out.rdd.getNumPartitions()
+    assert parts == -(-size // task_rows)
+    rows = training.training_rows(out, training.scaling.fit_scaler(train, training.SCALED_COLS), cfg,
+                                  F.col("class_rank"))
+    per_part = rows.groupBy((F.spark_partition_id() % parts).alias("part")).count().collect()
+    assert sum(r["count"] for r in per_part) == size
+    assert max(r["count"] for r in per_part) <= 1.2 * task_rows
+    assert training.dealt_by_rank(ranked, size) is ranked
+    # a single row with many copies is dealt after they are made
+    few = spark.createDataFrame([(0,)] * 100 + [(1,)], "suspension INT")
+    assert training.copies_stay_even(few, cfg) and not training.copies_stay_even(few, cfg, 1000)
+    assert not training.copies_stay_even(few, training.TrainConfig.parity())
+
+
+def test_large_fits_run_one_at_a_time():
+    assert training.fits_at_once(5, 1000, 8) == training.PARALLEL_FITS
+    assert training.fits_at_once(2, 1000, 8) == 2
+    assert training.fits_at_once(5, 100 * training.TASK_ROWS, 8) == 1
