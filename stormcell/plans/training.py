@@ -173,8 +173,10 @@ def fit(train: DataFrame, cfg: TrainConfig = TrainConfig(), rank: Column | None
         gbt = GBTClassifier(maxIter=cfg.boost_iters, maxDepth=min(cfg.max_depth, 6),
                             stepSize=cfg.learning_rate, seed=cfg.seed,
                             maxMemoryInMB=cfg.max_memory_mb)
+        # one class after another: the threads of ``parallelism`` share one set of job
+        # properties, so one that ends its job clears the job id of the others
         rf = OneVsRest(classifier=gbt, labelCol="label", featuresCol="features",
-                       weightCol="weight", parallelism=4)
+                       weightCol="weight", parallelism=1)
     elif cfg.model == "forest":
         rf = RandomForestClassifier(labelCol="label", featuresCol="features",
                                     weightCol="weight", numTrees=cfg.num_trees,
